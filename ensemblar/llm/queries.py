@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .minhash import near_duplicates
 from .quality import quality_rules
 from .tables import documents
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("boilerplate")
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
 }
