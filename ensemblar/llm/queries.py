@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
 from .quality import quality_rules
+from .scratch import new_path
 from .tables import documents
+from .token_files import read_token_files, write_token_files
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +20,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("boilerplate")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, path)
+
+
 QUERIES = {
+    "op8_token_files": op8_token_files,
     "op1_near_duplicates": op1_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
 }
