@@ -35,6 +35,25 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM b
 """
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP2 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({lowered("coalesce(text, '')")}, '{_ALNUM}') AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({lowered("coalesce(text, '')")}, '{_ALNUM}') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item, array_to_string(ws[k:k + 12], ' ') AS win, least(len(ws), 13) AS size
+       FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS k FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, size, k, array_to_string(ws[k:k + size - 1], ' ') AS win
+       FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS k FROM d, sizes WHERE len(ws) >= size)),
+m AS (SELECT doc_id, k, dw.size, item FROM dw JOIN bw USING (win, size)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
 ORACLE = {
+    "op2_decontamination": OP2,
     "op7_quality_rules": OP7,
 }

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .minhash import near_duplicates
 from .quality import quality_rules
 from .scratch import new_path
-from .tables import documents
+from .tables import documents, table
 from .token_files import read_token_files, write_token_files
 
 
@@ -16,6 +18,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("boilerplate")
 
@@ -27,6 +35,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op8_token_files": op8_token_files,
     "op1_near_duplicates": op1_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
