@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .minhash import near_duplicates
+from .mixing import mix_plan
 from .quality import quality_rules
 from .scratch import new_path
 from .tables import documents, table
@@ -24,6 +25,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(documents(spark, sf_dir))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.array_join("shards", ",").alias("shards"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("boilerplate")
 
@@ -35,6 +41,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op2_decontamination": op2_decontamination,
     "op8_token_files": op8_token_files,
     "op1_near_duplicates": op1_near_duplicates,
