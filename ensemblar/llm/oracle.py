@@ -53,7 +53,29 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
+OP10 = r"""
+WITH l0 AS (SELECT doc_id, k, trim(ls[k], ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line
+            FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+l AS (SELECT * FROM l0 WHERE line <> ''),
+f AS (SELECT line, min({'d': doc_id, 'k': k}) AS p, length(line) AS size FROM l GROUP BY line),
+e AS (SELECT a.p AS a, b.p AS b FROM f AS a JOIN f AS b ON b.size BETWEEN a.size - 2 AND a.size + 2 AND a.p < b.p
+      WHERE a.size >= 12 AND b.size >= 12 AND abs(strlen(a.line) - strlen(b.line)) <= 8
+        AND (substr(a.line, 1, a.size // 3) = substr(b.line, 1, a.size // 3)
+             OR a.line[-(a.size // 3):] = b.line[-(a.size // 3):]
+             OR contains(b.line, substr(a.line, a.size // 3 + 1, a.size // 3)))
+        AND levenshtein(a.line, b.line) <= 2),
+n AS (SELECT p, count(*) AS n_links, max(later) AS later FROM (SELECT a AS p, 0 AS later FROM e UNION ALL SELECT b, 1 FROM e) GROUP BY p),
+g AS (SELECT f.p.d AS doc_id, count(*) AS n_first, sum(coalesce(later, 0))::BIGINT AS n_near, sum(coalesce(n_links, 0))::BIGINT AS n_links,
+             sum(CASE WHEN coalesce(later, 0) = 0 THEN size ELSE 0 END)::BIGINT AS kept_chars
+      FROM f LEFT JOIN n ON f.p = n.p GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_first, 0) AS n_first, coalesce(n_near, 0) AS n_near,
+       coalesce(n_first, 0) - coalesce(n_near, 0) AS n_kept, coalesce(n_links, 0) AS n_links, coalesce(kept_chars, 0) AS kept_chars
+FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
 ORACLE = {
+    "op10_line_dedup": OP10,
     "op2_decontamination": OP2,
     "op7_quality_rules": OP7,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .line_dedup import line_report
 from .minhash import near_duplicates
 from .mixing import mix_plan
 from .quality import quality_rules
@@ -40,7 +41,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op10_line_dedup": op10_line_dedup,
     "op3_mixing": op3_mixing,
     "op2_decontamination": op2_decontamination,
     "op8_token_files": op8_token_files,
