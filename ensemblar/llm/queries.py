@@ -12,6 +12,7 @@ from .minhash import near_duplicates
 from .mixing import mix_plan
 from .quality import quality_rules
 from .scratch import new_path
+from .suffix_dedup import suffix_dedup
 from .tables import documents, table
 from .token_files import read_token_files, write_token_files
 
@@ -31,6 +32,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.array_join("shards", ",").alias("shards"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).drop("firsts", "ends")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("boilerplate")
 
@@ -46,6 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op3_mixing": op3_mixing,
     "op2_decontamination": op2_decontamination,
