@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .html_extract import main_text
+from .language import languages_of, learn
 from .line_dedup import line_report
 from .minhash import near_duplicates
 from .mixing import mix_plan
@@ -14,6 +16,7 @@ from .quality import quality_rules
 from .scratch import new_path
 from .suffix_dedup import suffix_dedup
 from .tables import documents, table
+from .token_counts import section_counts
 from .token_files import read_token_files, write_token_files
 
 
@@ -36,6 +39,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir)).drop("firsts", "ends")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("boilerplate")
 
@@ -50,7 +61,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return languages_of(docs, table(spark, sf_dir, "pages"), learn(docs))
+
+
 QUERIES = {
+    "op5_main_text": op5_main_text,
+    "op6_section_tokens": op6_section_tokens,
+    "op9_language_id": op9_language_id,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op3_mixing": op3_mixing,
