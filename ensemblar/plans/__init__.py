@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import intervals  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+
+from . import intervals, series, stats  # noqa: F401
+from .bindings import Tables
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.flagship(Tables(spark, sf_dir))
