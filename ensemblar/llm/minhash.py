@@ -42,7 +42,7 @@ BANDS, ROWS = 24, 3
 #: Pairs whose signatures agree in a smaller share are not near: six standard deviations below 0.75.
 LEAST_AGREEMENT = 0.44
 #: Buckets up to this size are compared all round.
-SMALL_BUCKET = 24
+SMALL_BUCKET = 4
 
 _SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary"
 
@@ -182,14 +182,15 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often = one.groupBy(F.col("h").alias("o_h")).agg(F.count("doc_id").alias("df")).filter("df > 1")
     known = one.join(often, F.col("h") == F.col("o_h"))
     ranked = known.groupBy(F.col("doc_id").alias("k_id")).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    prefix = ranked.join(members, F.col("k_id") == F.col("doc_id")).select(
-        "doc_id", "n", "part",
-        # shingles of one document only come first and can be left out of the prefix
-        F.explode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int"))).alias("x"),
-    )
-    key = durable(prefix.select("doc_id", "n", "part", F.col("x.h").alias("h")))
-    other = key.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("h").alias("h2"))
-    met = key.join(other, (F.col("h") == F.col("h2")) & (F.col("doc_id") < F.col("b")) & (F.col("part") != F.col("part2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+    # shingles of one document only come first in its order: they are never shared
+    alone = F.col("n") - F.size("shared")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    prefix = ranked.join(members, F.col("k_id") == F.col("doc_id")).select("doc_id", "n", "part", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), length).cast("int"))).alias("pos", "x"))
+    # from a shared place on, both must still have enough shingles to reach the threshold
+    key = durable(prefix.select("doc_id", "n", "part", F.col("x.h").alias("h"), (F.col("n") - F.col("alone") - F.col("pos")).alias("left")))
+    other = key.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("h").alias("h2"), F.col("left").alias("left2"))
+    enough = (100 + percent) * F.least("left", "left2") >= percent * (F.col("n") + F.col("n2"))
+    met = key.join(other, (F.col("h") == F.col("h2")) & (F.col("doc_id") < F.col("b")) & (F.col("part") != F.col("part2")) & enough)
     return met.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
