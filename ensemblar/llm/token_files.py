@@ -15,9 +15,8 @@ any block.  Shards are the binary column of a Parquet table in the order of part
 and seq, which is the order of the document ids: Spark commits and reads them
 wherever the table lies, and a lost executor only repeats its own task.
 
-The encoder splits at ASCII white space and encodes each different chunk once a
-batch: the tokenizer drops white space and no token or rule crosses it, so the
-ids are those of the whole text.
+The encoder cuts texts where the tokenizer's rules cut them anyhow and encodes each
+different piece once, so the ids are those of the whole text.
 
 Defined cases: a null or empty text has the end id only; null ids come first;
 repeated rows are written each; further columns are not read; an empty table
@@ -27,10 +26,10 @@ gives an empty table.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +44,8 @@ END_ID = 2
 BLOCK = 4096
 #: Ids after which a shard is closed; a longer document is a shard of its own.
 SHARD_IDS = 1 << 18
-#: Different chunks that an encoder remembers before it starts anew.
-CACHE = 300_000
+#: Different pieces that an encoder remembers before it starts anew.
+CACHE = 1_000_000
 #: Fixed values of the format: ids in a word, and bits of each, by selector.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _NULL_ID = -(1 << 63)
@@ -127,36 +126,138 @@ def from_shard(data: bytes, first_block: int = 0, end_block: int | None = None)
     return doc_ids, lengths, ids
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[0x30:0x3A] = True
+_ASCII = np.arange(256) < 0x80
+
+
+def pre_tokens(t: Text, specials: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte of pieces that the tokenizer never joins, and whether each is one pre-token.
+
+    Its rules cut at white space and at changes between letters, digits and other signs, but
+    for an apostrophe with letters after it.  So a letter (a-z, A-Z, U+00C0 to U+027F but the
+    two signs in between and U+0130, lowered to a letter and a mark) ends a piece before an ASCII sign or digit, a digit before ASCII, and
+    an ASCII sign other than the apostrophe before such a letter or a digit.  What stays
+    together goes to the tokenizer as it is, and so does white-space text with a special token.
+    """
+    d = t.data
+    if not len(d):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    lead = (d >= 0xC3) & (d <= 0xC9)
+    lead[:-1] &= ~((d[:-1] == 0xC3) & ((d[1:] == 0x97) | (d[1:] == 0xB7))) & ~((d[:-1] == 0xC4) & (d[1:] == 0xB0))
+    letter = _LETTER[d]
+    ends_letter = letter.copy()
+    ends_letter[1:] |= lead[:-1]
+    hit, digit, ascii_ = NOT_SPACE[d], _DIGIT[d], _ASCII[d]
+    sign = ascii_ & ~letter & ~digit & hit
+    cut = np.zeros(len(d) + 1, bool)
+    cut[1:-1] = (ends_letter[:-1] & (sign | digit)[1:]) | (digit[:-1] & ascii_[1:]) | (sign[:-1] & (digit | ((letter | lead) & (d != 0)))[1:] & (d[:-1] != 0x27))
+    edges = np.zeros(len(d) + 1, bool)
+    edges[t.offsets] = True
+    edges[1:-1] |= hit[1:] != hit[:-1]
+    raw = d.tobytes() if specials else b""
+    if any(x in raw for x in specials):
+        outer = np.flatnonzero(edges)
+        for m in re.finditer(b"|".join(map(re.escape, specials)), raw):
+            k = int(np.searchsorted(outer, m.start(), "right"))
+            cut[outer[k - 1] : outer[k] if k < len(outer) else len(d)] = False
+    cut |= edges
+    edge = np.flatnonzero(cut)
+    if edge[-1] != len(d):
+        edge = np.append(edge, len(d))
+    start, end = edge[:-1], edge[1:]
+    held = hit[start]
+    start, end = start[held], end[held]
+    # one kind of sign all through, and no letter after an apostrophe
+    known = np.cumsum(np.append(0, ends_letter | lead))
+    signs, length = np.cumsum(np.append(0, sign)), end - start
+    letters = known[end] - known[start]
+    return start, end, (letters == length) | (signs[end] - signs[start] == length) | ((length == 1) & digit[start])
+
+
 class Encoder:
-    """Ids of many texts; each different chunk between white space is encoded once a batch."""
+    """Ids of many texts; each different piece is encoded once, and known by its 64-bit hash."""
 
     def __init__(self, tokenizer_json: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer_json.decode()), {}
+        self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.specials = tuple(x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.at = self.size = self.flat = np.zeros(0, np.int64)
+
+    def _encoded(self, pieces: list[str], single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces in some order, and where those of each piece are.
+
+        Single pre-tokens go to the tokenizer many at once and are told apart by their last ids.
+        """
+        lone, rest = np.flatnonzero(single).tolist(), np.flatnonzero(~single).tolist()
+        blocks = [lone[k : k + 512] for k in range(0, len(lone), 512)]
+        order, sizes, flat = [], [], []
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in b]) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(block) and last[-1] == len(ids) - 1:
+                order.append(block)
+                sizes.append(np.diff(last, prepend=-1))
+                flat.append(ids)
+            else:
+                rest.extend(block)
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+        order = np.concatenate([*order, rest]).astype(np.int64)
+        sizes = np.concatenate([*sizes, [len(x) for x in others]]).astype(np.int64)
+        flat = np.concatenate([*flat, *others]).astype(np.int64)
+        at, size = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        at[order], size[order] = np.cumsum(sizes) - sizes, sizes
+        return flat, at, size
 
     def __call__(self, t: Text) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each."""
-        start, end, at = t.words(NOT_SPACE)
-        _, first, where = np.unique(t.hashes(start, end), return_index=True, return_inverse=True)
-        raw = t.data.tobytes()
-        chunks = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        for c, e in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self.known[c] = e.ids
-        lists = [self.known[c] for c in chunks]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-        each = sizes[where] if len(start) else np.zeros(0, np.int64)
+        start, end, single = pre_tokens(t, self.specials)
+        if not len(start):
+            return np.zeros(0, np.int64), np.zeros(t.n, np.int64)
+        different, first, where = np.unique(t.hashes(start, end), return_index=True, return_inverse=True)
+        if len(self.hash) > CACHE:
+            self.forget()
+        found = np.searchsorted(self.hash, different)
+        is_new = np.ones(len(different), bool) if not len(self.hash) else self.hash[np.minimum(found, len(self.hash) - 1)] != different
+        new = np.flatnonzero(is_new)
+        if len(new):
+            raw = t.data.tobytes()
+            flat, at, size = self._encoded([raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)], single[first[new]])
+            at += len(self.flat)
+            self.flat = np.concatenate([self.flat, flat])
+            self.hash, self.at, self.size = (np.insert(x, found[new], y) for x, y in ((self.hash, different[new]), (self.at, at), (self.size, size)))
+            found = np.searchsorted(self.hash, different)
+        each = self.size[found][where]
         before = np.cumsum(each) - each
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[where] - before, each) + np.arange(int(each.sum()))] if len(start) else flat
-        total = np.concatenate([[0], np.cumsum(each)])
+        ids = self.flat[np.repeat(self.at[found][where] - before, each) + np.arange(int(each.sum()))]
+        total = np.append(before, len(ids))
+        at = np.searchsorted(start, t.offsets)
         return ids, total[at[1:]] - total[at[:-1]]
 
 
+_encoders: dict[int, Encoder] = {}
+
+
+def encoder_of(tokenizer_json: bytes) -> Encoder:
+    """This worker's encoder; it outlives a task, and with it what it knows."""
+    key = hash(tokenizer_json)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(tokenizer_json)
+    return _encoders[key]
+
+
 def _with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
 
@@ -172,7 +273,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     tokenizer = broadcast_tokenizer(docs.sparkSession, tokenizer_path)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = Encoder(tokenizer.value), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder_of(tokenizer.value), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -182,7 +283,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "n_docs", "n_ids", "shard"])
 
         for batch in batches:
-            for i, j, t in texts_of(batch, "text", 1 << 20):
+            for i, j, t in texts_of(batch, "text"):
                 ids, lengths = _with_end(*encode(t), end_id)
                 own = batch.column(0).slice(i, j - i).fill_null(_NULL_ID).to_numpy()
                 held.append((own, lengths, ids))
