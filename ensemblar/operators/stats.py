@@ -271,3 +271,16 @@ def assembly_by_state(assembly_events: DataFrame, movement: DataFrame) -> DataFr
     return each.unionByName(any_.withColumn("label", F.lit("all"))).unionByName(none).join(n, key).select(*key, "label", (100 * F.col("k") / F.col("n")).alias("pct"))
 
 
+
+
+# -- top k and sets ---------------------------------------------------------------------------------
+
+
+def top_k_by(df: DataFrame, part: Sequence[str], order: Sequence, k: int) -> DataFrame:
+    """The first k rows of each part in an order."""
+    return df.withColumn("_r", F.row_number().over(over(part, *order))).filter(F.col("_r") <= k).drop("_r")
+
+
+def set_ops(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:
+    """Union, intersection and difference of two tables as sets."""
+    return {"union": a.unionByName(b).distinct(), "intersection": a.intersect(b), "difference": a.distinct().exceptAll(b.distinct())}

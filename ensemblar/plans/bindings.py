@@ -113,6 +113,27 @@ class Tables:
         l = self.table("lineitem")
         return l.select(F.concat(F.lit("o"), F.expr("l_orderkey div 40").cast("string")).alias("session_id"), F.col("l_orderkey").alias("event_id"), (F.col("l_partkey") % 20).cast("int").alias("cell")).distinct()
 
+    @cached_property
+    def pixels(self) -> DataFrame:
+        """Embeddings as movie frames of 8 x 8 pixels, a session for each label and 100 vectors."""
+        e = self.table("embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "v"))
+        return e.select(F.concat(F.lit("e"), F.col("label").cast("string"), F.lit("-"), F.expr("vec_id div 500").cast("string")).alias("session_id"), (F.col("vec_id") % 500).cast("int").alias("frame"), (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.col("v").cast("double").alias("v"))
+
+    @cached_property
+    def masks(self) -> DataFrame:
+        """Nine overlapping squares of 4 x 4 pixels in each movie."""
+        s = self.pixels.select("session_id").distinct()
+        cell = s.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(8))))
+        x = F.explode(F.expr("sequence(cast(cell div 3 * 2 as int), cast(cell div 3 * 2 + 3 as int))"))
+        y = F.explode(F.sequence(F.col("cell") % 3 * 2, F.col("cell") % 3 * 2 + 3))
+        return cell.withColumn("x", x).withColumn("y", y).select("session_id", "cell", "x", "y")
+
+    @cached_property
+    def rises(self) -> DataFrame:
+        """Frames of each cell with a positive mean in its mask, weighted by it."""
+        m = self.pixels.join(self.masks, ["session_id", "x", "y"]).groupBy("session_id", "cell", "frame").agg(F.avg("v").alias("w"))
+        return m.filter("w > 0.02")
+
 
 #: The same tables in SQL; each may use those before it.
 SQL_TABLES = {
@@ -132,10 +153,13 @@ SQL_TABLES = {
     "ivl": "SELECT 'c' || (o_custkey % 50) AS session_id, o_orderpriority AS label, (o_orderdate::DATE - DATE '1995-01-01')::DOUBLE AS t0, (o_orderdate::DATE - DATE '1995-01-01' + o_orderkey % 5)::DOUBLE AS t1 FROM orders",
     "edges": "SELECT l_returnflag AS session_id, (l_suppkey % 40)::INT AS src, (l_partkey % 40)::INT AS dst, count(*) AS weight FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 GROUP BY ALL",
     "cells": "SELECT 'e' || label AS session_id, vec_id::INT AS cell, 100 * (embedding[1]::DOUBLE + 1) AS cx, 100 * (embedding[2]::DOUBLE + 1) AS cy FROM embeddings",
+    "pixels": "SELECT 'e' || label || '-' || (vec_id // 500) AS session_id, (vec_id % 500)::INT AS frame, (i % 8)::INT AS x, (i // 8)::INT AS y, embedding[i + 1]::DOUBLE AS v FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)",
+    "masks": "SELECT session_id, c::INT AS cell, (c // 3 * 2 + a)::INT AS x, (c % 3 * 2 + b)::INT AS y FROM (SELECT DISTINCT session_id FROM pixels), range(9) q(c), range(4) r(a), range(4) s(b)",
+    "rises": "SELECT session_id, cell, frame, avg(v) AS w FROM pixels JOIN masks USING (session_id, x, y) GROUP BY ALL HAVING avg(v) > 0.02",
     "baskets": "SELECT DISTINCT l_returnflag AS session_id, l_orderkey AS basket, (l_partkey % 30)::INT AS item FROM lineitem",
     "ecells": "SELECT DISTINCT 'o' || (l_orderkey // 40) AS session_id, l_orderkey AS event_id, (l_partkey % 20)::INT AS cell FROM lineitem",
 }
-_USES = {"act": ["ev"], "tr": ["act"], "busy": ["act"], "pop": ["busy"], "mvt": ["tr"], "spine": ["sess"], "traces": ["spine", "ev"], "pred": ["ev"], "truth": ["ev"], "sig": ["ev"], "clock": ["act"]}
+_USES = {"act": ["ev"], "tr": ["act"], "busy": ["act"], "pop": ["busy"], "mvt": ["tr"], "spine": ["sess"], "traces": ["spine", "ev"], "pred": ["ev"], "truth": ["ev"], "sig": ["ev"], "clock": ["act"], "masks": ["pixels"], "rises": ["masks"]}
 
 
 def with_tables(sql: str) -> str:
