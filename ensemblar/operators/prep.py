@@ -18,7 +18,7 @@ def window_cut(series: DataFrame, length: int, overlap: float = 0.0, keep_last:
     starts = F.sequence(F.lit(0), F.col("n_frames") - length, F.lit(step))
     if keep_last:
         starts = F.array_distinct(F.concat(starts, F.array(F.col("n_frames") - length)))
-    d = series.filter(F.col("n_frames") >= length).withColumn("first", F.explode(starts).cast("int"))
+    d = series.filter(F.col("n_frames") >= length).withColumn("first", F.explode(starts.cast("array<int>")))
     return d.withColumn("last", F.col("first") + length - 1)
 
 

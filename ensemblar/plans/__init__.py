@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import intervals, movement, network, patterns, profiles, series, stats  # noqa: F401
+from . import intervals, movement, network, patterns, profiles, series, stats, tables  # noqa: F401
 from .bindings import Tables
 from .registry import ORACLE, QUERIES
 

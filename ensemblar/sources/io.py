@@ -28,10 +28,10 @@ def read_arrays(spark: SparkSession, glob: str, variable: str | None = None, fir
     Zeros are left out: activity is sparse.  A one-dimensional array is one cell.
     """
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return files.mapInArrow(lambda b: _decoded(b, variable, first, last), "path string, cell int, frame int, value double")
+    return files.mapInArrow(lambda b: decoded(b, variable, first, last), "path string, cell int, frame int, value double")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], variable: str | None, first: int | None, last: int | None) -> Iterator[pa.RecordBatch]:
+def decoded(batches: Iterator[pa.RecordBatch], variable: str | None = None, first: int | None = None, last: int | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = np.load(io.BytesIO(content), allow_pickle=False)
@@ -90,7 +90,7 @@ def parse_assemblies(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     section = F.last(F.when(F.col("line").rlike(r"^#\w+#"), F.regexp_extract("line", r"^#(\w+)#", 1)), ignorenulls=True)
     d = lines.withColumn("section", section.over(over("file", "n"))).filter("section = 'CELL_ASSEMBLIES'")
-    numbers = lambda x: F.explode(F.filter(F.split(x, r"[\s,]+"), lambda y: y.rlike(r"^\d+$"))).cast("int")
+    numbers = lambda x: F.explode(F.filter(F.split(x, r"[\s,]+"), lambda y: y.rlike(r"^\d+$")).cast("array<int>"))
     cluster = d.filter(F.col("line").startswith("SCA_cluster")).withColumn("assembly", (F.row_number().over(over("file", "n")) - 1).cast("int"))
     members = cluster.select("file", "assembly", numbers(F.regexp_extract("line", r":(.*)$", 1)).alias("cell"))
     times = d.filter(F.col("line").rlike(r"^(single|multiple)_sce_in_ca")).select("file", F.regexp_extract("line", r":\s*(\d+)\s*:", 1).cast("int").alias("assembly"), F.col("line").startswith("single").alias("single"), numbers(F.regexp_extract("line", r":\s*\d+\s*:(.*)$", 1)).alias("frame"))
