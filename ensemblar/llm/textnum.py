@@ -20,7 +20,7 @@ _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
 
 #: Bytes of text handled at once; one longer text is handled alone.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
