@@ -2,10 +2,10 @@
 
 Lines are compared without white space at their ends.  Equal lines are one text,
 held by its first place.  A text is split into limit + 1 segments; if two texts
-are within the limit, the shorter one has a segment that the longer one holds at
-nearly the same place, so substrings at the places that can match (by both
-lengths and the segment's number) probe an index of segments.  Candidates are
-verified by edit distance in a band, the columns of which are bit vectors.
+are within the limit, one has a segment that the other holds at nearly the same
+place, so substrings at the places that can match (by length and the segment's
+number) probe an index of segments.  Candidates that still share enough pieces
+are verified by edit distance in a band, the columns of which are bit vectors.
 
 A line is dropped if an equal line, or one within the limit, comes earlier in the
 order of document and line.  All of it is DataFrame and SQL work.
@@ -25,37 +25,37 @@ from .scratch import as_table, durable
 
 MAX_EDITS = 2
 MIN_CHARS = 12
+#: Lengths that share a bucket of the index.
+LENGTHS = 16
 BLANKS = " \t\r\f\v"
 
 
-def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
-    """First character (from 1) and length of segment i of a text of some length."""
-    short = f"({length} div {parts})"
-    longer = f"({length} % {parts})"
-    begin = f"({i} * {short} + greatest(0, {i} - ({parts} - {longer})) + 1)"
-    size = f"({short} + if({i} >= {parts} - {longer}, 1, 0))"
-    return begin, size
-
-
-def _keys(max_edits: int) -> tuple[Column, Column]:
-    """Index keys of a line, and the keys with which it probes for texts that are not longer."""
-    parts = max_edits + 1
-    own, probes = [], []
-    for i in range(parts):
-        begin, size = _segment("size", i, parts)
-        own.append(f"xxhash64({i}, size, substring(line, cast({begin} as int), cast({size} as int)))")
-    for less in range(max_edits + 1):
-        other = f"(size - {less})"
-        for i in range(parts):
-            begin, size = _segment(other, i, parts)
-            # at most i edits lie left of the segment and max_edits - i right of it
-            low = max(-i, less - (max_edits - i))
-            high = min(i, less + (max_edits - i))
-            for shift in range(low, high + 1):
-                at = f"({begin} + {shift})"
-                inside = f"{at} >= 1 AND {at} + {size} - 1 <= size"
-                probes.append(f"if({inside}, xxhash64({i}, cast({other} as int), substring(line, cast({at} as int), cast({size} as int))), null)")
-    return F.expr(f"array({', '.join(own)})"), F.expr(f"array_distinct(filter(array({', '.join(probes)}), x -> x is not null))")
+def _keys(max_edits: int, min_chars: int) -> Column:
+    """(key, own) of a line in a bucket of lengths: its segments, and the substrings that probe for those of others.
+
+    Lengths LENGTHS x bucket and on, and max_edits beyond the bucket, have segments of one size.  The
+    first half of the segments is placed from the left end, the others from the right end.  If two
+    lines are within the limit, some segment i has at most i edits on its left, max_edits - i on its
+    right and none inside: its place differs by no more than the smaller of these from the nearer end.
+    """
+    out = []
+    size = f"cast(greatest({min_chars}, bucket * {LENGTHS}) div {max_edits + 1} as int)"
+    for i in range(max_edits + 1):
+        left = i <= max_edits - i
+        near = min(i, max_edits - i)
+        for shift in range(-near, near + 1):
+            at = f"({i} * {size} + {shift})" if left else f"(size - {max_edits + 1 - i} * {size} + {shift})"
+            out.append(f"if({at} >= 0 AND {at} + {size} <= size, named_struct('key', xxhash64({i}, bucket, substring(line, {at} + 1, {size})), 'own', {str(shift == 0).lower()}), null)")
+    return F.expr(f"filter(array({', '.join(out)}), x -> x is not null)")
+
+
+def _enough_pieces(a: str, b: str, max_edits: int) -> Column:
+    """Count filter: cut into pieces, a loses at most one of them to b by each edit; the others stand no further than max_edits from their places."""
+    n = 3 * (max_edits + 1)
+    low, high = f"(i * length({a}) div {n})", f"((i + 1) * length({a}) div {n})"
+    piece = lambda x, s: f"substring({x}, cast({low} + {s} + 1 as int), cast({high} - {low} as int))"
+    found = f"exists(sequence(-{max_edits}, {max_edits}), s -> {low} + s >= 0 AND {piece(b, 's')} = {piece(a, '0')})"
+    return F.expr(f"size(filter(sequence(0, {n - 1}), i -> {found})) >= {n - max_edits}")
 
 
 def banded_distance(a: str, b: str, max_edits: int) -> Column:
@@ -93,26 +93,35 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The lines at some places (doc_id, line_no), by a join on documents."""
     by_doc = places.groupBy(F.col("doc_id").alias("p_id")).agg(F.collect_set("line_no").alias("line_nos"))
-    held = docs.join(by_doc, F.col("doc_id") == F.col("p_id")).select("doc_id", F.split("text", "\n").alias("all"), F.explode("line_nos").alias("line_no"))
-    return held.select("doc_id", "line_no", F.btrim(F.get("all", F.col("line_no")), F.lit(BLANKS)).alias("line")).dropDuplicates(["doc_id", "line_no"])
-
-
-def edit_links(docs: DataFrame, first: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """Pairs of places (a_id, a_no, b_id, b_no), a before b, of different texts within the limit."""
-    texts = _at(docs, first.filter(F.col("size") >= min_chars).select("doc_id", "line_no")).withColumn("size", F.length("line"))
-    own, probes = _keys(max_edits)
-    index = texts.select(F.col("doc_id").alias("i_id"), F.col("line_no").alias("i_no"), F.explode(own).alias("i_key"))
-    probe = texts.select("doc_id", "line_no", F.explode(probes).alias("key"))
-    place, other = F.struct("doc_id", "line_no"), F.struct(F.col("i_id").alias("doc_id"), F.col("i_no").alias("line_no"))
-    met = probe.join(index, (F.col("key") == F.col("i_key")) & ~((F.col("doc_id") == F.col("i_id")) & (F.col("line_no") == F.col("i_no"))))
-    pairs = durable(met.select(F.least(place, other).alias("a"), F.greatest(place, other).alias("b")).select(F.col("a.doc_id").alias("a_id"), F.col("a.line_no").alias("a_no"), F.col("b.doc_id").alias("b_id"), F.col("b.line_no").alias("b_no")).distinct())
+    held = docs.join(by_doc, F.col("doc_id") == F.col("p_id")).withColumn("all", F.split("text", "\n"))
+    lines = F.explode(F.transform("line_nos", lambda k: F.struct(k.alias("line_no"), F.btrim(F.get("all", k), F.lit(BLANKS)).alias("line"))))
+    return held.select("doc_id", lines.alias("x")).select("doc_id", "x.line_no", "x.line").dropDuplicates(["doc_id", "line_no"])
+
+
+def edit_links(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """Pairs of places (a_id, a_no, b_id, b_no), a before b, of the first places of different texts within the limit."""
+    lines = _lines(docs).withColumn("size", F.length("line")).filter(F.col("size") >= min_chars)
+    group = F.expr(f"size div {LENGTHS}")
+    buckets = F.when((F.col("size") % LENGTHS < max_edits) & (group > 0), F.array(group - 1, group)).otherwise(F.array(group))
+    dealt = lines.select("doc_id", "line_no", "line", "size", F.xxhash64("line").alias("h"), F.explode(buckets).alias("bucket"))
+    keyed = dealt.select("doc_id", "line_no", "h", F.explode(_keys(max_edits, min_chars)).alias("x")).select("doc_id", "line_no", "h", "x.key", "x.own")
+    # keys that two different lines hold, one of them as a segment; equal lines, however many, are one sum
+    shared = keyed.groupBy(F.col("key").alias("s_key")).agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.max("own").alias("own")).filter("h0 < h1 AND own").select("s_key")
+    shared = as_table(shared, "keys")
+    place = F.struct("doc_id", "line_no")
+    held = as_table(keyed.join(shared, F.col("key") == F.col("s_key")).groupBy("key", "h").agg(F.max("own").alias("own"), F.min(place).alias("place")), "held")
+    probe, index = held.select("key", "h", "place"), held.filter("own").select(F.col("key").alias("i_key"), F.col("h").alias("i_h"), F.col("place").alias("i_place"))
+    met = probe.join(index, (F.col("key") == F.col("i_key")) & (F.col("h") != F.col("i_h")))
+    pairs = met.select(F.least("place", "i_place").alias("a"), F.greatest("place", "i_place").alias("b")).distinct()
+    pairs = durable(pairs.select(F.col("a.doc_id").alias("a_id"), F.col("a.line_no").alias("a_no"), F.col("b.doc_id").alias("b_id"), F.col("b.line_no").alias("b_no")))
     wanted = pairs.select(F.col("a_id").alias("doc_id"), F.col("a_no").alias("line_no")).union(pairs.select("b_id", "b_no")).distinct()
-    chars = durable(_at(docs, wanted).select("doc_id", "line_no", F.split("line", "").alias("chars")))
-    left = chars.select(F.col("doc_id").alias("l_id"), F.col("line_no").alias("l_no"), F.col("chars").alias("x"))
-    right = chars.select(F.col("doc_id").alias("r_id"), F.col("line_no").alias("r_no"), F.col("chars").alias("y"))
+    texts = as_table(_at(docs, wanted), "candidates")
+    left = texts.select(F.col("doc_id").alias("l_id"), F.col("line_no").alias("l_no"), F.col("line").alias("a"))
+    right = texts.select(F.col("doc_id").alias("r_id"), F.col("line_no").alias("r_no"), F.col("line").alias("b"))
     both = pairs.join(left, (F.col("a_id") == F.col("l_id")) & (F.col("a_no") == F.col("l_no"))).join(right, (F.col("b_id") == F.col("r_id")) & (F.col("b_no") == F.col("r_no")))
-    near = both.filter(F.abs(F.size("x") - F.size("y")) <= max_edits).filter(banded_distance("x", "y", max_edits) <= max_edits)
-    return near.select("a_id", "a_no", "b_id", "b_no")
+    hopeful = both.filter(F.abs(F.length("a") - F.length("b")) <= max_edits).filter(_enough_pieces("a", "b", max_edits))
+    cut = hopeful.select("a_id", "a_no", "b_id", "b_no", F.split("a", "").alias("x"), F.split("b", "").alias("y"))
+    return cut.filter(banded_distance("x", "y", max_edits) <= max_edits).select("a_id", "a_no", "b_id", "b_no")
 
 
 def line_duplicates(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +132,7 @@ def line_duplicates(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int
     seen = _lines(texts).select("doc_id", "line_no", F.length("line").alias("size"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
     first = seen.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no")).alias("x")).select("x.doc_id", "x.line_no", "size")
     first = as_table(first, "lines")
-    links = durable(edit_links(texts, first, max_edits, min_chars))
+    links = durable(edit_links(texts, max_edits, min_chars))
     ends = links.select(F.col("a_id").alias("e_id"), F.col("a_no").alias("e_no"), F.lit(0).alias("later")).union(links.select("b_id", "b_no", F.lit(1)))
     linked = ends.groupBy("e_id", "e_no").agg(F.count("later").alias("n_links"), F.max("later").alias("later"))
     out = first.join(linked, (F.col("doc_id") == F.col("e_id")) & (F.col("line_no") == F.col("e_no")), "left")
