@@ -20,7 +20,7 @@ _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
 
 #: Bytes of text handled at once; one longer text is handled alone.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -163,3 +163,5 @@ def texts_of(batch: pa.RecordBatch, column: str, limit: int | None = None) -> It
     data, offsets = as_bytes(batch.column(batch.schema.get_field_index(column)))
     for i, j in pieces(offsets, limit):
         yield i, j, Text(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+    # workers live on between tasks: what Arrow holds for reuse goes back
+    pa.default_memory_pool().release_unused()
