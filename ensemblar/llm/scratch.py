@@ -37,4 +37,6 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a written table in the shared folder: compressed, and read by column."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    # finished steps leave shuffle files until the driver's JVM collects what points to them
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,6 +33,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .grouping import sort_suffixes
@@ -40,11 +41,13 @@ from .scratch import as_table, durable
 from .textnum import U64, Text, mix, powers, signed, texts_of
 
 WIDTH = 100
-ANCHOR = 40
+ANCHOR = 32
 #: Classes of a group above which its windows are grouped one by one.
 BIG_GROUP = 4000
 #: Symbols after which a task sorts the groups that it holds.
 CHUNK = 100_000
+#: An anchor in more rows than HOT_ROWS, and than one in HOT_ANCHORS of all, is grouped apart.
+HOT_ROWS, HOT_ANCHORS = 20_000, 10_000
 
 _SEGMENTS = "doc_id long, anchor long, content long, start long, windows int, lead int"
 _PARTS = "part_key long, part_content long, doc_id long, start long, windows int, lead int, need int, bytes binary"
@@ -213,30 +216,57 @@ def _later(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return classes, met.filter("doc_id <> c_doc OR start <> c_start").select(rows.columns)
 
 
+def _marked(found: DataFrame, width: int, k: int) -> DataFrame:
+    """Segments of anchors that occur again: those that an earlier one equals (later) and, of anchors with several contents, the first of each (open).
+
+    Anchors meet in one exchange and are compared there; the few anchors that hold more than a
+    fixed share of the rows are grouped with partial sums instead.
+    """
+    counts = as_table(found.groupBy(F.col("anchor").alias("c_anchor")).agg(F.count("anchor").alias("n")).filter("n > 1"), "anchors")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_ANCHORS)
+    met = found.join(counts.filter(F.col("n") <= limit), F.col("anchor") == F.col("c_anchor"))
+    same = W.partitionBy("anchor", "content").orderBy("doc_id", "start")
+    place = F.struct("doc_id", "start")
+    first = F.first(place).over(same)
+    whole = W.partitionBy("anchor")
+    marked = met.select("doc_id", "start", "windows", "lead", (first != place).alias("later"), (F.min("content").over(whole) != F.max("content").over(whole)).alias("open"))
+    out = marked.filter("later OR open")
+    hot = counts.filter(F.col("n") > limit).select("c_anchor")
+    if hot.isEmpty():
+        return as_table(out, "segments")
+    # fewer than HOT_ANCHORS anchors can be above the limit
+    rows = as_table(found.join(F.broadcast(hot), F.col("anchor") == F.col("c_anchor")).drop("c_anchor"), "hot_segments")
+    classes, later = _later(rows, ["anchor", "content"])
+    several = classes.groupBy(F.col("anchor").alias("s_anchor")).agg(F.count("anchor").alias("n")).filter("n > 1")
+    firsts = classes.join(several, F.col("anchor") == F.col("s_anchor"), "left_semi")
+    side = lambda d, is_later: d.select("doc_id", "start", "windows", "lead", F.lit(is_later).alias("later"), F.lit(True).alias("open"))
+    return as_table(out.unionByName(side(later, True)).unionByName(side(firsts, False)), "segments")
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
     """(doc_id, first, end): byte ranges of documents (doc_id, text) that lie in strings found earlier; they may overlap."""
     found = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(partial(_segment_rows, width, k), _SEGMENTS)
-    often = found.groupBy(F.col("anchor").alias("o_anchor")).agg(F.count("anchor").alias("n")).filter("n > 1").select("o_anchor")
-    rows = as_table(found.join(often, F.col("anchor") == F.col("o_anchor")).drop("o_anchor"), "segments")
-    classes, later = _later(rows, ["anchor", "content"])
-    classes = durable(classes)
-    gone = later.select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (width - 1)).alias("end"))
+    marked = _marked(found, width, k)
+    end = F.col("start") + F.col("windows") + (width - 1)
+    gone = marked.filter("later").select("doc_id", F.col("start").alias("first"), end.alias("end"))
 
-    several = classes.groupBy(F.col("anchor").alias("s_anchor")).agg(F.count("anchor").alias("n")).filter("n > 1").select("s_anchor")
-    open_ = classes.join(several, F.col("anchor") == F.col("s_anchor"), "left_semi")
-    by_doc = open_.groupBy(F.col("doc_id").alias("b_id")).agg(F.collect_list(F.struct("start", "windows", "lead")).alias("segments"))
+    by_doc = marked.filter("NOT later").groupBy(F.col("doc_id").alias("b_id")).agg(F.collect_list(F.struct("start", "windows", "lead")).alias("segments"))
     texts = docs.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("b_id")).select("doc_id", "text", "segments")
     parts = as_table(texts.mapInArrow(partial(_part_rows, width, k), _PARTS), "parts")
-    part_classes, part_later = _later(parts, ["part_key", "part_content"])
+    part_classes, part_later = _later(parts.drop("bytes"), ["part_key", "part_content"])
     part_classes = durable(part_classes)
-    gone = gone.union(part_later.select("doc_id", "start", (F.col("start") + F.col("windows") + (width - 1)).alias("end")))
+    gone = gone.union(part_later.select("doc_id", "start", end))
 
     sizes = part_classes.groupBy(F.col("part_key").alias("z_key")).agg(F.count("part_key").alias("n")).filter("n > 1")
-    sized = part_classes.join(sizes, F.col("part_key") == F.col("z_key"))
+    sized = part_classes.join(sizes, F.col("part_key") == F.col("z_key")).select(F.col("part_key").alias("y_key"), F.col("doc_id").alias("y_id"), F.col("start").alias("y_start"), "n")
     columns = ["part_key", "doc_id", "start", "windows", "lead", "need", "bytes"]
-    small = sized.filter(F.col("n") <= BIG_GROUP).select(columns).repartition("part_key").sortWithinPartitions("part_key", "doc_id", "start")
+    # repeated rows of one document give equal parts: one of them is enough
+    open_ = parts.join(sized, (F.col("part_key") == F.col("y_key")) & (F.col("doc_id") == F.col("y_id")) & (F.col("start") == F.col("y_start"))).dropDuplicates(["part_key", "doc_id", "start"])
+    open_ = as_table(open_.select(*columns, "n"), "open")
+    small = open_.filter(F.col("n") <= BIG_GROUP).select(columns).repartition("part_key").sortWithinPartitions("part_key", "doc_id", "start")
     gone = gone.union(small.mapInArrow(partial(_sort_groups, width), _GONE))
-    single = sized.filter(F.col("n") > BIG_GROUP).select(columns).mapInArrow(_single_windows, "part_key long, window_key long, doc_id long, start long")
+    single = open_.filter(F.col("n") > BIG_GROUP).select(columns).mapInArrow(_single_windows, "part_key long, window_key long, doc_id long, start long")
     _, single_later = _later(single, ["part_key", "window_key"])
     return gone.union(single_later.select("doc_id", "start", F.col("start") + width))
 
@@ -270,7 +300,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: bytes, removed bytes, removed runs (their firsts and ends), and a digest of what is left."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = durable(repeated_spans(texts, width, k))
+    spans = as_table(repeated_spans(texts, width, k), "spans")
     by_doc = spans.groupBy(F.col("doc_id").alias("g_id")).agg(F.collect_list(F.struct("first", "end")).alias("gone"))
     joined = texts.join(by_doc, F.col("doc_id") == F.col("g_id"), "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, firsts array<long>, ends array<long>")
