@@ -5,8 +5,8 @@ host the number of distinct documents that hold a line is counted; lines above a
 limit are boilerplate and are taken out; documents that lose most of their words
 that way are depleted and rejected, as are those that fail the base rules.
 
-Copies must not make a clean text look like boilerplate, so documents that show
-a line between the same two neighbouring lines count as one document.
+Copies must not make a clean text look like boilerplate, so documents that hold
+the same set of normalised lines count as one document; all others count each.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
 null host is a host of its own; rows with equal ids are judged alike; a null id
@@ -34,7 +34,7 @@ MIN_LEFT_PERCENT = 30
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-STATS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, settings array<long>, line_words array<int>"
+STATS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, digest long, lines array<long>, line_words array<int>"
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -76,20 +76,19 @@ def _measure(t: Text) -> list[pa.Array]:
 
     low = Text(LOWER[t.data], t.offsets)
     line = run_hashes(low.hashes(start, end), w0, w1)
-    before, after = np.zeros(len(line), np.uint64), np.zeros(len(line), np.uint64)
-    if len(line) > 1:
-        same = l_owner[1:] == l_owner[:-1]
-        before[1:][same] = line[:-1][same]
-        after[:-1][same] = line[1:][same]
-    setting = mix(before * np.uint64(3) + mix(after + np.uint64(1)))
-    # one entry for each line of a text: its first setting, and the words in all its places
+    # one entry for each line of a text, with the words in all its places
     _, first, where = np.unique(mix(line + l_owner.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True, return_inverse=True)
     words = np.bincount(where, weights=w1 - w0, minlength=len(first)).astype(np.int32)
     order = np.argsort(first)
     first, words = first[order], words[order]
     counts = np.bincount(l_owner[first], minlength=t.n)
+    # a text's set of lines as one number
+    sums = np.zeros(len(first) + 1, np.uint64)
+    np.cumsum(mix(line[first] + np.uint64(1)), out=sums[1:])
+    end_at = np.cumsum(counts)
+    digest = mix(sums[end_at] - sums[end_at - counts])
     numbers = [n_words, t.count(in_word), t.count(_SYMBOL[t.data]), n_dup, _sums(covered, at)]
-    return [pa.array(x.astype(np.int64)) for x in numbers] + [_lists(signed(line[first]), counts, pa.int64()), _lists(signed(setting[first]), counts, pa.int64()), _lists(words, counts, pa.int32())]
+    return [pa.array(x.astype(np.int64)) for x in numbers] + [pa.array(signed(digest)), _lists(signed(line[first]), counts, pa.int64()), _lists(words, counts, pa.int32())]
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,13 +100,13 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Counts of each text, with its distinct normalised lines, their settings and words."""
+    """Counts of each text, with its distinct normalised lines, their words and a digest of their set."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")).mapInArrow(_stats, STATS)
 
 
 def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """(host, line, n_docs) of the lines above the limit; lines has host, line and setting."""
-    once = lines.groupBy("host", "line", "setting").agg(F.lit(1).alias("one"))
+    """(host, line, n_docs) of the lines above the limit; lines has host, line and digest."""
+    once = lines.groupBy("host", "line", "digest").agg(F.lit(1).alias("one"))
     return once.groupBy("host", "line").agg(F.count("one").alias("n_docs")).filter(F.col("n_docs") > max_docs)
 
 
@@ -124,8 +123,8 @@ def quality_rules(
     """One row per document: counts, base_failed, the boilerplate lines found in it, and kept."""
     stats = text_stats(docs, id_col, text_col, host_col)
     lines = (
-        stats.select("doc_id", F.coalesce("host", F.lit("\0")).alias("host"), F.explode(F.arrays_zip("lines", "settings", "line_words")).alias("x"))
-        .select("doc_id", "host", F.col("x.lines").alias("line"), F.col("x.settings").alias("setting"), F.col("x.line_words").alias("words"))
+        stats.select("doc_id", F.coalesce("host", F.lit("\0")).alias("host"), "digest", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+        .select("doc_id", "host", "digest", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     )
     often = frequent_lines(lines, max_docs)
     lost = (
@@ -138,7 +137,7 @@ def quality_rules(
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     lost_words = F.coalesce("lost", F.lit(0))
     return (
-        stats.drop("lines", "settings", "line_words")
+        stats.drop("digest", "lines", "line_words")
         .join(lost, F.col("doc_id") == F.col("lost_id"), "left")
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),

@@ -362,6 +362,25 @@ def test_copies_are_not_boilerplate(spark):
     assert 90 not in kept and "Cookie" not in kept[60] and kept[0] == text
 
 
+def test_blocks_of_lines_are_boilerplate(spark):
+    """Every line of a fixed block counts, at the top of the text or inside it; true copies count once."""
+    r = random.Random(4)
+    own = lambda n: " ".join(f"w{r.randint(0, 9999)}" for _ in range(n))
+    head = ["Home of the news", "All menus of the site", "Sign in to read on"]
+    licence = [f"Licence clause {k} holds for all of it" for k in range(20)]
+    texts = ["\n".join([*head, own(60), own(60)]) for _ in range(40)]
+    texts += ["\n".join([own(20), *licence, own(20)]) for _ in range(40)]
+    copied = [f"Title {k} of copied text" for k in range(3)] + [own(60)]
+    texts += ["\n".join(copied)] * 39 + ["\n".join(reversed(copied))]
+    docs = docs_of(spark, texts, ["a"] * 40 + ["b"] * 40 + ["c"] * 40)
+    got = {x.doc_id: x for x in quality.quality_rules(docs).collect()}
+    assert all(got[k].n_boilerplate_lines == 3 and got[k].n_boilerplate_words == 14 and got[k].kept for k in range(40))
+    assert all(got[k].n_boilerplate_lines == 20 and got[k].n_boilerplate_words == 160 and not got[k].kept for k in range(40, 80))
+    assert all(not got[k].n_boilerplate_lines and got[k].kept for k in range(80, 120))
+    kept = {x.doc_id: x.text for x in quality.keep_good(docs).collect()}
+    assert all(kept[k] == "\n".join(texts[k].split("\n")[3:]) for k in range(40)) and kept[80] == texts[80]
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = pipeline.documents(spark, SMALL)
