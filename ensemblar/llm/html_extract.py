@@ -4,8 +4,8 @@ Pages of a host share a template.  The shortest page of a host is the wrapper to
 start from; every page's tree is aligned with it by simple tree matching.  A text
 that stays equal over the host's pages is template, one that varies is a slot.
 Slots outside the article (menus, adverts, forms, comments, by their elements and
-names) are dropped too; a page without an article keeps the slots that are not
-mostly links.  Pages that agree with the wrapper in their whole article are copies
+names) are dropped too, but no name or form counts that stands on most of the slots'
+text; a page without an article keeps the slots that are not mostly links.  Pages that agree with the wrapper in their whole article are copies
 and say nothing about the template.
 
 Counts are summed by host and node; a page meets its host's wrapper by a join, so
@@ -53,8 +53,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             a, b = _wrapper(seed), Page(source)
             pairs = align(a, b)
-            main = [k for k in b.main_leaves() if k in pairs]
-            if main and all(a.text[pairs[k]] == b.text[k] for k in b.main_leaves() if k in pairs) and len(main) == len(b.main_leaves()):
+            main = b.own_leaves()
+            if main and all(k in pairs and a.text[pairs[k]] == b.text[k] for k in main):
                 continue
             for y, x in pairs.items():
                 if b.text[y] is not None:
@@ -88,12 +88,11 @@ def page_text(source: str | None, seed: str | None, constant: list[int] | None)
     if not source:
         return ""
     page = Page(source)
-    keep = page.main_leaves()
+    same: frozenset[int] = frozenset()
     if seed and constant:
         wrapper, fixed = _wrapper(seed), set(constant)
-        pairs = align(wrapper, page)
-        keep = [k for k in keep if not (pairs.get(k) in fixed and wrapper.text[pairs[k]] == page.text[k])]
-    return " ".join(page.text[k] for k in keep)
+        same = frozenset(y for y, x in align(wrapper, page).items() if x in fixed and wrapper.text[x] == page.text[y])
+    return " ".join(page.text[k] for k in page.main_leaves(same))
 
 
 def _extract(schema_names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

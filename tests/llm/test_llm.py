@@ -319,6 +319,23 @@ def test_main_text(spark):
     assert got[92].text == "no article tail"
 
 
+@pytest.mark.parametrize("around", ['<div class="page has-sidebar">@</div>', '<div id="content" class="with-comments">@</div>', '<div class="layout search-enabled">@</div>', '<form action="/">@</form>', '<div class="ad">@</div>'])
+@pytest.mark.parametrize("inside", ["<article>@</article>", "<main>@</main>", "<div>@</div>", '<article><div class="entry no-sidebar">@</div></article>'])
+def test_names_around_the_article_do_not_empty_it(around, inside):
+    body = "<p>First paragraph of the story</p><p>Second paragraph, longer than the first</p>"
+    rest = '<div class="sidebar">Latest news</div><div id="comments"><article>I disagree</article></div><form>Search here</form>'
+    page = around.replace("@", inside.replace("@", body) + rest)
+    assert html_extract.page_text(f"<body>{page}</body>", None, None) == "First paragraph of the story Second paragraph, longer than the first"
+
+
+def test_template_decides_before_names(spark):
+    """A slot with a sidebar's name is the text of its pages where all else is constant."""
+    fixed = "<p>" + "Words that all pages of this host show at their top. " * 4 + "</p>"
+    rows = [(k, f"http://h.example.org/{k}", f'<body>{fixed}<div class="has-sidebar"><p>Story {k} of today</p></div></body>') for k in range(12)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} of today" for k in range(12)}
+
+
 def test_alignment_keeps_order():
     a, b = html_dom.Page("<ul><li>x<li>y<li>z</ul><p>same</p>"), html_dom.Page("<ul><li>y<li>w</ul><p>new</p><p>same</p>")
     pairs = html_dom.align(a, b)
