@@ -325,7 +325,7 @@ def test_names_around_the_article_do_not_empty_it(around, inside):
     body = "<p>First paragraph of the story</p><p>Second paragraph, longer than the first</p>"
     rest = '<div class="sidebar">Latest news</div><div id="comments"><article>I disagree</article></div><form>Search here</form>'
     page = around.replace("@", inside.replace("@", body) + rest)
-    assert html_extract.page_text(f"<body>{page}</body>", None, None) == "First paragraph of the story Second paragraph, longer than the first"
+    assert html_extract.page_text(f"<body>{page}</body>") == "First paragraph of the story Second paragraph, longer than the first"
 
 
 def test_template_decides_before_names(spark):
@@ -336,6 +336,21 @@ def test_template_decides_before_names(spark):
     assert got == {k: f"Story {k} of today" for k in range(12)}
 
 
+def test_small_hosts_and_odd_shortest_pages_have_templates(spark):
+    """Two pages make a template; an error page that is the shortest hides none; versions of one text stay whole."""
+    r = random.Random(11)
+    own = lambda: " ".join(f"w{r.randint(0, 9999)}" for _ in range(30))
+    notice = "<p>Follow our page daily</p>"
+    two, many = [own() for _ in range(2)], [own() for _ in range(12)]
+    rows = [(k, "http://two.example.org/", f"<article><p>{x}</p>{notice}</article>") for k, x in enumerate(two)]
+    rows += [(10, "http://many.example.org/", "<p>Not found</p>")] + [(20 + k, "http://many.example.org/", f'<nav>menu</nav><article><p>{x}</p>{notice}<div class="end">End</div></article>') for k, x in enumerate(many)]
+    rows += [(40 + k, "http://versions.example.org/", f"<article><p>{two[0]}</p><p>{many[0]}</p><p>Version {k}</p></article>") for k in range(2)]
+    got = {x.page_id: x.text for x in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[0], got[1]] == two
+    assert got[10] == "Not found" and [got[20 + k] for k in range(12)] == many
+    assert [got[40 + k] for k in range(2)] == [f"{two[0]} {many[0]} Version {k}" for k in range(2)]
+
+
 def test_alignment_keeps_order():
     a, b = html_dom.Page("<ul><li>x<li>y<li>z</ul><p>same</p>"), html_dom.Page("<ul><li>y<li>w</ul><p>new</p><p>same</p>")
     pairs = html_dom.align(a, b)
