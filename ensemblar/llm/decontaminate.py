@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import FMIndex
+from .scratch import ROW, with_rows
 from .textnum import ALNUM, LOWER, Text, as_bytes, texts_of
 
 WINDOW = 13
@@ -179,9 +180,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with all columns; what they hold of the test phrases is cut from their texts."""
-    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).filter("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("c_id"), "contaminated", "starts", "ends").dropDuplicates(["c_id"])
-    kept = docs.join(found, F.col(id_col) == F.col("c_id"), "left").filter("contaminated IS NOT TRUE").drop("c_id", "contaminated")
+    rows = with_rows(docs, "decontamination_rows")
+    found = contamination(rows, benchmark, id_col=ROW, text_col=text_col, **options).filter("n_hit > 0")
+    found = found.select(F.col("doc_id").alias("c_id"), "contaminated", "starts", "ends")
+    kept = rows.join(found, F.col(ROW) == F.col("c_id"), "left").filter("contaminated IS NOT TRUE").drop("c_id", "contaminated", ROW)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import as_table, durable
+from .scratch import ROW, as_table, durable, with_rows
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -95,11 +95,11 @@ def shard_quotas(units: DataFrame, depth: int = DEPTH, seed: int = SEED) -> Data
     return leaf.select(F.col("x.sources").alias("source"), "shard", F.col("x.q").alias("quota"))
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size in words, and the block that a hash of the id gives."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size in words, and the block that a hash of the id gives; and row_col, if given, as row."""
     key = F.xxhash64(F.col(id_col).cast("long"), F.lit(seed))
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.shiftright(key, 16).alias("place"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.shiftright(key, 16).alias("place"), *([F.col(row_col).alias("row")] if row_col else []))
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_times: int = MAX_TIMES, blocks: int = BLOCKS, depth: int = DEPTH, seed: int = SEED, **columns: str) -> DataFrame:
@@ -137,13 +137,14 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
     return (
         rest.unionByName(part)
         .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.slice("unit_shards", F.lit(1), F.col("copies")).alias("shards"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.slice("unit_shards", F.lit(1), F.col("copies")).alias("shards"), *(["row"] if "row_col" in columns else []))
     )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The mixed documents: a row for each copy, with all columns, its shard and copy number, shuffled inside the shards."""
-    plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options).filter("copies > 0").dropDuplicates(["doc_id"])
-    copies = plan.select(F.col("doc_id").alias("m_id"), F.posexplode("shards").alias("mix_copy", "mix_shard"))
-    drawn = docs.join(copies, F.col(id_col).eqNullSafe(F.col("m_id"))).drop("m_id")
+    rows = with_rows(docs, "mixing_rows")
+    plan = mix_plan(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col=ROW, seed=seed, **options).filter("copies > 0")
+    copies = plan.select(F.col("row").alias("m_row"), F.posexplode("shards").alias("mix_copy", "mix_shard"))
+    drawn = rows.join(copies, F.col(ROW) == F.col("m_row")).drop("m_row", ROW)
     return drawn.repartition("mix_shard", F.pmod(F.xxhash64(id_col), F.lit(16))).sortWithinPartitions("mix_shard", F.xxhash64(F.col(id_col), F.col("mix_copy"), F.lit(seed + 3)))

@@ -10,7 +10,8 @@ the same set of normalised lines count as one document; all others count each.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
 null host is a host of its own; rows with equal ids are judged alike; a null id
-gets the base rules only; further columns are not read.
+gets the base rules only; keep_good judges each row on its own, whatever its id;
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import ROW, with_rows
 from .textnum import LOWER, NOT_SPACE, Text, grams, mix, run_hashes, signed, texts_of
 
 MIN_WORDS = 50
@@ -171,6 +173,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with all their columns; boilerplate lines are gone from their texts."""
-    verdict = quality_rules(docs, **options).filter("kept").select(F.col("doc_id").alias("v_id"), "boilerplate").dropDuplicates(["v_id"])
-    kept = docs.join(verdict, F.col("doc_id") == F.col("v_id")).drop("v_id")
+    rows = with_rows(docs, "quality_rows")
+    verdict = quality_rules(rows, **(options | {"id_col": ROW})).filter("kept").select(F.col("doc_id").alias("v_id"), "boilerplate")
+    kept = rows.join(verdict, F.col(ROW) == F.col("v_id")).drop("v_id", ROW)
     return kept.mapInArrow(_without, docs.schema)

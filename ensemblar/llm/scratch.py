@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The column of with_rows.
+ROW = "__row"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +44,8 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     # finished steps leave shuffle files until the driver's JVM collects what points to them
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_rows(df: DataFrame, name: str) -> DataFrame:
+    """The rows with a key of their own, ROW, in a written table: ids may be null or repeated."""
+    return as_table(df.withColumn(ROW, F.monotonically_increasing_id()), name)

@@ -413,6 +413,23 @@ def test_blocks_of_lines_are_boilerplate(spark):
     assert all(kept[k] == "\n".join(texts[k].split("\n")[3:]) for k in range(40)) and kept[80] == texts[80]
 
 
+def test_stages_judge_rows_with_null_or_equal_ids(spark):
+    """A clean row stays and a contaminated or poor one goes, whatever its id; each row has its own copies."""
+    r = random.Random(12)
+    own = lambda n: " ".join(f"w{r.randint(0, 9999)}" for _ in range(n))
+    clean, poor, test = [own(80) for _ in range(4)], ["a b c " * 40, "too short"], own(20)
+    of = lambda rows: spark.createDataFrame([(k, t, "en", s, len(t), 0, "x") for k, t, s in rows], DOCS)
+    rows = [(None, clean[0], "a"), (None, clean[1], "b"), (None, poor[0], "a"), (7, clean[2], "a"), (7, poor[1], "b"), (8, clean[3], "b")]
+    assert sorted(x.text for x in quality.keep_good(of(rows)).collect()) == sorted(clean)
+    rows = [(None, clean[0], "a"), (None, test, "a"), (7, clean[1], "a"), (7, f"{clean[2]} {test} {clean[3]}", "a")] + [(8, f"{own(500)} {test}", "a")]
+    bench = spark.createDataFrame([(1, test)], "item_id long, text string")
+    left = sorted(x.text for x in decontaminate.decontaminate(of(rows), bench).collect())
+    assert len(left) == 3 and {clean[0], clean[1]} <= set(left) and not any(test in x for x in left)
+    rows = [(None, own(n), s) for n, s in [(10, "a"), (20, "a"), (400, "b"), (30, None)]] + [(7, own(n), s) for n, s in [(15, "a"), (300, "b")]]
+    want = sorted((x.source or "", x["size"]) for x in mixing.mix_plan(of(rows)).collect() for _ in range(x.copies))
+    assert sorted((x.source or "", len(x.text.split())) for x in mixing.mix(of(rows)).collect()) == want
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = pipeline.documents(spark, SMALL)
