@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import FMIndex
-from .scratch import ROW, with_rows
+from .scratch import unused, with_rows
 from .textnum import ALNUM, LOWER, Text, as_bytes, texts_of
 
 WINDOW = 13
@@ -180,15 +180,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with all columns; what they hold of the test phrases is cut from their texts."""
-    rows = with_rows(docs, "decontamination_rows")
-    found = contamination(rows, benchmark, id_col=ROW, text_col=text_col, **options).filter("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("c_id"), "contaminated", "starts", "ends")
-    kept = rows.join(found, F.col(ROW) == F.col("c_id"), "left").filter("contaminated IS NOT TRUE").drop("c_id", "contaminated", ROW)
+    rows, row = with_rows(docs, "decontamination_rows")
+    c_id, c_starts, c_ends, c_all = unused(rows, "found_id", "starts", "ends", "contaminated")
+    found = contamination(rows, benchmark, id_col=row, text_col=text_col, **options).filter("n_hit > 0")
+    found = found.select(F.col("doc_id").alias(c_id), F.col("contaminated").alias(c_all), F.col("starts").alias(c_starts), F.col("ends").alias(c_ends))
+    kept = rows.join(found, F.col(row) == F.col(c_id), "left").filter(F.coalesce(~F.col(c_all), F.lit(True))).select(*docs.columns, c_starts, c_ends)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            at, s, e = (names.index(x) for x in (text_col, "starts", "ends"))
+            at, s, e = (names.index(x) for x in (text_col, c_starts, c_ends))
             texts = batch.column(at).to_pylist()
             for k in np.flatnonzero(batch.column(s).is_valid().to_numpy(zero_copy_only=False)).tolist():
                 raw, from_ = texts[k].encode(), 0

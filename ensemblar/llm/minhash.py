@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import as_table, durable
+from .scratch import as_table, durable, unused
 from .textnum import LOWER, NOT_SPACE, Text, grams, mix, run_hashes, signed, texts_of
 
 WORDS = 5
@@ -240,5 +240,6 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near duplicates, with all columns."""
-    gone = near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    (gone_id,) = unused(docs, "gone_id")
+    gone = near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(options.get("id_col", "doc_id")).cast("long") == F.col(gone_id), "left_anti")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import ROW, as_table, durable, with_rows
+from .scratch import as_table, durable, unused, with_rows
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -143,8 +143,9 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The mixed documents: a row for each copy, with all columns, its shard and copy number, shuffled inside the shards."""
-    rows = with_rows(docs, "mixing_rows")
-    plan = mix_plan(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col=ROW, seed=seed, **options).filter("copies > 0")
-    copies = plan.select(F.col("row").alias("m_row"), F.posexplode("shards").alias("mix_copy", "mix_shard"))
-    drawn = rows.join(copies, F.col(ROW) == F.col("m_row")).drop("m_row", ROW)
-    return drawn.repartition("mix_shard", F.pmod(F.xxhash64(id_col), F.lit(16))).sortWithinPartitions("mix_shard", F.xxhash64(F.col(id_col), F.col("mix_copy"), F.lit(seed + 3)))
+    rows, row = with_rows(docs, "mixing_rows")
+    plan = mix_plan(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col=row, seed=seed, **options).filter("copies > 0")
+    m_row, copy, shard = unused(rows, "mix_row", "mix_copy", "mix_shard")
+    copies = plan.select(F.col("row").alias(m_row), F.posexplode("shards").alias(copy, shard))
+    drawn = rows.join(copies, F.col(row) == F.col(m_row)).select(*docs.columns, copy, shard)
+    return drawn.repartition(shard, F.pmod(F.xxhash64(id_col), F.lit(16))).sortWithinPartitions(shard, F.xxhash64(F.col(id_col), F.col(copy), F.lit(seed + 3)))

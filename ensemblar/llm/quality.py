@@ -17,13 +17,14 @@ further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import ROW, with_rows
+from .scratch import unused, with_rows
 from .textnum import LOWER, NOT_SPACE, Text, grams, mix, run_hashes, signed, texts_of
 
 MIN_WORDS = 50
@@ -149,18 +150,19 @@ def quality_rules(
     )
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without(text_col: str, gone_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = {k: batch.schema.get_field_index(k) for k in ("text", "boilerplate")}
-        out, gone = [], batch.column(at["boilerplate"])
-        for i, j, t in texts_of(batch, "text"):
+        names = batch.schema.names
+        at_text, at_gone = names.index(text_col), names.index(gone_col)
+        out, gone = [], batch.column(at_gone)
+        for i, j, t in texts_of(batch, text_col):
             l_start, l_end, l_owner = t.lines()
             start, end, _ = t.words(NOT_SPACE)
             line = signed(run_hashes(Text(LOWER[t.data], t.offsets).hashes(start, end), np.searchsorted(start, l_start), np.searchsorted(start, l_end)))
             first = np.searchsorted(l_owner, np.arange(t.n + 1))
             for d in range(t.n):
                 drop = gone[i + d].as_py()
-                whole = batch.column(at["text"])[i + d].as_py()
+                whole = batch.column(at_text)[i + d].as_py()
                 if drop and whole is not None:
                     own = slice(first[d], first[d + 1])
                     keep = ~np.isin(line[own], np.array(drop, np.int64))
@@ -168,12 +170,13 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     base = t.offsets[d]
                     whole = b"\n".join(raw[s - base : e - base] for s, e, k in zip(l_start[own], l_end[own], keep, strict=True) if k).decode()
                 out.append(whole)
-        yield pa.RecordBatch.from_arrays([batch.column(k) if k not in at.values() else pa.array(out, pa.string()) for k in range(batch.num_columns) if k != at["boilerplate"]], [n for n in batch.schema.names if n != "boilerplate"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at_text else batch.column(k) for k in range(len(names)) if k != at_gone], [n for n in names if n != gone_col])
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that the rules keep, with all their columns; boilerplate lines are gone from their texts."""
-    rows = with_rows(docs, "quality_rows")
-    verdict = quality_rules(rows, **(options | {"id_col": ROW})).filter("kept").select(F.col("doc_id").alias("v_id"), "boilerplate")
-    kept = rows.join(verdict, F.col(ROW) == F.col("v_id")).drop("v_id", ROW)
-    return kept.mapInArrow(_without, docs.schema)
+    rows, row = with_rows(docs, "quality_rows")
+    v_id, gone = unused(rows, "verdict_id", "boilerplate")
+    verdict = quality_rules(rows, **(options | {"id_col": row, "text_col": text_col})).filter("kept").select(F.col("doc_id").alias(v_id), F.col("boilerplate").alias(gone))
+    kept = rows.join(verdict, F.col(row) == F.col(v_id)).select(*docs.columns, gone)
+    return kept.mapInArrow(partial(_without, text_col, gone), docs.schema)

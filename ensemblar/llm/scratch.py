@@ -8,18 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The column of with_rows.
-ROW = "__row"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder named in spark.checkpoint.dir; where that is unset and Spark is local, as in tests, one of our own."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not said:
         now = sc._jsc.sc().getCheckpointDir()
         if now.isDefined():
             return now.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         said = tempfile.mkdtemp(prefix="spark-shared-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(said)
@@ -46,6 +45,13 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_rows(df: DataFrame, name: str) -> DataFrame:
-    """The rows with a key of their own, ROW, in a written table: ids may be null or repeated."""
-    return as_table(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where a column of the data has them already."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
+def with_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows with a key of their own in a written table, and the key's column: ids may be null or repeated."""
+    (row,) = unused(df, "row_key")
+    return as_table(df.withColumn(row, F.monotonically_increasing_id()), name), row

@@ -21,12 +21,15 @@ from ensemblar.llm.oracle import ORACLE  # noqa: E402
 from ensemblar.llm.queries import QUERIES  # noqa: E402
 from ensemblar.llm.textnum import Text, as_bytes  # noqa: E402
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, component string"
+#: Further columns with the names that stage functions use inside.
+CLASHES = "n long, component string, row_key string, verdict_id long, boilerplate string, found_id long, starts string, ends string, firsts string, contaminated string, mix_row long, mix_copy string, mix_shard string, kept_id long, kept_lines string, gone_id long, h long, line string, row string"
+DOCS = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}"
+FURTHER = tuple(None if kind == "long" else "x" for _, kind in (x.split() for x in CLASHES.split(", ")))
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def docs_of(spark, texts, sources=None):
-    rows = [(k, t, "en", (sources or ["a"] * len(texts))[k], len(t or ""), k, "x") for k, t in enumerate(texts)]
+    rows = [(k, t, "en", (sources or ["a"] * len(texts))[k], len(t or ""), *FURTHER) for k, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -37,7 +40,7 @@ ODD = [None, "", " \n\t ", "one", "one two three four", "é ß " * 30, "a " * 3
 def odd(spark):
     """Nulls, blanks, ties, repeated rows and further columns with names that operators use."""
     d = docs_of(spark, ODD)
-    null_row = spark.createDataFrame([(None, "no id here at all " * 20, None, None, None, None, None)], DOCS)
+    null_row = spark.createDataFrame([(None, "no id here at all " * 20, None, None, None, *FURTHER)], DOCS)
     return d.unionByName(d.filter("doc_id IN (4, 6)")).unionByName(null_row)
 
 
@@ -168,7 +171,8 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, big, hot):
     monkeypatch.setattr(suffix_dedup, "BIG_GROUP", big)
     monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
     monkeypatch.setattr(suffix_dedup, "HOT_ANCHORS", 1_000_000)
-    texts = [*random_texts(5), "ab" * 200, "é" * 150, *ODD]
+    shared = "".join(random.Random(6).choice("abcdefgh ") for _ in range(90))
+    texts = [*random_texts(5), "ab" * 200, "é" * 150, *ODD, *[f"{k:02d}" * 6 + shared + f"{k % 4:02d}" * 6 for k in range(12)]]
     seen, want = set(), {}
     for k, t in enumerate(texts):
         b = (t or "").encode()
@@ -185,6 +189,15 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, big, hot):
     assert got == want
 
 
+def test_groups_without_repeats_give_no_spans(spark):
+    """Windows that share an anchor and nothing else: a task may sort only such."""
+    assert suffix_dedup._spans(np.zeros(0, np.int64), np.zeros(0, np.int64), 100).num_rows == 0
+    r = random.Random(10)
+    middle = "".join(r.choice("abcdefgh") for _ in range(40))
+    texts = ["".join(r.choice("xyz") for _ in range(70)) + middle + "".join(r.choice("xyz") for _ in range(70)) for _ in range(6)]
+    assert all(x.n_removed == 0 for x in suffix_dedup.suffix_dedup(docs_of(spark, texts)).collect())
+
+
 def test_contamination_in_blocks_is_the_same(spark):
     texts = random_texts(6)
     items = [(k, " ".join(t.split()[3:30])) for k, t in enumerate(texts[:20])] + [(99, texts[0].split()[0])]
@@ -418,7 +431,7 @@ def test_stages_judge_rows_with_null_or_equal_ids(spark):
     r = random.Random(12)
     own = lambda n: " ".join(f"w{r.randint(0, 9999)}" for _ in range(n))
     clean, poor, test = [own(80) for _ in range(4)], ["a b c " * 40, "too short"], own(20)
-    of = lambda rows: spark.createDataFrame([(k, t, "en", s, len(t), 0, "x") for k, t, s in rows], DOCS)
+    of = lambda rows: spark.createDataFrame([(k, t, "en", s, len(t), *FURTHER) for k, t, s in rows], DOCS)
     rows = [(None, clean[0], "a"), (None, clean[1], "b"), (None, poor[0], "a"), (7, clean[2], "a"), (7, poor[1], "b"), (8, clean[3], "b")]
     assert sorted(x.text for x in quality.keep_good(of(rows)).collect()) == sorted(clean)
     rows = [(None, clean[0], "a"), (None, test, "a"), (7, clean[1], "a"), (7, f"{clean[2]} {test} {clean[3]}", "a")] + [(8, f"{own(500)} {test}", "a")]
