@@ -4,8 +4,11 @@ Lines are compared without white space at their ends.  Equal lines are one text,
 held by its first place.  A text is split into limit + 1 segments; if two texts
 are within the limit, one has a segment that the other holds at nearly the same
 place, so substrings at the places that can match (by length and the segment's
-number) probe an index of segments.  Candidates that still share enough pieces
-are verified by edit distance in a band, the columns of which are bit vectors.
+number) probe an index of segments.  Texts that meet under a key are dropped at
+once if their lengths or the counts of their letters differ too much.  Of the
+rest, common ends are taken off, what is left between them must show a piece that
+no edit touches, and then the edit distance is computed in a band, the columns of
+which are bit vectors.
 
 A line is dropped if an equal line, or one within the limit, comes earlier in the
 order of document and line.  All of it is DataFrame and SQL work.
@@ -13,7 +16,9 @@ order of document and line.  All of it is DataFrame and SQL work.
 Defined cases: blank lines are kept and not counted; texts shorter than
 ``min_chars`` are compared for equality only; a null text has no lines; a null id
 is left out of the comparison and keeps all its lines; rows that repeat a whole
-document count once; further columns are not read.
+document count once; different texts with one id are lines of one document, and of
+two lines at one place the one with the smaller hash is the earlier; further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import as_table, durable
+from .scratch import as_table, unused
 
 MAX_EDITS = 2
 MIN_CHARS = 12
@@ -37,25 +42,69 @@ def _keys(max_edits: int, min_chars: int) -> Column:
     first half of the segments is placed from the left end, the others from the right end.  If two
     lines are within the limit, some segment i has at most i edits on its left, max_edits - i on its
     right and none inside: its place differs by no more than the smaller of these from the nearer end.
+    No such place lies outside a line of at least max_edits + 1 segments.
     """
     out = []
     size = f"cast(greatest({min_chars}, bucket * {LENGTHS}) div {max_edits + 1} as int)"
     for i in range(max_edits + 1):
-        left = i <= max_edits - i
         near = min(i, max_edits - i)
         for shift in range(-near, near + 1):
-            at = f"({i} * {size} + {shift})" if left else f"(size - {max_edits + 1 - i} * {size} + {shift})"
-            out.append(f"if({at} >= 0 AND {at} + {size} <= size, named_struct('key', xxhash64({i}, bucket, substring(line, {at} + 1, {size})), 'own', {str(shift == 0).lower()}), null)")
-    return F.expr(f"filter(array({', '.join(out)}), x -> x is not null)")
+            at = f"({i} * {size} + {shift} + 1)" if i <= max_edits - i else f"(size - {max_edits + 1 - i} * {size} + {shift} + 1)"
+            out.append(f"named_struct('key', xxhash64({i}, bucket, substring(line, {at}, {size})), 'own', {str(shift == 0).lower()})")
+    return F.expr(f"array({', '.join(out)})")
 
 
-def _enough_pieces(a: str, b: str, max_edits: int) -> Column:
-    """Count filter: cut into pieces, a loses at most one of them to b by each edit; the others stand no further than max_edits from their places."""
-    n = 3 * (max_edits + 1)
-    low, high = f"(i * length({a}) div {n})", f"((i + 1) * length({a}) div {n})"
-    piece = lambda x, s: f"substring({x}, cast({low} + {s} + 1 as int), cast({high} - {low} as int))"
-    found = f"exists(sequence(-{max_edits}, {max_edits}), s -> {low} + s >= 0 AND {piece(b, 's')} = {piece(a, '0')})"
-    return F.expr(f"size(filter(sequence(0, {n - 1}), i -> {found})) >= {n - max_edits}")
+#: Characters that are counted.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _counts(line: str) -> Column:
+    """How often a line holds each letter, digit and blank; an edit changes two counts at most, each by one."""
+    low = f"lower({line})"
+    return F.expr(f"array({', '.join(f"length({low}) - length(replace({low}, '{c}', ''))" for c in COUNTED)})")
+
+
+def _counts_apart(a: str, b: str) -> Column:
+    return F.expr(" + ".join(f"abs(get({a}, {k}) - get({b}, {k}))" for k in range(len(COUNTED))))
+
+
+def _common_start(a: str, b: str, steps: int = 24) -> str:
+    """SQL for the length of the longest common start of two strings, by halving steps."""
+    sizes = f"transform(sequence({steps - 1}, 0), k -> shiftleft(1, k))"
+    return f"aggregate({sizes}, 0, (n, s) -> if(n + s <= length({a}) AND n + s <= length({b}) AND substring({a}, n + 1, s) = substring({b}, n + 1, s), n + s, n))"
+
+
+def _middles(both: DataFrame) -> DataFrame:
+    """What is left of columns a and b without their common start and their common end."""
+    steps = 6
+    for x in ("", "r"):  # from the left, then from the right, on reversed texts
+        long = F.greatest(F.length("a"), F.length("b")) >= 1 << steps
+        both = both.withColumn("n", F.when(long, F.expr(_common_start("a", "b"))).otherwise(F.expr(_common_start("a", "b", steps))))
+        for c in "ab":
+            both = both.withColumn(c, F.reverse(F.expr(f"substring({c}, n + 1)")))
+    return both.drop("n")
+
+
+def _characters(text: str, max_edits: int) -> Column:
+    """The characters of a text, after as many equal ones as the band is wide: a common start changes no distance."""
+    return F.concat(F.array_repeat(F.lit(""), max_edits), F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, "")))
+
+
+def _hopeful(max_edits: int) -> Column:
+    """Whether what is left of a and b, which differ at both ends, can be within the limit.
+
+    The first and the last step of any alignment are edits.  If they are not the same one, a
+    without its first and last character loses to b at most one of max_edits - 1 pieces by each of
+    the max_edits - 2 edits left; the others stand no further than max_edits - 1 from their places.
+    """
+    if max_edits < 2:
+        return F.expr(f"greatest(length(a), length(b)) <= {max_edits}")
+    n = max_edits - 1
+    checks = []
+    for i in range(n):
+        low, high = f"cast({i} * (length(a) - 2) div {n} as int)", f"cast({i + 1} * (length(a) - 2) div {n} as int)"
+        checks += [f"({low} + 2 + {s} > 0 AND substring(b, {low} + 2 + {s}, {high} - {low}) = substring(a, {low} + 2, {high} - {low}))" for s in range(-n, n + 1)]
+    return F.expr(f"least(length(a), length(b)) <= {2 * max_edits} OR {' OR '.join(checks)}")
 
 
 def banded_distance(a: str, b: str, max_edits: int) -> Column:
@@ -63,7 +112,9 @@ def banded_distance(a: str, b: str, max_edits: int) -> Column:
 
     A column of the band is held as its vertical steps up and down in two bit vectors; the
     highest bit is the row max_edits below the diagonal.  The distance is followed along that
-    row and, once the row is the last one, along the last row.
+    row and, once the row is the last one, along the last row.  The row's distance never falls
+    before that, and is at most 2 * max_edits above that of any diagonal in the band: beyond
+    3 * max_edits the columns left cannot bring it back and are passed over.
     """
     k, spare = max_edits, 3
     top = 2 * k + spare
@@ -82,7 +133,7 @@ def banded_distance(a: str, b: str, max_edits: int) -> Column:
                   s3.d + if(s3.hp & shiftleft(1L, cast({top} - (j - (size({a}) - {k})) as int)) <> 0, 1L, 0L)
                        - if(s3.hn & shiftleft(1L, cast({top} - (j - (size({a}) - {k})) as int)) <> 0, 1L, 0L))))[0]
     """
-    return F.expr(f"if(size({b}) = 0, cast(size({a}) as bigint), aggregate(sequence(1, greatest(1, size({b}))), {start}, (s, j) -> {step}, s -> s.d))")
+    return F.expr(f"if(size({b}) = 0, cast(size({a}) as bigint), aggregate(sequence(1, greatest(1, size({b}))), {start}, (s, j) -> if(s.d > {3 * k}, s, {step}), s -> s.d))")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -90,16 +141,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     return cut.withColumn("line", F.btrim("line", F.lit(BLANKS))).filter("line <> ''")
 
 
-def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The lines at some places (doc_id, line_no), by a join on documents."""
-    by_doc = places.groupBy(F.col("doc_id").alias("p_id")).agg(F.collect_set("line_no").alias("line_nos"))
-    held = docs.join(by_doc, F.col("doc_id") == F.col("p_id")).withColumn("all", F.split("text", "\n"))
-    lines = F.explode(F.transform("line_nos", lambda k: F.struct(k.alias("line_no"), F.btrim(F.get("all", k), F.lit(BLANKS)).alias("line"))))
-    return held.select("doc_id", lines.alias("x")).select("doc_id", "x.line_no", "x.line").dropDuplicates(["doc_id", "line_no"])
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h and line of the lines wanted (h, doc_id, line_no), by a join on documents."""
+    by_doc = wanted.groupBy(F.col("doc_id").alias("p_id")).agg(F.collect_list(F.struct("line_no", F.col("h").alias("p_h"))).alias("places"))
+    held = docs.join(by_doc, F.col("doc_id") == F.col("p_id")).select("places", F.split("text", "\n").alias("all"))
+    lines = held.select("all", F.explode("places").alias("x")).select(F.col("x.p_h").alias("h"), F.btrim(F.get("all", F.col("x.line_no")), F.lit(BLANKS)).alias("line"))
+    return lines.filter(F.xxhash64("line") == F.col("h")).dropDuplicates(["h"])
 
 
 def edit_links(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """Pairs of places (a_id, a_no, b_id, b_no), a before b, of the first places of different texts within the limit."""
+    """Pairs (a_h, b_h) of hashes of different lines within the limit, a's first place before b's."""
     lines = _lines(docs).withColumn("size", F.length("line")).filter(F.col("size") >= min_chars)
     group = F.expr(f"size div {LENGTHS}")
     buckets = F.when((F.col("size") % LENGTHS < max_edits) & (group > 0), F.array(group - 1, group)).otherwise(F.array(group))
@@ -108,35 +159,36 @@ def edit_links(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     # keys that two different lines hold, one of them as a segment; equal lines, however many, are one sum
     shared = keyed.groupBy(F.col("key").alias("s_key")).agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.max("own").alias("own")).filter("h0 < h1 AND own").select("s_key")
     shared = as_table(shared, "keys")
-    place = F.struct("doc_id", "line_no")
-    held = as_table(keyed.join(shared, F.col("key") == F.col("s_key")).groupBy("key", "h").agg(F.max("own").alias("own"), F.min(place).alias("place")), "held")
-    probe, index = held.select("key", "h", "place"), held.filter("own").select(F.col("key").alias("i_key"), F.col("h").alias("i_h"), F.col("place").alias("i_place"))
-    met = probe.join(index, (F.col("key") == F.col("i_key")) & (F.col("h") != F.col("i_h")))
-    pairs = met.select(F.least("place", "i_place").alias("a"), F.greatest("place", "i_place").alias("b")).distinct()
-    pairs = durable(pairs.select(F.col("a.doc_id").alias("a_id"), F.col("a.line_no").alias("a_no"), F.col("b.doc_id").alias("b_id"), F.col("b.line_no").alias("b_no")))
-    wanted = pairs.select(F.col("a_id").alias("doc_id"), F.col("a_no").alias("line_no")).union(pairs.select("b_id", "b_no")).distinct()
-    texts = as_table(_at(docs, wanted), "candidates")
-    left = texts.select(F.col("doc_id").alias("l_id"), F.col("line_no").alias("l_no"), F.col("line").alias("a"))
-    right = texts.select(F.col("doc_id").alias("r_id"), F.col("line_no").alias("r_no"), F.col("line").alias("b"))
-    both = pairs.join(left, (F.col("a_id") == F.col("l_id")) & (F.col("a_no") == F.col("l_no"))).join(right, (F.col("b_id") == F.col("r_id")) & (F.col("b_no") == F.col("r_no")))
-    hopeful = both.filter(F.abs(F.length("a") - F.length("b")) <= max_edits).filter(_enough_pieces("a", "b", max_edits))
-    cut = hopeful.select("a_id", "a_no", "b_id", "b_no", F.split("a", "").alias("x"), F.split("b", "").alias("y"))
-    return cut.filter(banded_distance("x", "y", max_edits) <= max_edits).select("a_id", "a_no", "b_id", "b_no")
+    # one plan at every size: the keys grow with the data
+    held = keyed.join(shared.hint("merge"), F.col("key") == F.col("s_key")).groupBy("key", "h").agg(F.max("own").alias("own"), F.min(F.struct("doc_id", "line_no")).alias("place"))
+    held = as_table(held.select("key", "h", "own", "place.*"), "held")
+    texts = as_table(_texts(docs, held.select("h", "doc_id", "line_no").distinct()).withColumn("size", F.length("line")).withColumn("counts", _counts("line")), "candidates")
+    told = as_table(held.join(texts.select(F.col("h").alias("t_h"), "size", "counts").hint("merge"), F.col("h") == F.col("t_h")).drop("t_h"), "probes")
+    index = told.filter("own").select(*[F.col(c).alias(f"i_{c}") for c in ("key", "h", "size", "counts", "doc_id", "line_no")])
+    like = (F.abs(F.col("size") - F.col("i_size")) <= max_edits) & (_counts_apart("counts", "i_counts") <= 2 * max_edits)
+    met = told.join(index.hint("merge"), (F.col("key") == F.col("i_key")) & (F.col("h") != F.col("i_h")) & like)
+    earlier = F.struct("doc_id", "line_no", "h") < F.struct("i_doc_id", "i_line_no", "i_h")
+    pairs = as_table(met.select(F.when(earlier, F.col("h")).otherwise(F.col("i_h")).alias("a_h"), F.when(earlier, F.col("i_h")).otherwise(F.col("h")).alias("b_h")).distinct(), "pairs")
+    left, right = (texts.select(F.col("h").alias(f"{x}_t"), F.col("line").alias(x)) for x in "ab")
+    both = pairs.join(left, F.col("a_h") == F.col("a_t")).join(right, F.col("b_h") == F.col("b_t")).select("a_h", "b_h", "a", "b")
+    # a table, so that the filter is not pushed below the steps that it is computed from
+    cut = as_table(_middles(both), "middles").filter(_hopeful(max_edits)).select("a_h", "b_h", _characters("a", max_edits).alias("x"), _characters("b", max_edits).alias("y"))
+    return cut.filter(banded_distance("x", "y", max_edits) <= max_edits).select("a_h", "b_h")
 
 
 def line_duplicates(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first place of each different line: doc_id, line_no, size, n_links (texts within the limit) and near (one of them is earlier)."""
+    """The first place of each different line: doc_id, line_no, h (its hash), size, n_links (texts within the limit) and near (one of them is earlier)."""
     if min_chars <= max_edits:
         raise ValueError("min_chars must be larger than max_edits: each segment needs a character")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    seen = _lines(texts).select("doc_id", "line_no", F.length("line").alias("size"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
-    first = seen.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no")).alias("x")).select("x.doc_id", "x.line_no", "size")
+    seen = _lines(texts).select("doc_id", "line_no", F.length("line").alias("size"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    first = seen.groupBy("h", "h2", "size").agg(F.min(F.struct("doc_id", "line_no")).alias("x")).select("x.doc_id", "x.line_no", "h", "size")
     first = as_table(first, "lines")
-    links = durable(edit_links(texts, max_edits, min_chars))
-    ends = links.select(F.col("a_id").alias("e_id"), F.col("a_no").alias("e_no"), F.lit(0).alias("later")).union(links.select("b_id", "b_no", F.lit(1)))
-    linked = ends.groupBy("e_id", "e_no").agg(F.count("later").alias("n_links"), F.max("later").alias("later"))
-    out = first.join(linked, (F.col("doc_id") == F.col("e_id")) & (F.col("line_no") == F.col("e_no")), "left")
-    return out.select("doc_id", "line_no", "size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("later") == 1, F.lit(False)).alias("near"))
+    links = as_table(edit_links(texts, max_edits, min_chars), "links")
+    ends = links.select(F.col("a_h").alias("e_h"), F.lit(0).alias("later")).union(links.select("b_h", F.lit(1)))
+    linked = ends.groupBy("e_h").agg(F.count("later").alias("n_links"), F.max("later").alias("later"))
+    out = first.join(linked, F.col("h") == F.col("e_h"), "left")
+    return out.select("doc_id", "line_no", "h", "size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("later") == 1, F.lit(False)).alias("near"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -156,9 +208,11 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with all columns, without the dropped lines; blank lines stay."""
-    kept = line_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("NOT near").groupBy(F.col("doc_id").alias("k_id")).agg(F.collect_set("line_no").alias("k_nos"))
-    joined = docs.join(kept, F.col(id_col) == F.col("k_id"), "left")
-    lines = F.split(text_col, "\n")
-    stay = F.filter(lines, lambda x, i: (F.btrim(x, F.lit(BLANKS)) == "") | F.array_contains(F.col("k_nos"), i))
-    text = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), F.col(text_col)).when(F.col("k_nos").isNull(), F.array_join(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) == ""), "\n")).otherwise(F.array_join(stay, "\n"))
-    return joined.withColumn(text_col, text).drop("k_id", "k_nos")
+    k_id, k_lines = unused(docs, "kept_id", "kept_lines")
+    kept = line_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("NOT near").groupBy(F.col("doc_id").alias(k_id)).agg(F.collect_set(F.struct("line_no", "h")).alias(k_lines))
+    joined = docs.join(kept, F.col(id_col).cast("long") == F.col(k_id), "left")
+    none = F.array().cast("array<struct<line_no:int,h:bigint>>")
+    trimmed = lambda x: F.btrim(x, F.lit(BLANKS))
+    stay = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x, i: (trimmed(x) == "") | F.array_contains(F.coalesce(F.col(k_lines), none), F.struct(i.alias("line_no"), F.xxhash64(trimmed(x)).alias("h"))))
+    text = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    return joined.withColumn(text_col, text).select(docs.columns)
