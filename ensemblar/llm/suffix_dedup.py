@@ -16,7 +16,11 @@ no machine, so the strings are dealt out such that equal ones meet:
    neighbours that agree over the width are equal windows, the first stays.
 
 All stages are joins and grouping with partial sums, so a frequent passage is
-spread; groups of too many classes are split into single windows instead.
+spread.  Groups of more than ``BIG_GROUP`` classes are dealt out further, window by
+window by the next bytes beside the anchor, until a task can sort each of them.
+
+Equal segments and equal parts are told by 64-bit hashes; the sorted rest is
+compared by its bytes.
 
 Defined cases: a null or empty text has no bytes; texts below the width lose
 nothing; strings do not cross documents; rows that repeat id and text count once
@@ -37,13 +41,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .grouping import sort_suffixes
-from .scratch import as_table, durable
+from .scratch import as_table, durable, unused
 from .textnum import U64, Text, mix, powers, signed, texts_of
 
 WIDTH = 100
 ANCHOR = 32
-#: Classes of a group above which its windows are grouped one by one.
-BIG_GROUP = 4000
+#: Classes of a group above which its windows are dealt out by DEAL more bytes.
+BIG_GROUP, DEAL = 4000, 16
 #: Symbols after which a task sorts the groups that it holds.
 CHUNK = 100_000
 #: An anchor in more rows than HOT_ROWS, and than one in HOT_ANCHORS of all, is grouped apart.
@@ -160,12 +164,12 @@ def repeated_windows(keys: list[int], docs: list[int], starts: list[int], window
 
 
 def _spans(docs: np.ndarray, starts: np.ndarray, width: int) -> pa.RecordBatch:
-    """Byte ranges covered by some windows, neighbours joined."""
+    """Byte ranges covered by some windows, neighbours joined; none of no windows."""
     o = np.lexsort((starts, docs))
     docs, starts = docs[o], starts[o]
     new = np.append(True, (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + 1))[: len(docs)]
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(docs)) - 1
+    tail = np.append(head[1:], len(docs))[: len(head)] - 1
     return pa.RecordBatch.from_arrays([pa.array(docs[head]), pa.array(starts[head]), pa.array(starts[tail] + width)], ["doc_id", "first", "end"])
 
 
@@ -194,16 +198,22 @@ def _sort_groups(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield flush()
 
 
-def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt_further(level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single windows of some parts, keyed by their place around the old key and DEAL of their bytes."""
+    names = [x.split()[0] for x in _PARTS.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
+    hashed = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True)
     for batch in batches:
-        out: list[list[int]] = [[], [], [], []]
+        out: list[list] = [[] for _ in names]
         columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part_key", "doc_id", "start", "windows", "lead", "need", "bytes")]
         for key, doc, start, windows, lead, need, content in zip(*columns, strict=True):
             for w in range(windows):
-                digest = hashlib.blake2b(b"%d:" % (lead - w) + content[w : w + need - 1], digest_size=8).digest()
-                for x, v in zip(out, (key, int.from_bytes(digest, "big", signed=True), doc, start + w), strict=True):
+                own = content[w : w + need - 1]
+                head = b"%d:%d:" % (key, lead - w)
+                row = (hashed(head + own[level * DEAL : (level + 1) * DEAL]), hashed(head + own), doc, start + w, 1, lead - w, need, own)
+                for x, v in zip(out, row, strict=True):
                     x.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["part_key", "window_key", "doc_id", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
 
 def _later(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -225,17 +235,19 @@ def _marked(found: DataFrame, width: int, k: int) -> DataFrame:
     counts = as_table(found.groupBy(F.col("anchor").alias("c_anchor")).agg(F.count("anchor").alias("n")).filter("n > 1"), "anchors")
     total = counts.agg(F.sum("n")).first()[0] or 0
     limit = max(HOT_ROWS, total // HOT_ANCHORS)
-    met = found.join(counts.filter(F.col("n") <= limit), F.col("anchor") == F.col("c_anchor"))
+    hot = counts.filter(F.col("n") > limit).select("c_anchor")
+    some_hot = not hot.isEmpty()
+    # fewer than HOT_ANCHORS anchors can be above the limit; their rows leave before the exchange
+    cool = found.join(F.broadcast(hot), F.col("anchor") == F.col("c_anchor"), "left_anti") if some_hot else found
+    met = cool.join(counts.filter(F.col("n") <= limit), F.col("anchor") == F.col("c_anchor"))
     same = W.partitionBy("anchor", "content").orderBy("doc_id", "start")
     place = F.struct("doc_id", "start")
     first = F.first(place).over(same)
     whole = W.partitionBy("anchor")
     marked = met.select("doc_id", "start", "windows", "lead", (first != place).alias("later"), (F.min("content").over(whole) != F.max("content").over(whole)).alias("open"))
     out = marked.filter("later OR open")
-    hot = counts.filter(F.col("n") > limit).select("c_anchor")
-    if hot.isEmpty():
+    if not some_hot:
         return as_table(out, "segments")
-    # fewer than HOT_ANCHORS anchors can be above the limit
     rows = as_table(found.join(F.broadcast(hot), F.col("anchor") == F.col("c_anchor")).drop("c_anchor"), "hot_segments")
     classes, later = _later(rows, ["anchor", "content"])
     several = classes.groupBy(F.col("anchor").alias("s_anchor")).agg(F.count("anchor").alias("n")).filter("n > 1")
@@ -258,17 +270,28 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> Data
     part_classes = durable(part_classes)
     gone = gone.union(part_later.select("doc_id", "start", end))
 
-    sizes = part_classes.groupBy(F.col("part_key").alias("z_key")).agg(F.count("part_key").alias("n")).filter("n > 1")
-    sized = part_classes.join(sizes, F.col("part_key") == F.col("z_key")).select(F.col("part_key").alias("y_key"), F.col("doc_id").alias("y_id"), F.col("start").alias("y_start"), "n")
     columns = ["part_key", "doc_id", "start", "windows", "lead", "need", "bytes"]
-    # repeated rows of one document give equal parts: one of them is enough
-    open_ = parts.join(sized, (F.col("part_key") == F.col("y_key")) & (F.col("doc_id") == F.col("y_id")) & (F.col("start") == F.col("y_start"))).dropDuplicates(["part_key", "doc_id", "start"])
-    open_ = as_table(open_.select(*columns, "n"), "open")
-    small = open_.filter(F.col("n") <= BIG_GROUP).select(columns).repartition("part_key").sortWithinPartitions("part_key", "doc_id", "start")
-    gone = gone.union(small.mapInArrow(partial(_sort_groups, width), _GONE))
-    single = open_.filter(F.col("n") > BIG_GROUP).select(columns).mapInArrow(_single_windows, "part_key long, window_key long, doc_id long, start long")
-    _, single_later = _later(single, ["part_key", "window_key"])
-    return gone.union(single_later.select("doc_id", "start", F.col("start") + width))
+
+    def opened(parts: DataFrame, classes: DataFrame) -> DataFrame:
+        """The first of each class where a key has several, with their number."""
+        sizes = classes.groupBy(F.col("part_key").alias("z_key")).agg(F.count("part_key").alias("n")).filter("n > 1")
+        sized = classes.join(sizes, F.col("part_key") == F.col("z_key")).select(F.col("part_key").alias("y_key"), F.col("doc_id").alias("y_id"), F.col("start").alias("y_start"), "n")
+        same = (F.col("part_key") == F.col("y_key")) & (F.col("doc_id") == F.col("y_id")) & (F.col("start") == F.col("y_start"))
+        # repeated rows of one document give equal parts: one of them is enough
+        return as_table(parts.join(sized, same).dropDuplicates(["part_key", "doc_id", "start"]).select(*columns, "n"), "open")
+
+    open_, level = opened(parts, part_classes), 0
+    while True:
+        small = open_.filter(F.col("n") <= BIG_GROUP).select(columns).repartition("part_key").sortWithinPartitions("part_key", "doc_id", "start")
+        gone = gone.union(small.mapInArrow(partial(_sort_groups, width), _GONE))
+        big = open_.filter(F.col("n") > BIG_GROUP).select(columns)
+        if big.isEmpty():
+            return gone
+        # once all bytes have been dealt by, a key has one class
+        parts = as_table(big.mapInArrow(partial(_dealt_further, level), _PARTS), "parts")
+        classes, later = _later(parts.drop("bytes"), ["part_key", "part_content"])
+        gone = gone.union(later.select("doc_id", "start", F.col("start") + width))
+        open_, level = opened(parts, durable(classes)), level + 1
 
 
 def _merged(firsts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,16 +331,17 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR, id_col: s
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all columns, without the repeated bytes.  A character of which a byte is repeated goes as a whole."""
-    found = suffix_dedup(docs, width, k, id_col, text_col).filter("n_removed > 0").select(F.col("doc_id").alias("r_id"), "firsts", "ends").dropDuplicates(["r_id"])
+    r_id, r_firsts, r_ends = unused(docs, "found_id", "firsts", "ends")
+    found = suffix_dedup(docs, width, k, id_col, text_col).filter("n_removed > 0").select(F.col("doc_id").alias(r_id), F.col("firsts").alias(r_firsts), F.col("ends").alias(r_ends)).dropDuplicates([r_id])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            at, f, e = (names.index(x) for x in (text_col, "firsts", "ends"))
+            at, f, e = (names.index(x) for x in (text_col, r_firsts, r_ends))
             texts = batch.column(at).to_pylist()
             for row in np.flatnonzero(batch.column(f).is_valid().to_numpy(zero_copy_only=False)).tolist():
                 raw, firsts, ends = texts[row].encode(), batch.column(f)[row].as_py(), batch.column(e)[row].as_py()
                 texts[row] = b"".join(raw[a:b] for a, b in zip([0, *ends], [*firsts, len(raw)], strict=True)).decode(errors="ignore")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(names)) if c not in (f, e)], [n for c, n in enumerate(names) if c not in (f, e)])
 
-    return docs.join(found, F.col(id_col) == F.col("r_id"), "left").drop("r_id").mapInArrow(cut, docs.schema)
+    return docs.join(found, F.col(id_col).cast("long") == F.col(r_id), "left").select(*docs.columns, r_firsts, r_ends).mapInArrow(cut, docs.schema)
