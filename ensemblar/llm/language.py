@@ -9,9 +9,10 @@ towards all rows, from grouped sums.  The posterior adds the logarithms.
 Text evidence of long texts is damped: trigrams of a text are not independent.
 
 Defined cases: a null or empty text has no text evidence and is decided by the
-rest; a null host, suffix or declaration gives no evidence; without any labelled
-document the result is an error; ties go to the first language by name; repeated
-rows each give a row; further columns are not read.
+rest; a null, empty or unknown host, suffix or declaration gives no evidence beyond the
+prior of the step above it; without any labelled document no language is known, and all
+rows get null as language and probability; ties go to the first language by name;
+repeated rows each give a row; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html_extract import host_of
-from .scratch import as_table
+from .scratch import as_table, bound_batches
 from .textnum import LOWER, Text, texts_of
 
 #: Labelled documents that are learnt from, for each language.
@@ -86,15 +87,17 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "do
     """A model from at most sample_docs labelled documents (chosen by a hash) of each language."""
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     ids = known.select(F.col(id_col).cast("long").alias("s_id"), F.col(lang_col).alias("s_lang"))
-    order = Window.partitionBy("s_lang").orderBy(F.xxhash64("s_id"), "s_id")
-    chosen = ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs).select("s_id").distinct()
+    ids = ids.distinct().withColumn("place", F.xxhash64("s_id").bitwiseAND((1 << 53) - 1) / float(1 << 53))
+    # of a frequent language, only the part below a bound of the hash (twice the sample, on average) is ranked
+    often = ids.groupBy(F.col("s_lang").alias("c_lang")).agg(F.count("s_id").alias("n"))
+    near = ids.join(often, (F.col("s_lang") == F.col("c_lang")) & (F.col("place") * F.col("n") <= 2 * sample_docs + 100))
+    order = Window.partitionBy("s_lang").orderBy("place", "s_id")
+    chosen = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs).select("s_id").distinct()
     # sample_docs ids of each language: small whatever the corpus
     texts = known.join(F.broadcast(chosen), F.col(id_col) == F.col("s_id")).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = texts.mapInArrow(lambda b: (x for x in _count(pa.RecordBatch.from_arrays([y.column(0), y.column(1), y.column(2)], ["doc_id", "lang", "text"]) for y in b)), "lang string, bucket long, n long")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # at most languages x buckets
     languages = sorted({r.lang for r in rows})
-    if not languages:
-        raise ValueError("no labelled document to learn from")
     n = np.full((len(languages), BUCKETS), 0.5)
     for r in rows:
         n[languages.index(r.lang), r.bucket] += r.n
@@ -103,6 +106,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "do
 
 def text_scores(texts: DataFrame, model: Model) -> DataFrame:
     """texts has a column text; scores (one number for each language) take its place."""
+    bound_batches(texts.sparkSession)
     kept = [c for c in texts.columns if c != "text"]
     told = texts.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text"] + ["scores array<double>"])
@@ -130,6 +134,9 @@ def _softmax(x: Column) -> Column:
 def fuse(rows: DataFrame, languages: list[str], host_rows: float = HOST_ROWS, suffix_rows: float = SUFFIX_ROWS) -> DataFrame:
     """rows: any columns, with scores, host, suffix and declared; adds lang, text_lang and prob."""
     n = len(languages)
+    if not n:
+        nothing = F.lit(None).cast("string")
+        return rows.drop("scores").withColumn("lang", nothing).withColumn("text_lang", nothing).withColumn("prob", F.lit(None).cast("double"))
     names = F.array(*[F.lit(x) for x in languages])
     rows = rows.withColumn("p", _softmax(F.col("scores")))
     whole = _shares(rows, [], languages).select(F.transform("sums", lambda s: (s + 1) / (F.aggregate("sums", F.lit(0.0), lambda t, y: t + y) + n)).alias("all_prior"))
@@ -138,18 +145,20 @@ def fuse(rows: DataFrame, languages: list[str], host_rows: float = HOST_ROWS, su
         total = F.aggregate(F.col(sums), F.lit(0.0), lambda t, y: t + y)
         return F.zip_with(F.col(sums), F.col(prior), lambda s, q: (s + weight * q) / (total + weight))
 
-    suffix = _shares(rows, ["suffix"], languages).crossJoin(whole).select("suffix", smoothed("sums", "all_prior", suffix_rows).alias("suffix_prior"))
-    host = _shares(rows, ["host", "suffix"], languages).join(suffix.withColumnRenamed("suffix", "x_suffix"), F.col("suffix") == F.col("x_suffix")).select(F.col("host").alias("h_host"), F.col("suffix").alias("h_suffix"), smoothed("sums", "suffix_prior", host_rows).alias("prior"))
+    suffix = _shares(rows.filter("suffix <> ''"), ["suffix"], languages).crossJoin(whole).select("suffix", smoothed("sums", "all_prior", suffix_rows).alias("suffix_prior"))
+    host = _shares(rows.filter("host <> ''"), ["host", "suffix"], languages).crossJoin(whole).join(suffix.withColumnRenamed("suffix", "x_suffix"), F.col("suffix") == F.col("x_suffix"), "left")
+    host = host.withColumn("above", F.coalesce("suffix_prior", "all_prior")).select(F.col("host").alias("h_host"), F.col("suffix").alias("h_suffix"), smoothed("sums", "above", host_rows).alias("prior"))
     # chances of each declaration given the language; an unseen one says nothing
     said = _shares(rows.filter("declared IS NOT NULL"), ["declared"], languages)
     total = said.agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(n)]).alias("all_said"), F.count("declared").alias("kinds"))
     said = said.crossJoin(total).select(F.col("declared").alias("d_declared"), F.zip_with("sums", "all_said", lambda s, a: F.log((s + 0.5) / (a + 0.5 * F.col("kinds")))).alias("declared_logs"))
 
-    joined = rows.join(host, (F.col("host") == F.col("h_host")) & (F.col("suffix") == F.col("h_suffix"))).join(said, F.col("declared") == F.col("d_declared"), "left")
+    # a row without a host has the prior of all rows; one row crosses over
+    joined = rows.join(host, (F.col("host") == F.col("h_host")) & (F.col("suffix") == F.col("h_suffix")), "left").crossJoin(whole).withColumn("prior", F.coalesce("prior", "all_prior")).join(said, F.col("declared") == F.col("d_declared"), "left")
     logs = F.zip_with(F.zip_with("scores", "prior", lambda s, q: s + F.log(q)), F.coalesce("declared_logs", F.array_repeat(F.lit(0.0), n)), lambda x, y: x + y)
     told = joined.withColumn("post", _softmax(logs))
     first = lambda x: names[(F.array_position(F.col(x), F.array_max(x)) - 1).cast("int")]
-    return told.withColumn("lang", first("post")).withColumn("text_lang", first("p")).withColumn("prob", F.round(F.array_max("post"), 6)).drop("p", "post", "prior", "declared_logs", "d_declared", "h_host", "h_suffix", "scores")
+    return told.withColumn("lang", first("post")).withColumn("text_lang", first("p")).withColumn("prob", F.round(F.array_max("post"), 6)).drop("p", "post", "prior", "all_prior", "declared_logs", "d_declared", "h_host", "h_suffix", "scores")
 
 
 def declared_language(html: str = "html") -> Column:
