@@ -20,19 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import FMIndex
-from .scratch import unused, with_rows
+from .scratch import as_table, bound_batches, unused, with_rows
 from .textnum import ALNUM, LOWER, Text, as_bytes, texts_of
 
 WINDOW = 13
 #: A document is contaminated if this share of its words is hit, in percent.
 MIN_HIT_PERCENT = 5
-#: Bytes of test text that are broadcast at once; a larger benchmark is searched in blocks of items.
-BLOCK_BYTES = 16 << 20
+#: Characters of test text that the driver holds and broadcasts at once; a larger benchmark is searched in
+#: blocks of items, one pass over the documents for each.
+BLOCK_CHARS = 2 << 20
 
 _HITS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
@@ -126,50 +128,77 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> I
     ids, texts, size = [], [], 0
     for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
         if row[1]:
+            if ids and size + len(row[1]) > limit:
+                yield ids, texts
+                ids, texts, size = [], [], 0
             ids.append(row[0])
             texts.append(row[1])
             size += len(row[1])
-        if size > limit:
-            yield ids, texts
-            ids, texts, size = [], [], 0
     yield ids, texts
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, merged spans (byte starts and ends) and items of each document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = [docs.sparkSession.sparkContext.broadcast(Phrases(*x, width)) for x in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+def _searched(texts: DataFrame, block: tuple[list[str], list[str]], width: int) -> tuple[DataFrame, Broadcast]:
+    """The hits of one block of items in (doc_id, text)."""
+    phrases = texts.sparkSession.sparkContext.broadcast(Phrases(*block, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long = pa.list_(pa.int64())
         for batch in batches:
             for i, j, t in texts_of(batch, "text"):
-                each = [shard_hits(t, x.value) for x in blocks]
-                n_words, n_hit, starts, ends, found = each[0] if len(each) == 1 else _joined(t, each)
+                n_words, n_hit, starts, ends, found = shard_hits(t, phrases.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n_words), pa.array(n_hit), pa.array(starts, long), pa.array(ends, long), pa.array(found, pa.list_(pa.string()))], _HITS.names)
 
-    return texts.mapInArrow(run, _HITS)
+    return texts.mapInArrow(run, _HITS), phrases
 
 
-def _joined(t: Text, each: list[tuple]) -> tuple:
-    """The hits of several blocks of items as those of one."""
-    low = Text(LOWER[t.data], t.offsets)
-    start, end, at = low.words(ALNUM)
-    n_hit, starts, ends, items = np.zeros(t.n, np.int64), [], [], []
-    for d in range(t.n):
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, found) with the hits of all blocks as those of one."""
+    long = pa.list_(pa.int64())
+    for batch in batches:
+        out = []
+        for i, j, t in texts_of(batch, "text"):
+            out += _joined(t, [x or () for x in batch.column(2).slice(i, j - i).to_pylist()])
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(x), k) for x, k in zip(columns, (pa.int64(), pa.int64(), long, long, pa.list_(pa.string())), strict=True)]], _HITS.names)
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, n_words, n_hit, merged spans (byte starts and ends) and items of each document."""
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _searched(texts, block, width)[0]
+    rows, row = with_rows(texts, "searched_rows")
+    keyed = rows.select(F.col(row).alias("doc_id"), "text")
+    parts = None
+    while block:
+        hits, phrases = _searched(keyed, block, width)
+        part = as_table(hits.filter("n_hit > 0"), "block_hits")
+        phrases.destroy()
+        parts = part if parts is None else parts.union(part)
+        block, following = following, next(blocks, None)
+    found = parts.groupBy(F.col("doc_id").alias("f_row")).agg(F.collect_list(F.struct("starts", "ends", "items")).alias("found"))
+    return rows.join(found, F.col(row) == F.col("f_row"), "left").select("doc_id", "text", "found").mapInArrow(_merge, _HITS)
+
+
+def _joined(t: Text, each: list[list[dict]]) -> list[tuple]:
+    """Words, hit words, spans and items of each text, from its hits in several blocks of items."""
+    start, _, at = Text(LOWER[t.data], t.offsets).words(ALNUM)
+    out = []
+    for d, own in enumerate(each):
         spans: list[list[int]] = []
         words = start[at[d] : at[d + 1]] - t.offsets[d]
-        for a, b in sorted((a, b) for x in each for a, b in zip(x[2][d], x[3][d], strict=True)):
+        for a, b in sorted((a, b) for x in own for a, b in zip(x["starts"], x["ends"], strict=True)):
             # spans that touch have no word between them
             if spans and np.searchsorted(words, a) <= np.searchsorted(words, spans[-1][1]):
                 spans[-1][1] = max(spans[-1][1], b)
             else:
                 spans.append([a, b])
-        n_hit[d] = sum(int(np.searchsorted(words, b) - np.searchsorted(words, a)) for a, b in spans)
-        starts.append([a for a, _ in spans])
-        ends.append([b for _, b in spans])
-        items.append(sorted({i for x in each for i in x[4][d]}))
-    return each[0][0], n_hit, starts, ends, items
+        n_hit = sum(int(np.searchsorted(words, b) - np.searchsorted(words, a)) for a, b in spans)
+        out.append((len(words), n_hit, [a for a, _ in spans], [b for _, b in spans], sorted({i for x in own for i in x["items"]})))
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_HIT_PERCENT, **options) -> DataFrame:
