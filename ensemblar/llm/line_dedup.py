@@ -160,7 +160,9 @@ def edit_links(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     shared = keyed.groupBy(F.col("key").alias("s_key")).agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.max("own").alias("own")).filter("h0 < h1 AND own").select("s_key")
     shared = as_table(shared, "keys")
     # one plan at every size: the keys grow with the data
-    held = keyed.join(shared.hint("merge"), F.col("key") == F.col("s_key")).groupBy("key", "h").agg(F.max("own").alias("own"), F.min(F.struct("doc_id", "line_no")).alias("place"))
+    # the join is a table of its own, so that Spark can split a frequent key, and equal lines are one sum again
+    held = as_table(keyed.join(shared.hint("merge"), F.col("key") == F.col("s_key")).drop("s_key"), "met")
+    held = held.groupBy("key", "h").agg(F.max("own").alias("own"), F.min(F.struct("doc_id", "line_no")).alias("place"))
     held = as_table(held.select("key", "h", "own", "place.*"), "held")
     texts = as_table(_texts(docs, held.select("h", "doc_id", "line_no").distinct()).withColumn("size", F.length("line")).withColumn("counts", _counts("line")), "candidates")
     told = as_table(held.join(texts.select(F.col("h").alias("t_h"), "size", "counts").hint("merge"), F.col("h") == F.col("t_h")).drop("t_h"), "probes")

@@ -20,10 +20,9 @@ l0 AS (SELECT doc_id, host, k, ls[k] AS line, regexp_extract_all(ls[k], '{_WORD}
              FROM (SELECT doc_id, host, string_split(text, chr(10)) AS ls FROM d))),
 l1 AS (SELECT doc_id, host, k, line, len(lw) AS words, {lowered("array_to_string(lw, ' ')")} AS norm FROM l0 WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l1 GROUP BY doc_id),
-l2 AS (SELECT *, coalesce(lag(norm) OVER p, '') || chr(10) || coalesce(lead(norm) OVER p, '') AS setting
-       FROM l1 WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
-l3 AS (SELECT doc_id, host, norm, arg_min(setting, k) AS setting, sum(words) AS words FROM l2 GROUP BY ALL),
-often AS (SELECT host, norm FROM l3 GROUP BY ALL HAVING count(DISTINCT setting) > 30),
+l3 AS (SELECT doc_id, host, norm, sum(words) AS words FROM l1 GROUP BY ALL),
+sets AS (SELECT doc_id, list(norm ORDER BY norm) AS lines FROM l3 GROUP BY doc_id),
+often AS (SELECT host, norm FROM l3 JOIN sets USING (doc_id) GROUP BY ALL HAVING count(DISTINCT lines) > 30),
 lost AS (SELECT doc_id, sum(words) AS lost, count(*) AS n FROM l3 JOIN often USING (host, norm) GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
              length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
