@@ -16,7 +16,8 @@ and seq, which is the order of the document ids: Spark commits and reads them
 wherever the table lies, and a lost executor only repeats its own task.
 
 The encoder cuts texts where the tokenizer's rules cut them anyhow and encodes each
-different piece once, so the ids are those of the whole text.
+different piece once, so the ids are those of the whole text.  It knows the rules of one
+kind of file; with any other it encodes whole texts.
 
 Defined cases: a null or empty text has the end id only; null ids come first;
 repeated rows are written each; further columns are not read; an empty table
@@ -25,6 +26,7 @@ gives an empty table.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -38,16 +40,28 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
 from .textnum import NOT_SPACE, Text, texts_of
 
 END_ID = 2
 BLOCK = 4096
 #: Ids after which a shard is closed; a longer document is a shard of its own.
 SHARD_IDS = 1 << 18
-#: Different pieces that an encoder remembers before it starts anew.
-CACHE = 400_000
+#: Bytes of pieces and ids that an encoder remembers before it starts anew.
+CACHE_BYTES = 48 << 20
 #: Fixed values of the format: ids in a word, and bits of each, by selector.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
+# The rules that pre_tokens cuts by, as a tokenizer file states them.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIIIQ")
 
@@ -70,12 +84,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         fits = (count == 0) & (left >= c)
         fits[: max(0, n - c + 1)] &= wide[c:] == wide[: n + 1 - c] if n >= c else False
         count[fits], which[fits] = c, s
-    step, at, p = count.tolist(), [], 0
-    while p < n:
-        at.append(p)
-        p += step[p]
-    at = np.array(at, np.int64)
-    kind = which[at] if n else np.zeros(0, np.int8)
+    # no word crosses a block, so all blocks are walked at once
+    is_word = np.zeros(n, bool)
+    p = np.arange(0, n, BLOCK)
+    while len(p):
+        is_word[p] = True
+        p = p + count[p]
+        p = p[(p % BLOCK != 0) & (p < n)]
+    at = np.flatnonzero(is_word)
+    kind = which[at]
     words = kind.astype(np.uint64) << np.uint64(60)
     for s, (c, bits) in enumerate(SELECTORS):
         here = np.flatnonzero(kind == s)
@@ -185,6 +202,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        said = json.loads(tokenizer_json)
+        self.cuts = all(said.get(k) == v for k, v in _RULES.items()) and said["model"].get("type") == "BPE" and said["model"].get("end_of_word_suffix") == "</w>" and not said["model"].get("dropout")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -192,8 +213,35 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
-        self.at = self.size = self.flat = np.zeros(0, np.int64)
+        """Empties the store: hashes in order with the place and number of their ids, in a large and a small part."""
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)) for _ in range(2)]
+        self.flat, self.n_flat = np.zeros(1 << 16, np.int32), 0
+
+    def _find(self, different: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and number of the ids of each hash, and whether it is known."""
+        place, size, known = np.zeros(len(different), np.int32), np.zeros(len(different), np.int32), np.zeros(len(different), bool)
+        for hashes, at, n in self.parts:
+            if len(hashes):
+                k = np.minimum(np.searchsorted(hashes, different), len(hashes) - 1)
+                hit = hashes[k] == different
+                place[hit], size[hit] = at[k[hit]], n[k[hit]]
+                known |= hit
+        return place, size, known
+
+    def _keep(self, hashes: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Adds pieces, in the order of their hashes, to the small part; it joins the large one when it has an eighth of its size."""
+        need = self.n_flat + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.n_flat], np.zeros(max(need, need * 5 // 4) - self.n_flat, np.int32)])
+        self.flat[self.n_flat : need] = ids
+        join = lambda a, b: (lambda k: tuple(np.insert(x, k, y) for x, y in zip(a, b, strict=True)))(np.searchsorted(a[0], b[0]))
+        self.parts[1] = join(self.parts[1], (hashes, (at + self.n_flat).astype(np.int32), size.astype(np.int32)))
+        self.n_flat = need
+        if 8 * len(self.parts[1][0]) > len(self.parts[0][0]):
+            self.parts = [join(*self.parts), tuple(x[:0] for x in self.parts[1])]
+
+    def _bytes(self) -> int:
+        return self.flat.nbytes + sum(x.nbytes for part in self.parts for x in part)
 
     def _encoded(self, pieces: list[str], single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces in some order, and where those of each piece are.
@@ -222,25 +270,26 @@ class Encoder:
 
     def __call__(self, t: Text) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each."""
+        if not self.cuts:
+            raw = t.data.tobytes()
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True)], add_special_tokens=False)]
+            return np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each], np.int64)
         start, end, single = pre_tokens(t, self.specials)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(t.n, np.int64)
         different, first, where = np.unique(t.hashes(start, end), return_index=True, return_inverse=True)
-        if len(self.hash) > CACHE:
+        if self._bytes() > CACHE_BYTES:
             self.forget()
-        found = np.searchsorted(self.hash, different)
-        is_new = np.ones(len(different), bool) if not len(self.hash) else self.hash[np.minimum(found, len(self.hash) - 1)] != different
-        new = np.flatnonzero(is_new)
+        place, size, known = self._find(different)
+        new = np.flatnonzero(~known)
         if len(new):
             raw = t.data.tobytes()
-            flat, at, size = self._encoded([raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)], single[first[new]])
-            at += len(self.flat)
-            self.flat = np.concatenate([self.flat, flat])
-            self.hash, self.at, self.size = (np.insert(x, found[new], y) for x, y in ((self.hash, different[new]), (self.at, at), (self.size, size)))
-            found = np.searchsorted(self.hash, different)
-        each = self.size[found][where]
+            flat, at, n = self._encoded([raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)], single[first[new]])
+            place[new], size[new] = at + self.n_flat, n
+            self._keep(different[new], at, n, flat)
+        each = size[where].astype(np.int64)
         before = np.cumsum(each) - each
-        ids = self.flat[np.repeat(self.at[found][where] - before, each) + np.arange(int(each.sum()))]
+        ids = self.flat[np.repeat(place[where] - before, each) + np.arange(int(each.sum()))].astype(np.int64)
         total = np.append(before, len(ids))
         at = np.searchsorted(start, t.offsets)
         return ids, total[at[1:]] - total[at[:-1]]
@@ -270,6 +319,7 @@ def broadcast_tokenizer(spark: SparkSession, path: str) -> Broadcast:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
     """Writes all texts' ids in ascending order of the document ids."""
+    bound_batches(docs.sparkSession)
     tokenizer = broadcast_tokenizer(docs.sparkSession, tokenizer_path)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
