@@ -207,26 +207,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_
     return hits.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= min_percent * F.col("n_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, with all columns; what they hold of the test phrases is cut from their texts."""
+def _cut(raw: bytes, starts: list[int], ends: list[int]) -> str:
+    return b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True)).decode()
+
+
+def _cut_batch(batch: pa.RecordBatch, text_col: str, keep: np.ndarray, spans: dict[int, tuple[list[int], list[int]]]) -> pa.RecordBatch:
+    """The rows to keep, without the spans of their texts."""
+    at = batch.schema.get_field_index(text_col)
+    if any(keep[k] for k in spans):
+        texts = batch.column(at).to_pylist()
+        for k, (starts, ends) in spans.items():
+            texts[k] = _cut(texts[k].encode(), starts, ends)
+        batch = batch.set_column(at, text_col, pa.array(texts, pa.string()))
+    return batch.filter(pa.array(keep))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_percent: int = MIN_HIT_PERCENT, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that are not contaminated, with all columns; what they hold of the test phrases is cut from their texts.
+
+    One block of items needs no exchange: a task searches, judges and cuts its own rows.
+    """
+    bound_batches(docs.sparkSession)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(*block, width))
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep, spans = np.ones(batch.num_rows, bool), {}
+                for i, j, t in texts_of(batch, text_col):
+                    n_words, n_hit, starts, ends, _ = shard_hits(t, phrases.value)
+                    keep[i:j] = (n_hit == 0) | (100 * n_hit < min_percent * n_words)
+                    spans |= {i + int(d): (starts[d], ends[d]) for d in np.flatnonzero(n_hit)}
+                yield _cut_batch(batch, text_col, keep, spans)
+
+        return docs.mapInArrow(clean, docs.schema)
     rows, row = with_rows(docs, "decontamination_rows")
     c_id, c_starts, c_ends, c_all = unused(rows, "found_id", "starts", "ends", "contaminated")
-    found = contamination(rows, benchmark, id_col=row, text_col=text_col, **options).filter("n_hit > 0")
+    found = contamination(rows, benchmark, min_percent, width=width, id_col=row, text_col=text_col, item_col=item_col, item_text_col=item_text_col, block_chars=block_chars).filter("n_hit > 0")
     found = found.select(F.col("doc_id").alias(c_id), F.col("contaminated").alias(c_all), F.col("starts").alias(c_starts), F.col("ends").alias(c_ends))
     kept = rows.join(found, F.col(row) == F.col(c_id), "left").filter(F.coalesce(~F.col(c_all), F.lit(True))).select(*docs.columns, c_starts, c_ends)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            at, s, e = (names.index(x) for x in (text_col, c_starts, c_ends))
-            texts = batch.column(at).to_pylist()
-            for k in np.flatnonzero(batch.column(s).is_valid().to_numpy(zero_copy_only=False)).tolist():
-                raw, from_ = texts[k].encode(), 0
-                left = []
-                for a, b in zip(batch.column(s)[k].as_py(), batch.column(e)[k].as_py(), strict=True):
-                    left.append(raw[from_:a])
-                    from_ = b
-                texts[k] = b"".join([*left, raw[from_:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names)) if k not in (s, e)], [n for k, n in enumerate(names) if k not in (s, e)])
+            s, e = (batch.column(batch.schema.get_field_index(x)) for x in (c_starts, c_ends))
+            spans = {k: (s[k].as_py(), e[k].as_py()) for k in np.flatnonzero(s.is_valid().to_numpy(zero_copy_only=False)).tolist()}
+            yield _cut_batch(batch.drop_columns([c_starts, c_ends]), text_col, np.ones(batch.num_rows, bool), spans)
 
     return kept.mapInArrow(cut, docs.schema)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import as_table, durable, unused, with_rows
+from .scratch import as_table, content_key, durable, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -143,9 +143,12 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The mixed documents: a row for each copy, with all columns, its shard and copy number, shuffled inside the shards."""
-    rows, row = with_rows(docs, "mixing_rows")
-    plan = mix_plan(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col=row, seed=seed, **options).filter("copies > 0")
-    m_row, copy, shard = unused(rows, "mix_row", "mix_copy", "mix_shard")
-    copies = plan.select(F.col("row").alias(m_row), F.posexplode("shards").alias(copy, shard))
-    drawn = rows.join(copies, F.col(row) == F.col(m_row)).select(*docs.columns, copy, shard)
-    return drawn.repartition(shard, F.pmod(F.xxhash64(id_col), F.lit(16))).sortWithinPartitions(shard, F.xxhash64(F.col(id_col), F.col(copy), F.lit(seed + 3)))
+    key, m_key, drawn, nth, copy, shard = unused(docs, "content_key", "mix_key", "mix_drawn", "mix_nth", "mix_copy", "mix_shard")
+    rows = docs.withColumn(key, content_key(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(source_col).cast("string")))
+    plan = mix_plan(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col=key, seed=seed, **options)
+    own = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    # rows that are equal in all three have a list of draws, and each takes one of them
+    lists = plan.groupBy(F.col("row").alias(m_key)).agg(F.sort_array(F.collect_list("shards")).alias(drawn)).filter(F.exists(drawn, lambda x: F.size(x) > 0))
+    met = rows.join(lists, F.col(key) == F.col(m_key)).withColumn(nth, F.row_number().over(Window.partitionBy(m_key).orderBy(F.xxhash64(*docs.columns))) - 1)
+    out = met.select(*docs.columns, F.posexplode(F.get(drawn, F.col(nth))).alias(copy, shard))
+    return out.repartition(shard, F.pmod(F.xxhash64(id_col), F.lit(16))).sortWithinPartitions(shard, F.xxhash64(F.col(id_col), F.col(copy), F.lit(seed + 3)))

@@ -10,7 +10,7 @@ the same set of normalised lines count as one document; all others count each.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
 null host is a host of its own; rows with equal ids are judged alike; a null id
-gets the base rules only; keep_good judges each row on its own, whatever its id;
+gets the base rules only; keep_good judges each row by its text and host, whatever its id;
 further columns are not read.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import unused, with_rows
+from .scratch import bound_batches, content_key, unused
 from .textnum import LOWER, NOT_SPACE, Text, grams, mix, run_hashes, signed, texts_of
 
 MIN_WORDS = 50
@@ -102,9 +102,10 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, host, *_measure(t)], names)
 
 
-def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", id_type: str = "long") -> DataFrame:
     """Counts of each text, with its distinct normalised lines, their words and a digest of their set."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")).mapInArrow(_stats, STATS)
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")).mapInArrow(_stats, STATS.replace("doc_id long", f"doc_id {id_type}"))
 
 
 def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
@@ -122,9 +123,10 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
+    id_type: str = "long",
 ) -> DataFrame:
     """One row per document: counts, base_failed, the boilerplate lines found in it, and kept."""
-    stats = text_stats(docs, id_col, text_col, host_col)
+    stats = text_stats(docs, id_col, text_col, host_col, id_type)
     lines = (
         stats.select("doc_id", F.coalesce("host", F.lit("\0")).alias("host"), "digest", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
         .select("doc_id", "host", "digest", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
@@ -173,10 +175,14 @@ def _without(text_col: str, gone_col: str, batches: Iterator[pa.RecordBatch]) ->
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at_text else batch.column(k) for k in range(len(names)) if k != at_gone], [n for n in names if n != gone_col])
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents that the rules keep, with all their columns; boilerplate lines are gone from their texts."""
-    rows, row = with_rows(docs, "quality_rows")
-    v_id, gone = unused(rows, "verdict_id", "boilerplate")
-    verdict = quality_rules(rows, **(options | {"id_col": row, "text_col": text_col})).filter("kept").select(F.col("doc_id").alias(v_id), F.col("boilerplate").alias(gone))
-    kept = rows.join(verdict, F.col(row) == F.col(v_id)).select(*docs.columns, gone)
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+    """The documents that the rules keep, with all their columns; boilerplate lines are gone from their texts.
+
+    The verdict depends on text and host alone, so rows meet it by these, not by their ids.
+    """
+    key, v_key, gone = unused(docs, "content_key", "verdict_key", "boilerplate")
+    rows = docs.withColumn(key, content_key(F.col(text_col).cast("string"), F.col(host_col).cast("string")))
+    verdict = quality_rules(rows, **(options | {"id_col": key, "id_type": "string", "text_col": text_col, "host_col": host_col})).filter("kept")
+    verdict = verdict.groupBy(F.col("doc_id").alias(v_key)).agg(F.first("boilerplate").alias(gone))
+    kept = rows.join(verdict, F.col(key) == F.col(v_key)).select(*docs.columns, gone)
     return kept.mapInArrow(partial(_without, text_col, gone), docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
 
 
+def content_key(*columns: Column) -> Column:
+    """128 bits of what the columns hold, as text: rows with equal keys are equal there, whatever their ids, and reruns agree."""
+    told = [x for c in columns for x in (c.isNull(), c)]
+    return F.concat_ws("/", F.xxhash64(F.lit(1), *told).cast("string"), F.xxhash64(F.lit(2), *told).cast("string"))
+
+
 def with_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows with a key of their own in a written table, and the key's column: ids may be null or repeated."""
     (row,) = unused(df, "row_key")
