@@ -48,7 +48,7 @@ BLOCK = 4096
 #: Ids after which a shard is closed; a longer document is a shard of its own.
 SHARD_IDS = 1 << 18
 #: Bytes of pieces and ids that an encoder remembers before it starts anew.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 #: Fixed values of the format: ids in a word, and bits of each, by selector.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 # The rules that pre_tokens cuts by, as a tokenizer file states them.
