@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     mixed = big.groupBy(F.col("key").alias("m_key")).agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 < p1").select("m_key")
     members = durable(big.join(mixed, F.col("key") == F.col("m_key"), "left_semi").select("doc_id", "n", "part").distinct())
     if not members.isEmpty():
-        rest = _confirmed(_likely(_rare_pairs(members, sets, percent), reps, percent), sets, percent)
+        # a table in between: one Python worker for each running task is enough
+        rest = _confirmed(durable(_likely(_rare_pairs(members, sets, percent), reps, percent)), sets, percent)
         parts = components(durable(links.union(rest)))
 
     parts = parts.select(F.col("node").alias("p_node"), "component")
