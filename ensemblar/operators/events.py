@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CELL, frames_of, over, shift
-from .intervals import interval_overlap_join, merge_periods, periods_to_frames, runs
+from .intervals import interval_overlap_join, merge_periods, periods_to_frames, runs, take_spaced
 
 
 def circular_surrogates(activity: DataFrame, sessions: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -76,11 +76,8 @@ def detect_peak_events(activity: DataFrame, sessions: DataFrame, around: int, di
         peaks = peaks.join(periods_to_frames(merge_periods(near, 1)).select("session_id", "frame"), ["session_id", "frame"], "left_anti")
 
     def pick(p: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        for f in p.sort_values(["n", "frame"], ascending=[False, True])["frame"]:
-            if all(abs(f - g) >= distance for g in taken):
-                taken.append(f)
-        return p[p["frame"].isin(taken)][["session_id", "frame"]]
+        order = p.sort_values(["n", "frame"], ascending=[False, True])
+        return p[p["frame"].isin(take_spaced(order["frame"], distance))][["session_id", "frame"]]
 
     kept = _greedy(peaks, pick, "session_id string, frame int").join(sessions.select("session_id", "n_frames"), "session_id")
     p = merge_periods(kept.select("session_id", F.greatest(F.lit(0), F.col("frame") - around).alias("first"), F.least(F.col("n_frames") - 1, F.col("frame") + around).alias("last")), 1)
@@ -142,9 +139,10 @@ def significant_cells(activity: DataFrame, mask: DataFrame, sessions: DataFrame,
     """Cells active in the mask (session_id, frame) at least as often as their own surrogates' percentile."""
     own = activity.join(mask, ["session_id", "frame"]).groupBy(*CELL).agg(F.count("frame").alias("n"))
     copies = circular_surrogates(activity, sessions, n, seed).join(mask, ["session_id", "frame"]).groupBy(*CELL, "k").agg(F.count("frame").alias("n"))
-    lists = copies.groupBy(*CELL).agg(F.collect_list("n").alias("ns"))  # at most n numbers a cell
-    full = lists.select(*CELL, F.explode(F.concat("ns", F.array_repeat(F.lit(0).cast("long"), F.lit(n) - F.size("ns")))).alias("m"))
-    limit = full.groupBy(*CELL).agg(F.percentile("m", F.lit(pct)).alias("threshold"))
+    # one weighted row for each number, and one for the copies that are never in the mask
+    tally = copies.groupBy(*CELL, "n").agg(F.count("k").alias("times"))
+    none = tally.groupBy(*CELL).agg((F.lit(n) - F.sum("times")).alias("times")).filter("times > 0").select(*CELL, F.lit(0).cast("long").alias("n"), "times")
+    limit = tally.unionByName(none).groupBy(*CELL).agg(F.percentile("n", F.lit(pct), F.col("times")).alias("threshold"))
     # a cell that no copy brings into the mask has the threshold 0
     return own.join(limit, list(CELL), "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0))).filter("n >= threshold")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -63,16 +64,22 @@ def onsets_peaks_from_trace(traces: DataFrame, k: float = 1.0, distance: int = 1
     return marked.filter(~gone).select(*part, "frame", "kind")
 
 
+def take_spaced(frames: Iterable[int], distance: int) -> list[int]:
+    """Frames in the order given, each at least ``distance`` from those taken before it."""
+    taken: list[int] = []
+    for f in frames:
+        k = bisect_left(taken, f)
+        if (k == 0 or f - taken[k - 1] >= distance) and (k == len(taken) or taken[k] - f >= distance):
+            taken.insert(k, f)
+    return taken
+
+
 def _spaced(peaks: DataFrame, distance: int, part: list[str]) -> DataFrame:
     """Greedy by height: each step depends on those before, so a cell's peaks (one short series) are taken together."""
 
     def pick(p: pd.DataFrame) -> pd.DataFrame:
         order = p.sort_values(["value", "frame"], ascending=[False, True])
-        taken: list[int] = []
-        for f in order["frame"]:
-            if all(abs(f - g) >= distance for g in taken):
-                taken.append(f)
-        return p[p["frame"].isin(taken)]
+        return p[p["frame"].isin(take_spaced(order["frame"], distance))]
 
     return peaks.groupBy(*part).applyInPandas(pick, peaks.schema)
 

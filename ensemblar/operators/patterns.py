@@ -30,10 +30,10 @@ def transition_matrix(onsets: DataFrame, start: int = 1, window: int = 5, rates:
     count that is taken off (0.2 for a fifth); what is negative then counts as 0.
     """
     f = _followers(onsets, start, window).filter("src <> dst")
-    if rates is None:
-        n = f.groupBy("session_id", "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    else:
-        n = f.join(rates.select("session_id", F.col("cell").alias("dst"), "rate"), ["session_id", "dst"]).groupBy("session_id", "src", "dst").agg(F.sum(1 - F.col("rate")).alias("w"))
+    n = f.groupBy("session_id", "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    if rates is not None:
+        # one product a pair, after the count: the order of the rows changes nothing
+        n = n.join(rates.select("session_id", F.col("cell").alias("dst"), "rate"), ["session_id", "dst"]).select("session_id", "src", "dst", (F.col("w") * (1 - F.col("rate"))).alias("w"))
     if subtract:
         back = n.select("session_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("_b"))
         n = n.join(back, ["session_id", "src", "dst"], "left").withColumn("w", F.greatest(F.lit(0.0), F.col("w") - subtract * F.coalesce("_b", F.lit(0.0)))).drop("_b")

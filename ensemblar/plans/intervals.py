@@ -139,9 +139,9 @@ def o16(t):
     return I.onsets_before_peaks(pks, ons, 10)
 
 
-@query("o17_overlay_segments", "WITH s AS (SELECT session_id, cell, unnest(range(first, last + 1))::INT AS frame FROM tr WHERE transient_id % 3 = 0), b AS (SELECT session_id, cell, frame, 'base' AS label FROM act WHERE cell < 5) SELECT coalesce(b.session_id, s.session_id) AS session_id, coalesce(b.cell, s.cell) AS cell, coalesce(b.frame, s.frame) AS frame, CASE WHEN s.cell IS NULL THEN label ELSE 'segment' END AS label, s.cell IS NOT NULL AS scored FROM b FULL JOIN s ON b.session_id = s.session_id AND b.cell = s.cell AND b.frame = s.frame")
+@query("o17_overlay_segments", "WITH s AS (SELECT session_id, cell, unnest(range(first, last + 1))::INT AS frame FROM tr WHERE transient_id % 3 = 0), b AS (SELECT session_id, cell, frame, 'base' AS label FROM act) SELECT coalesce(b.session_id, s.session_id) AS session_id, coalesce(b.cell, s.cell) AS cell, coalesce(b.frame, s.frame) AS frame, CASE WHEN s.cell IS NULL THEN label ELSE 'segment' END AS label, s.cell IS NOT NULL AS scored FROM b FULL JOIN s ON b.session_id = s.session_id AND b.cell = s.cell AND b.frame = s.frame")
 def o17(t):
-    return I.overlay_segments(t.act.filter("cell < 5").withColumn("label", F.lit("base")), t.tr.filter("transient_id % 3 = 0").withColumn("label", F.lit("segment")))
+    return I.overlay_segments(t.act.withColumn("label", F.lit("base")), t.tr.filter("transient_id % 3 = 0").withColumn("label", F.lit("segment")))
 
 
 @query("j1_event_window_join", "SELECT p.session_id, p.event_id, a.cell, a.frame, a.frame - p.first AS rel FROM pop p JOIN act a ON a.session_id = p.session_id AND a.frame BETWEEN p.first - 3 AND p.first + 4")

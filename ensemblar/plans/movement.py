@@ -129,11 +129,11 @@ def b14(t):
     return B.resample_at_frames(B.every_kth(t.sig, 2), B.frame_clock(t.sig, 60.0))
 
 
-_PARTS = "pf AS (SELECT DISTINCT session_id, CASE WHEN cell IN (0, 1) THEN 'paw' ELSE 'part' || cell END AS part, frame FROM traces WHERE cell < 5 AND value >= 20 + 5 * cell), pp AS (SELECT session_id, part, min(frame) AS first, max(frame) AS last FROM (SELECT *, frame - row_number() OVER (PARTITION BY session_id, part ORDER BY frame) AS g FROM pf) GROUP BY session_id, part, g)"
+_PARTS = "pf AS (SELECT DISTINCT session_id, CASE WHEN cell IN (0, 1) THEN 'paw' ELSE 'part' || cell END AS part, frame FROM traces WHERE value >= 20 + 5 * cell), pp AS (SELECT session_id, part, min(frame) AS first, max(frame) AS last FROM (SELECT *, frame - row_number() OVER (PARTITION BY session_id, part ORDER BY frame) AS g FROM pf) GROUP BY session_id, part, g)"
 
 
 def _parts(t):
-    signals = t.traces.filter("cell < 5").select("session_id", F.concat(F.lit("part"), F.col("cell").cast("string")).alias("channel"), "frame", "value")
+    signals = t.traces.select("session_id", F.concat(F.lit("part"), F.col("cell").cast("string")).alias("channel"), "frame", "value")
     channels = signals.select("channel").distinct()
     limits = channels.withColumn("threshold", 20.0 + 5 * F.substring("channel", 5, 9).cast("int"))
     return B.bodypart_activity(signals, limits, channels.filter("channel IN ('part0', 'part1')").withColumn("part", F.lit("paw")))

@@ -58,15 +58,15 @@ def n7(t):
     return N.event_delays(t.pop)
 
 
-@query("n8_template_similarity", "WITH e AS (SELECT DISTINCT p.session_id, event_id, cell FROM pop p JOIN act a ON a.session_id = p.session_id AND frame BETWEEN p.first AND p.last WHERE event_id <= 4), z AS (SELECT session_id, event_id, count(*) AS z FROM e GROUP BY ALL), w AS (SELECT DISTINCT session_id, cell, s::INT AS start FROM act, range(118) x(s) WHERE frame BETWEEN s AND s + 2) SELECT e.session_id, e.event_id, start, round(count(*) / max(z), 6) AS share FROM e JOIN w ON w.session_id = e.session_id AND w.cell = e.cell JOIN z ON z.session_id = e.session_id AND z.event_id = e.event_id GROUP BY e.session_id, e.event_id, start")
+@query("n8_template_similarity", "WITH e AS (SELECT DISTINCT p.session_id, event_id, cell FROM pop p JOIN act a ON a.session_id = p.session_id AND frame BETWEEN p.first AND p.last), z AS (SELECT session_id, event_id, count(*) AS z FROM e GROUP BY ALL), w AS (SELECT DISTINCT session_id, cell, s::INT AS start FROM act, range(118) x(s) WHERE frame BETWEEN s AND s + 2) SELECT e.session_id, e.event_id, start, round(count(*) / max(z), 6) AS share FROM e JOIN w ON w.session_id = e.session_id AND w.cell = e.cell JOIN z ON z.session_id = e.session_id AND z.event_id = e.event_id GROUP BY e.session_id, e.event_id, start")
 def n8(t):
-    members = I.periods_to_frames(t.pop.filter("event_id <= 4")).join(t.act, ["session_id", "frame"]).select("session_id", "event_id", "cell").distinct()
+    members = I.periods_to_frames(t.pop).join(t.act, ["session_id", "frame"]).select("session_id", "event_id", "cell").distinct()
     return rounded(N.template_similarity(members, t.act, t.sess, 3), "share")
 
 
-@query("n9_epoch_lag_distance", "WITH e AS (SELECT *, (frame // 40)::INT AS epoch FROM act WHERE cell < 5), l AS (SELECT a.session_id, a.cell, b.cell AS cell2, a.epoch, b.frame - a.frame AS x, count(*) AS w FROM e a JOIN e b ON a.session_id = b.session_id AND a.epoch = b.epoch AND a.cell < b.cell GROUP BY ALL), q AS (SELECT session_id, cell, cell2, epoch, x, w / sum(w) OVER (PARTITION BY session_id, cell, cell2, epoch) AS s FROM l), h AS (SELECT DISTINCT session_id, cell, cell2, epoch FROM q), pr AS (SELECT a.*, b.epoch AS epoch2 FROM h a JOIN h b ON a.session_id = b.session_id AND a.cell = b.cell AND a.cell2 = b.cell2 AND a.epoch < b.epoch), m AS (SELECT pr.*, x, s FROM pr JOIN q USING (session_id, cell, cell2, epoch) UNION ALL SELECT pr.*, x, -s FROM pr JOIN q ON q.session_id = pr.session_id AND q.cell = pr.cell AND q.cell2 = pr.cell2 AND q.epoch = pr.epoch2), d AS (" + _EMD.format(key="session_id, cell, cell2, epoch, epoch2", of="m").replace("round(sum(abs(c) * g), 6)", "sum(abs(c) * g)") + "), ep AS (SELECT DISTINCT session_id, epoch FROM e) SELECT a.session_id, a.epoch, b.epoch AS epoch2, round(avg(distance), 6) AS distance, count(distance) AS n_pairs FROM ep a JOIN ep b ON a.session_id = b.session_id AND a.epoch < b.epoch LEFT JOIN d ON d.session_id = a.session_id AND d.epoch = a.epoch AND d.epoch2 = b.epoch GROUP BY a.session_id, a.epoch, b.epoch")
+@query("n9_epoch_lag_distance", "WITH e AS (SELECT *, (frame // 40)::INT AS epoch FROM act), l AS (SELECT a.session_id, a.cell, b.cell AS cell2, a.epoch, b.frame - a.frame AS x, count(*) AS w FROM e a JOIN e b ON a.session_id = b.session_id AND a.epoch = b.epoch AND a.cell < b.cell GROUP BY ALL), q AS (SELECT session_id, cell, cell2, epoch, x, w / sum(w) OVER (PARTITION BY session_id, cell, cell2, epoch) AS s FROM l), h AS (SELECT DISTINCT session_id, cell, cell2, epoch FROM q), pr AS (SELECT a.*, b.epoch AS epoch2 FROM h a JOIN h b ON a.session_id = b.session_id AND a.cell = b.cell AND a.cell2 = b.cell2 AND a.epoch < b.epoch), m AS (SELECT pr.*, x, s FROM pr JOIN q USING (session_id, cell, cell2, epoch) UNION ALL SELECT pr.*, x, -s FROM pr JOIN q ON q.session_id = pr.session_id AND q.cell = pr.cell AND q.cell2 = pr.cell2 AND q.epoch = pr.epoch2), d AS (" + _EMD.format(key="session_id, cell, cell2, epoch, epoch2", of="m").replace("round(sum(abs(c) * g), 6)", "sum(abs(c) * g)") + "), ep AS (SELECT DISTINCT session_id, epoch FROM e) SELECT a.session_id, a.epoch, b.epoch AS epoch2, round(avg(distance), 6) AS distance, count(distance) AS n_pairs FROM ep a JOIN ep b ON a.session_id = b.session_id AND a.epoch < b.epoch LEFT JOIN d ON d.session_id = a.session_id AND d.epoch = a.epoch AND d.epoch2 = b.epoch GROUP BY a.session_id, a.epoch, b.epoch")
 def n9(t):
-    return rounded(N.epoch_lag_distance(t.act.filter("cell < 5"), 40), "distance")
+    return rounded(N.epoch_lag_distance(t.act, 40), "distance")
 
 
 @query("n10_lag_samples", "SELECT a.session_id, a.cell, b.cell AS cell2, (b.frame - a.frame)::INT AS lag FROM act a JOIN act b ON a.session_id = b.session_id AND a.cell <> b.cell AND b.frame BETWEEN a.frame - 5 AND a.frame + 5")

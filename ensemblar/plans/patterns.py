@@ -28,7 +28,7 @@ def q1(t):
     return rounded(_matrix(t), "p")
 
 
-@query("q1b_weighted_transition_matrix", f"WITH {_FOL}, r AS (SELECT session_id, cell AS dst, count(*) / 120.0 AS rate FROM act GROUP BY ALL), n AS (SELECT session_id, src, dst, sum(1 - rate) AS w FROM fl JOIN r USING (session_id, dst) GROUP BY ALL), s AS (SELECT n.session_id, n.src, n.dst, greatest(0, n.w - 0.2 * coalesce(b.w, 0)) AS w FROM n LEFT JOIN n b ON b.session_id = n.session_id AND b.src = n.dst AND b.dst = n.src), z AS (SELECT *, w / nullif(sum(w) OVER (PARTITION BY session_id, src), 0) AS p FROM s) SELECT session_id, src, dst, round(p, 6) AS p FROM z WHERE w > 0")
+@query("q1b_weighted_transition_matrix", f"WITH {_FOL}, r AS (SELECT session_id, cell AS dst, count(*) / 120.0 AS rate FROM act GROUP BY ALL), n AS (SELECT session_id, src, dst, n * (1 - rate) AS w FROM (SELECT session_id, src, dst, count(*) AS n FROM fl GROUP BY ALL) JOIN r USING (session_id, dst)), s AS (SELECT n.session_id, n.src, n.dst, greatest(0, n.w - 0.2 * coalesce(b.w, 0)) AS w FROM n LEFT JOIN n b ON b.session_id = n.session_id AND b.src = n.dst AND b.dst = n.src), z AS (SELECT *, w / nullif(sum(w) OVER (PARTITION BY session_id, src), 0) AS p FROM s) SELECT session_id, src, dst, round(p, 6) AS p FROM z WHERE w > 0")
 def q1b(t):
     return rounded(Q.transition_matrix(t.act, 1, 3, A.spike_rate(t.act, t.sess), 0.2), "p")
 
@@ -38,9 +38,9 @@ def q2(t):
     return rounded(Q.transition_matrix_adaptive(t.act, t.sess, 1, 3, 0.3), "p")
 
 
-@query("q3_transition_matrix_order2", f"WITH {_FOL}, r AS (SELECT session_id, cell, count(*) / 120.0 AS rate FROM act GROUP BY ALL), n AS (SELECT x.session_id, x.src AS a, x.dst AS b, y.dst AS c, sum(rb.rate + rc.rate) AS w FROM fl x JOIN fl y ON x.session_id = y.session_id AND x.dst = y.src AND x.frame2 = y.frame AND x.src <> y.dst JOIN r rb ON rb.session_id = x.session_id AND rb.cell = x.dst JOIN r rc ON rc.session_id = x.session_id AND rc.cell = y.dst WHERE x.src < 2 GROUP BY ALL) SELECT session_id, a, b, c, round(w / sum(w) OVER (PARTITION BY session_id, a), 9) AS p FROM n")
+@query("q3_transition_matrix_order2", f"WITH {_FOL}, r AS (SELECT session_id, cell, count(*) / 120.0 AS rate FROM act GROUP BY ALL), n AS (SELECT x.session_id, x.src AS a, x.dst AS b, y.dst AS c, sum(rb.rate + rc.rate) AS w FROM fl x JOIN fl y ON x.session_id = y.session_id AND x.dst = y.src AND x.frame2 = y.frame AND x.src <> y.dst JOIN r rb ON rb.session_id = x.session_id AND rb.cell = x.dst JOIN r rc ON rc.session_id = x.session_id AND rc.cell = y.dst GROUP BY ALL) SELECT session_id, a, b, c, round(w / sum(w) OVER (PARTITION BY session_id, a), 9) AS p FROM n")
 def q3(t):
-    return rounded(Q.transition_matrix_order2(t.act, A.spike_rate(t.act, t.sess), 1, 3).filter("a < 2"), "p", digits=9)
+    return rounded(Q.transition_matrix_order2(t.act, A.spike_rate(t.act, t.sess), 1, 3), "p", digits=9)
 
 
 @query("q4_next_candidates", f"WITH {_MAT} SELECT session_id, src, dst, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY session_id, src ORDER BY p DESC, dst) AS r FROM tm WHERE p > 1.0 / 9) WHERE r <= 3")
@@ -149,11 +149,11 @@ def q12b(t):
     return rounded(_spectrum(t)[1], "p")
 
 
-_PV = "pv AS (SELECT session_id, src, dst, round(1.0 / (1 + weight * weight), 6) AS p FROM edges WHERE src < 10 AND dst < 10)"
+_PV = "pv AS (SELECT session_id, src, dst, round(1.0 / (1 + weight * weight), 6) AS p FROM edges)"
 
 
 def _pvalues(t):
-    return t.edges.filter("src < 10 AND dst < 10").select("session_id", "src", "dst", F.round(1 / (1 + F.col("weight") * F.col("weight")), 6).alias("p"))
+    return t.edges.select("session_id", "src", "dst", F.round(1 / (1 + F.col("weight") * F.col("weight")), 6).alias("p"))
 
 
 @query("q13_correct_pvalues", f"WITH {_PV}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY p, src, dst) AS r, count(*) OVER (PARTITION BY session_id) AS m FROM pv), a AS (SELECT *, max(r) FILTER (p <= 0.05 * r / m) OVER (PARTITION BY session_id) AS l, min(r) FILTER (p > 0.05 / (m - r + 1)) OVER (PARTITION BY session_id) AS f FROM r) SELECT session_id, src, dst, p, r <= coalesce(l, 0) AS fdr, f IS NULL OR r < f AS holm, p <= 0.05 / m AS bonferroni FROM a")

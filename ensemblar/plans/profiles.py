@@ -41,9 +41,9 @@ def w4(t):
     return rounded(P.signal_average(t.sig, t.sig.filter("value > 150").select("session_id", "i"), 5, 5), "mean", "std")
 
 
-@query("w5_trace_windows", f"WITH {_WIN} SELECT session_id, event_id, cell, list(value ORDER BY rel) AS values FROM win JOIN traces USING (session_id, frame) WHERE cell < 2 GROUP BY ALL".replace("FROM pop p, range(-4, 7)", "FROM (SELECT * FROM pop WHERE event_id <= 3) p, range(-4, 7)"))
+@query("w5_trace_windows", f"WITH {_WIN} SELECT session_id, event_id, cell, list(value ORDER BY rel) AS values FROM win JOIN traces USING (session_id, frame) GROUP BY ALL")
 def w5(t):
-    return P.trace_windows(t.traces.filter("cell < 2"), t.pop.filter("event_id <= 3"), t.sess, 4, 6)
+    return P.trace_windows(t.traces, t.pop, t.sess, 4, 6)
 
 
 _PEAK = "pk AS (SELECT session_id, event_id, arg_max(frame, (n, -frame)) AS peak FROM pop p JOIN (SELECT session_id, frame, count(*) AS n FROM act GROUP BY ALL) USING (session_id) WHERE frame BETWEEN p.first AND p.last GROUP BY ALL)"

@@ -43,9 +43,9 @@ def p5(t):
     return rounded(S.segment_zscore(t.traces, changes, flatten=3), "value", digits=5).select(*CELL, "frame", F.col("segment").cast("long").alias("segment"), "value")
 
 
-@query("p6_smooth", "WITH k AS (SELECT unnest([0.08, 0.16785218, 0.39785218, 0.68214782, 0.91214782, 1.0, 0.91214782, 0.68214782, 0.39785218, 0.16785218, 0.08]) AS w, unnest(range(-5, 6)) AS d) SELECT a.session_id, a.cell, a.frame, round(sum(b.value * w) / sum(w), 6) AS value FROM traces a, k JOIN traces b ON b.session_id = a.session_id AND b.cell = a.cell AND b.frame = a.frame + d WHERE a.cell < 3 GROUP BY ALL")
+@query("p6_smooth", "WITH k AS (SELECT unnest([0.08, 0.16785218, 0.39785218, 0.68214782, 0.91214782, 1.0, 0.91214782, 0.68214782, 0.39785218, 0.16785218, 0.08]) AS w, unnest(range(-5, 6)) AS d) SELECT a.session_id, a.cell, a.frame, round(sum(b.value * w) / sum(w), 6) AS value FROM traces a, k JOIN traces b ON b.session_id = a.session_id AND b.cell = a.cell AND b.frame = a.frame + d GROUP BY ALL")
 def p6(t):
-    return rounded(S.smooth(t.traces.filter("cell < 3")), "value")
+    return rounded(S.smooth(t.traces), "value")
 
 
 @query("p7_rolling_mean", f"SELECT {_KEY}, CASE WHEN count(*) OVER w = 5 THEN round(avg(value) OVER w, 6) END AS value FROM traces WINDOW w AS ({_PART} ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")

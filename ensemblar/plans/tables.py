@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import CELL
+from ..functions.columns import CELL, over
 from ..operators import cluster as C
 from ..operators import intervals as I
 from ..operators import network as N
@@ -20,6 +20,7 @@ from ..operators import records as R
 from ..operators import stats as A
 from ..sources import io as S
 from ..streaming import sensors as X
+from .bindings import N_CELLS
 from .registry import query
 from .series import rounded
 
@@ -120,12 +121,17 @@ def t5b(t):
     return T.sample_weights(_strata(t)).select(*CELL, "first", "weight")
 
 
-@query("t6_shuffle_cells", "WITH w AS (SELECT session_id, event_id AS wid FROM pop WHERE event_id <= 3), c AS (SELECT DISTINCT session_id, cell FROM act), d AS (SELECT session_id, wid, k::INT AS k, cell, (((((12345::BIGINT * 48271 + wid * 16807 + 11) % 999983) * 48271 + k * 16807 + 11) % 999983) * 48271 + cell * 16807 + 11) % 999983 AS u FROM w JOIN c USING (session_id), range(2) x(k)) SELECT session_id, wid AS window_id, k AS copy, cell, (row_number() OVER (PARTITION BY session_id, wid, k ORDER BY u, cell) - 1)::INT AS new_cell FROM d")
+@query("t6_shuffle_cells", "WITH w AS (SELECT session_id, event_id AS wid FROM pop), c AS (SELECT DISTINCT session_id, cell FROM act), d AS (SELECT session_id, wid, k::INT AS k, cell, (((((12345::BIGINT * 48271 + wid * 16807 + 11) % 999983) * 48271 + k * 16807 + 11) % 999983) * 48271 + cell * 16807 + 11) % 999983 AS u FROM w JOIN c USING (session_id), range(2) x(k)) SELECT session_id, wid AS window_id, k AS copy, cell, (row_number() OVER (PARTITION BY session_id, wid, k ORDER BY u, cell) - 1)::INT AS new_cell FROM d")
 def t6(t):
-    w = t.pop.filter("event_id <= 3").select("session_id", F.col("event_id").alias("window_id"))
+    w = t.pop.select("session_id", F.col("event_id").alias("window_id"))
     return T.shuffle_cells(w, t.act.select(*CELL).distinct(), 2)
 
 
+@query("t6b_blind_ids", "SELECT c_name, row_number() OVER (ORDER BY md5('0|' || c_name), c_name) AS blind_id FROM (SELECT DISTINCT c_name FROM customer)")
+def t6b(t):
+    return T.blind_ids(t.table("customer"), "c_name")
+
+
 # -- records ---------------------------------------------------------------------------------------------
 
 
@@ -253,7 +259,7 @@ def s5(t):
 
 
 def _assembly_lines(t) -> DataFrame:
-    members = t.ecells.filter("event_id % 40 < 3").groupBy("session_id", "event_id").agg(F.array_sort(F.collect_list("cell")).alias("c"))
+    members = t.ecells.groupBy("session_id", "event_id").agg(F.array_sort(F.collect_list("cell")).alias("c"))
     numbered = members.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "c"))).alias("x"))
     text = lambda c: F.array_join(c.cast("array<string>"), " ")
     heads = F.transform("x", lambda e: F.concat(F.lit("SCA_cluster:"), text(e["c"])))
@@ -262,7 +268,7 @@ def _assembly_lines(t) -> DataFrame:
     return numbered.select(F.col("session_id").alias("file"), F.posexplode(lines).alias("n", "line"))
 
 
-@query("s6_read_assemblies", "WITH m AS (SELECT session_id, event_id, cell, (dense_rank() OVER (PARTITION BY session_id ORDER BY event_id) - 1)::INT AS assembly FROM ecells WHERE event_id % 40 < 3) SELECT session_id AS file, assembly, cell, event_id::INT AS frame FROM m")
+@query("s6_read_assemblies", "WITH m AS (SELECT session_id, event_id, cell, (dense_rank() OVER (PARTITION BY session_id ORDER BY event_id) - 1)::INT AS assembly FROM ecells) SELECT session_id AS file, assembly, cell, event_id::INT AS frame FROM m")
 def s6(t):
     members, times = S.parse_assemblies(_assembly_lines(t))
     return members.join(times.drop("single"), ["file", "assembly"])
@@ -275,9 +281,22 @@ def s7(t):
     return S.parse_sequence_results(g.select(F.col("session_id").alias("file"), line.alias("line")))
 
 
-@query("s8_read_wide_events", "SELECT session_id || '/' || event_id AS cell, 'f' || cell AS condition, value AS t FROM ev WHERE cell < 3")
+@query("s7b_parse_best_order", "SELECT session_id AS file, (row_number() OVER (PARTITION BY session_id ORDER BY cell) - 1)::INT AS rank, cell FROM (SELECT DISTINCT session_id, cell FROM ecells)")
+def s7b(t):
+    g = t.ecells.groupBy("session_id").agg(F.sort_array(F.collect_set("cell")).alias("c"))
+    return S.parse_best_order(g.select(F.col("session_id").alias("file"), F.concat(F.lit("best_order:"), F.array_join(F.col("c").cast("array<string>"), " ")).alias("line")))
+
+
+@query("s4b_read_interval_arrays", "SELECT session_id AS path, 'visit' AS label, t0, t1 FROM ivl")
+def s4b(t):
+    numbered = t.ivl.withColumn("frame", F.row_number().over(over("session_id", "t0", "t1")) - 1)
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("cell"), F.col("t0").alias("value")), F.struct(F.lit(1).alias("cell"), F.col("t1").alias("value"))))
+    return S.read_interval_arrays(numbered.select(F.col("session_id").alias("path"), "frame", sides.alias("x")).select("path", "frame", "x.cell", "x.value"), "visit")
+
+
+@query("s8_read_wide_events", "SELECT session_id || '/' || event_id AS cell, 'f' || cell AS condition, value AS t FROM ev")
 def s8(t):
-    wide = t.ev.filter("cell < 3").select(F.concat("session_id", F.lit("/"), F.col("event_id").cast("string")).alias("name"), *[F.when(F.col("cell") == c, F.col("value")).otherwise(F.lit(float("nan"))).alias(f"f{c}") for c in range(3)])
+    wide = t.ev.select(F.concat("session_id", F.lit("/"), F.col("event_id").cast("string")).alias("name"), *[F.when(F.col("cell") == c, F.col("value")).otherwise(F.lit(float("nan"))).alias(f"f{c}") for c in range(N_CELLS)])
     return S.read_wide_events(wide, "name")
 
 

@@ -46,7 +46,10 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).columns
+    got = QUERIES[name](spark, SMALL)
+    out = got.collect()
+    # the smallest table has no window with eight cells
+    assert got.columns and len(set(map(repr, out))) == len(out) and (out or name == "x2_stream_events")
 
 
 def test_entry(spark):
