@@ -132,6 +132,10 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
+# so that the filter on it is not pushed below and the agreement computed twice, by a second Python worker
+_agreement = _agreement.asNondeterministic()
+
+
 @F.pandas_udf(T.LongType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
