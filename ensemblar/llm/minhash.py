@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components
+from .components import joined, roots
 from .scratch import as_table, durable, unused
 from .textnum import LOWER, NOT_SPACE, Text, grams, mix, run_hashes, signed, texts_of
 
@@ -151,16 +151,16 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     side = {x: reps.select(F.col("doc_id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig")) for x in "ab"}
     near = pairs.join(side["a"], F.col("a") == F.col("a_id")).join(side["b"], F.col("b") == F.col("b_id"))
     sized = near.filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    return sized.select("a", "b", "a_n", "b_n", _agreement("a_sig", "b_sig").alias("agreement")).filter(F.col("agreement") >= LEAST_AGREEMENT)
+    return sized.select(*pairs.columns, "a_n", "b_n", _agreement("a_sig", "b_sig").alias("agreement")).filter(F.col("agreement") >= LEAST_AGREEMENT)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among pairs (a, b, a_n, b_n), by their full sets."""
+    """Links among pairs (a, b, a_n, b_n, ...), by their full sets, with the other columns of the pairs."""
     left = sets.select(F.col("doc_id").alias("l_id"), F.col("shingles").alias("l"))
     right = sets.select(F.col("doc_id").alias("r_id"), F.col("shingles").alias("r"))
     met = pairs.join(left, F.col("a") == F.col("l_id")).join(right, F.col("b") == F.col("r_id"))
-    counted = met.select("a", "b", "a_n", "b_n", _common("l", "r").alias("common"))
-    return counted.filter(100 * F.col("common") >= percent * (F.col("a_n") + F.col("b_n") - F.col("common"))).select("a", "b")
+    counted = met.select(*pairs.columns, _common("l", "r").alias("common"))
+    return counted.filter(100 * F.col("common") >= percent * (F.col("a_n") + F.col("b_n") - F.col("common"))).drop("a_n", "b_n", "common")
 
 
 def _labelled(hits: DataFrame, parts: DataFrame) -> DataFrame:
@@ -169,11 +169,11 @@ def _labelled(hits: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs that lie in different components so far."""
+    """The pairs that lie in different components so far, with these as a_part and b_part."""
     for x in "ab":
         p = parts.select(F.col("node").alias(f"{x}_node"), F.col("component").alias(f"{x}_part"))
         pairs = pairs.join(p, F.col(x) == F.col(f"{x}_node"), "left").withColumn(f"{x}_part", F.coalesce(f"{x}_part", x)).drop(f"{x}_node")
-    return pairs.filter("a_part <> b_part").drop("a_part", "b_part")
+    return pairs.filter("a_part <> b_part")
 
 
 def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +196,7 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other = key.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("h").alias("h2"), F.col("left").alias("left2"))
     enough = (100 + percent) * F.least("left", "left2") >= percent * (F.col("n") + F.col("n2"))
     met = key.join(other, (F.col("h") == F.col("h2")) & (F.col("doc_id") < F.col("b")) & (F.col("part") != F.col("part2")) & enough)
-    return met.select(F.col("doc_id").alias("a"), "b").distinct()
+    return met.select(F.col("doc_id").alias("a"), "b", F.col("part").alias("a_part"), F.col("part2").alias("b_part")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,24 +222,23 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
 
     # first the likeliest partner of each document, then what still lies between two components
     best = likely.groupBy("b").agg(F.max_by(F.struct("a", "a_n", "b_n"), F.struct("agreement", -F.col("a"))).alias("x")).select("x.a", "b", "x.a_n", "x.b_n")
-    links = durable(_confirmed(best, sets, percent))
-    parts = components(links)
-    more = durable(_confirmed(_across(likely, parts), sets, percent))
+    parts = roots(_confirmed(best, sets, percent))
+    more = durable(_confirmed(_across(likely, parts).drop("agreement"), sets, percent))
     if not more.isEmpty():
-        links = durable(links.union(more))
-        parts = components(links)
+        parts = joined(parts, more)
 
-    big = _labelled(hits.filter(F.col("size") > SMALL_BUCKET), parts)
+    big = durable(_labelled(hits.filter(F.col("size") > SMALL_BUCKET).select("key", "doc_id", "n"), parts))
     mixed = big.groupBy(F.col("key").alias("m_key")).agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 < p1").select("m_key")
     members = durable(big.join(mixed, F.col("key") == F.col("m_key"), "left_semi").select("doc_id", "n", "part").distinct())
     if not members.isEmpty():
         # a table in between: one Python worker for each running task is enough
-        rest = _confirmed(durable(_likely(_rare_pairs(members, sets, percent), reps, percent)), sets, percent)
-        parts = components(durable(links.union(rest)))
+        rest = durable(_likely(_rare_pairs(members, sets, percent), reps, percent).drop("agreement"))
+        parts = joined(parts, _confirmed(rest, sets, percent))
 
     parts = parts.select(F.col("node").alias("p_node"), "component")
-    told = classes.select("doc_id", "rep").distinct().join(parts, F.col("rep") == F.col("p_node"), "left").select(F.col("doc_id").alias("t_id"), F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n").join(told, F.col("doc_id") == F.col("t_id"), "left")
+    told = base.select("doc_id", "n", "d1", "d2").join(first, (F.col("n") == F.col("f_n")) & (F.col("d1") == F.col("f_1")) & (F.col("d2") == F.col("f_2")), "left")
+    told = told.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
+    out = told.join(parts, F.col("rep") == F.col("p_node"), "left").withColumn("component", F.coalesce("component", "rep"))
     same = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), same.alias("component_id"), F.coalesce(F.col("doc_id") == same, F.lit(True)).alias("kept"))
 
