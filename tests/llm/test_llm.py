@@ -15,6 +15,7 @@ from conftest import SMALL
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from ensemblar.llm import decontaminate, html_dom, html_extract, language, line_dedup, minhash, mixing, quality, suffix_dedup, token_counts, token_files  # noqa: E402
+from ensemblar.llm.components import components, joined, roots  # noqa: E402
 from ensemblar.llm.fm_index import FMIndex, suffix_array  # noqa: E402
 from ensemblar.llm.grouping import sort_suffixes  # noqa: E402
 from ensemblar.llm.oracle import ORACLE  # noqa: E402
@@ -605,3 +606,28 @@ def test_repeated_ids_with_different_texts_are_stable(spark):
     of = lambda x: spark.createDataFrame([(k, t, "en", "a", 0, *FURTHER) for k, t in x], DOCS)
     one, two = (sorted((x.doc_id or 0, x.text) for x in line_dedup.drop_lines(of(x)).collect()) for x in (rows, rows[::-1]))
     assert one == two == [(0, "no id"), (7, "another line of text\nshared line of both"), (7, "the first line of it\nshared line of both"), (8, "")]
+
+
+def test_components_of_trees_paths_and_later_links(spark):
+    """Pointers find the roots of trees; later links between components move every node of both."""
+    r = random.Random(4)
+    tree = [(r.randrange(max(0, k - 3), k), k) for k in range(1, 40) if k % 9]
+    path = [(100 + k, 101 + k) for k in range(20)]
+    frame = lambda x, a="a", b="b": spark.createDataFrame(x, f"{a} long, {b} long")
+
+    def smallest(links):
+        label = {k: k for x in links for k in x}
+        for _ in label:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    want = smallest(tree + path)
+    labels = roots(frame(tree + path))
+    assert {(x.node, x.component) for x in labels.collect()} == {(k, v) for k, v in want.items() if k != v}
+    shuffled = [(b, a) if r.random() < 0.5 else (a, b) for a, b in tree + path]
+    assert {(x.node, x.component) for x in components(frame(shuffled + shuffled[:5])).collect()} == set(want.items())
+    later = [(want[39], want[110]), (want[110], 500), (want[12], want[39])]
+    after = smallest(tree + path + later)
+    assert {(x.node, x.component) for x in joined(labels, frame(later, "a_part", "b_part")).collect()} == {(k, v) for k, v in after.items() if k != v}
+    assert roots(frame([])).count() == components(frame([])).count() == 0
