@@ -4,7 +4,8 @@ Suffixes are put into groups by a prefix that is a Lyndon word and has no longer
 Lyndon word after it.  Groups are handled from the largest to the smallest: each
 suffix of a group points to the nearest earlier one of a smaller group, and the
 suffixes pointed to take the group's word to the end of theirs, so they leave for
-a new group just above, further up the more of these words follow.  Then one pass
+a new group just above, further up the more of these words follow.  What a suffix's
+group stands for in the end is its longest Lyndon prefix.  Then one pass
 from the smallest suffix on puts each suffix's left neighbour, and those it points
 to, at the next free place of their groups.
 """
@@ -14,11 +15,10 @@ from __future__ import annotations
 import numpy as np
 
 
-def sort_suffixes(text: np.ndarray) -> np.ndarray:
-    """Places of all suffixes in ascending order.  text: integers; the last one is smaller than all others."""
+def grouped(text: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """The first phase, of text as below: each suffix's group (the place of its first suffix), the suffix
+    it points to (-1: none), and the length of its longest Lyndon prefix."""
     n = len(text)
-    if n < 2:
-        return np.arange(n)
     by_symbol = np.argsort(text, kind="stable")
     new = np.append(True, text[by_symbol[1:]] != text[by_symbol[:-1]])
     starts = np.flatnonzero(new)
@@ -30,7 +30,7 @@ def sort_suffixes(text: np.ndarray) -> np.ndarray:
     ends = np.zeros(n, np.int64)
     ends[starts] = np.append(starts[1:], n)
     row, group, place, end = by_symbol.tolist(), group_of.tolist(), place_of.tolist(), ends.tolist()
-    smaller = [-1] * n
+    smaller, length = [-1] * n, [1] * n
 
     top = n
     while top > 0:
@@ -50,6 +50,7 @@ def sort_suffixes(text: np.ndarray) -> np.ndarray:
                     place[other], place[p] = k, last
                     group[p] = last
                     end[g], end[last] = last, last + 1
+                length[p] += length[i]
         else:
             times: dict[int, int] = {}
             for i in sorted(row[start:top]):
@@ -61,6 +62,9 @@ def sort_suffixes(text: np.ndarray) -> np.ndarray:
                     times[p] = times.get(p, 0) + 1
             # the more words of this group follow, the higher: the highest leave first
             most = max(times.values(), default=0)
+            size = length[row[start]]
+            for p, c in times.items():
+                length[p] += c * size
             for level in range(most, 0, -1) if most > 1 else (1,):
                 taken: dict[int, int] = {}
                 for p in times if most == 1 else [p for p, c in times.items() if c == level]:
@@ -78,6 +82,15 @@ def sort_suffixes(text: np.ndarray) -> np.ndarray:
                         end[t], end[g] = e, t
         top = start
 
+    return group, smaller, length
+
+
+def sort_suffixes(text: np.ndarray) -> np.ndarray:
+    """Places of all suffixes in ascending order.  text: integers; the last one is smaller than all others."""
+    n = len(text)
+    if n < 2:
+        return np.arange(n)
+    group, smaller, _ = grouped(text)
     out, free, done = [0] * n, list(range(n)), bytearray(n)
     out[0] = n - 1
     done[n - 1] = 1

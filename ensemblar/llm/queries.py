@@ -12,6 +12,7 @@ from .language import languages_of, learn
 from .line_dedup import line_report
 from .minhash import near_duplicates
 from .mixing import mix_plan
+from .periods import periodic_runs, with_loops
 from .quality import quality_rules
 from .scratch import new_path
 from .suffix_dedup import suffix_dedup
@@ -66,7 +67,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages_of(docs, table(spark, sf_dir, "pages"), learn(docs))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_loops(documents(spark, sf_dir)))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+
+    # length / period in exact order, by products
+    def before(x, y):
+        more, less = x.length * y.period, y.length * x.period
+        return F.when(more != less, F.when(more > less, -1).otherwise(1)).when(x.start != y.start, F.when(x.start < y.start, -1).otherwise(1)).otherwise(F.when(x.period < y.period, -1).when(x.period > y.period, 1).otherwise(0))
+
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.get(F.array_sort("runs", before), F.lit(0)).alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * best.length DIV best.period").alias("exponent_milli")
+    return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
+    "op11_periodic_runs": op11_periodic_runs,
     "op5_main_text": op5_main_text,
     "op6_section_tokens": op6_section_tokens,
     "op9_language_id": op9_language_id,
