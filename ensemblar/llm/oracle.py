@@ -73,7 +73,25 @@ SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_first, 0) A
 FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all({lowered("text")}, '{_TERM}')) AS term FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all({lowered("text")}, '{_TERM}')) AS term FROM benchmark),
+iq AS (SELECT q, item_id, term, count(*) AS times FROM i GROUP BY ALL),
+sizes AS (SELECT row, count(*) AS n FROM d GROUP BY row),
+total AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nl FROM sizes),
+m AS (SELECT row, 100 - 75 + ((75 * n * nd) // nl) AS m FROM sizes, total),
+tf AS (SELECT row, doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM iq) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+s AS (SELECT q, item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM iq JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (row) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLE = {
+    "op13_ranked_search": OP13,
     "op10_line_dedup": OP10,
     "op2_decontamination": OP2,
     "op7_quality_rules": OP7,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .html_extract import main_text
 from .language import languages_of, learn
+from .lexical_search import best_documents
 from .line_dedup import line_report
 from .minhash import near_duplicates
 from .mixing import mix_plan
@@ -81,7 +82,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_documents(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op13_ranked_search": op13_ranked_search,
     "op11_periodic_runs": op11_periodic_runs,
     "op5_main_text": op5_main_text,
     "op6_section_tokens": op6_section_tokens,
