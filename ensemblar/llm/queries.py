@@ -11,6 +11,7 @@ from .html_extract import main_text
 from .language import languages_of, learn
 from .lexical_search import best_documents
 from .line_dedup import line_report
+from .maxent import held_out, score, train
 from .minhash import near_duplicates
 from .mixing import mix_plan
 from .periods import periodic_runs, with_loops
@@ -82,11 +83,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs.filter(~held_out())), held_out())
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_documents(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op12_lm_scores": op12_lm_scores,
     "op13_ranked_search": op13_ranked_search,
     "op11_periodic_runs": op11_periodic_runs,
     "op5_main_text": op5_main_text,
