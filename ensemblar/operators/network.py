@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import CELL, names, over, ratio
+from ..functions.shared import checkpointed
 from .intervals import coactive_runs, interval_overlap_join, pair_self_join
 
 
@@ -72,7 +72,7 @@ def event_covariance(event_cells: DataFrame, n_cells: DataFrame, centred: bool =
     return d.select("session_id", "event_id", "event_id2", F.when(F.col("both") == 0, 0.0).otherwise(F.coalesce(ratio(top, low), F.lit(0.0))).alias("covariance"))
 
 
-def common_core_course(event_cells: DataFrame, events: DataFrame, longest: int = 50) -> DataFrame:
+def common_core_course(event_cells: DataFrame, events: DataFrame) -> DataFrame:
     """From each event on: size of the running intersection of members and the delay so far, until it is empty.
 
     A cell is in the intersection after ``step`` further events while it was in each of them.
@@ -81,13 +81,15 @@ def common_core_course(event_cells: DataFrame, events: DataFrame, longest: int =
     e = event_cells.join(order, ["session_id", "event_id"]).select("session_id", "cell", "rank")
     # a cell's stretch of successive events: from each place in it the rest of the stretch counts
     island = e.withColumn("_g", F.col("rank") - F.row_number().over(over(CELL, "rank")))
-    rest = island.withColumn("_rest", F.least(F.max("rank").over(over([*CELL, "_g"])) - F.col("rank"), F.lit(longest)))
-    kept = rest.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_rest"))))
-    n = kept.groupBy("session_id", "rank", "step").agg(F.count("cell").alias("n"))
+    ends = island.withColumn("_end", F.max("rank").over(over([*CELL, "_g"]))).groupBy("session_id", "rank", "_end").agg(F.count("cell").alias("_n"))
+    # as many cells last to an end as have it or a later one; an end stands for all since the one before
+    w = over(["session_id", "rank"], F.desc("_end"))
+    last = ends.withColumn("n", F.sum("_n").over(w)).withColumn("_since", F.coalesce(F.lead("_end").over(w) + 1, F.col("rank")))
+    n = last.select("session_id", "rank", "n", F.explode(F.sequence("_since", "_end")).alias("_r2"))
     a = order.select("session_id", "rank", "event_id", F.col("at").alias("_a"))
     b = order.select("session_id", F.col("rank").alias("_r2"), F.col("at").alias("_b"))
-    d = n.withColumn("_r2", F.col("rank") + F.col("step")).join(a, ["session_id", "rank"]).join(b, ["session_id", "_r2"])
-    return d.select("session_id", "event_id", "step", "n", (F.col("_b") - F.col("_a")).alias("delay"))
+    d = n.join(a, ["session_id", "rank"]).join(b, ["session_id", "_r2"])
+    return d.select("session_id", "event_id", (F.col("_r2") - F.col("rank")).alias("step"), "n", (F.col("_b") - F.col("_a")).alias("delay"))
 
 
 def event_delays(events: DataFrame) -> DataFrame:
@@ -184,14 +186,6 @@ def functional_links(onsets: DataFrame, reach: int = 15, least: int = 20, alpha:
     return j.select("session_id", F.when(forth, F.col("cell")).otherwise(F.col("cell2")).alias("src"), F.when(forth, F.col("cell2")).otherwise(F.col("cell")).alias("dst"), "n", "p_normal", "p_uniform")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the plan of a loop at a reliable checkpoint, in the cluster's shared folder where one is named."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint()
-
-
 def betweenness(edges: DataFrame, longest: int = 50) -> DataFrame:
     """Shortest-path betweenness of directed unweighted graphs, normalised by (n-1)(n-2).
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CELL, names, over, ratio
-from .network import checkpointed
+from ..functions.shared import checkpointed
 from .stats import top_k_by
 
 
@@ -110,7 +110,7 @@ def sequence_occurrences(onsets: DataFrame, sequences: DataFrame, start: int = 1
 
 def group_by_time_profile(occurrences: DataFrame, tolerance: int = 0) -> DataFrame:
     """Occurrences with equal gaps between spikes (rounded to 2 x tolerance + 1 frames) as groups."""
-    gaps = F.zip_with(F.slice("times", 2, 1000), F.slice("times", F.lit(1), F.size("times") - 1), lambda a, b: F.floor((a - b) / (2 * tolerance + 1)).cast("int"))
+    gaps = F.zip_with(F.slice("times", F.lit(2), F.size("times") - 1), F.slice("times", F.lit(1), F.size("times") - 1), lambda a, b: F.floor((a - b) / (2 * tolerance + 1)).cast("int"))
     return occurrences.groupBy("session_id", "cells", gaps.alias("profile")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("times")[0]).alias("first_time"))
 
 

@@ -47,7 +47,7 @@ def n5(t):
     return rounded(N.event_covariance(t.ecells, m), "covariance")
 
 
-@query("n6_common_core_course", "WITH e AS (SELECT DISTINCT p.session_id, event_id, cell FROM pop p JOIN act a ON a.session_id = p.session_id AND frame BETWEEN p.first AND p.last), i AS (SELECT *, event_id - row_number() OVER (PARTITION BY session_id, cell ORDER BY event_id) AS g FROM e), l AS (SELECT *, max(event_id) OVER (PARTITION BY session_id, cell, g) AS z FROM i), s AS (SELECT session_id, event_id, unnest(range(0, least(z - event_id, 50) + 1))::INT AS step FROM l), n AS (SELECT session_id, event_id, step, count(*) AS n FROM s GROUP BY ALL) SELECT n.session_id, n.event_id, step, n, b.first - a.first AS delay FROM n JOIN pop a ON a.session_id = n.session_id AND a.event_id = n.event_id JOIN pop b ON b.session_id = n.session_id AND b.event_id = n.event_id + step")
+@query("n6_common_core_course", "WITH e AS (SELECT DISTINCT p.session_id, event_id, cell FROM pop p JOIN act a ON a.session_id = p.session_id AND frame BETWEEN p.first AND p.last), i AS (SELECT *, event_id - row_number() OVER (PARTITION BY session_id, cell ORDER BY event_id) AS g FROM e), l AS (SELECT *, max(event_id) OVER (PARTITION BY session_id, cell, g) AS z FROM i), s AS (SELECT session_id, event_id, unnest(range(0, z - event_id + 1))::INT AS step FROM l), n AS (SELECT session_id, event_id, step, count(*) AS n FROM s GROUP BY ALL) SELECT n.session_id, n.event_id, step, n, b.first - a.first AS delay FROM n JOIN pop a ON a.session_id = n.session_id AND a.event_id = n.event_id JOIN pop b ON b.session_id = n.session_id AND b.event_id = n.event_id + step")
 def n6(t):
     members = I.periods_to_frames(t.pop).join(t.act, ["session_id", "frame"]).select("session_id", "event_id", "cell").distinct()
     return N.common_core_course(members, t.pop)

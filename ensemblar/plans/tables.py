@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CELL, over
+from ..functions.shared import shared_path
 from ..operators import cluster as C
 from ..operators import intervals as I
 from ..operators import network as N
@@ -25,12 +24,6 @@ from .registry import query
 from .series import rounded
 
 
-def shared_path(t, name: str) -> str:
-    """A new folder in the cluster's shared one."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # -- clusters ---------------------------------------------------------------------------------------
 
 
@@ -88,11 +81,11 @@ def t3(t):
     return T.merge_window_predictions(w.drop("frame", "p")).filter("p > 0")
 
 
-_STRATA = f"{_CUT}, wn AS (SELECT session_id, c::INT AS cell, first, last FROM cut, range(3) y(c)), rn AS (SELECT session_id, cell, first, last, transient_id % 2 = 0 AS rl, (transient_id * 7 % 13)::INT AS amplitude FROM tr), g AS (SELECT w.session_id, w.cell, w.first, w.last, count(*) AS n, max(amplitude) AS amplitude, bool_or(rl AND r.first >= w.first AND r.last <= w.last) AS a, bool_or(rl AND NOT (r.first >= w.first AND r.last <= w.last)) AS b, bool_or(NOT rl AND r.first >= w.first AND r.last <= w.last) AS c FROM wn w JOIN rn r ON r.session_id = w.session_id AND r.cell = w.cell AND r.first <= w.last AND w.first <= r.last GROUP BY ALL), st AS (SELECT w.*, CASE WHEN a THEN 'true' WHEN b THEN 'cut_true' WHEN c THEN 'false' WHEN n > 0 THEN 'cut_false' ELSE 'background' END AS kind, coalesce(n, 0) > 1 AS several, amplitude FROM wn w LEFT JOIN g USING (session_id, cell, first, last))"
+_STRATA = f"{_CUT}, wn AS (SELECT session_id, c::INT AS cell, first, last FROM cut, range(10) y(c)), rn AS (SELECT session_id, cell, first, last, transient_id % 2 = 0 AS rl, (transient_id * 7 % 13)::INT AS amplitude FROM tr), g AS (SELECT w.session_id, w.cell, w.first, w.last, count(*) AS n, max(amplitude) AS amplitude, bool_or(rl AND r.first >= w.first AND r.last <= w.last) AS a, bool_or(rl AND NOT (r.first >= w.first AND r.last <= w.last)) AS b, bool_or(NOT rl AND r.first >= w.first AND r.last <= w.last) AS c FROM wn w JOIN rn r ON r.session_id = w.session_id AND r.cell = w.cell AND r.first <= w.last AND w.first <= r.last GROUP BY ALL), st AS (SELECT w.*, CASE WHEN a THEN 'true' WHEN b THEN 'cut_true' WHEN c THEN 'false' WHEN n > 0 THEN 'cut_false' ELSE 'background' END AS kind, coalesce(n, 0) > 1 AS several, amplitude FROM wn w LEFT JOIN g USING (session_id, cell, first, last))"
 
 
 def _strata(t):
-    w = T.window_cut(t.sess.select("session_id", "n_frames"), 32, 0.5).drop("n_frames").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(*CELL, "first", "last")
+    w = T.window_cut(t.sess.select("session_id", "n_frames"), 32, 0.5).drop("n_frames").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(N_CELLS - 1)))).select(*CELL, "first", "last")
     r = t.tr.select(*CELL, "first", "last", (F.col("transient_id") % 2 == 0).alias("real"), (F.col("transient_id") * 7 % 13).cast("int").alias("amplitude"))
     return T.strata(w, r)
 
@@ -208,7 +201,7 @@ def r9(t):
 
 @query("s1_read_sessions", "SELECT session_id, subject_id, age, n_frames, n_cells FROM sess")
 def s1(t):
-    path = shared_path(t, "sessions")
+    path = shared_path(t.spark, "sessions")
     S.write_dataset(t.sess.select("session_id", "subject_id", "age", F.lit(None).cast("double").alias("weight"), "rate_hz", "n_frames", "n_cells", F.lit(None).cast("double").alias("activity_threshold")), path, kind="csv")
     return S.read_sessions(t.spark, path, "csv").select("session_id", "subject_id", "age", "n_frames", "n_cells")
 
@@ -253,7 +246,7 @@ def s4(t):
 def s5(t):
     rows = t.pop.select("session_id", "first", "last").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("x"))
     text = F.array_join(F.concat(F.array(F.concat(F.lit("p"), F.col("session_id"))), F.transform("x", lambda p: F.concat(p["first"].cast("string"), F.lit("-"), p["last"].cast("string")))), "\n")
-    path = shared_path(t, "invalid")
+    path = shared_path(t.spark, "invalid")
     rows.select(text.alias("value")).repartition(4).write.text(path)
     return S.parse_invalid_frames(S.read_lines(t.spark, path))
 
@@ -302,7 +295,7 @@ def s8(t):
 
 @query("s9_write_dataset", "SELECT age, session_id, count(*) AS n FROM tr JOIN sess USING (session_id) GROUP BY ALL")
 def s9(t):
-    path = shared_path(t, "dataset")
+    path = shared_path(t.spark, "dataset")
     S.write_dataset(t.tr.join(t.sess.select("session_id", "age"), "session_id"), path, ["age", "session_id"])
     return t.spark.read.parquet(path).groupBy("age", "session_id").agg(F.count("first").alias("n"))
 
@@ -313,7 +306,7 @@ def s9(t):
 def _stream(t, name: str, make) -> DataFrame:
     """Runs a stream over the table's files to its end and reads what it wrote."""
     src = t.table("events")
-    path = shared_path(t, name)
+    path = shared_path(t.spark, name)
     rows = t.spark.readStream.schema(src.schema).parquet(f"{t.sf_dir}/events.parquet*")
     rows = rows.select(F.col("event_type").alias("session_id"), (F.col("user_id") % 10).cast("int").alias("cell"), F.col("ts").cast("timestamp").alias("ts"), "value")
     q = make(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
