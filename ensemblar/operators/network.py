@@ -186,37 +186,102 @@ def functional_links(onsets: DataFrame, reach: int = 15, least: int = 20, alpha:
     return j.select("session_id", F.when(forth, F.col("cell")).otherwise(F.col("cell2")).alias("src"), F.when(forth, F.col("cell2")).otherwise(F.col("cell")).alias("dst"), "n", "p_normal", "p_uniform")
 
 
-def betweenness(edges: DataFrame, longest: int = 50) -> DataFrame:
-    """Shortest-path betweenness of directed unweighted graphs, normalised by (n-1)(n-2).
+#: Sources searched from at once, one bit each; edges of a session that a task holds.
+SOURCES, TASK_EDGES = 64, 4 << 20
+_CHUNK = 1 << 15
+
 
-    Level by level from all sources at once with path counts, then back with dependencies.
+def dependencies(n: int, src: np.ndarray, dst: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Sums over at most 64 sources of the share of their shortest paths that run through each of n nodes.
+
+    A node's bits say which sources have reached it; a level's edges lead from nodes just reached to others, for
+    some of the bits.  The same edges, last level first, take the shares back.  Levels go on until none is new.
     """
-    e = checkpointed(edges.select("session_id", "src", "dst").distinct())
-    nodes = e.select("session_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    level = checkpointed(nodes.select("session_id", F.col("node").alias("s"), "node", F.lit(1.0).alias("paths"), F.lit(0).alias("d")))
+    order = np.argsort(dst, kind="stable")
+    src, dst, k = src[order], dst[order], np.arange(len(sources))
+    seen = np.zeros(n, np.uint64)
+    seen[sources] = np.uint64(1) << k.astype(np.uint64)
+    front, paths, levels = seen.copy(), np.zeros((n, len(k))), []
+    paths[sources, k] = 1
+
+    def chunks(edges: np.ndarray, bits: np.ndarray):
+        for a in range(0, len(edges), _CHUNK):
+            e = edges[a : a + _CHUNK]
+            yield e, ((bits[a : a + _CHUNK, None] >> k.astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+    while True:
+        bits = front[src] & ~seen[dst]
+        edges = np.flatnonzero(bits)
+        if not len(edges):
+            break
+        bits = bits[edges]
+        levels.append((edges, bits))
+        for e, on in chunks(edges, bits):
+            at = np.flatnonzero(np.append(True, np.diff(dst[e]) != 0))
+            paths[dst[e][at]] += np.add.reduceat(paths[src[e]] * on, at, axis=0)
+        at = np.flatnonzero(np.append(True, np.diff(dst[edges]) != 0))
+        front = np.zeros(n, np.uint64)
+        front[dst[edges][at]] = np.bitwise_or.reduceat(bits, at)
+        seen |= front
+    share = np.zeros((n, len(k)))
+    for edges, bits in reversed(levels):
+        by_src = np.argsort(src[edges], kind="stable")
+        for e, on in chunks(edges[by_src], bits[by_src]):
+            at = np.flatnonzero(np.append(True, np.diff(src[e]) != 0))
+            part = np.where(on, paths[src[e]] / np.maximum(paths[dst[e]], 1) * (1 + share[dst[e]]), 0)
+            share[src[e][at]] += np.add.reduceat(part, at, axis=0)
+    share[sources, k] = 0
+    return share.sum(axis=1)
+
+
+def _through(edges: pd.DataFrame) -> pd.DataFrame:
+    """One session's edges and one batch of its sources."""
+    ids, at = np.unique(np.concatenate([edges["src"], edges["dst"]]), return_inverse=True)
+    batch = int(edges["batch"].iloc[0])
+    sources = np.arange(batch * SOURCES, min((batch + 1) * SOURCES, len(ids)))
+    b = dependencies(len(ids), at[: len(edges)], at[len(edges) :], sources)
+    return pd.DataFrame({"session_id": edges["session_id"].iloc[0], "node": ids, "b": b})
+
+
+def _through_by_levels(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(session_id, node, b): as ``dependencies``, a level of all sources a step, for graphs that no task holds."""
+    level = checkpointed(nodes.select("session_id", F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("session_id", "s", "node")
-    while len(levels) <= longest:
+    while True:
         step = level.join(e.select("session_id", F.col("src").alias("node"), F.col("dst").alias("next")), ["session_id", "node"]).groupBy("session_id", "s", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
-        level = checkpointed(step.join(seen, ["session_id", "s", "node"], "left_anti").withColumn("d", F.lit(len(levels))).select("session_id", "s", "node", "paths", "d"))
+        level = checkpointed(step.join(seen, ["session_id", "s", "node"], "left_anti").select("session_id", "s", "node", "paths"))
         if level.isEmpty():
             break
         seen = checkpointed(seen.union(level.select("session_id", "s", "node")))
         levels.append(level)
     # a node's dependency: over its successors one level on, paths / their paths x (1 + theirs)
     dep = levels[-1].select("session_id", "s", "node", "paths", F.lit(0.0).alias("delta"))
-    parts = [dep]
+    all_ = dep
     for level in reversed(levels[:-1]):
         below = dep.select("session_id", "s", F.col("node").alias("dst"), F.col("paths").alias("_p"), F.col("delta").alias("_x"))
         met = level.join(e.select("session_id", F.col("src").alias("node"), "dst"), ["session_id", "node"]).join(below, ["session_id", "s", "dst"])
         sums = met.groupBy("session_id", "s", "node").agg(F.sum(F.col("paths") / F.col("_p") * (1 + F.col("_x"))).alias("delta"))
         dep = checkpointed(level.join(sums, ["session_id", "s", "node"], "left").select("session_id", "s", "node", "paths", F.coalesce("delta", F.lit(0.0)).alias("delta")))
-        parts.append(dep)
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    n = nodes.groupBy("session_id").agg(F.count("node").alias("m"))
-    b = all_.filter("s <> node").groupBy("session_id", "node").agg(F.sum("delta").alias("b"))
-    return nodes.join(b, ["session_id", "node"], "left").join(n, "session_id").select("session_id", "node", F.coalesce(ratio(F.col("b"), (F.col("m") - 1) * (F.col("m") - 2)), F.lit(0.0)).alias("betweenness"))
+        all_ = all_.unionByName(dep)
+    return all_.filter("s <> node").groupBy("session_id", "node").agg(F.sum("delta").alias("b"))
+
+
+def betweenness(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Shortest-path betweenness of directed unweighted graphs, normalised by (n-1)(n-2).
+
+    Sources are dealt in batches of 64, which meet a copy of their session's edges in one task and search from all
+    64 at once.  A session with more than ``task_edges`` edges goes level by level in joins instead.
+    """
+    e = checkpointed(edges.select("session_id", "src", "dst").distinct())
+    nodes = e.select("session_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    size = e.groupBy("session_id").agg(F.count("src").alias("_e")).join(nodes.groupBy("session_id").agg(F.count("node").alias("m")), "session_id")
+    fit = e.join(size.filter(F.col("_e") <= task_edges), "session_id").withColumn("batch", F.explode(F.sequence(F.lit(0), F.expr(f"cast((m - 1) div {SOURCES} as int)"))))
+    b = fit.select("session_id", "batch", "src", "dst").groupBy("session_id", "batch").applyInPandas(_through, "session_id string, node long, b double").groupBy("session_id", "node").agg(F.sum("b").alias("b"))
+    large = e.join(size.filter(F.col("_e") > task_edges).select("session_id"), "session_id", "left_semi")
+    if not large.isEmpty():
+        b = b.unionByName(_through_by_levels(large, nodes.join(large.select("session_id").distinct(), "session_id", "left_semi")).select("session_id", F.col("node").cast("long").alias("node"), "b"))
+    d = nodes.join(b, ["session_id", "node"], "left").join(size, "session_id")
+    return d.select("session_id", "node", F.coalesce(ratio(F.col("b"), (F.col("m") - 1) * (F.col("m") - 2)), F.lit(0.0)).alias("betweenness"))
 
 
 def hubs(edges: DataFrame, n_nodes: DataFrame, least_pct: float = 5, pct: float = 0.8, pooled: bool = False) -> DataFrame:

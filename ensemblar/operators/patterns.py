@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CELL, names, over, ratio
 from ..functions.shared import checkpointed
+from .events import surrogate_dither
 from .stats import top_k_by
 
 
@@ -154,40 +154,80 @@ def order_cells(onsets: DataFrame, candidates: DataFrame, reach: int = 3, window
 # -- repeated patterns ------------------------------------------------------------------------------------
 
 
-def spike_windows(onsets: DataFrame, bin_frames: int, length: int) -> DataFrame:
+def spike_windows(onsets: DataFrame, bin_frames: int, length: int, by: Sequence[str] = ("session_id",)) -> DataFrame:
     """Transactions (session_id, window, items): every window of bins with a spike in its first bin; item = cell x length + bin."""
-    b = onsets.select("session_id", "cell", F.floor(F.col("frame") / bin_frames).cast("int").alias("bin")).distinct()
-    wide = b.select("session_id", "cell", "bin", F.explode(F.sequence(F.greatest(F.lit(0), F.col("bin") - length + 1), F.col("bin"))).alias("window"))
-    heads = b.select("session_id", F.col("bin").alias("window")).distinct()
-    return wide.join(heads, ["session_id", "window"]).groupBy("session_id", "window").agg(F.array_sort(F.collect_set(F.col("cell") * length + F.col("bin") - F.col("window"))).alias("items"))
+    by = names(by)
+    b = onsets.select(*by, "cell", F.floor(F.col("frame") / bin_frames).cast("int").alias("bin")).distinct()
+    wide = b.select(*by, "cell", "bin", F.explode(F.sequence(F.greatest(F.lit(0), F.col("bin") - length + 1), F.col("bin"))).alias("window"))
+    heads = b.select(*by, F.col("bin").alias("window")).distinct()
+    return wide.join(heads, [*by, "window"]).groupBy(*by, "window").agg(F.array_sort(F.collect_set(F.col("cell") * length + F.col("bin") - F.col("window"))).alias("items"))
+
+
+#: Parts into which the transactions of one session are dealt before they are numbered.
+PARTS = 64
+
+
+def vertical(transactions: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """(by, items of one, block, bits): in which of 64 transactions each item is.
+
+    Blocks are filled from one session's part after another's, so most of them belong to one session.
+    """
+    by = names(by)
+    dealt = transactions.repartition(*by, F.pmod(F.xxhash64("items", *(["window"] if "window" in transactions.columns else [])), F.lit(PARTS))).sortWithinPartitions(*by)
+    numbered = dealt.withColumn("_t", F.monotonically_increasing_id())
+    one = numbered.select(*by, F.explode(F.array_distinct("items")).alias("item"), F.expr("_t div 64").alias("block"), F.expr("shiftleft(1L, cast(_t % 64 as int))").alias("bit"))
+    # numbers hold for one run only: they are kept
+    return checkpointed(one.groupBy(*by, F.array("item").alias("items"), "block").agg(F.bit_or("bit").alias("bits")))
+
 
+def _frequent(level: DataFrame, by: Sequence[str], least: int) -> DataFrame:
+    return level.groupBy(*by, "items").agg(F.sum(F.bit_count("bits")).cast("long").alias("cnt")).filter(F.col("cnt") >= least)
 
-def frequent_patterns(transactions: DataFrame, least: int, min_size: int = 2, max_size: int = 10, length: int | None = None, min_cells: int = 1, closed: bool = True) -> DataFrame:
+
+def frequent_patterns(transactions: DataFrame, least: int, min_size: int = 2, max_size: int = 10, length: int | None = None, min_cells: int = 1, closed: bool = True, by: Sequence[str] = ("session_id",)) -> DataFrame:
     """(session_id, items, size, cnt) of item sets found at least ``least`` times in a session.
 
-    Items carry their session, so one run serves all of them.  closed: without sets of which a
-    superset of one more item has the same count.  length: bins of a window; then patterns must use
-    the first bin and ``min_cells`` cells.
+    Vertical mining, one size after another: a set is the rows of the blocks of 64 transactions that hold it, as
+    bits.  Two sets that differ in their last item only meet by (session, common items, block), and their bits
+    together are those of the set of both; a set's count is the sum over its blocks.  So a step is an equi-join of
+    bounded rows, whatever a session's length, and sets of one beginning go on together.
+
+    closed: without sets of which a superset of one more item has the same count; sizes go one beyond ``max_size``
+    for that.  length: bins of a window; then patterns must use the first bin and ``min_cells`` cells.
     """
-    n = transactions.count()
-    if n == 0:
-        return transactions.sparkSession.createDataFrame([], "session_id string, items array<int>, size int, cnt long")
-    keyed = transactions.select(F.transform("items", lambda i: F.concat_ws("\t", F.col("session_id"), i.cast("string"))).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=1.0).fit(keyed).freqItemsets
-    items = F.array_sort(F.transform("items", lambda x: F.split(x, "\t")[1].cast("int")))
-    p = found.select(F.split(F.col("items")[0], "\t")[0].alias("session_id"), items.alias("items"), F.size("items").alias("size"), F.col("freq").alias("cnt")).filter(F.col("cnt") >= least)
-    if closed:
-        p = checkpointed(p)
-        # every set one smaller than some set with the same count is not closed
-        drop = F.explode(F.transform("items", lambda x: F.array_remove("items", x)))
-        smaller = p.filter("size > 1").select("session_id", drop.alias("items"), "cnt").distinct()
-        p = p.join(smaller, ["session_id", "items", "cnt"], "left_anti").select("session_id", "items", "size", "cnt")
-    p = p.filter((F.col("size") >= min_size) & (F.col("size") <= max_size))
+    by = names(by)
+    level, found = vertical(transactions, by), []
+    counts = checkpointed(_frequent(level, by, least))
+    for size in range(1, max_size + 1 + closed):
+        if counts.isEmpty():
+            break
+        found.append((size, counts))
+        if size == max_size + closed:
+            break
+        level = level.join(counts.drop("cnt"), [*by, "items"], "left_semi")
+        level = level.select(*by, F.slice("items", 1, size - 1).alias("head"), F.element_at("items", -1).alias("last"), "block", "bits") if size > 1 else level.select(*by, F.col("items")[0].alias("last"), "block", "bits")
+        head = ["head"] if size > 1 else []
+        other = level.select(*by, *head, F.col("last").alias("last2"), "block", F.col("bits").alias("bits2"))
+        met = level.join(other, [*by, *head, "block"]).filter("last < last2 AND (bits & bits2) <> 0")
+        items = F.concat(*head, F.array("last", "last2")) if head else F.array("last", "last2")
+        level = checkpointed(met.select(*by, items.alias("items"), "block", F.expr("bits & bits2").alias("bits")))
+        counts = checkpointed(_frequent(level, by, least))
+    out = None
+    for k, (size, c) in enumerate(found):
+        if size > max_size or size < min_size:
+            continue
+        if closed and k + 1 < len(found):
+            drop = F.explode(F.transform("items", lambda x: F.array_remove("items", x)))
+            c = c.join(found[k + 1][1].select(*by, drop.alias("items"), "cnt").distinct(), [*by, "items", "cnt"], "left_anti")
+        c = c.select(*by, "items", F.lit(size).alias("size"), "cnt")
+        out = c if out is None else out.unionByName(c)
+    if out is None:
+        out = counts.select(*by, "items", F.lit(0).alias("size"), "cnt").filter("false")
     if length:
         first = F.exists("items", lambda i: i % length == 0)
         cells = F.size(F.array_distinct(F.transform("items", lambda i: F.floor(i / length))))
-        p = p.filter(first & (cells >= min_cells))
-    return p
+        out = out.filter(first & (cells >= min_cells))
+    return out
 
 
 def pattern_spectrum(patterns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -197,9 +237,27 @@ def pattern_spectrum(patterns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def pvalue_spectrum(surrogate_patterns: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
     """Share of n surrogates with a pattern of at least each (size, cnt); surrogate_patterns has k, sizes (session_id, size, cnt) the signatures asked for."""
     top = surrogate_patterns.groupBy("session_id", "k", "size").agg(F.max("cnt").alias("m"))
-    met = sizes.select("session_id", "size", "cnt").distinct().join(top.withColumnRenamed("size", "_z"), "session_id", "left").filter((F.col("_z") >= F.col("size")) & (F.col("m") >= F.col("cnt")))
+    asked = sizes.select("session_id", "size", "cnt").distinct()
+    met = asked.join(top.withColumnRenamed("size", "_z"), "session_id").filter((F.col("_z") >= F.col("size")) & (F.col("m") >= F.col("cnt")))
     hit = met.groupBy("session_id", "size", "cnt").agg((F.count_distinct("k") / n).alias("p"))
-    return sizes.select("session_id", "size", "cnt").distinct().join(hit, ["session_id", "size", "cnt"], "left").select("session_id", "size", "cnt", F.coalesce("p", F.lit(0.0)).alias("p"))
+    return asked.join(hit, ["session_id", "size", "cnt"], "left").select("session_id", "size", "cnt", F.coalesce("p", F.lit(0.0)).alias("p"))
+
+
+def surrogate_spectrum(onsets: DataFrame, sessions: DataFrame, patterns: DataFrame, n: int, width: int, bin_frames: int, length: int, seed: int = 0) -> DataFrame:
+    """(session_id, size, cnt, p): p-values of the patterns' signatures from n dithered copies of the spikes.
+
+    All copies are one job: the copy's number is a key beside the session.  They are mined for the sizes and
+    counts of the patterns only, so most of a copy's sets end after a step or two.
+    """
+    asked = patterns.agg(F.min("cnt"), F.min("size"), F.max("size")).first()
+    if asked[0] is None:
+        return patterns.select("session_id", "size", "cnt", F.lit(0.0).alias("p")).filter("false")
+    least, smallest, largest = asked
+    copies = onsets.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dithered = surrogate_dither(copies, sessions, width, F.col("k"), seed, by=("k",))
+    key = ("session_id", "k")
+    mined = frequent_patterns(spike_windows(dithered, bin_frames, length, key), least, smallest, largest, closed=False, by=key)
+    return pvalue_spectrum(mined, patterns, n)
 
 
 def correct_pvalues(df: DataFrame, alpha: float = 0.05, method: str = "fdr", by: Sequence[str] = ("session_id",)) -> DataFrame:
@@ -235,10 +293,17 @@ def _occurrences(patterns: DataFrame, transactions: DataFrame) -> DataFrame:
     return met.filter(F.size(F.array_intersect("items", "t_items")) == F.col("size")).select("session_id", "items", "size", "window", "t_items")
 
 
+def _subset_draw(seed: int):
+    """A number for each pattern, window and subset that reruns agree on."""
+    items = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: F.pmod(a * 31 + i, F.lit(65521)))
+    x = F.pmod(items * 7919 + F.col("window") * 40503 + F.col("k") * 104729 + seed, F.lit(999983))
+    return F.pmod(x * 48271, F.lit(65521))
+
+
 def pattern_stability(patterns: DataFrame, transactions: DataFrame, n_subsets: int = 20, seed: int = 0) -> DataFrame:
     """Share of random subsets of a pattern's windows whose common items are just the pattern."""
     occ = checkpointed(_occurrences(patterns, transactions)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))))
-    kept = occ.filter(F.pmod(F.xxhash64("session_id", "items", "window", "k", F.lit(seed)), F.lit(2)) == 0)
+    kept = occ.filter(F.pmod(_subset_draw(seed), F.lit(2)) == 0)
     size = kept.groupBy("session_id", "items", "size", "k").agg(F.count("window").alias("_m"))
     item = kept.select("session_id", "items", "k", F.explode("t_items").alias("item")).groupBy("session_id", "items", "k", "item").agg(F.count(F.lit(1)).alias("_c"))
     common = item.join(size, ["session_id", "items", "k"]).filter("_c = _m").groupBy("session_id", "items", "size", "k").agg(F.count("item").alias("_common"))

@@ -174,4 +174,6 @@ def with_tables(sql: str) -> str:
         return sql
     head = ",\n".join(f"{x} AS ({SQL_TABLES[x]})" for x in SQL_TABLES if x in named)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},{body[14:]}"
     return f"WITH {head}{',' + body[4:] if body[:5].upper() == 'WITH ' else chr(10) + body}"

@@ -85,13 +85,26 @@ def _sparse(t):
     return t.edges.join(w, "session_id").filter("weight >= lim").select("session_id", "src", "dst")
 
 
-@query("n11_hubs")
+_BET = """WITH RECURSIVE lim AS (SELECT session_id, quantile_cont(weight, 0.93) AS l FROM edges GROUP BY ALL), sp AS MATERIALIZED (SELECT session_id, src, dst FROM edges JOIN lim USING (session_id) WHERE weight >= l),
+nd AS MATERIALIZED (SELECT session_id, src AS node FROM sp UNION SELECT session_id, dst FROM sp),
+w AS (SELECT session_id, node AS s, node, 0 AS d FROM nd UNION SELECT w.session_id, s, dst, d + 1 FROM w JOIN sp ON sp.session_id = w.session_id AND sp.src = w.node WHERE d < 40),
+ds AS MATERIALIZED (SELECT session_id, s, node, min(d) AS d FROM w GROUP BY ALL),
+sh AS (SELECT session_id, s, s AS node, 0 AS d FROM (SELECT session_id, node AS s FROM nd) UNION ALL SELECT sh.session_id, sh.s, sp.dst, sh.d + 1 FROM sh JOIN sp ON sp.session_id = sh.session_id AND sp.src = sh.node JOIN ds ON ds.session_id = sh.session_id AND ds.s = sh.s AND ds.node = sp.dst AND ds.d = sh.d + 1),
+pt AS MATERIALIZED (SELECT session_id, s, node, d, count(*) AS n FROM sh GROUP BY ALL),
+th AS (SELECT a.session_id, a.node, sum(a.n * b.n / c.n::DOUBLE) AS b FROM pt a JOIN pt b ON b.session_id = a.session_id AND b.s = a.node AND b.d > 0 JOIN pt c ON c.session_id = a.session_id AND c.s = a.s AND c.node = b.node AND c.d = a.d + b.d WHERE a.d > 0 GROUP BY ALL),
+m AS (SELECT session_id, count(*) AS m FROM nd GROUP BY ALL),
+bw AS (SELECT nd.session_id, nd.node, coalesce(b / nullif((m - 1) * (m - 2), 0), 0.0) AS betweenness FROM nd JOIN m USING (session_id) LEFT JOIN th ON th.session_id = nd.session_id AND th.node = nd.node)"""
+
+
+@query("n11_hubs", _BET + """, dg AS (SELECT bw.*, (SELECT count(*) FROM sp WHERE sp.session_id = bw.session_id AND sp.src = bw.node) AS o, (SELECT count(*) FROM sp WHERE sp.session_id = bw.session_id AND sp.dst = bw.node) AS i FROM bw),
+lm AS (SELECT session_id, quantile_cont(o + i, 0.8) AS d, quantile_cont(betweenness, 0.8) AS b FROM dg GROUP BY ALL)
+SELECT session_id, node, o + i AS degree, round(betweenness, 6) AS betweenness FROM dg JOIN lm USING (session_id) JOIN m USING (session_id) WHERE o > 0 AND 100 * o >= 2.0 * m AND o + i >= d AND betweenness >= b - 1e-12""")
 def n11(t):
     e = _sparse(t)
     return rounded(N.hubs(e, nodes(e), 2.0, 0.8), "betweenness")
 
 
-@query("n12_betweenness")
+@query("n12_betweenness", _BET + " SELECT session_id, node, round(betweenness, 6) AS betweenness FROM bw")
 def n12(t):
     return rounded(N.betweenness(_sparse(t)), "betweenness")
 

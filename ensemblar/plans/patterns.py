@@ -123,7 +123,23 @@ def q11(t):
     return Q.frequent_patterns(_baskets(t), 20, 2, 2, closed=False)
 
 
-@query("q11b_closed_patterns")
+def _mined(p: str, tx: str, key: str, least: int, most: int) -> str:
+    """Common tables, named with a prefix: all frequent sets up to a size (sc), and the closed ones of less than it (cl)."""
+    k = key.split(", ")
+    same = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in k)
+    of = lambda a: ", ".join(f"{a}.{x}" for x in k)
+    return f"""{p}fi AS MATERIALIZED (SELECT {key}, item, list("window") AS ws FROM (SELECT {key}, "window", unnest(items) AS item FROM {tx}) GROUP BY {key}, item HAVING count(*) >= {least}),
+{p}st AS (SELECT {key}, [item] AS items, ws FROM {p}fi UNION ALL SELECT {of("s")}, list_append(s.items, i.item), list_intersect(s.ws, i.ws) FROM {p}st s JOIN {p}fi i ON {same("s", "i")} AND i.item > s.items[-1] WHERE len(s.items) < {most} AND len(list_intersect(s.ws, i.ws)) >= {least}),
+{p}sc AS MATERIALIZED (SELECT {key}, items, len(items)::INT AS size, len(ws) AS cnt FROM {p}st),
+{p}sub AS (SELECT DISTINCT {key}, cnt, list_filter(items, lambda x: x <> d) AS items FROM (SELECT *, unnest(items) AS d FROM {p}sc)),
+{p}cl AS MATERIALIZED (SELECT a.* FROM {p}sc a LEFT JOIN {p}sub b ON {same("a", "b")} AND b.items = a.items AND b.cnt = a.cnt WHERE b.cnt IS NULL AND a.size < {most})"""
+
+
+def _closed(least: int, most: int) -> str:
+    return "WITH RECURSIVE " + _TX + ", " + _mined("", "tx", "session_id", least, most + 1)
+
+
+@query("q11b_closed_patterns", _closed(5, 5) + " SELECT session_id, items, size, cnt FROM cl WHERE size >= 2 AND len(list_filter(items, lambda i: i % 3 = 0)) > 0 AND len(list_distinct(list_transform(items, lambda i: i // 3))) >= 2")
 def q11b(t):
     return Q.frequent_patterns(_tx(t), 5, 2, 5, length=3, min_cells=2)
 
@@ -133,18 +149,17 @@ def q12(t):
     return Q.pattern_spectrum(Q.frequent_patterns(_baskets(t), 20, 2, 2, closed=False))
 
 
+#: Signatures of a closed pattern and, for each dithered copy, the largest count of every size.
+_SP = _closed(5, 3) + ", sg AS (SELECT DISTINCT session_id, size, cnt FROM cl WHERE size >= 2), kd AS (SELECT DISTINCT session_id, k, cell, greatest(0, least(119, frame + (cell * 7919 + frame * 104729 + k * 15485863) % 7 - 3))::INT AS frame FROM act, range(3) x(k)), kb AS (SELECT DISTINCT session_id, k, cell, (frame // 2)::INT AS b FROM kd), kx AS (SELECT kb.session_id, kb.k, w AS \"window\", list(DISTINCT cell * 3 + b - w ORDER BY cell * 3 + b - w) AS items FROM kb JOIN (SELECT DISTINCT session_id, k, b AS w FROM kb) h ON h.session_id = kb.session_id AND h.k = kb.k AND b BETWEEN w AND w + 2 GROUP BY kb.session_id, kb.k, w), " + _mined("k", "kx", "session_id, k", 5, 3) + ", kt AS (SELECT session_id, k, size, max(cnt) AS m FROM ksc GROUP BY ALL), pv AS (SELECT session_id, size, cnt, (SELECT count(DISTINCT k) FROM kt WHERE kt.session_id = sg.session_id AND kt.size >= sg.size AND kt.m >= sg.cnt) / 3.0 AS p FROM sg)"
+
+
 def _spectrum(t, n=3):
-    """p-values of the patterns' signatures from dithered copies, mined in one run: the copy is part of the session."""
+    """Closed patterns, and the p-values of their signatures from dithered copies."""
     p = Q.frequent_patterns(_tx(t), 5, 2, 3)
-    copies = None
-    for k in range(n):
-        d = G.surrogate_dither(t.act, t.sess, 3, k).withColumn("session_id", F.concat_ws("|", "session_id", F.lit(str(k))))
-        copies = d if copies is None else copies.unionByName(d)
-    s = Q.frequent_patterns(Q.spike_windows(copies, 2, 3), 5, 2, 3).select(F.split("session_id", r"\|")[0].alias("session_id"), F.split("session_id", r"\|")[1].cast("int").alias("k"), "size", "cnt")
-    return p, Q.pvalue_spectrum(s, p, n)
+    return p, Q.surrogate_spectrum(t.act, t.sess, p, n, 3, 2, 3)
 
 
-@query("q12b_pvalue_spectrum")
+@query("q12b_pvalue_spectrum", _SP + " SELECT session_id, size, cnt, round(p, 6) AS p FROM pv")
 def q12b(t):
     return rounded(_spectrum(t)[1], "p")
 
