@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -126,28 +126,49 @@ def event_window_join(events: DataFrame, frames: DataFrame, before: int, after:
     return wide.join(frames, ["session_id", "frame"]).withColumn("rel", F.col("frame") - F.col("event_frame"))
 
 
-def interval_overlap_join(a: DataFrame, b: DataFrame, part: Sequence[str] = SESSION, bucket: int = 16, how: str = "inner", long_buckets: int = 50) -> DataFrame:
+def _cover(first: str, last: str, bucket: int, levels: int) -> Column:
+    """Nodes (level, node) of a tree of buckets, eight to a node, that make up an interval: at most 14 a level below the top."""
+    low, high = F.floor(F.col(first) / bucket).cast("long"), F.floor(F.col(last) / bucket).cast("long") + 1
+    span = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def nodes(k: Column) -> Column:
+        # of the nodes inside the interval, those whose parent is not inside too
+        at = lambda up: (-F.call_function("shiftright", -low, 3 * (k + up)), F.call_function("shiftright", high, 3 * (k + up)))
+        (a, b), (x, y) = at(0), at(1)
+        whole = (x < y) & (k < levels - 1)
+        left = F.when(whole, F.least(b, 8 * x)).otherwise(b)
+        right = F.when(whole, F.greatest(left, 8 * y)).otherwise(b)
+        return F.transform(F.concat(span(a, left), span(right, b)), lambda n: F.struct(k.alias("level"), n.alias("node")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), nodes))
+
+
+def interval_overlap_join(a: DataFrame, b: DataFrame, part: Sequence[str] = SESSION, bucket: int = 16, how: str = "inner", levels: int = 5) -> DataFrame:
     """Pairs of a and b with a common frame; columns of b that a has too get the prefix b_.
 
-    Both sides are dealt to buckets of frames.  A pair is kept in the bucket where its common part
-    begins, so no pair comes twice.  Intervals over many buckets would be copied too often: they
-    are joined by the part alone, and checked.
+    Two intervals meet where the later of them begins, so a pair is found once: a's beginning in b, or b's in a
+    after a's beginning.  An interval is cut into the nodes of a tree over buckets of frames, some for each
+    level; a beginning is in one node of every level.  They meet by (part, level, node): long intervals come in a
+    few large nodes, and no join is by the part alone.  A node of the top level has bucket x 8 ** (levels - 1)
+    frames; intervals of many times that are as right, and in more nodes.
     """
     part = names(part)
     taken = set(a.columns)
     b = b.select(*[F.col(c).alias(f"b_{c}" if c in taken and c not in part else c) for c in b.columns])
     first, last = ("b_first", "b_last") if "first" in taken else ("first", "last")
-    dealt = lambda d, f, l, name: d.withColumn(name, F.explode(F.sequence(F.floor(F.col(f) / bucket), F.floor(F.col(l) / bucket))))
-    size = lambda d, f, l: F.floor(F.col(l) / bucket) - F.floor(F.col(f) / bucket)
-    rest = b.filter(size(b, first, last) > long_buckets)
-    near = dealt(a, "first", "last", "_bucket").join(dealt(b.filter(size(b, first, last) <= long_buckets), first, last, "_bucket"), [*part, "_bucket"])
-    near = near.filter((F.col("first") <= F.col(last)) & (F.col(first) <= F.col("last")) & (F.floor(F.greatest("first", first) / bucket) == F.col("_bucket"))).drop("_bucket")
-    wide = a.join(rest, part).filter((F.col("first") <= F.col(last)) & (F.col(first) <= F.col("last")))
-    met = near.unionByName(wide)
+
+    def met(points: DataFrame, at: str, wide: DataFrame, f: str, l: str) -> DataFrame:
+        nodes = wide.select("*", F.explode(_cover(f, l, bucket, levels)).alias("_n")).select(*wide.columns, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
+        place = F.floor(F.col(at) / bucket).cast("long")
+        dealt = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("_node", F.call_function("shiftright", place, 3 * F.col("_level")))
+        return dealt.join(nodes, [*part, "_level", "_node"]).filter((F.col(f) <= F.col(at)) & (F.col(at) <= F.col(l)))
+
+    columns = [*a.columns, *(c for c in b.columns if c not in part)]
+    pairs = met(a, "first", b, first, last).select(columns).unionByName(met(b, first, a, "first", "last").filter(F.col(first) > F.col("first")).select(columns))
     if how == "inner":
-        return met
-    keys = [c for c in a.columns]
-    hit = met.select(*keys).distinct()
+        return pairs
+    keys = a.columns
+    hit = pairs.select(*keys).distinct()
     same = [F.col(f"_a.{c}").eqNullSafe(F.col(f"_h.{c}")) for c in keys]
     return a.alias("_a").join(hit.alias("_h"), reduce(lambda x, y: x & y, same), "left_semi" if how == "semi" else "left_anti")
 
