@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import CELL, frames_of, over, shift
+from ..functions.columns import CELL, frames_of, names, over, shift
 from .intervals import interval_overlap_join, merge_periods, periods_to_frames, runs, take_spaced
 
 
@@ -123,10 +124,66 @@ def post_twitch_bouts(activity: DataFrame, twitches: DataFrame, within: int = 20
     return runs(later, ("session_id", "twitch_id"))
 
 
-def significant_periods(activity: DataFrame, periods: DataFrame, sessions: DataFrame, n: int, pct: float = 0.95, seed: int = 0) -> DataFrame:
-    """Periods (session_id, period_id, first, last) whose summed activity reaches the surrogates' percentile over all periods."""
+def circle_tally(arcs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, n, times): in how many of the n_frames places of a circle n arcs lie; arcs: key, at, size (1 to n_frames), n_frames.
+
+    Only the ends of arcs are rows: the number changes there, and stays for as many places as lie between two.
+    """
+    key = names(key)
+    end = F.col("at") + F.col("size")
+    marks = F.array(
+        F.struct(F.lit(0).alias("at"), F.when(end > F.col("n_frames"), 1).otherwise(0).alias("d")),
+        F.struct(F.col("at").cast("int").alias("at"), F.lit(1).alias("d")),
+        F.struct((end % F.col("n_frames")).cast("int").alias("at"), F.when(end == F.col("n_frames"), 0).otherwise(-1).alias("d")),
+    )
+    step = arcs.select(*key, "n_frames", F.explode(marks).alias("m")).groupBy(*key, "n_frames", F.col("m.at").alias("at")).agg(F.sum("m.d").alias("d"))
+    w = over(key, "at")
+    level = step.withColumn("n", F.sum("d").over(w)).withColumn("times", F.coalesce(F.lead("at").over(w), F.col("n_frames")) - F.col("at"))
+    return level.groupBy(*key, "n").agg(F.sum("times").alias("times"))
+
+
+def _quantile(tally: DataFrame, key: Sequence[str], pct: float, weight: str = "times") -> DataFrame:
+    """(key, threshold): the smallest n that a share pct of the weight does not pass."""
+    below, all_ = F.sum(weight).over(over(key, "n")), F.sum(weight).over(over(key))
+    reached = tally.withColumn("_reached", below >= pct * all_ - 1e-9 * all_).filter("_reached")
+    return reached.groupBy(*key).agg(F.min("n").cast("double").alias("threshold"))
+
+
+def activity_distribution(activity: DataFrame, lengths: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(session_id, length, n, p): probability of each summed activity in a window of a length, over all rotations of all cells.
+
+    A cell rolled by any of n_frames shifts puts as many frames in a window as a window at any place holds of it:
+    ends of arcs give each cell's numbers, and the cells' distributions are folded.  lengths: (session_id, length).
+    """
+    arcs = activity.join(lengths.distinct(), "session_id").join(sessions.select("session_id", "n_frames"), "session_id")
+    arcs = arcs.select(*CELL, "length", "n_frames", F.pmod(F.col("frame") - F.col("length") + 1, F.col("n_frames")).alias("at"), F.col("length").alias("size"))
+    cells = circle_tally(arcs, [*CELL, "length"])
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        out = np.ones(1)
+        for _, own in p.sort_values(["cell", "n"]).groupby("cell"):
+            one = np.zeros(int(own["n"].max()) + 1)
+            one[own["n"].to_numpy(int)] = own["times"]
+            out = np.convolve(out, one / one.sum())
+        return pd.DataFrame({"session_id": p["session_id"].iloc[0], "length": p["length"].iloc[0], "n": np.arange(len(out)), "p": out})
+
+    return cells.groupBy("session_id", "length").applyInPandas(fold, "session_id string, length int, n long, p double")
+
+
+def significant_periods(activity: DataFrame, periods: DataFrame, sessions: DataFrame, n: int | None = None, pct: float = 0.95, seed: int = 0) -> DataFrame:
+    """Periods (session_id, period_id, first, last) whose summed activity reaches the surrogates' percentile over all periods.
+
+    n: surrogates drawn; without it the exact distribution over all rotations of all cells, at no cost of copies.
+    """
     frames = periods_to_frames(periods).select("session_id", "period_id", "frame")
     own = frames.join(activity, ["session_id", "frame"], "left").groupBy("session_id", "period_id").agg(F.count("cell").alias("n"))
+    if n is None:
+        sized = periods.select("session_id", (F.col("last") - F.col("first") + 1).cast("int").alias("length")).groupBy("session_id", "length").agg(F.count(F.lit(1)).alias("_m"))
+        d = activity_distribution(activity, sized.select("session_id", "length"), sessions).join(sized, ["session_id", "length"])
+        # lengths without an active cell hold nothing, for certain
+        still = sized.join(activity.select("session_id").distinct(), "session_id", "left_anti").select("session_id", F.lit(0).cast("long").alias("n"), F.col("_m").cast("double").alias("w"))
+        tally = d.select("session_id", "n", (F.col("p") * F.col("_m")).alias("w")).unionByName(still).groupBy("session_id", "n").agg(F.sum("w").alias("w"))
+        return own.join(_quantile(tally, ["session_id"], pct, "w"), "session_id").filter("n >= threshold")
     copies = frames.join(circular_surrogates(activity, sessions, n, seed), ["session_id", "frame"]).groupBy("session_id", "period_id", "k").agg(F.count("cell").alias("n"))
     tally = copies.groupBy("session_id", "n").agg(F.count("k").alias("times"))
     all_ = periods.groupBy("session_id").agg((F.count("period_id") * n).alias("all")).join(tally.groupBy("session_id").agg(F.sum("times").alias("seen")), "session_id", "left")
@@ -135,9 +192,17 @@ def significant_periods(activity: DataFrame, periods: DataFrame, sessions: DataF
     return own.join(limit, "session_id").filter("n >= threshold")
 
 
-def significant_cells(activity: DataFrame, mask: DataFrame, sessions: DataFrame, n: int, pct: float = 0.95, seed: int = 0) -> DataFrame:
-    """Cells active in the mask (session_id, frame) at least as often as their own surrogates' percentile."""
+def significant_cells(activity: DataFrame, mask: DataFrame, sessions: DataFrame, n: int | None = None, pct: float = 0.95, seed: int = 0) -> DataFrame:
+    """Cells active in the mask (session_id, frame) at least as often as their own surrogates' percentile.
+
+    n: surrogates drawn; without it all n_frames rotations of a cell.  A frame meets a run of the mask for an arc of
+    rotations, so the rows are frames x runs, not frames x rotations.
+    """
     own = activity.join(mask, ["session_id", "frame"]).groupBy(*CELL).agg(F.count("frame").alias("n"))
+    if n is None:
+        met = activity.join(runs(mask), "session_id").join(sessions.select("session_id", "n_frames"), "session_id")
+        arcs = met.select(*CELL, "n_frames", F.pmod(F.col("first") - F.col("frame"), F.col("n_frames")).alias("at"), (F.col("last") - F.col("first") + 1).alias("size"))
+        return own.join(_quantile(circle_tally(arcs, CELL), CELL, pct), list(CELL)).filter("n >= threshold")
     copies = circular_surrogates(activity, sessions, n, seed).join(mask, ["session_id", "frame"]).groupBy(*CELL, "k").agg(F.count("frame").alias("n"))
     # one weighted row for each number, and one for the copies that are never in the mask
     tally = copies.groupBy(*CELL, "n").agg(F.count("k").alias("times"))

@@ -161,6 +161,26 @@ def g9(t):
     return rounded(G.significant_periods(t.act, t.pop.withColumnRenamed("event_id", "period_id"), t.sess, 10, 0.9), "threshold")
 
 
+def _folded() -> str:
+    """Distributions of the cells 0 to 9, folded one after the other."""
+    steps = ["f0 AS (SELECT session_id, L, 0 AS n, 1.0::DOUBLE AS p FROM ln)"]
+    for c in range(10):
+        steps.append(f"q{c} AS (SELECT l.session_id, l.L, coalesce(d.n, 0) AS n, coalesce(d.p, 1.0) AS p FROM ln l LEFT JOIN (SELECT * FROM ds WHERE cell = {c}) d ON d.session_id = l.session_id AND d.L = l.L)")
+        steps.append(f"f{c + 1} AS MATERIALIZED (SELECT f.session_id, f.L, f.n + q.n AS n, sum(f.p * q.p) AS p FROM f{c} f JOIN q{c} q ON q.session_id = f.session_id AND q.L = f.L GROUP BY f.session_id, f.L, f.n + q.n)")
+    return ", ".join(steps)
+
+
+@query("g9b_periods_of_all_rotations", f"WITH ln AS (SELECT session_id, (last - first + 1)::INT AS L, count(*) AS m FROM pop GROUP BY ALL), wc AS (SELECT ln.session_id, L, cell, u, count(*) FILTER ((frame - u + 120) % 120 < L) AS n FROM ln JOIN act USING (session_id), range(120) x(u) GROUP BY ALL), ds AS (SELECT session_id, L, cell, n, count(*) / 120.0::DOUBLE AS p FROM wc GROUP BY ALL), {_folded()}, al AS (SELECT session_id, n, sum(p * m) AS w FROM f10 JOIN ln USING (session_id, L) GROUP BY ALL), cu AS (SELECT *, sum(w) OVER (PARTITION BY session_id ORDER BY n) AS c, sum(w) OVER (PARTITION BY session_id) AS t FROM al), th AS (SELECT session_id, min(n)::DOUBLE AS threshold FROM cu WHERE c >= 0.9 * t - 1e-9 * t GROUP BY ALL), o AS (SELECT p.session_id, event_id AS period_id, count(cell) AS n FROM pop p LEFT JOIN act a ON a.session_id = p.session_id AND frame BETWEEN p.first AND p.last GROUP BY p.session_id, event_id) SELECT session_id, period_id, n, threshold FROM o JOIN th USING (session_id) WHERE n >= threshold")
+def g9b(t):
+    return G.significant_periods(t.act, t.pop.withColumnRenamed("event_id", "period_id"), t.sess, pct=0.9)
+
+
+@query("g10b_cells_of_all_rotations", "WITH mk AS (SELECT DISTINCT p.session_id, f::INT AS frame FROM pop p, range(120) y(f) WHERE f BETWEEN p.first AND p.last), o AS (SELECT session_id, cell, count(*) AS n FROM act JOIN mk USING (session_id, frame) GROUP BY ALL), c AS (SELECT a.session_id, a.cell, s, count(mk.frame) AS m FROM (SELECT act.*, s, ((frame + s) % 120)::INT AS g FROM act, range(120) x(s)) a LEFT JOIN mk ON mk.session_id = a.session_id AND mk.frame = a.g GROUP BY a.session_id, a.cell, s), k AS (SELECT session_id, cell, m, sum(count(*)) OVER (PARTITION BY session_id, cell ORDER BY m) AS c FROM c GROUP BY session_id, cell, m), th AS (SELECT session_id, cell, min(m)::DOUBLE AS threshold FROM k WHERE c >= 0.9 * 120 - 1e-6 GROUP BY ALL) SELECT session_id, cell, n, threshold FROM o JOIN th USING (session_id, cell) WHERE n >= threshold")
+def g10b(t):
+    mask = t.pop.withColumn("frame", F.explode(F.sequence("first", "last"))).select("session_id", "frame")
+    return G.significant_cells(t.act, mask, t.sess, pct=0.9)
+
+
 @query("g10_significant_cells", f"WITH {_SUR}, mk AS (SELECT DISTINCT p.session_id, f::INT AS frame FROM pop p, range(120) y(f) WHERE f BETWEEN p.first AND p.last), o AS (SELECT session_id, cell, count(*) AS n FROM act JOIN mk USING (session_id, frame) GROUP BY ALL), c AS (SELECT o.session_id, o.cell, x.k, count(s.frame) AS m FROM o CROSS JOIN range(10) x(k) LEFT JOIN (SELECT sur.* FROM sur JOIN mk USING (session_id, frame)) s ON s.session_id = o.session_id AND s.cell = o.cell AND s.k = x.k GROUP BY o.session_id, o.cell, x.k), l AS (SELECT session_id, cell, quantile_cont(m, 0.9) AS threshold FROM c GROUP BY ALL) SELECT session_id, cell, n, round(threshold, 6) AS threshold FROM o JOIN l USING (session_id, cell) WHERE n >= threshold")
 def g10(t):
     mask = t.pop.withColumn("frame", F.explode(F.sequence("first", "last"))).select("session_id", "frame")
