@@ -304,24 +304,33 @@ def s9(t):
 
 
 def _stream(t, name: str, make) -> DataFrame:
-    """Runs a stream over the table's files to its end and reads what it wrote."""
-    src = t.table("events")
+    """Runs a stream over the table's rows, with a last row that ends each session, and reads what it wrote."""
+    X.use_state_store(t.spark)
     path = shared_path(t.spark, name)
-    rows = t.spark.readStream.schema(src.schema).parquet(f"{t.sf_dir}/events.parquet*")
-    rows = rows.select(F.col("event_type").alias("session_id"), (F.col("user_id") % 10).cast("int").alias("cell"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    q = make(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    rows = t.table("events").select(F.col("event_type").alias("session_id"), (F.col("user_id") % 10).cast("int").alias("cell"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    ends = rows.groupBy("session_id").agg(F.max("ts").alias("ts")).select("session_id", F.lit(None).cast("int").alias("cell"), "ts", F.lit(None).cast("double").alias("value"))
+    rows.unionByName(ends).write.parquet(f"{path}/in")
+    q = make(t.spark.readStream.schema(rows.schema).parquet(f"{path}/in")).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return t.spark.read.parquet(f"{path}/out")
 
 
-@query("x1_stream_movement")
+def _sliding(width: int, slide: int) -> str:
+    return f"WITH ev0 AS (SELECT event_type AS session_id, user_id % 10 AS cell, value, ts, time_bucket(INTERVAL '{slide} hours', ts, TIMESTAMP '2024-01-01') AS b FROM events), wn AS (SELECT session_id, cell, value, ts, b - to_hours(CAST({slide} * k AS INT)) AS start FROM ev0, range({width // slide}) x(k))"
+
+
+@query("x1_stream_movement", _sliding(2, 1) + ", h AS (SELECT session_id, start, start + INTERVAL '2 hours' AS e FROM wn GROUP BY ALL HAVING avg(value) > 60), g AS (SELECT *, CASE WHEN e - lag(e) OVER w <= INTERVAL '2 hours' THEN 0 ELSE 1 END AS nw FROM h WINDOW w AS (PARTITION BY session_id ORDER BY e)), i AS (SELECT *, sum(nw) OVER (PARTITION BY session_id ORDER BY e) AS m FROM g), l AS (SELECT event_type AS session_id, max(ts) AS last FROM events GROUP BY ALL) SELECT i.session_id, strftime(min(start), '%Y-%m-%d %H:%M:%S') AS start, strftime(least(max(e), date_trunc('milliseconds', max(last))), '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS n_windows FROM i JOIN l USING (session_id) GROUP BY i.session_id, m")
 def x1(t):
-    return _stream(t, "movement", lambda s: X.stream_movement(s, "2 hours", "1 hour", 60.0, "2 hours"))
+    return _told(_stream(t, "movement", lambda s: X.stream_movement(s, "2 hours", "1 hour", 60.0, "2 hours")))
+
+
+def _told(d: DataFrame) -> DataFrame:
+    return d.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start", "end")})
 
 
-@query("x2_stream_events")
+@query("x2_stream_events", _sliding(6, 2) + " SELECT session_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(start + INTERVAL '6 hours', '%Y-%m-%d %H:%M:%S') AS \"end\", count(DISTINCT cell) AS n FROM wn GROUP BY session_id, start HAVING count(DISTINCT cell) >= 3")
 def x2(t):
-    return _stream(t, "events", lambda s: X.stream_events(s, "6 hours", "6 hours", 8, exact=True))
+    return _told(_stream(t, "events", lambda s: X.stream_events(s, "6 hours", "2 hours", 3)))
 
 
 @query("i1_shared_intervals", "SELECT a.session_id, a.cell, count(*) AS n FROM tr a JOIN pop b ON a.session_id = b.session_id AND a.first <= b.last AND b.first <= a.last GROUP BY ALL")

@@ -15,7 +15,6 @@ from ensemblar.operators import records as R
 from ensemblar.operators import series as S
 from ensemblar.operators import stats as A
 from ensemblar.sources import io
-from ensemblar.streaming import sensors as X
 
 ACT = "session_id string, cell int, frame int"
 PER = "session_id string, first int, last int"
@@ -225,19 +224,6 @@ def test_arrays_from_files(spark, tmp_path):
     assert tuples(io.parse_session_path(got), "age", "session_id")[0] == (7, "a")
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    r = random.Random(7)
-    rows = [("s", r.randint(0, 5), 60 * k) for k in range(300)]
-    batch = spark.createDataFrame(rows, "session_id string, cell int, t int").select("session_id", "cell", F.timestamp_seconds("t").alias("ts"))
-    batch.write.parquet(f"{tmp_path}/in")
-    stream = X.stream_events(spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in"), "1 hour", "1 hour", 5, exact=True)
-    q = stream.writeStream.format("memory").queryName("closed").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = {x.start: x.n for x in X.stream_events(batch, "1 hour", "1 hour", 5, exact=True).collect()}
-    got = {x.start: x.n for x in spark.sql("SELECT * FROM closed").collect()}
-    assert got and all(want[k] == v for k, v in got.items())
-
-
 def test_same_with_other_partitions(spark):
     r = random.Random(8)
     act = spark.createDataFrame([("s", c, f) for c in range(5) for f in range(100) if r.random() < 0.3], ACT)
