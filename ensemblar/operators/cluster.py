@@ -1,4 +1,4 @@
-"""Clustering of events and reduction of traces.  What is solved in one task is a matrix of one session's cells or events."""
+"""Clustering of events and reduction of traces.  What is solved in one task is a matrix of one session's cells or events; what fills it is summed by blocks."""
 
 from __future__ import annotations
 
@@ -10,21 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import CELL, over
 
 
-def _covariance_matrix(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Event numbers and the covariance rows of one session's event pairs."""
-    ids = np.unique(np.concatenate([p["event_id"], p["event_id2"]]))
-    m = np.eye(len(ids))
-    a, b = np.searchsorted(ids, p["event_id"]), np.searchsorted(ids, p["event_id2"])
-    m[a, b] = m[b, a] = p["covariance"]
-    return ids, m
-
-
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 50) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)]
     label = np.zeros(len(x), int)
     for _ in range(steps):
-        d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
-        new = d.argmin(axis=1)
+        # a row's own square is the same for all centres
+        new = ((centres**2).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
         if (new == label).all():
             break
         label = new
@@ -35,20 +26,31 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 50) ->
 
 
 def median_silhouette(x: np.ndarray, label: np.ndarray) -> float:
-    """Median over clusters of the mean silhouette of their members."""
-    d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(axis=2))
-    kinds = np.unique(label)
+    """Median over clusters of the mean silhouette of their members; distances come from the Gram matrix, in place."""
+    kinds, own = np.unique(label, return_inverse=True)
     if len(kinds) < 2:
         return -1.0
-    mean = np.stack([d[:, label == c].mean(axis=1) for c in kinds], axis=1)
-    size = np.array([(label == c).sum() for c in kinds])
-    own = np.searchsorted(kinds, label)
+    square = (x**2).sum(axis=1)
+    d = x @ x.T
+    d *= -2
+    d += square[:, None]
+    d += square[None]
+    np.sqrt(np.maximum(d, 0, out=d), out=d)
+    np.fill_diagonal(d, 0)
+    size = np.bincount(own)
+    member = np.zeros((len(x), len(kinds)))
+    member[np.arange(len(x)), own] = 1 / size[own]
+    mean = d @ member
     rows = np.arange(len(x))
     a = np.where(size[own] > 1, mean[rows, own] * size[own] / np.maximum(size[own] - 1, 1), 0)
     mean[rows, own] = np.inf
     b = mean.min(axis=1)
     s = np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0)
-    return float(np.median([s[label == c].mean() for c in kinds]))
+    return float(np.median([s[own == c].mean() for c in range(len(kinds))]))
+
+
+#: Tasks that share the trials and shuffles of one session and one number of clusters.
+PARTS = 4
 
 
 def cluster_events(covariance: DataFrame, ks: tuple[int, ...] = (2, 3, 4), trials: int = 10, shuffles: int = 10, pct: float = 95, seed: int = 0) -> DataFrame:
@@ -56,25 +58,37 @@ def cluster_events(covariance: DataFrame, ks: tuple[int, ...] = (2, 3, 4), trial
 
     The best trial by median silhouette; reference: percentile of the same on matrices with
     shuffled rows.  covariance: (session_id, event_id, event_id2, covariance).
+
+    Trials and shuffles are dealt to tasks, each of which holds one matrix; a draw depends on its number only, not
+    on the task.  A session needs more events than clusters.
     """
+    both = covariance.select("session_id", "event_id", F.col("event_id2").alias("other"), "covariance").unionByName(covariance.select("session_id", F.col("event_id2").alias("event_id"), F.col("event_id").alias("other"), "covariance"))
+    rows = both.groupBy("session_id", "event_id").agg(F.sort_array(F.collect_list(F.struct("other", "covariance"))).alias("row"))
+    # a row comes as the numbers of the other events in ascending order, without its own, which is 1
+    packed = rows.select("session_id", "event_id", F.transform("row", lambda x: x["covariance"]).alias("values"))
+    jobs = packed.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        ids, m = _covariance_matrix(p)
+        p = p.sort_values("event_id")
+        n, k, part = len(p), int(p["k"].iloc[0]), int(p["part"].iloc[0])
         out = []
-        for k in ks:
-            if len(ids) <= k:
-                continue
-            rng = np.random.default_rng(seed)
-            best = max((kmeans(m, k, rng) for _ in range(trials)), key=lambda label: median_silhouette(m, label))
-            ref = []
-            for _ in range(shuffles):
-                s = rng.permuted(m, axis=1)
-                ref.append(median_silhouette(s, kmeans(s, k, rng)))
-            out.append(pd.DataFrame({"session_id": p["session_id"].iloc[0], "event_id": ids, "k": k, "cluster": best, "silhouette": median_silhouette(m, best), "reference": float(np.percentile(ref, pct)) if ref else None}))
-        columns = ["session_id", "event_id", "k", "cluster", "silhouette", "reference"]
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
-
-    return covariance.groupBy("session_id").applyInPandas(run, "session_id string, event_id long, k int, cluster int, silhouette double, reference double")
+        if n > k:
+            m = np.eye(n)
+            m[~np.eye(n, dtype=bool)] = np.concatenate(p["values"].to_numpy())
+            for kind, many in ((0, trials), (1, shuffles)):
+                for number in range(part, many, PARTS):
+                    rng = np.random.default_rng([seed, k, kind, number])
+                    x = rng.permuted(m, axis=1) if kind else m
+                    label = kmeans(x, k, rng)
+                    out.append((p["session_id"].iloc[0], k, kind, number, median_silhouette(x, label), None if kind else label.astype(np.int32)))
+        return pd.DataFrame(out, columns=["session_id", "k", "kind", "number", "score", "labels"])
+
+    tried = jobs.groupBy("session_id", "k", "part").applyInPandas(run, "session_id string, k int, kind int, number int, score double, labels array<int>")
+    best = tried.groupBy("session_id", "k").agg(F.max_by("labels", F.when(F.col("kind") == 0, F.struct("score", -F.col("number")))).alias("labels"), F.max(F.when(F.col("kind") == 0, F.col("score"))).alias("silhouette"), F.percentile(F.when(F.col("kind") == 1, F.col("score")), F.lit(pct / 100)).alias("reference"))
+    # places in the matrix are the events in ascending order
+    events = rows.groupBy("session_id").agg(F.sort_array(F.collect_list("event_id")).alias("events"))
+    told = best.join(events, "session_id").select("session_id", "k", "silhouette", "reference", F.explode(F.arrays_zip("events", "labels")).alias("e"))
+    return told.select("session_id", F.col("e.events").cast("long").alias("event_id"), "k", F.col("e.labels").alias("cluster"), "silhouette", "reference")
 
 
 def assign_cells(event_cells: DataFrame, clusters: DataFrame, least: int = 2) -> DataFrame:
@@ -84,11 +98,42 @@ def assign_cells(event_cells: DataFrame, clusters: DataFrame, least: int = 2) ->
     return b.select(*CELL, F.when(F.col("b.n") >= least, F.col("b.cluster")).otherwise(-1).alias("cluster"), F.col("b.n").alias("n"))
 
 
+#: Frames of a block of products, and cells of a tile of pairs.
+BLOCK, TILE = 512, 512
+
+
+def _products(p: pd.DataFrame) -> pd.DataFrame:
+    """Sums of products, and of frames with both values, of all pairs of cells of two tiles over one block of frames."""
+    a, b = int(p["a"].iloc[0]), int(p["b"].iloc[0])
+    frames = np.unique(p["frame"])
+
+    def side(tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = p[p["cell"] // TILE == tile]
+        cells, at = np.unique(own["cell"], return_inverse=True)
+        x, there = np.zeros((len(cells), len(frames))), np.zeros((len(cells), len(frames)))
+        place = np.searchsorted(frames, own["frame"])
+        x[at, place], there[at, place] = own["v"], 1
+        return cells, x, there
+
+    first, x, m = side(a)
+    second, y, n = (first, x, m) if a == b else side(b)
+    i, j = np.triu_indices(len(first)) if a == b else (g.ravel() for g in np.indices((len(first), len(second))))
+    return pd.DataFrame({"session_id": p["session_id"].iloc[0], "cell": first[i], "cell2": second[j], "s": (x @ y.T)[i, j], "m": (m @ n.T)[i, j]})
+
+
 def gram(traces: DataFrame) -> DataFrame:
-    """(session_id, cell, cell2, c): covariance of all pairs of cells over frames."""
-    centred = traces.select(*CELL, "frame", (F.col("value") - F.avg("value").over(over(CELL))).alias("v"))
-    o = centred.select("session_id", "frame", F.col("cell").alias("cell2"), F.col("v").alias("v2"))
-    return centred.join(o, ["session_id", "frame"]).filter("cell <= cell2").groupBy("session_id", "cell", "cell2").agg((F.sum(F.col("v") * F.col("v2")) / F.count("v")).alias("c"))
+    """(session_id, cell, cell2, c): covariance of all pairs of cells over the frames that both have.
+
+    Tasks multiply one block of frames by itself and hand on sums; a session's cells beyond a tile meet by pairs of
+    tiles.  Rows moved: the traces once for each tile, and cells x cells for each block.
+    """
+    centred = traces.filter("value IS NOT NULL").select(*CELL, "frame", (F.col("value") - F.avg("value").over(over(CELL))).alias("v"))
+    tile = F.floor(F.col("cell") / TILE).cast("int")
+    tiles = traces.groupBy("session_id").agg(F.max(tile).alias("_t"))
+    dealt = centred.join(tiles, "session_id").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t"))))
+    dealt = dealt.select(*CELL, "frame", "v", F.least(tile, "_o").alias("a"), F.greatest(tile, "_o").alias("b"), F.floor(F.col("frame") / BLOCK).alias("block"))
+    sums = dealt.groupBy("session_id", "a", "b", "block").applyInPandas(_products, "session_id string, cell int, cell2 int, s double, m double")
+    return sums.groupBy("session_id", "cell", "cell2").agg(F.sum("s").alias("s"), F.sum("m").alias("m")).filter("m > 0").select("session_id", "cell", "cell2", (F.col("s") / F.col("m")).alias("c"))
 
 
 def _eigen(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
