@@ -7,10 +7,12 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import CELL, frames_of, names, over, shift
-from .intervals import interval_overlap_join, merge_periods, periods_to_frames, runs, take_spaced
+from ..functions.shared import checkpointed
+from .intervals import interval_overlap_join, merge_periods, periods_to_frames, runs, spaced
 
 
 def circular_surrogates(activity: DataFrame, sessions: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -60,11 +62,6 @@ def event_cells(activity: DataFrame, events: DataFrame) -> DataFrame:
     return periods_to_frames(events).join(activity, ["session_id", "frame"]).select("session_id", "event_id", "cell").distinct()
 
 
-def _greedy(df: DataFrame, rule, schema: str) -> DataFrame:
-    """One short series of a session at a time: each choice depends on those before."""
-    return df.groupBy("session_id").applyInPandas(rule, schema)
-
-
 def detect_peak_events(activity: DataFrame, sessions: DataFrame, around: int, distance: int, min_cells: int, exclude: DataFrame | None = None) -> DataFrame:
     """Local maxima of the population activity, the higher first, at least ``distance`` apart; widened and joined."""
     n = activity.groupBy("session_id", "frame").agg(F.count("cell").cast("int").alias("n"))
@@ -76,11 +73,7 @@ def detect_peak_events(activity: DataFrame, sessions: DataFrame, around: int, di
         near = exclude.select("session_id", (F.col("first") - around).alias("first"), (F.col("last") + around).alias("last"))
         peaks = peaks.join(periods_to_frames(merge_periods(near, 1)).select("session_id", "frame"), ["session_id", "frame"], "left_anti")
 
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        order = p.sort_values(["n", "frame"], ascending=[False, True])
-        return p[p["frame"].isin(take_spaced(order["frame"], distance))][["session_id", "frame"]]
-
-    kept = _greedy(peaks, pick, "session_id string, frame int").join(sessions.select("session_id", "n_frames"), "session_id")
+    kept = spaced(peaks, distance, "session_id", "n").join(sessions.select("session_id", "n_frames"), "session_id")
     p = merge_periods(kept.select("session_id", F.greatest(F.lit(0), F.col("frame") - around).alias("first"), F.least(F.col("n_frames") - 1, F.col("frame") + around).alias("last")), 1)
     return p.withColumn("event_id", F.row_number().over(over("session_id", "first")).cast("long"))
 
@@ -88,16 +81,27 @@ def detect_peak_events(activity: DataFrame, sessions: DataFrame, around: int, di
 def detect_block_events(activity: DataFrame, sessions: DataFrame, block: int, step: int, share: float) -> DataFrame:
     """Blocks at every ``step`` frames whose summed activity passes a share of the cells; from the left, without overlap."""
     c = window_counts(activity, sessions, block, once=False).filter(F.col("frame") % step == 0).join(sessions.select("session_id", "n_cells"), "session_id")
+    taken = first_free(c.filter(F.col("n") > share * F.col("n_cells")).select("session_id", "frame"), block)
+    return taken.select("session_id", F.col("frame").alias("first"), (F.col("frame") + block - 1).alias("last"))
 
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        starts, free = [], -1
-        for f in sorted(p["frame"]):
-            if f > free:
-                starts.append(f)
-                free = f + block - 1
-        return pd.DataFrame({"session_id": p["session_id"].iloc[0], "first": starts, "last": [f + block - 1 for f in starts]})
 
-    return _greedy(c.filter(F.col("n") > share * F.col("n_cells")).select("session_id", "frame"), pick, "session_id string, first int, last int")
+def first_free(starts: DataFrame, block: int, part: str = "session_id") -> DataFrame:
+    """Of the starts (part, frame) those that are taken from the left, each at least ``block`` frames after the one before.
+
+    A start with none in the ``block`` frames before it is always taken; others are if a chain of next free starts
+    leads from such a one to them.  Chains are followed by pointer jumping: twice as far in each round.
+    """
+    w = over(part, "frame")
+    after = F.min("frame").over(w.rangeBetween(block, W.unboundedFollowing))
+    d = starts.distinct().withColumn("on", F.coalesce(F.col("frame") - F.lag("frame").over(w) >= block, F.lit(True))).withColumn("next", after)
+    # what is taken for itself ends the chains that lead to it
+    heads = d.filter("on").select(part, F.col("frame").alias("next"), F.lit(True).alias("_head"))
+    now = checkpointed(d.join(heads, [part, "next"], "left").select(part, "frame", "on", F.when(F.col("_head").isNull(), F.col("next")).alias("next")))
+    while not now.filter("next IS NOT NULL").isEmpty():
+        met = now.filter("on AND next IS NOT NULL").select(part, F.col("next").alias("frame"), F.lit(True).alias("_met")).distinct()
+        far = now.select(part, F.col("frame").alias("next"), F.col("next").alias("_far"))
+        now = checkpointed(now.join(far, [part, "next"], "left").join(met, [part, "frame"], "left").select(part, "frame", (F.col("on") | F.coalesce("_met", F.lit(False))).alias("on"), F.col("_far").alias("next")))
+    return now.filter("on").select(part, "frame")
 
 
 def events_vs_movement(events: DataFrame, movement: DataFrame, after: int = 10) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import CELL, names, over
+from ..functions.shared import checkpointed
 
 SESSION = ("session_id",)
 
@@ -55,7 +54,7 @@ def onsets_peaks_from_trace(traces: DataFrame, k: float = 1.0, distance: int = 1
     onset = d.withColumn("next_slope", F.lead("slope").over(w)).filter((F.col("slope") < 0) & (F.col("next_slope") >= 0)).select(*part, "frame")
     level = traces.groupBy(*part).agg((F.min("value") + k * F.stddev_pop("value")).alias("level"))
     if distance > 1:
-        peaks = _spaced(peaks, distance, part)
+        peaks = spaced(peaks, distance, part)
     judged = peaks.join(level, part).select(*part, "frame", (F.col("value") < F.col("level")).alias("low"))
     both = judged.select(*part, "frame", F.lit("peak").alias("kind"), "low").unionByName(onset.select(*part, "frame", F.lit("onset").alias("kind"), F.lit(None).cast("boolean").alias("low")))
     order = over(part, "frame", F.col("kind").asc())
@@ -64,24 +63,24 @@ def onsets_peaks_from_trace(traces: DataFrame, k: float = 1.0, distance: int = 1
     return marked.filter(~gone).select(*part, "frame", "kind")
 
 
-def take_spaced(frames: Iterable[int], distance: int) -> list[int]:
-    """Frames in the order given, each at least ``distance`` from those taken before it."""
-    taken: list[int] = []
-    for f in frames:
-        k = bisect_left(taken, f)
-        if (k == 0 or f - taken[k - 1] >= distance) and (k == len(taken) or taken[k] - f >= distance):
-            taken.insert(k, f)
-    return taken
+def spaced(peaks: DataFrame, distance: int, part: Sequence[str], value: str = "value") -> DataFrame:
+    """Peaks at least ``distance`` frames apart, the higher first (the earlier on ties).
 
-
-def _spaced(peaks: DataFrame, distance: int, part: list[str]) -> DataFrame:
-    """Greedy by height: each step depends on those before, so a cell's peaks (one short series) are taken together."""
-
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        order = p.sort_values(["value", "frame"], ascending=[False, True])
-        return p[p["frame"].isin(take_spaced(order["frame"], distance))]
-
-    return peaks.groupBy(*part).applyInPandas(pick, peaks.schema)
+    In each round every peak that is the highest within the distance is taken, and those near it go; who is left
+    has no taken neighbour.  A round is two windows over the same rows; rounds end when nobody is left.
+    """
+    part = names(part)
+    w = over(part, "frame").rangeBetween(1 - distance, distance - 1)
+    own = F.struct(F.col(value), -F.col("frame"))
+    left, kept = peaks, None
+    while True:
+        top = left.withColumn("_top", (F.max(own).over(w) == own).cast("int"))
+        round_ = checkpointed(top.withColumn("_near", F.max("_top").over(w)))
+        taken = round_.filter("_top = 1").select(*peaks.columns)
+        kept = taken if kept is None else kept.unionByName(taken)
+        left = round_.filter("_near = 0").select(*peaks.columns)
+        if left.isEmpty():
+            return kept
 
 
 def merge_periods(periods: DataFrame, gap: int = 0, part: Sequence[str] = SESSION) -> DataFrame:

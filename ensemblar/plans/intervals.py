@@ -32,22 +32,33 @@ def o3(t):
     return I.activity_from_onsets_peaks(*_marks(t), longest=10)
 
 
-@query(
-    "o4_onsets_peaks_from_trace",
-    """WITH d AS (SELECT *, value - lag(value) OVER w AS slope FROM traces WINDOW w AS (PARTITION BY session_id, cell ORDER BY frame)),
+_SLOPES = """d AS (SELECT *, value - lag(value) OVER w AS slope FROM traces WINDOW w AS (PARTITION BY session_id, cell ORDER BY frame)),
     d2 AS (SELECT *, lead(slope) OVER w AS ns FROM d WINDOW w AS (PARTITION BY session_id, cell ORDER BY frame)),
     m AS (SELECT *, lead(slope) OVER (PARTITION BY session_id, cell ORDER BY frame) AS nm FROM d WHERE slope <> 0),
-    lv AS (SELECT session_id, cell, min(value) + stddev_pop(value) AS level FROM traces GROUP BY ALL),
-    b AS (SELECT session_id, cell, frame, 'peak' AS kind, value < level AS low FROM m JOIN lv USING (session_id, cell) WHERE slope > 0 AND nm < 0
+    lv AS (SELECT session_id, cell, min(value) + {k} * stddev_pop(value) AS level FROM traces GROUP BY ALL),
+    pk AS (SELECT session_id, cell, frame, value FROM m WHERE slope > 0 AND nm < 0)"""
+_JUDGED = """b AS (SELECT session_id, cell, frame, 'peak' AS kind, value < level AS low FROM {of} JOIN lv USING (session_id, cell)
           UNION ALL SELECT session_id, cell, frame, 'onset', NULL FROM d2 WHERE slope < 0 AND ns >= 0),
     c AS (SELECT *, lead(kind) OVER w AS nk, lead(low) OVER w AS nl FROM b WINDOW w AS (PARTITION BY session_id, cell ORDER BY frame, kind))
-    SELECT session_id, cell, frame, kind FROM c WHERE NOT (coalesce(low, false) OR (kind = 'onset' AND coalesce(nk, '') = 'peak' AND coalesce(nl, false)))""",
-)
+    SELECT session_id, cell, frame, kind FROM c WHERE NOT (coalesce(low, false) OR (kind = 'onset' AND coalesce(nk, '') = 'peak' AND coalesce(nl, false)))"""
+
+
+def taken(key: str, of: str, value: str, distance: int) -> str:
+    """Common tables: the rows of a table taken one after the other, the highest first, each so far from those before (tk)."""
+    k = key.split(", ")
+    same = " AND ".join(f"o.{x} = r.{x}" for x in k)
+    return f"""od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {value} DESC, frame) AS k FROM {of}),
+    tk0 AS (SELECT {key}, 0::BIGINT AS k, []::INT[] AS taken FROM od WHERE k = 1
+      UNION ALL SELECT {", ".join("r." + x for x in k)}, o.k, CASE WHEN len(list_filter(r.taken, lambda x: abs(x - o.frame) < {distance})) = 0 THEN list_append(r.taken, o.frame) ELSE r.taken END FROM tk0 r JOIN od o ON {same} AND o.k = r.k + 1),
+    tk AS MATERIALIZED (SELECT od.* FROM od JOIN (SELECT {key}, arg_max(taken, k) AS taken FROM tk0 GROUP BY {key}) r USING ({key}) WHERE list_contains(r.taken, od.frame))"""
+
+
+@query("o4_onsets_peaks_from_trace", "WITH " + _SLOPES.format(k=1) + ", " + _JUDGED.format(of="pk"))
 def o4(t):
     return I.onsets_peaks_from_trace(t.traces, 1.0)
 
 
-@query("o4b_spaced_peaks")
+@query("o4b_spaced_peaks", "WITH RECURSIVE " + _SLOPES.format(k=0.5) + ", " + taken("session_id, cell", "pk", "value", 5) + ", " + _JUDGED.format(of="tk"))
 def o4b(t):
     return I.onsets_peaks_from_trace(t.traces, 0.5, distance=5)
 

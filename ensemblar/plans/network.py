@@ -74,9 +74,25 @@ def n10(t):
     return N.lag_samples(t.act, 5)
 
 
-@query("n10b_functional_links")
+#: Moments, D'Agostino's K2 and the Kolmogorov tail, step by step as published.
+_LINKS = """WITH lg AS (SELECT a.session_id, a.cell, b.cell AS cell2, (b.frame - a.frame)::DOUBLE AS lag FROM act a JOIN act b ON a.session_id = b.session_id AND a.cell < b.cell AND b.frame BETWEEN a.frame - 10 AND a.frame + 10),
+mu AS (SELECT *, avg(lag) OVER (PARTITION BY session_id, cell, cell2) AS m FROM lg),
+mo AS (SELECT session_id, cell, cell2, count(*)::DOUBLE AS n, avg((lag - m) ** 2) AS m2, avg((lag - m) ** 3) AS m3, avg((lag - m) ** 4) AS m4, sum(sign(lag)) AS side FROM mu GROUP BY ALL HAVING count(*) >= 20),
+k0 AS (SELECT *, m3 / m2 ** 1.5 AS skew, m4 / m2 ** 2 AS kurt, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b2, 3 * (n - 1) / (n + 1) AS e, 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)) AS v, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb FROM mo),
+k1 AS (SELECT *, sqrt(2 * (b2 - 1)) - 1 AS w2, skew * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, (kurt - e) / sqrt(v) AS x, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / (sb * sb))) AS a FROM k0),
+k2 AS (SELECT *, y / sqrt(2 / (w2 - 1)) AS s, (1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))) AS t FROM k1),
+k3 AS (SELECT *, ln(s + sqrt(s * s + 1)) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / (9 * a) - sign(t) * abs(t) ** (1.0 / 3)) / sqrt(2 / (9 * a)) AS z2 FROM k2),
+hs AS (SELECT session_id, cell, cell2, lag, count(*) AS c FROM lg GROUP BY ALL),
+cu AS (SELECT *, sum(c) OVER (PARTITION BY session_id, cell, cell2 ORDER BY lag) AS f, sum(c) OVER (PARTITION BY session_id, cell, cell2) AS al FROM hs),
+ks AS (SELECT session_id, cell, cell2, max(greatest(abs(f / al - (lag + 11) / 21), abs((f - c) / al - (lag + 10) / 21))) AS d FROM cu GROUP BY ALL),
+pv AS (SELECT k3.*, exp(-(z1 * z1 + z2 * z2) / 2) AS p_normal, greatest((sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d, 1e-3) AS u FROM k3 JOIN ks USING (session_id, cell, cell2)),
+pu AS (SELECT session_id, cell, cell2, n, side, p_normal, CASE WHEN u < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (SELECT sum((CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2 * (j * u) ** 2)) FROM range(1, 101) q(j)))) END AS p_uniform FROM pv)
+SELECT session_id, CASE WHEN side > 0 THEN cell ELSE cell2 END AS src, CASE WHEN side > 0 THEN cell2 ELSE cell END AS dst, n::BIGINT AS n, round(p_normal, 9) AS p_normal, round(p_uniform, 9) AS p_uniform FROM pu WHERE p_normal < 0.3 AND p_uniform < 0.3 AND side <> 0"""
+
+
+@query("n10b_functional_links", _LINKS)
 def n10b(t):
-    return N.functional_links(t.act, 10, 20, 0.3)
+    return rounded(N.functional_links(t.act, 10, 20, 0.3), "p_normal", "p_uniform", digits=9)
 
 
 def _sparse(t):

@@ -48,7 +48,18 @@ def q4(t):
     return rounded(Q.next_candidates(_matrix(t), _n(t), 1.0, 3), "p")
 
 
-@query("q5_likely_sequences")
+def _beam(depth: int, branches: int) -> str:
+    """Fronts f0, f1, ... of the search, and the paths that cannot go on."""
+    out = ["nx AS MATERIALIZED (SELECT session_id, src, dst, p FROM (SELECT *, row_number() OVER (PARTITION BY session_id, src ORDER BY p DESC, dst) AS r FROM tm WHERE p > 1.0 / 9) WHERE r <= 3)", "f0 AS (SELECT DISTINCT session_id, src AS start, [src] AS cells, 1.0::DOUBLE AS p FROM tm)"]
+    for k in range(depth - 1):
+        out.append(f"g{k} AS MATERIALIZED (SELECT f.session_id, f.start, f.cells AS was, list_append(f.cells, n.dst) AS cells, f.p * n.p AS p FROM f{k} f JOIN nx n ON n.session_id = f.session_id AND n.src = f.cells[-1] WHERE NOT list_contains(f.cells, n.dst))")
+        out.append(f"e{k} AS (SELECT f.* FROM f{k} f ANTI JOIN g{k} g ON g.session_id = f.session_id AND g.was = f.cells)")
+        out.append(f"f{k + 1} AS MATERIALIZED (SELECT session_id, start, cells, p FROM (SELECT *, row_number() OVER (PARTITION BY session_id, start ORDER BY p DESC, cells) AS r FROM g{k}) WHERE r <= {branches})")
+    ended = " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(depth - 1))
+    return ", ".join(out) + f", sq AS ({ended} UNION ALL SELECT * FROM f{depth - 1})"
+
+
+@query("q5_likely_sequences", f"WITH {_MAT}, {_beam(4, 5)} SELECT session_id, start, cells, round(p, 9) AS p FROM (SELECT *, row_number() OVER (PARTITION BY session_id, start ORDER BY len(cells) DESC, p DESC, cells) AS r FROM sq) WHERE r <= 5")
 def q5(t):
     return rounded(Q.likely_sequences(_matrix(t), _n(t), 4, 5), "p", digits=9)
 
@@ -73,7 +84,7 @@ def q7(t):
     return Q.group_by_time_profile(Q.sequence_occurrences(t.act, _chains(t), 1, 5, 2), 1)
 
 
-@query("q8_prune_prefixes")
+@query("q8_prune_prefixes", f"WITH {_CHAIN}, o12 AS (SELECT session_id, cells[1:2] AS cells, t1, count(*) OVER (PARTITION BY session_id, cells) AS n FROM o1), s AS (SELECT session_id, cells, list(DISTINCT t1 ORDER BY t1) AS starts FROM (SELECT session_id, cells, times[1] AS t1 FROM oc WHERE n >= 2 UNION ALL SELECT session_id, cells, t1 FROM o12 WHERE n >= 2) GROUP BY session_id, cells HAVING count(DISTINCT t1) >= 2) SELECT a.* FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.session_id = a.session_id AND len(b.cells) > len(a.cells) AND b.cells[1:len(a.cells)] = a.cells AND b.starts = a.starts)")
 def q8(t):
     seqs = _chains(t)
     pairs = seqs.select("session_id", F.slice("cells", 1, 2).alias("cells")).distinct()
@@ -93,7 +104,7 @@ def _order(t):
     return n.select(*CELL, F.row_number().over(over("session_id", F.col("n").desc(), "cell")).alias("rank"))
 
 
-@query("q18_order_cells")
+@query("q18_order_cells", f"WITH {_CHAIN}, cd AS (SELECT DISTINCT session_id, cells, array_to_string(cells, '-') AS candidate FROM ch), ac AS (SELECT DISTINCT session_id, cell FROM act), od AS (SELECT cd.session_id, candidate, cell, row_number() OVER (PARTITION BY cd.session_id, candidate ORDER BY list_position(cells, cell) NULLS LAST, cell) AS rank FROM cd JOIN ac USING (session_id)), pr AS (SELECT a.session_id, a.candidate, a.cell AS src, b.cell AS dst FROM od a JOIN od b ON a.session_id = b.session_id AND a.candidate = b.candidate AND b.rank > a.rank AND b.rank - a.rank <= 3), d AS (SELECT pr.*, a.frame, arg_min(b.frame - a.frame, (abs(b.frame - a.frame), a.frame - b.frame)) FILTER (b.frame IS NOT NULL) AS d FROM pr JOIN act a ON a.session_id = pr.session_id AND a.cell = src LEFT JOIN act b ON b.session_id = pr.session_id AND b.cell = dst AND b.frame BETWEEN a.frame - 5 AND a.frame + 5 GROUP BY pr.session_id, pr.candidate, src, dst, a.frame), ls AS (SELECT session_id, candidate, sum(CASE WHEN d IS NULL THEN 5 WHEN d < 0 THEN -d ELSE 0 END) / (count(*) * 5) AS loss FROM d GROUP BY ALL) SELECT session_id, candidate, round(loss, 6) AS loss FROM ls QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY loss, candidate) = 1")
 def q18(t):
     c = _chains(t).withColumn("candidate", F.array_join(F.col("cells").cast("array<string>"), "-"))
     return rounded(Q.order_cells(t.act, c), "loss")
@@ -186,13 +197,17 @@ def q14(t):
     return Q.filter_patterns(p, Q.pattern_spectrum(p).withColumn("significant", F.col("cnt") >= 14))
 
 
-@query("q15_pattern_stability")
+#: Which windows of a pattern a random subset holds, as the operator draws it.
+_DRAW = "((list_reduce(list_prepend(0::BIGINT, items::BIGINT[]), lambda a, i: (a * 31 + i) % 65521) * 7919 + w * 40503 + k * 104729) % 999983 * 48271 % 65521) % 2 = 0"
+
+
+@query("q15_pattern_stability", _closed(6, 4) + f", p AS (SELECT session_id, items, size, cnt FROM cl WHERE size >= 2), oc AS (SELECT p.session_id, p.items, size, tx.\"window\" AS w, tx.items AS ti FROM p JOIN tx ON tx.session_id = p.session_id AND list_has_all(tx.items, p.items)), kp AS MATERIALIZED (SELECT oc.*, k::INT AS k FROM oc, range(8) x(k) WHERE {_DRAW}), sz AS (SELECT session_id, items, k, count(*) AS m FROM kp GROUP BY ALL), it AS (SELECT session_id, items, size, k, i, count(*) AS c FROM (SELECT *, unnest(ti) AS i FROM kp) GROUP BY ALL), cm AS (SELECT it.session_id, it.items, size, it.k, count(*) AS common FROM it JOIN sz ON sz.session_id = it.session_id AND sz.items = it.items AND sz.k = it.k AND c = m GROUP BY ALL), h AS (SELECT session_id, items, count(*) FILTER (common = size) / 8.0 AS s FROM cm GROUP BY ALL) SELECT p.session_id, p.items, p.size, p.cnt, round(coalesce(s, 0), 6) AS stability FROM p LEFT JOIN h ON h.session_id = p.session_id AND h.items = p.items")
 def q15(t):
     p = Q.frequent_patterns(_tx(t), 6, 2, 4)
     return rounded(Q.pattern_stability(p, _tx(t), 8), "stability")
 
 
-@query("q16_reduce_patterns")
+@query("q16_reduce_patterns", _closed(5, 4) + ", p AS MATERIALIZED (SELECT session_id, items, size, cnt FROM cl WHERE size >= 2), ns AS (SELECT DISTINCT session_id, size, cnt FROM p WHERE cnt < 6), d AS (SELECT a.session_id, a.items AS a, a.size AS za, a.cnt AS ca, b.items AS b, b.size AS zb, b.cnt AS cb, EXISTS (SELECT 1 FROM ns WHERE ns.session_id = a.session_id AND ns.size = b.size AND ns.cnt = b.cnt - a.cnt) AS bo, EXISTS (SELECT 1 FROM ns WHERE ns.session_id = a.session_id AND ns.size = a.size - b.size AND ns.cnt = a.cnt) AS ao FROM p a JOIN p b ON b.session_id = a.session_id AND b.size < a.size AND list_has_all(a.items, b.items)), g AS (SELECT session_id, CASE WHEN ao AND bo THEN CASE WHEN (za - 2) * ca >= (zb - 2) * cb THEN b ELSE a END WHEN bo THEN b WHEN ao THEN a END AS items FROM d) SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.session_id = p.session_id AND g.items = p.items)")
 def q16(t):
     p = Q.frequent_patterns(_tx(t), 5, 2, 4)
     return Q.reduce_patterns(p, Q.pattern_spectrum(p).filter("cnt < 6").select("session_id", "size", "cnt"))

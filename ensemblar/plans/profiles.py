@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import CELL
 from ..operators import events as G
 from ..operators import profiles as P
+from .intervals import taken
 from .registry import query
 from .series import rounded
 
@@ -119,12 +120,15 @@ def g3b(t):
     return G.event_numbers(t.pop, t.sess)
 
 
-@query("g4_detect_peak_events")
+_PEAKS = "n AS (SELECT session_id, frame, count(*) AS n FROM act GROUP BY ALL), al AS (SELECT s.session_id, s.frame, coalesce(n, 0) AS n FROM (SELECT DISTINCT session_id, frame FROM spine) s LEFT JOIN n USING (session_id, frame)), df AS (SELECT *, n - lag(n) OVER (PARTITION BY session_id ORDER BY frame) AS d FROM al), ch AS (SELECT *, lead(d) OVER (PARTITION BY session_id ORDER BY frame) AS nd FROM df WHERE d <> 0), pe AS (SELECT session_id, frame, n FROM ch WHERE d > 0 AND nd < 0 AND n >= 3 AND NOT EXISTS (SELECT 1 FROM mvt m WHERE m.session_id = ch.session_id AND m.label = 'twitch' AND ch.frame BETWEEN m.first - 2 AND m.last + 2))"
+
+
+@query("g4_detect_peak_events", f"WITH RECURSIVE {_PEAKS}, {taken('session_id', 'pe', 'n', 5)}, wd AS (SELECT DISTINCT session_id, f::INT AS frame FROM tk, range(0, 120) x(f) WHERE f BETWEEN tk.frame - 2 AND tk.frame + 2), e AS ({_ISL.format('wd')}) SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first) AS event_id FROM e")
 def g4(t):
     return G.detect_peak_events(t.act, t.sess, 2, 5, 3, t.mvt.filter("label = 'twitch'"))
 
 
-@query("g5_detect_block_events")
+@query("g5_detect_block_events", "WITH RECURSIVE bs AS MATERIALIZED (SELECT session_id, f::INT AS frame FROM act, range(0, 117, 2) x(f) WHERE frame BETWEEN f AND f + 3 GROUP BY session_id, f HAVING count(*) > 0.6 * 10), nx AS MATERIALIZED (SELECT a.session_id, a.frame, min(b.frame) AS nxt FROM bs a LEFT JOIN bs b ON b.session_id = a.session_id AND b.frame >= a.frame + 4 GROUP BY ALL), r AS (SELECT session_id, min(frame) AS frame FROM bs GROUP BY session_id UNION ALL SELECT r.session_id, nxt FROM r JOIN nx USING (session_id, frame) WHERE nxt IS NOT NULL) SELECT session_id, frame AS first, frame + 3 AS last FROM r")
 def g5(t):
     return G.detect_block_events(t.act, t.sess, 4, 2, 0.6)
 
