@@ -226,8 +226,9 @@ def _array_files(t) -> DataFrame:
 
 @query("s2_read_arrays", "SELECT session_id AS path, cell, frame, 1.0::DOUBLE AS value FROM act")
 def s2(t):
-    files = _array_files(t).select(F.col("session_id").alias("path"), "content")
-    return files.mapInArrow(lambda b: S.decoded(b), "path string, cell int, frame int, value double")
+    path = shared_path(t.spark, "arrays")
+    S.write_files(_array_files(t).select(F.concat("session_id", F.lit(".npy")).alias("name"), "content"), path)
+    return S.read_arrays(t.spark, f"{path}/*.npy").withColumn("path", F.regexp_extract("path", r"([^/]+)\.npy$", 1))
 
 
 @query("s3_parse_session_path", "SELECT '/data/p' || age || '/p' || age || '_' || replace(session_id, '-', '_') || '.npy' AS path, age, regexp_extract(session_id, '^([A-Za-z]+)', 1) AS subject, replace(session_id, '-', '_') AS session_id FROM sess")

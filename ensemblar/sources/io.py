@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import over
 from ..operators.intervals import runs
+from .arrays import read_arrays, write_files  # noqa: F401
 
 
 def read_sessions(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -22,26 +20,6 @@ def read_sessions(spark: SparkSession, path: str, kind: str = "parquet") -> Data
     return d.dropDuplicates(["session_id"])
 
 
-def read_arrays(spark: SparkSession, glob: str, variable: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Rows (path, cell, frame, value) of cells x frames arrays in .npy or .npz files, decoded where the files are read.
-
-    Zeros are left out: activity is sparse.  A one-dimensional array is one cell.
-    """
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return files.mapInArrow(lambda b: decoded(b, variable, first, last), "path string, cell int, frame int, value double")
-
-
-def decoded(batches: Iterator[pa.RecordBatch], variable: str | None = None, first: int | None = None, last: int | None = None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = np.load(io.BytesIO(content), allow_pickle=False)
-            a = np.atleast_2d(data[variable] if isinstance(data, np.lib.npyio.NpzFile) else data)
-            for cell, row in enumerate(a):  # a batch for each cell keeps the output small
-                at = np.flatnonzero(row)
-                at = at[(at >= (first or 0)) & (at <= (last if last is not None else len(row)))]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(at), pa.string()), pa.array(np.full(len(at), cell, np.int32)), pa.array(at.astype(np.int32)), pa.array(row[at].astype(np.float64))], ["path", "cell", "frame", "value"])
-
-
 def session_of_path(path: Column | str = "path") -> tuple[Column, Column, Column]:
     """(age, subject, session) of p<age>_<session> in a path; the subject is the letters at the session's start."""
     p = F.col(path) if isinstance(path, str) else path
