@@ -9,9 +9,10 @@ are merged.  Each task builds and drops its own indexes: nothing is gathered.
 A window is 13 consecutive words of an item; an item of fewer words is one window.
 
 Defined cases: a null or empty text has no words and is not contaminated; an item
-without words matches nothing; repeated rows give repeated results; items with
-equal text all count; a null item id is left out of the id list; an empty
-benchmark hits nothing; further columns are not read.
+without words matches nothing; repeated rows of documents give repeated results; items
+with equal text all count, and rows with equal ids are one item, however the benchmark
+is cut into blocks; a null item id is left out of the id list; an empty benchmark hits
+nothing; further columns are not read.
 """
 
 from __future__ import annotations
@@ -49,17 +50,20 @@ class Phrases:
         h = low.hashes(start, end)
         self.vocabulary, number = np.unique(h, return_inverse=True)
         number = number + 1
+        # rows with equal ids are one item; null ids are none
+        numbers: dict[str, int] = {}
+        owner = [numbers.setdefault(i, len(numbers)) for i in ids]
         windows: dict[tuple[int, ...], set[int]] = {}
         for d in range(t.n):
             own = number[at[d] : at[d + 1]].tolist()
             for k in range(max(1, len(own) - width + 1) if own else 0):
-                windows.setdefault(tuple(own[k : k + width]), set()).add(d)
+                windows.setdefault(tuple(own[k : k + width]), set()).add(owner[d])
         self.lengths = np.array([len(w) for w in windows], np.int64)
         self.matrix = np.array([w + (0,) * (width - len(w)) for w in windows], np.int64).reshape(len(windows), width)
         owners = [sorted(x) for x in windows.values()]
         self.owner_counts = np.array([len(x) for x in owners], np.int64)
         self.owners = np.array([i for x in owners for i in x], np.int64)
-        self.ids, self.shortest = ids, int(self.lengths.min()) if len(windows) else 0
+        self.ids, self.shortest = list(numbers), int(self.lengths.min()) if len(windows) else 0
 
     def word_numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each test word, 0 for all others."""

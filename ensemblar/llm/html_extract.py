@@ -16,7 +16,9 @@ a large host is spread over tasks.
 
 Defined cases: null or empty html gives an empty text; a null or odd address is
 the host ''; a host of one page has no constant texts; repeated rows each give a
-row; further columns are not read.
+row; further columns are not read.  Tags that nothing closes are text; trees of any depth
+and pages of any length are aligned, with memory of two bits for each pair of siblings
+between the first and the last that differ.
 """
 
 from __future__ import annotations

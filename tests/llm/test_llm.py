@@ -631,3 +631,12 @@ def test_components_of_trees_paths_and_later_links(spark):
     after = smallest(tree + path + later)
     assert {(x.node, x.component) for x in joined(labels, frame(later, "a_part", "b_part")).collect()} == {(k, v) for k, v in after.items() if k != v}
     assert roots(frame([])).count() == components(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("block_chars", [2 << 20, 18])
+def test_repeated_item_ids_are_one_item(spark, block_chars):
+    """Whatever the blocks; a null id hits but is not listed."""
+    docs = docs_of(spark, ["one two three four five six", "seven eight", "nine ten one two three", "none at all"])
+    items = spark.createDataFrame([("1", "one two three"), ("1", "four five six"), ("2", "one two three"), (None, "seven eight"), ("1", "one two three")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, sorted(r["items"])) for r in decontaminate.contamination(docs, items, block_chars=block_chars).collect()}
+    assert got == {0: (6, ["1", "2"]), 1: (2, []), 2: (3, ["1", "2"]), 3: (0, [])}
