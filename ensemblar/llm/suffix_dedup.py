@@ -50,7 +50,7 @@ ANCHOR = 32
 BIG_GROUP, DEAL = 4000, 16
 #: Symbols after which a task sorts the groups that it holds.
 CHUNK = 100_000
-#: An anchor in more rows than HOT_ROWS, and than one in HOT_ANCHORS of all, is grouped apart.
+#: An anchor in more rows than HOT_ROWS is grouped apart; a list of at most HOT_ANCHORS of them is broadcast.
 HOT_ROWS, HOT_ANCHORS = 20_000, 10_000
 
 _SEGMENTS = "doc_id long, anchor long, content long, start long, windows int, lead int"
@@ -229,26 +229,25 @@ def _later(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 def _marked(found: DataFrame, width: int, k: int) -> DataFrame:
     """Segments of anchors that occur again: those that an earlier one equals (later) and, of anchors with several contents, the first of each (open).
 
-    Anchors meet in one exchange and are compared there; the few anchors that hold more than a
-    fixed share of the rows are grouped with partial sums instead.
+    Anchors meet in one exchange and are compared there; those of more than HOT_ROWS rows, a fixed number however
+    large the corpus is, are grouped with partial sums instead.
     """
     counts = as_table(found.groupBy(F.col("anchor").alias("c_anchor")).agg(F.count("anchor").alias("n")).filter("n > 1"), "anchors")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(HOT_ROWS, total // HOT_ANCHORS)
-    hot = counts.filter(F.col("n") > limit).select("c_anchor")
-    some_hot = not hot.isEmpty()
-    # fewer than HOT_ANCHORS anchors can be above the limit; their rows leave before the exchange
-    cool = found.join(F.broadcast(hot), F.col("anchor") == F.col("c_anchor"), "left_anti") if some_hot else found
-    met = cool.join(counts.filter(F.col("n") <= limit), F.col("anchor") == F.col("c_anchor"))
+    hot = counts.filter(F.col("n") > HOT_ROWS).select("c_anchor")
+    n_hot = hot.count()
+    # their rows leave before the exchange where the list of them is short enough to be sent to all tasks
+    sent = F.broadcast(hot) if n_hot <= HOT_ANCHORS else hot
+    cool = found.join(sent, F.col("anchor") == F.col("c_anchor"), "left_anti") if n_hot else found
+    met = cool.join(counts.filter(F.col("n") <= HOT_ROWS), F.col("anchor") == F.col("c_anchor"))
     same = W.partitionBy("anchor", "content").orderBy("doc_id", "start")
     place = F.struct("doc_id", "start")
     first = F.first(place).over(same)
     whole = W.partitionBy("anchor")
     marked = met.select("doc_id", "start", "windows", "lead", (first != place).alias("later"), (F.min("content").over(whole) != F.max("content").over(whole)).alias("open"))
     out = marked.filter("later OR open")
-    if not some_hot:
+    if not n_hot:
         return as_table(out, "segments")
-    rows = as_table(found.join(F.broadcast(hot), F.col("anchor") == F.col("c_anchor")).drop("c_anchor"), "hot_segments")
+    rows = as_table(found.join(sent, F.col("anchor") == F.col("c_anchor")).drop("c_anchor"), "hot_segments")
     classes, later = _later(rows, ["anchor", "content"])
     several = classes.groupBy(F.col("anchor").alias("s_anchor")).agg(F.count("anchor").alias("n")).filter("n > 1")
     firsts = classes.join(several, F.col("anchor") == F.col("s_anchor"), "left_semi")
