@@ -1,6 +1,12 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes all that the one before it kept; its input and output are tables.
+
+Defined cases: documents without text, and those of few words, are rejected by the first
+stage; rows with equal ids are judged by their contents and stay rows of their own; a null
+id is no near duplicate of anything and gets tokens like any other; a null source is a
+source; columns beyond those of documents are handed on up to the last stage, whatever
+their names; an empty table gives no rows, and an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
