@@ -206,29 +206,38 @@ def s1(t):
     return S.read_sessions(t.spark, path, "csv").select("session_id", "subject_id", "age", "n_frames", "n_cells")
 
 
-def _array_files(t) -> DataFrame:
-    """(session_id, content): a .npy file for each session."""
+def _arrays(t, rows: DataFrame, zeros: bool = False) -> DataFrame:
+    """Rows (path, cell, frame, value) written as one .npy file for each path, and read again."""
 
     def pack(batches):
         for p in batches:
             out = []
-            for cells, frames in zip(p["cells"], p["frames"], strict=True):
-                a = np.zeros((10, 120), np.int8)
-                a[np.asarray(cells), np.asarray(frames)] = 1
+            for x in zip(p["cells"], p["frames"], p["values"], strict=True):
+                cells, frames, values = map(np.asarray, x)
+                a = np.zeros((cells.max() + 1, frames.max() + 1))
+                a[cells, frames] = values
                 f = io.BytesIO()
                 np.save(f, a)
                 out.append(f.getvalue())
-            yield pd.DataFrame({"session_id": p["session_id"], "content": out})
+            yield pd.DataFrame({"name": p["path"] + ".npy", "content": out})
 
-    lists = t.act.groupBy("session_id").agg(F.collect_list(F.struct("cell", "frame")).alias("x")).select("session_id", F.col("x.cell").alias("cells"), F.col("x.frame").alias("frames"))
-    return lists.mapInPandas(pack, "session_id string, content binary")
+    lists = rows.groupBy("path").agg(F.collect_list(F.struct("cell", "frame", "value")).alias("x")).select("path", F.col("x.cell").alias("cells"), F.col("x.frame").alias("frames"), F.col("x.value").alias("values"))
+    folder = shared_path(t.spark, "arrays")
+    S.write_files(lists.mapInPandas(pack, "name string, content binary"), folder)
+    return S.read_arrays(t.spark, f"{folder}/*.npy", zeros=zeros).withColumn("path", F.regexp_extract("path", r"([^/]+)\.npy$", 1))
+
+
+def _lines(t, lines: DataFrame) -> DataFrame:
+    """Rows (file, n, line) written as one text file for each file, and read again."""
+    whole = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
+    folder = shared_path(t.spark, "texts")
+    S.write_files(whole.select(F.concat("file", F.lit(".txt")).alias("name"), F.array_join(F.col("x.line"), "\n").cast("binary").alias("content")), folder)
+    return S.read_lines(t.spark, folder).withColumn("file", F.regexp_extract("file", r"([^/]+)\.txt$", 1))
 
 
 @query("s2_read_arrays", "SELECT session_id AS path, cell, frame, 1.0::DOUBLE AS value FROM act")
 def s2(t):
-    path = shared_path(t.spark, "arrays")
-    S.write_files(_array_files(t).select(F.concat("session_id", F.lit(".npy")).alias("name"), "content"), path)
-    return S.read_arrays(t.spark, f"{path}/*.npy").withColumn("path", F.regexp_extract("path", r"([^/]+)\.npy$", 1))
+    return _arrays(t, t.act.select(F.col("session_id").alias("path"), "cell", "frame", F.lit(1.0).alias("value")))
 
 
 @query("s3_parse_session_path", "SELECT '/data/p' || age || '/p' || age || '_' || replace(session_id, '-', '_') || '.npy' AS path, age, regexp_extract(session_id, '^([A-Za-z]+)', 1) AS subject, replace(session_id, '-', '_') AS session_id FROM sess")
@@ -240,7 +249,7 @@ def s3(t):
 @query("s4_read_period_labels", "SELECT session_id AS path, min(frame) AS first, max(frame) AS last, 'busy' AS label FROM (SELECT *, frame - row_number() OVER (PARTITION BY session_id ORDER BY frame) AS g FROM busy) GROUP BY session_id, g")
 def s4(t):
     mask = t.act.groupBy(F.col("session_id").alias("path"), "frame").agg(F.count("cell").alias("n")).select("path", F.lit(0).alias("cell"), "frame", (F.col("n") >= 3).cast("double").alias("value"))
-    return S.read_period_labels(mask, "busy")
+    return S.read_period_labels(_arrays(t, mask), "busy")
 
 
 @query("s5_read_invalid_frames", "SELECT 'p' || session_id AS session_id, first, last FROM pop")
@@ -264,7 +273,7 @@ def _assembly_lines(t) -> DataFrame:
 
 @query("s6_read_assemblies", "WITH m AS (SELECT session_id, event_id, cell, (dense_rank() OVER (PARTITION BY session_id ORDER BY event_id) - 1)::INT AS assembly FROM ecells) SELECT session_id AS file, assembly, cell, event_id::INT AS frame FROM m")
 def s6(t):
-    members, times = S.parse_assemblies(_assembly_lines(t))
+    members, times = S.parse_assemblies(_lines(t, _assembly_lines(t)))
     return members.join(times.drop("single"), ["file", "assembly"])
 
 
@@ -272,20 +281,21 @@ def s6(t):
 def s7(t):
     g = t.ecells.groupBy("session_id", "cell").agg(F.collect_list(F.col("event_id") % 10).alias("r"))
     line = F.concat(F.col("cell").cast("string"), F.lit(":["), F.array_join(F.col("r").cast("array<string>"), ","), F.lit("]"))
-    return S.parse_sequence_results(g.select(F.col("session_id").alias("file"), line.alias("line")))
+    return S.parse_sequence_results(_lines(t, g.select(F.col("session_id").alias("file"), F.col("cell").alias("n"), line.alias("line"))))
 
 
 @query("s7b_parse_best_order", "SELECT session_id AS file, (row_number() OVER (PARTITION BY session_id ORDER BY cell) - 1)::INT AS rank, cell FROM (SELECT DISTINCT session_id, cell FROM ecells)")
 def s7b(t):
     g = t.ecells.groupBy("session_id").agg(F.sort_array(F.collect_set("cell")).alias("c"))
-    return S.parse_best_order(g.select(F.col("session_id").alias("file"), F.concat(F.lit("best_order:"), F.array_join(F.col("c").cast("array<string>"), " ")).alias("line")))
+    return S.parse_best_order(_lines(t, g.select(F.col("session_id").alias("file"), F.lit(0).alias("n"), F.concat(F.lit("best_order:"), F.array_join(F.col("c").cast("array<string>"), " ")).alias("line"))))
 
 
 @query("s4b_read_interval_arrays", "SELECT session_id AS path, 'visit' AS label, t0, t1 FROM ivl")
 def s4b(t):
     numbered = t.ivl.withColumn("frame", F.row_number().over(over("session_id", "t0", "t1")) - 1)
     sides = F.explode(F.array(F.struct(F.lit(0).alias("cell"), F.col("t0").alias("value")), F.struct(F.lit(1).alias("cell"), F.col("t1").alias("value"))))
-    return S.read_interval_arrays(numbered.select(F.col("session_id").alias("path"), "frame", sides.alias("x")).select("path", "frame", "x.cell", "x.value"), "visit")
+    rows = numbered.select(F.col("session_id").alias("path"), "frame", sides.alias("x")).select("path", "frame", "x.cell", "x.value")
+    return S.read_interval_arrays(_arrays(t, rows, zeros=True), "visit")
 
 
 @query("s8_read_wide_events", "SELECT session_id || '/' || event_id AS cell, 'f' || cell AS condition, value AS t FROM ev")

@@ -75,6 +75,7 @@ class ArrayReader(DataSourceReader):
         self.glob, self.variable = options["path"], options.get("variable")
         self.first, self.last = int(options.get("first", 0)), int(options.get("last", 1 << 31))
         self.size = int(options.get("partitionbytes", PARTITION_BYTES))
+        self.zeros = str(options.get("zeros", "false")).lower() == "true"
 
     def partitions(self) -> list[Numbers]:
         out = []
@@ -122,7 +123,7 @@ class ArrayReader(DataSourceReader):
                 source = f
             for a in range(p.first, p.end, step):
                 x = np.frombuffer(source.read((min(p.end, a + step) - a) * dtype.itemsize), dtype)
-                at = np.flatnonzero(x)
+                at = np.arange(len(x)) if self.zeros else np.flatnonzero(x)
                 if p.by_frame:
                     frame, cell = np.divmod(at + a, p.n_cells)
                 else:
@@ -145,13 +146,14 @@ class ArraySource(DataSource):
         return ArrayReader(dict(self.options))
 
 
-def read_arrays(spark: SparkSession, glob: str, variable: str | None = None, first: int | None = None, last: int | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def read_arrays(spark: SparkSession, glob: str, variable: str | None = None, first: int | None = None, last: int | None = None, zeros: bool = False, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """Rows (path, cell, frame, value) of cells x frames arrays in .npy or .npz files, in partitions of ranges of numbers.
 
-    Zeros are left out: activity is sparse.  A one-dimensional array is one cell.  first, last: frames to keep.
+    Zeros are left out, as activity is sparse, unless they are asked for.  A one-dimensional array is one cell.
+    first, last: frames to keep.
     """
     spark.dataSource.register(ArraySource)
-    r = spark.read.format("number_arrays").option("partitionBytes", partition_bytes)
+    r = spark.read.format("number_arrays").option("partitionBytes", partition_bytes).option("zeros", zeros)
     for name, x in (("variable", variable), ("first", first), ("last", last)):
         r = r if x is None else r.option(name, x)
     return r.load(glob)

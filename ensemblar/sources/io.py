@@ -40,7 +40,7 @@ def read_period_labels(arrays: DataFrame, label: str) -> DataFrame:
 
 
 def read_interval_arrays(arrays: DataFrame, label: str) -> DataFrame:
-    """Intervals of a 2 x n array of seconds: row 0 holds the starts, row 1 the ends (a start of 0 is kept)."""
+    """Intervals of a 2 x n array of seconds: row 0 holds the starts, row 1 the ends (read with zeros: 0 is a time too)."""
     side = lambda c: F.max(F.when(F.col("cell") == c, F.col("value")))
     return arrays.groupBy("path", "frame").agg(F.coalesce(side(0), F.lit(0.0)).alias("t0"), side(1).alias("t1")).select("path", F.lit(label).alias("label"), "t0", "t1")
 

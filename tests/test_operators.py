@@ -80,8 +80,8 @@ def test_shortest_label_wins(spark):
 
 def test_one_shared_frame_overlaps_once(spark):
     a, b = spark.createDataFrame([("s", 0, 5)], PER), spark.createDataFrame([("s", 5, 90)], PER)
-    for bucket, long in ((1, 50), (4, 50), (4, 2), (100, 1)):
-        assert I.interval_overlap_join(a, b, bucket=bucket, long_buckets=long).count() == 1
+    for bucket, levels in ((1, 5), (4, 5), (4, 2), (100, 1)):
+        assert I.interval_overlap_join(a, b, bucket=bucket, levels=levels).count() == 1
     assert I.interval_overlap_join(a, b, how="anti").count() == 0
 
 
@@ -90,7 +90,7 @@ def test_overlap_join_equals_brute_force(spark):
     make = lambda n, longest: [("s", f, f + r.randint(0, longest)) for f in (r.randint(0, 200) for _ in range(n))]
     a, b = make(60, 30), make(60, 80)
     want = sorted((x[1], x[2], y[1], y[2]) for x in a for y in b if x[1] <= y[2] and y[1] <= x[2])
-    got = I.interval_overlap_join(spark.createDataFrame(a, PER), spark.createDataFrame(b, PER), bucket=7, long_buckets=5)
+    got = I.interval_overlap_join(spark.createDataFrame(a, PER), spark.createDataFrame(b, PER), bucket=7, levels=2)
     assert sorted(tuple(x) for x in got.select("first", "last", "b_first", "b_last").collect()) == want
 
 
