@@ -126,6 +126,10 @@ def _shares(rows: DataFrame, by: list[str], languages: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.array(*[F.sum(F.col("p")[k]) for k in range(len(languages))]).alias("sums"))
 
 
+#: Hosts whose priors are sent to all tasks.
+SENT_HOSTS = 100_000
+
+
 def _softmax(x: Column) -> Column:
     e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
@@ -148,6 +152,9 @@ def fuse(rows: DataFrame, languages: list[str], host_rows: float = HOST_ROWS, su
     suffix = _shares(rows.filter("suffix <> ''"), ["suffix"], languages).crossJoin(whole).select("suffix", smoothed("sums", "all_prior", suffix_rows).alias("suffix_prior"))
     host = _shares(rows.filter("host <> ''"), ["host", "suffix"], languages).crossJoin(whole).join(suffix.withColumnRenamed("suffix", "x_suffix"), F.col("suffix") == F.col("x_suffix"), "left")
     host = host.withColumn("above", F.coalesce("suffix_prior", "all_prior")).select(F.col("host").alias("h_host"), F.col("suffix").alias("h_suffix"), smoothed("sums", "above", host_rows).alias("prior"))
+    # a few hosts may have most of the rows: their priors go to the rows where they are few, not the rows to them
+    host = as_table(host, "priors")
+    host = F.broadcast(host) if host.count() <= SENT_HOSTS else host
     # chances of each declaration given the language; an unseen one says nothing
     said = _shares(rows.filter("declared IS NOT NULL"), ["declared"], languages)
     total = said.agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(n)]).alias("all_said"), F.count("declared").alias("kinds"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, content_key, unused
+from .scratch import as_table, bound_batches, content_key, unused
 from .textnum import LOWER, NOT_SPACE, Text, grams, mix, run_hashes, signed, texts_of
 
 MIN_WORDS = 50
@@ -108,6 +108,10 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")).mapInArrow(_stats, STATS.replace("doc_id long", f"doc_id {id_type}"))
 
 
+#: Frequent lines that are sent to all tasks; with more of them, the tasks that share the rows of one line.
+SENT_LINES, LINE_PARTS = 100_000, 32
+
+
 def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
     """(host, line, n_docs) of the lines above the limit; lines has host, line and digest."""
     once = lines.groupBy("host", "line", "digest").agg(F.lit(1).alias("one"))
@@ -126,14 +130,22 @@ def quality_rules(
     id_type: str = "long",
 ) -> DataFrame:
     """One row per document: counts, base_failed, the boilerplate lines found in it, and kept."""
-    stats = text_stats(docs, id_col, text_col, host_col, id_type)
+    # three steps read them: texts are measured once
+    stats = as_table(text_stats(docs, id_col, text_col, host_col, id_type), "text_stats")
     lines = (
         stats.select("doc_id", F.coalesce("host", F.lit("\0")).alias("host"), "digest", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
         .select("doc_id", "host", "digest", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     )
-    often = frequent_lines(lines, max_docs)
+    often = as_table(frequent_lines(lines, max_docs).select(F.col("host").alias("o_host"), F.col("line").alias("o_line")), "frequent_lines")
+    met = (F.col("host") == F.col("o_host")) & (F.col("line") == F.col("o_line"))
+    if often.count() <= SENT_LINES:
+        found = lines.join(F.broadcast(often), met)
+    else:
+        # a line may be in all documents of a host: its rows are dealt to some tasks, each of which gets the line
+        parts = often.withColumn("o_part", F.explode(F.sequence(F.lit(0), F.lit(LINE_PARTS - 1))))
+        found = lines.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(LINE_PARTS))).join(parts, met & (F.col("part") == F.col("o_part")))
     lost = (
-        lines.join(often.select(F.col("host").alias("o_host"), F.col("line").alias("o_line")), (F.col("host") == F.col("o_host")) & (F.col("line") == F.col("o_line")))
+        found
         .groupBy(F.col("doc_id").alias("lost_id"))
         .agg(F.sum("words").alias("lost"), F.count_distinct("line").alias("n_boilerplate_lines"), F.collect_set("line").alias("boilerplate"), F.count("line").alias("n_found"))
         # rows with equal ids are counted together above: their shares are those of one row
