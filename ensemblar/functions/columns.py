@@ -33,13 +33,18 @@ def shift(cell, k, n_frames, seed: int = 0) -> Column:
     return F.lit(1) + F.pmod(cell.cast("long") * 7919 + k.cast("long") * 104729 + seed, n.cast("long") - 1)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """Rows made by explode.  Spark takes them for as many as before it and may send them whole through the driver; their joins shuffle instead."""
+    return df.hint("merge")
+
+
 def frames_of(sessions: DataFrame) -> DataFrame:
     """Every frame of every session, active or not."""
-    return sessions.select("session_id", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame"))
+    return grown(sessions.select("session_id", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame")))
 
 
 def cells_of(sessions: DataFrame) -> DataFrame:
-    return sessions.select("session_id", F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1)).alias("cell"))
+    return grown(sessions.select("session_id", F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1)).alias("cell")))
 
 
 def on(a: DataFrame, b: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:

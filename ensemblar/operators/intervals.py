@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import CELL, names, over
+from ..functions.columns import CELL, grown, names, over
 from ..functions.shared import checkpointed
 
 SESSION = ("session_id",)
@@ -122,7 +122,7 @@ def complement(periods: DataFrame, sessions: DataFrame) -> DataFrame:
 def event_window_join(events: DataFrame, frames: DataFrame, before: int, after: int, event_frame: str = "frame") -> DataFrame:
     """Rows of frames within each event's window, with rel; an equi-join on frames, windows end where the frames do."""
     wide = events.select(*[c for c in events.columns if c != event_frame], F.col(event_frame).alias("event_frame"), F.explode(F.sequence(F.col(event_frame) - before, F.col(event_frame) + after)).alias("frame"))
-    return wide.join(frames, ["session_id", "frame"]).withColumn("rel", F.col("frame") - F.col("event_frame"))
+    return grown(wide).join(frames, ["session_id", "frame"]).withColumn("rel", F.col("frame") - F.col("event_frame"))
 
 
 def _cover(first: str, last: str, bucket: int, levels: int) -> Column:
@@ -160,7 +160,7 @@ def interval_overlap_join(a: DataFrame, b: DataFrame, part: Sequence[str] = SESS
         nodes = wide.select("*", F.explode(_cover(f, l, bucket, levels)).alias("_n")).select(*wide.columns, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
         place = F.floor(F.col(at) / bucket).cast("long")
         dealt = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("_node", F.call_function("shiftright", place, 3 * F.col("_level")))
-        return dealt.join(nodes, [*part, "_level", "_node"]).filter((F.col(f) <= F.col(at)) & (F.col(at) <= F.col(l)))
+        return grown(dealt).join(grown(nodes), [*part, "_level", "_node"]).filter((F.col(f) <= F.col(at)) & (F.col(at) <= F.col(l)))
 
     columns = [*a.columns, *(c for c in b.columns if c not in part)]
     pairs = met(a, "first", b, first, last).select(columns).unionByName(met(b, first, a, "first", "last").filter(F.col(first) > F.col("first")).select(columns))

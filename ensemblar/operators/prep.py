@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import CELL, names, over
+from ..functions.columns import CELL, grown, names, over
 from .intervals import interval_overlap_join
 
 
@@ -64,7 +64,7 @@ def strata(windows: DataFrame, runs: DataFrame) -> DataFrame:
     c = lambda x: F.max(F.when(x, 1).otherwise(0))
     g = met.groupBy(*CELL, "first", "last").agg(F.count("b_first").alias("n"), F.max("amplitude").alias("amplitude"), c(F.col("real") & whole).alias("a"), c(F.col("real") & ~whole).alias("b"), c(~F.col("real") & whole).alias("c"), c(~F.col("real") & ~whole).alias("d"))
     kind = F.when(F.col("a") == 1, "true").when(F.col("b") == 1, "cut_true").when(F.col("c") == 1, "false").when(F.col("d") == 1, "cut_false").otherwise("background")
-    d = windows.join(g, [*CELL, "first", "last"], "left").select(*CELL, "first", "last", kind.alias("kind"), (F.coalesce("n", F.lit(0)) > 1).alias("several"), "amplitude")
+    d = grown(windows).join(g, [*CELL, "first", "last"], "left").select(*CELL, "first", "last", kind.alias("kind"), (F.coalesce("n", F.lit(0)) > 1).alias("several"), "amplitude")
     quarter = F.ntile(4).over(over(["session_id", "kind"], "amplitude", "cell", "first"))
     return d.withColumn("quartile", F.when(F.col("amplitude").isNotNull(), quarter))
 

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import CELL, over
+from ..functions.columns import CELL, grown, over
 from ..operators import intervals as I
 
 N_FRAMES, N_CELLS = 120, 10
@@ -64,7 +64,7 @@ class Tables:
     def traces(self) -> DataFrame:
         spine = self.sess.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(N_CELLS - 1))).alias("cell")).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(N_FRAMES - 1))))
         sums = self.ev.groupBy("session_id", "cell", "frame").agg(F.round(F.sum("value"), 2).alias("v"))
-        return spine.join(sums, ["session_id", "cell", "frame"], "left").select("session_id", "cell", "frame", F.coalesce("v", F.lit(0.0)).alias("value"))
+        return grown(spine).join(sums, ["session_id", "cell", "frame"], "left").select("session_id", "cell", "frame", F.coalesce("v", F.lit(0.0)).alias("value"))
 
     @cached_property
     def pred(self) -> DataFrame:

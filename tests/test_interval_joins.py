@@ -5,6 +5,7 @@ import random
 from contextlib import redirect_stdout
 
 from ensemblar.operators import intervals as I
+from ensemblar.operators import prep
 
 
 def sides(spark, seed, span, longest, n=120):
@@ -47,3 +48,14 @@ def test_no_join_by_the_part_alone(spark):
     keys = [x for x in plan.splitlines() if x.startswith(("Left keys", "Right keys"))]
     assert keys and all("_level" in k and "_node" in k for k in keys)
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    (_, a), (_, b) = sides(spark, 1, 5000, 5000)
+    windows = a.withColumnRenamed("x", "cell")
+    runs = b.selectExpr("session_id", "y as cell", "first", "last", "y % 2 = 0 as real", "y as amplitude")
+    for d in (I.interval_overlap_join(a, b), prep.strata(windows, runs)):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            d.explain()
+        assert "SortMergeJoin" in out.getvalue() and "Broadcast" not in out.getvalue()
