@@ -253,8 +253,9 @@ class Page:
         return [k for k in self.leaves() if not shut[k]]
 
 
-#: Pairs of siblings whose weights are all worked out; beyond, siblings of one kind share a weight.
-ALL_PAIRS, KIND_PAIRS = 400, 10_000
+#: Pairs of siblings whose weights are all worked out; beyond, siblings of one kind share a weight.  Weights of pairs of
+#: kinds, and of nodes, that are kept: further ones are worked out again.
+ALL_PAIRS, KIND_PAIRS, MEMO = 400, 1 << 20, 1 << 18
 #: A text shared by so many pairs of siblings counts as part of their kinds.
 SHARED_PAIRS = 64
 
@@ -301,6 +302,8 @@ class Alignment:
         key = (x, y) if fixed is None else (x, y, fixed)
         known = self.memo.get(key)
         if known is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
             known = self.memo[key] = self._siblings(a.children[x], b.children[y], fixed, False)
         return 1 + known[0]
 
@@ -396,22 +399,18 @@ class Alignment:
                     close.setdefault(k, set()).update(holders[1][t])
         kinds: list[dict[int, int]] = [{}, {}]
         of = [np.array([kinds[s].setdefault(self._kind(p, x, often), len(kinds[s])) for x in side]) for s, (p, side) in enumerate(((a, xs), (b, ys)))]
-        # of too many kinds only the labels are compared
-        plain = len(kinds[0]) * len(kinds[1]) > KIND_PAIRS
         first = [{}, {}]
         for s, side in enumerate((xs, ys)):
             for k, x in zip(of[s].tolist(), side, strict=True):
                 first[s].setdefault(k, x)
-        labels = np.array([hash(b.label[y]) for y in ys]) if plain else None
         known: dict[int, np.ndarray] = {}
         for k, x in enumerate(xs):
             kind = int(of[0][k])
-            if plain:
-                row = (labels == hash(a.label[x])).astype(np.int32)
-            else:
-                if kind not in known:
-                    known[kind] = np.array([self.weight(first[0][kind], first[1][c], often) for c in range(len(kinds[1]))], np.int32)
-                row = known[kind][of[1]]
+            if kind not in known:
+                if (len(known) + 1) * len(kinds[1]) > KIND_PAIRS:
+                    known.clear()
+                known[kind] = np.array([self.weight(first[0][kind], first[1][c], often) for c in range(len(kinds[1]))], np.int32)
+            row = known[kind][of[1]]
             for j in close.get(k, ()):
                 row[j] = self.weight(x, ys[j], fixed)
             yield row
