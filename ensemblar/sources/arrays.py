@@ -1,7 +1,8 @@
 """Arrays in .npy and .npz files as a data source that splits files.
 
 The header says where the numbers begin and how they are laid out.  So a file, however large, is cut into ranges of
-numbers; a task reads its range only, in pieces, and knows the cell and frame of each number from its place.
+numbers; a task reads its range only, in pieces, and knows the cell and frame of each number from its place.  Small files
+are read many to a task.
 Members of an .npz archive that are stored as they are split in the same way; a compressed one is read in order by
 one task, a piece at a time.  Files are opened through Arrow's file systems (local and shared folders, s3, gs, hdfs).
 """
@@ -25,6 +26,8 @@ _ARROW = pa.schema([("path", pa.string()), ("cell", pa.int32()), ("frame", pa.in
 
 #: Bytes of numbers in a partition, and of a piece that a task holds.
 PARTITION_BYTES, PIECE_BYTES = 32 << 20, 4 << 20
+#: Bytes that opening a file counts for, and rows that small files hand on together.
+OPEN_BYTES, ROWS = 64 << 10, 1 << 16
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -60,6 +63,26 @@ class Numbers(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    parts: list[Numbers]
+
+
+def _dealt(parts: list[Numbers], size: int) -> list[Ranges]:
+    """Ranges one after another, as many to a task as have about the bytes of a partition."""
+    out, held = [], size
+    for p in parts:
+        cost = (p.end - p.first) * np.dtype(p.dtype).itemsize + OPEN_BYTES
+        if held + cost > size:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].parts.append(p)
+        held += cost
+    return out
+
+
 def _header(f) -> tuple[tuple[int, ...], bool, np.dtype]:
     version = np.lib.format.read_magic(f)
     read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
@@ -69,6 +92,10 @@ def _header(f) -> tuple[tuple[int, ...], bool, np.dtype]:
     return shape, by_column, dtype
 
 
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 class ArrayReader(DataSourceReader):
     def __init__(self, options: dict):
         # names of options come in small letters
@@ -77,7 +104,7 @@ class ArrayReader(DataSourceReader):
         self.size = int(options.get("partitionbytes", PARTITION_BYTES))
         self.zeros = str(options.get("zeros", "false")).lower() == "true"
 
-    def partitions(self) -> list[Numbers]:
+    def partitions(self) -> list[Ranges]:
         out = []
         system, _ = opened(self.glob.split("*")[0].split("?")[0])
         for path in matching(self.glob):
@@ -108,10 +135,22 @@ class ArrayReader(DataSourceReader):
             n, step = cells * frames, max(1, self.size // dtype.itemsize)
             for a in range(0, n, n if whole else step):
                 out.append(Numbers(path, member, offset, dtype.str, cells, frames, by_column and len(shape) == 2, a, min(n, n if whole else a + step)))
-        return out
+        return _dealt(out, self.size)
 
-    def read(self, p: Numbers) -> Iterator[pa.RecordBatch]:
+    def read(self, ranges: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.glob.split("*")[0].split("?")[0])
+        held, rows = [], 0
+        for p in ranges.parts:
+            for batch in self._numbers(system, p):
+                held.append(batch)
+                rows += len(batch)
+                if rows >= ROWS:
+                    yield _joined(held)
+                    held, rows = [], 0
+        if held:
+            yield _joined(held)
+
+    def _numbers(self, system: fs.FileSystem, p: Numbers) -> Iterator[pa.RecordBatch]:
         dtype = np.dtype(p.dtype)
         step = max(1, PIECE_BYTES // dtype.itemsize)
         with system.open_input_file(p.path) as f:

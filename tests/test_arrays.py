@@ -50,3 +50,11 @@ def test_vectors_empty_arrays_and_many_files(spark, tmp_path):
 def test_written_files(spark, tmp_path):
     write_files(spark.createDataFrame([("a.bin", bytearray(b"12")), ("b.bin", bytearray(b""))], "name string, content binary"), f"file://{tmp_path}/out")
     assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "out").iterdir()) == [("a.bin", b"12"), ("b.bin", b"")]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for k in range(300):
+        np.save(tmp_path / f"{k}.npy", np.full((1, 2), k + 1))
+    d = read_arrays(spark, f"{tmp_path}/*.npy")
+    assert d.rdd.getNumPartitions() == 1
+    assert sorted((int(r.path.rsplit("/", 1)[1][:-4]), r.frame, r.value) for r in d.collect()) == [(k, f, k + 1.0) for k in range(300) for f in range(2)]
