@@ -8,18 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: Bytes of rows that a Python worker gets at once: documents are long.
-BATCH_BYTES = 8 << 20
-_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow batches to BATCH_BYTES, unless it asks for fewer bytes already."""
-    now = spark.conf.get(_BATCH_KEY, "64m").lower().rstrip("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
-    if not 0 < int(now.rstrip("kmg")) * unit <= BATCH_BYTES:
-        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+from ..functions.shared import bound_batches
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,8 +26,8 @@ _ARROW = pa.schema([("path", pa.string()), ("cell", pa.int32()), ("frame", pa.in
 
 #: Bytes of numbers in a partition, and of a piece that a task holds.
 PARTITION_BYTES, PIECE_BYTES = 32 << 20, 4 << 20
-#: Bytes that opening a file counts for, and rows that small files hand on together.
-OPEN_BYTES, ROWS = 64 << 10, 1 << 16
+#: Bytes of small files that share a task, what opening one counts for, and rows that they hand on together.
+SHARED_BYTES, OPEN_BYTES, ROWS = 4 << 20, 64 << 10, 1 << 16
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -71,7 +71,7 @@ class Ranges(InputPartition):
 
 
 def _dealt(parts: list[Numbers], size: int) -> list[Ranges]:
-    """Ranges one after another, as many to a task as have about the bytes of a partition."""
+    """Ranges one after another, as many to a task as have about some bytes; a larger one is alone."""
     out, held = [], size
     for p in parts:
         cost = (p.end - p.first) * np.dtype(p.dtype).itemsize + OPEN_BYTES
@@ -135,7 +135,7 @@ class ArrayReader(DataSourceReader):
             n, step = cells * frames, max(1, self.size // dtype.itemsize)
             for a in range(0, n, n if whole else step):
                 out.append(Numbers(path, member, offset, dtype.str, cells, frames, by_column and len(shape) == 2, a, min(n, n if whole else a + step)))
-        return _dealt(out, self.size)
+        return _dealt(out, min(self.size, SHARED_BYTES))
 
     def read(self, ranges: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.glob.split("*")[0].split("?")[0])
