@@ -184,20 +184,19 @@ def add_company(v: Vocabulary, t: Text, total: np.ndarray) -> None:
 
 
 def add_gradient(model: Model, t: Text, total: np.ndarray) -> None:
-    """Adds for each row and class what is there (total[0]), and what is expected (total[1]): a class drawn from
-    each token's softmax stands for it, so that the gradient is right on average and a token costs one draw."""
+    """Adds for each row and class what is there (total[0]), and the sum of the probabilities of the class (total[1])."""
     h, ending, first = tokens(t)
     _, cls, rows = model.features(h, ending, first)
-    # draws follow from the words and their places in their text: reruns agree
-    place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-    draw = (mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
-    drawn = np.empty_like(cls)
-    for a in range(0, len(cls), BATCH):
-        p = np.cumsum(np.exp(model.classes(rows[:, a : a + BATCH])), axis=1)
-        drawn[a : a + BATCH] = (p[:, :-1] <= draw[a : a + BATCH, None] * p[:, -1:]).sum(axis=1)
     at = rows.astype(np.int64) * CLASSES
-    for k, c in enumerate((cls, drawn)):
-        total[k] += np.bincount((at + c).ravel(), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+    total[0] += np.bincount((at + cls).ravel(), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+    for a in range(0, len(cls), BATCH):
+        own = rows[:, a : a + BATCH]
+        p = np.exp(model.classes(own))
+        for r in own:
+            # tokens with the same row stand together and are summed at once
+            order = np.argsort(r, kind="stable")
+            new = np.flatnonzero(np.append(True, np.diff(r[order]) != 0))
+            total[1][r[order[new]]] += np.add.reduceat(p[order], new, axis=0)
 
 
 def _summed(texts: DataFrame, told, shape: tuple[int, ...], add: Callable) -> np.ndarray:
@@ -278,7 +277,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps
     rest = {b: (c - int(n[ending == b].sum()), m - int((ending == b).sum())) for b, (c, m) in sums.items() if b >= 0}
     v = Vocabulary(np.ascontiguousarray(word).view(np.uint64), n, sums.get(-1, (0, 0))[0], rest, sum(c for c, _ in sums.values()), sum(m for _, m in sums.values()))
     part = [texts.filter(F.col("round") == k).select("text") for k in range(len(steps))]
-    v.classify(_summed(part[0], v, (len(word), COMPANY + 1), add_company))
+    v.classify(_summed(texts.select("text"), v, (len(word), COMPANY + 1), add_company))
     model = Model(v)
     for step, own in zip(steps, part, strict=True):
         there, expected = _summed(own, model, (2, ROWS, CLASSES), add_gradient)

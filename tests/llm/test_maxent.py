@@ -134,3 +134,23 @@ def test_reruns_agree(spark, trained):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     again = train(docs.filter(~held_out()).repartition(5)).model
     assert np.allclose(again.weight, trained.model.weight, atol=1e-3)
+
+
+def test_expected_counts_are_sums_of_probabilities():
+    r = np.random.default_rng(4)
+    text = " ".join(f"w{i}" for i in r.zipf(1.5, 700) % 50)
+    t = Text(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    h, ending, first = maxent.tokens(t)
+    word, n = np.unique(h[ending >= 0], return_counts=True)
+    v = maxent.Vocabulary(word, n, 1, {}, len(h), len(word) + 1)
+    v.classify(r.random((len(word), maxent.COMPANY + 1)))
+    model = maxent.Model(v)
+    model.weight[:] = r.normal(size=model.weight.shape)
+    total = np.zeros((2, maxent.ROWS, maxent.CLASSES))
+    maxent.add_gradient(model, t, total)
+    rows = model.features(h, ending, first)[2]
+    want = np.zeros(total[1].shape)
+    for k, p in enumerate(np.exp(model.classes(rows))):
+        for row in rows[:, k]:
+            want[row] += p
+    assert np.allclose(total[1], want, atol=1e-3) and total[0].sum() == 5 * len(h)
