@@ -56,5 +56,5 @@ def test_small_files_share_tasks(spark, tmp_path):
     for k in range(300):
         np.save(tmp_path / f"{k}.npy", np.full((1, 2), k + 1))
     d = read_arrays(spark, f"{tmp_path}/*.npy")
-    assert d.rdd.getNumPartitions() == 1
+    assert 1 < d.rdd.getNumPartitions() < 10  # shares of 4 MB, 64 KB for each file
     assert sorted((int(r.path.rsplit("/", 1)[1][:-4]), r.frame, r.value) for r in d.collect()) == [(k, f, k + 1.0) for k in range(300) for f in range(2)]
