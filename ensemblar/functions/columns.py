@@ -38,6 +38,14 @@ def grown(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """Rows that the next steps multiply, by key in a fixed number of tasks.
+
+    Spark merges small partitions by the bytes before rows grow; a number that is asked for stays.
+    """
+    return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def frames_of(sessions: DataFrame) -> DataFrame:
     """Every frame of every session, active or not."""
     return grown(sessions.select("session_id", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import CELL, frames_of, names, over, shift
+from ..functions.columns import CELL, dealt, frames_of, names, over, shift
 from ..functions.shared import checkpointed
 from .intervals import interval_overlap_join, merge_periods, periods_to_frames, runs, spaced
 
@@ -29,14 +29,35 @@ def window_counts(activity: DataFrame, sessions: DataFrame, window: int, by: Seq
     return starts.filter(F.col("start") + window <= F.col("n_frames")).groupBy(*by, F.col("start").alias("frame")).agg(n.cast("int").alias("n"))
 
 
+#: Surrogates of a session that are counted by one task.
+COPIES = 8
+
+
+def _surrogate_counts(activity: DataFrame, sessions: DataFrame, window: int, n: int, seed: int) -> DataFrame:
+    """(session_id, k, frame, n): distinct active cells in the window that starts at each frame of each surrogate; starts without any are left out.
+
+    The starts that a cell reaches are found once, on the circle of its frames, and rolled with the cell.  A session's
+    copies are dealt by eight, so what is counted is in its task already.
+    """
+    d = activity.join(sessions.select("session_id", "n_frames"), "session_id")
+    start = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda j: F.pmod(F.col("frame") - j, F.col("n_frames")).cast("int"))
+    cells = d.groupBy(*CELL, "n_frames").agg(F.array_distinct(F.flatten(F.collect_set(start))).alias("starts"))
+    blocks = cells.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // COPIES))))
+    k = F.explode(F.sequence(F.col("_b") * COPIES, F.least(F.lit(n - 1), F.col("_b") * COPIES + COPIES - 1)))
+    copies = dealt(blocks, "session_id", "_b").withColumn("k", k).withColumn("_shift", shift("cell", "k", "n_frames", seed))
+    rolled = copies.select("session_id", "_b", "k", "_shift", "n_frames", F.explode("starts").alias("_s")).select("session_id", "_b", "k", "n_frames", F.pmod(F.col("_s") + F.col("_shift"), F.col("n_frames")).cast("int").alias("frame"))
+    return rolled.filter(F.col("frame") + window <= F.col("n_frames")).groupBy("session_id", "_b", "k", "frame").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 def activity_threshold(activity: DataFrame, sessions: DataFrame, window: int = 1, n: int = 1000, pct: float = 0.95, max_of_each: bool = False, seed: int = 0) -> DataFrame:
     """Percentile of the summed activity over the surrogates' windows, empty ones too; or of each surrogate's largest.
 
     The body is not public; defined here as the percentile over all window starts.
     """
-    c = window_counts(circular_surrogates(activity, sessions, n, seed), sessions, window, ("session_id", "k"))
+    c = _surrogate_counts(activity, sessions, window, n, seed)
     if max_of_each:
-        return c.groupBy("session_id", "k").agg(F.max("n").alias("m")).groupBy("session_id").agg(F.percentile("m", F.lit(pct)).alias("threshold"))
+        top = c.groupBy("session_id", "_b", "k").agg(F.max("n").alias("m")).groupBy("session_id", "m").agg(F.count("k").alias("times"))
+        return top.groupBy("session_id").agg(F.percentile("m", F.lit(pct), F.col("times")).alias("threshold"))
     # empty windows come as one weighted row a session, not as n x frames rows
     tally = c.groupBy("session_id", "n").agg(F.count("k").alias("times"))
     full = tally.groupBy("session_id").agg(F.sum("times").alias("seen")).join(sessions.select("session_id", "n_frames"), "session_id")
