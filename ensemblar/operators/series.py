@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import CELL, names, on, over, ratio
+from ..functions.columns import CELL, dealt, names, on, over, ratio
 from .intervals import complement, dilate, interval_overlap_join, merge_periods, runs, transients
 
 # Weights of an 11-point Hamming window, 0.54 - 0.46 cos(2 pi k / 10).
@@ -43,9 +43,11 @@ def segment_zscore(df: DataFrame, changes: DataFrame, part: Sequence[str] = CELL
     flatten: frames from a change on that take their segment's mean first, so their score is 0.
     """
     part = names(part)
-    marks = changes.select(*part, "frame").distinct().withColumn("_change", F.lit(1))
+    # a part's changes are one row beside its frames: rows stay where the windows need them
+    marks = changes.groupBy(*part).agg(F.collect_set("frame").alias("_marks"))
     w = over(part, "frame").rowsBetween(W.unboundedPreceding, 0)
-    d = df.join(marks, [*part, "frame"], "left").withColumn("_segment", F.sum(F.coalesce("_change", F.lit(0))).over(w))
+    d = dealt(df, *part).join(marks, part, "left").withColumn("_change", F.when(F.array_contains("_marks", F.col("frame")), 1)).drop("_marks")
+    d = d.withColumn("_segment", F.sum(F.coalesce("_change", F.lit(0))).over(w))
     if flatten:
         since = F.col("frame") - F.max(F.when(F.col("_change") == 1, F.col("frame"))).over(w)
         d = d.withColumn("value", F.when(since < flatten, F.avg("value").over(over([*part, "_segment"]))).otherwise(F.col("value")))

@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import CELL, grown, over
+from ..functions.columns import CELL, dealt, grown, over
 from ..operators import intervals as I
 
 N_FRAMES, N_CELLS = 120, 10
@@ -26,15 +26,18 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @cached_property
-    def ev(self) -> DataFrame:
+    def _ev(self, *more: Column) -> DataFrame:
         e = self.table("events")
         seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
         return e.select(
             F.concat("event_type", F.lit("-"), F.expr("user_id div 10").cast("string")).alias("session_id"), (F.col("user_id") % 10).cast("int").alias("cell"),
-            F.floor(seconds / 21600).cast("int").alias("frame"), "event_id", "value", F.expr("cast(ts as timestamp_ntz)").alias("ts"), seconds.cast("double").alias("t"),
+            F.floor(seconds / 21600).cast("int").alias("frame"), "event_id", "value", F.expr("cast(ts as timestamp_ntz)").alias("ts"), seconds.cast("double").alias("t"), *more,
         )
 
+    @cached_property
+    def ev(self) -> DataFrame:
+        return self._ev()
+
     @cached_property
     def act(self) -> DataFrame:
         return self.ev.select("session_id", "cell", "frame").distinct()
@@ -62,9 +65,16 @@ class Tables:
 
     @cached_property
     def traces(self) -> DataFrame:
-        spine = self.sess.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(N_CELLS - 1))).alias("cell")).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(N_FRAMES - 1))))
-        sums = self.ev.groupBy("session_id", "cell", "frame").agg(F.round(F.sum("value"), 2).alias("v"))
-        return grown(spine).join(sums, ["session_id", "cell", "frame"], "left").select("session_id", "cell", "frame", F.coalesce("v", F.lit(0.0)).alias("value"))
+        """Sums of all cells and frames, 0 without events; rows are made last, where their session was dealt to."""
+        own = ["session_id", "event_type", "_g"]
+        e = dealt(self._ev(F.col("event_type"), F.expr("user_id div 10").alias("_g")), "session_id")
+        sums = e.groupBy(*own, "cell", "frame").agg(F.round(F.sum("value"), 2).alias("v"))
+        known = F.col("session_id").isNotNull() & F.col("cell").between(0, N_CELLS - 1) & F.col("frame").between(0, N_FRAMES - 1)
+        sessions = sums.groupBy(*own).agg(F.collect_list(F.when(known, F.struct("cell", "frame", "v"))).alias("x"))
+        cells = sessions.select("session_id", "x", F.explode(F.sequence(F.lit(0), F.lit(N_CELLS - 1))).alias("cell"))
+        at = F.map_from_entries(F.transform(F.filter("x", lambda r: r["cell"] == F.col("cell")), lambda r: F.struct(r["frame"], r["v"])))
+        values = F.transform(F.sequence(F.lit(0), F.lit(N_FRAMES - 1)), lambda f: F.coalesce(F.col("at")[f], F.lit(0.0)))
+        return grown(cells.select("session_id", "cell", at.alias("at")).select("session_id", "cell", F.posexplode(values).alias("frame", "value")))
 
     @cached_property
     def pred(self) -> DataFrame:

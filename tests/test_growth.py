@@ -4,6 +4,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ensemblar.operators import events as G
+from ensemblar.plans import QUERIES
+from ensemblar.plans.bindings import Tables
+
+from conftest import SMALL
+
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -25,3 +30,17 @@ def test_surrogates_are_counted_where_they_are(spark):
     # a distinct count over the copies' rows moved them all twice
     p = G.activity_threshold(act, sess, 3, 20, 0.9)
     assert "count(distinct" not in plan(p) and "RepartitionByExpression [session_id" in plan(p)
+
+
+def test_traces_are_made_where_their_session_is(spark):
+    t = Tables(spark, SMALL)
+    # no join of a row for each cell and frame
+    assert "Join" not in plan(t.traces)
+    n = t.sess.count()
+    assert t.traces.agg(F.count("value"), F.count_distinct("session_id", "cell", "frame")).first()[:] == (1200 * n, 1200 * n)
+
+
+def test_segments_meet_their_marks_by_part(spark):
+    p = plan(QUERIES["p5_segment_zscore"](spark, SMALL))
+    # no join by single frames
+    assert "frame" not in "".join(line for line in p.splitlines() if "Join" in line)
