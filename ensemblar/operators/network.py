@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import CELL, names, over, ratio
+from ..functions.columns import CELL, dealt, names, over, ratio
 from ..functions.shared import checkpointed
 from .intervals import coactive_runs, interval_overlap_join, pair_self_join
 
@@ -84,14 +84,25 @@ def pairwise_wasserstein(activity: DataFrame) -> DataFrame:
     return dealt.groupBy("session_id", "a", "b").applyInPandas(_distances, "session_id string, cell int, cell2 int, distance double")
 
 
+def _event_pairs(event_cells: DataFrame) -> DataFrame:
+    """All pairs event_id < event_id2 of a session with their own and common numbers of cells.
+
+    An event is one row with its cells, so a pair is counted where it is made and nothing is moved for it.
+    """
+    cells = event_cells.groupBy("session_id", "event_id").agg(F.collect_list("cell").alias("_c"), F.count(F.lit(1)).alias("n"))
+    other = cells.select("session_id", F.col("event_id").alias("event_id2"), F.col("_c").alias("_c2"), F.col("n").alias("n2"))
+    both = F.size(F.array_intersect("_c", "_c2")).cast("long")
+    return dealt(cells, "session_id").join(dealt(other, "session_id").hint("merge"), "session_id").filter("event_id < event_id2").withColumn("both", both).drop("_c", "_c2")
+
+
 def event_jaccard(event_cells: DataFrame) -> DataFrame:
-    d = _pair_counts(event_cells, "event_id", ["cell"])
+    d = _event_pairs(event_cells)
     return d.select("session_id", "event_id", "event_id2", (100 * F.col("both") / (F.col("n") + F.col("n2") - F.col("both"))).alias("jaccard_pct"))
 
 
 def event_covariance(event_cells: DataFrame, n_cells: DataFrame, centred: bool = True) -> DataFrame:
     """Normalised covariance of event vectors over cells; 0 where no cell is common.  n_cells: (session_id, m)."""
-    d = _pair_counts(event_cells, "event_id", ["cell"]).join(n_cells, "session_id")
+    d = _event_pairs(event_cells).join(n_cells, "session_id")
     if centred:
         top = F.col("m") * F.col("both") - F.col("n") * F.col("n2")
         low = F.sqrt((F.col("n") * (F.col("m") - F.col("n"))).cast("double") * (F.col("n2") * (F.col("m") - F.col("n2"))))

@@ -44,3 +44,9 @@ def test_segments_meet_their_marks_by_part(spark):
     p = plan(QUERIES["p5_segment_zscore"](spark, SMALL))
     # no join by single frames
     assert "frame" not in "".join(line for line in p.splitlines() if "Join" in line)
+
+
+def test_event_pairs_are_counted_where_they_are_made(spark):
+    p = plan(QUERIES["n5_event_covariance"](spark, SMALL))
+    # the join of pairs with counts of their common cells is gone: one by session, and one with the session's number
+    assert p.count("Join") == 2 and "array_intersect" in p
