@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ensemblar.operators import events as G
+from ensemblar.operators import network as N
 from ensemblar.plans import QUERIES
 from ensemblar.plans.bindings import Tables
 
@@ -50,3 +51,20 @@ def test_event_pairs_are_counted_where_they_are_made(spark):
     p = plan(QUERIES["n5_event_covariance"](spark, SMALL))
     # the join of pairs with counts of their common cells is gone: one by session, and one with the session's number
     assert p.count("Join") == 2 and "array_intersect" in p
+
+
+def test_lag_histograms_meet_as_rows(spark):
+    rows = [("a", c, f) for c in range(3) for f in range(12) if (c * 5 + f * f) % 4 < 2]
+    act = spark.createDataFrame(rows, "session_id string, cell int, frame int")
+    got = {(r.epoch, r.epoch2): (r.distance, r.n_pairs) for r in N.epoch_lag_distance(act, 4).collect()}
+    at = lambda c, e: [f for _, x, f in rows if x == c and f // 4 == e]
+    for e, e2 in ((0, 1), (0, 2), (1, 2)):
+        d = []
+        for c in range(3):
+            for c2 in range(c + 1, 3):
+                lags = [[y - x for x in at(c, k) for y in at(c2, k)] for k in (e, e2)]
+                if all(lags):
+                    d.append(sum(abs(np.mean([x <= k for x in lags[0]]) - np.mean([x <= k for x in lags[1]])) for k in range(-4, 4)))
+        assert got[e, e2][1] == len(d) and abs(got[e, e2][0] - np.mean(d)) < 1e-12
+    # lags are not sorted in windows
+    assert "Window" not in plan(N.epoch_lag_distance(act, 4))
