@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ensemblar.operators import events as G
 from ensemblar.operators import network as N
+from ensemblar.operators import patterns as Q
 from ensemblar.plans import QUERIES
 from ensemblar.plans.bindings import Tables
 
@@ -68,3 +69,23 @@ def test_lag_histograms_meet_as_rows(spark):
         assert got[e, e2][1] == len(d) and abs(got[e, e2][0] - np.mean(d)) < 1e-12
     # lags are not sorted in windows
     assert "Window" not in plan(N.epoch_lag_distance(act, 4))
+
+
+def test_delays_are_summed_once_for_all_orders(spark):
+    rows = [("a", c, f) for c in range(4) for f in range(60) if (c * 7 + f * f) % 11 < 2] + [("a", 0, 0), ("a", 3, 79)]
+    act = spark.createDataFrame(sorted(set(rows)), "session_id string, cell int, frame int")
+    orders = {"x": [0, 1, 2, 3], "y": [3, 1, 0, 2]}
+    o = spark.createDataFrame([("a", k, c, r) for k, cells in orders.items() for r, c in enumerate(cells)], "session_id string, candidate string, cell int, rank int")
+    d = Q.order_score(act, o, 2, 5)
+    got = {r.candidate: r.loss for r in d.collect()}
+    for k, cells in orders.items():
+        loss = n = 0
+        for i, c in enumerate(cells):
+            for c2 in cells[i + 1 : i + 3]:
+                for f in {f for _, x, f in rows if x == c}:
+                    near = [g - f for _, x, g in rows if x == c2 and abs(g - f) <= 5]
+                    best = min(near, key=lambda z: (abs(z), -z)) if near else None
+                    loss, n = loss + (5 if best is None else max(0, -best)), n + 1
+        assert abs(got[k] - loss / (5 * n)) < 1e-12
+    # the nearest partner was taken for each order, by sorting
+    assert "min_by" not in plan(d)
