@@ -195,13 +195,15 @@ def prediction_by_outcome(truth: DataFrame, predictions: DataFrame, threshold: f
 def threshold_sweep(truth: DataFrame, predictions: DataFrame, sessions: DataFrame, thresholds: Sequence[float] = tuple(round(0.05 * k, 2) for k in range(21))) -> DataFrame:
     """Mean sensitivity, ppv and false positive rate over cells for each method and threshold.
 
-    A cell counts at a threshold while it has a prediction there; each prediction row is copied
-    only to the thresholds that it reaches.
+    A cell counts at a threshold while it has a prediction there.
     """
-    steps = F.array(*[F.lit(float(x)) for x in thresholds])
-    d = predictions.withColumn("threshold", F.explode(F.filter(steps, lambda x: x <= F.col("p"))))
+    ordered = sorted(float(x) for x in thresholds)
+    steps = F.array(*[F.lit(x) for x in ordered])
+    # predictions are counted by the highest threshold that they reach; only these numbers are copied to those below
+    reached = predictions.withColumn("_l", F.size(F.filter(steps, lambda x: x <= F.col("p")))).filter("_l > 0")
     t = truth.select(*FRAME).distinct().withColumn("_t", F.lit(1))
-    n = d.join(t, list(FRAME), "left").groupBy(*CELL, "method", "threshold").agg(F.sum(F.coalesce("_t", F.lit(0))).alias("tp"), F.count("p").alias("positive"))
+    by_level = reached.join(t, list(FRAME), "left").groupBy(*CELL, "method", "_l").agg(F.count("_t").alias("tp"), F.count("p").alias("positive"))
+    n = by_level.withColumn("threshold", F.explode(F.slice(steps, F.lit(1), F.col("_l")))).groupBy(*CELL, "method", "threshold").agg(F.sum("tp").alias("tp"), F.sum("positive").alias("positive"))
     real = truth.select(*FRAME).distinct().groupBy(*CELL).agg(F.count("frame").alias("true"))
     d = n.join(real, list(CELL), "left").join(sessions.select("session_id", "n_frames"), "session_id").withColumn("true", F.coalesce("true", F.lit(0)))
     fp = F.col("positive") - F.col("tp")

@@ -89,3 +89,7 @@ def test_delays_are_summed_once_for_all_orders(spark):
         assert abs(got[k] - loss / (5 * n)) < 1e-12
     # the nearest partner was taken for each order, by sorting
     assert "min_by" not in plan(d)
+
+
+def test_predictions_are_not_copied_to_thresholds(spark):
+    assert "explode(filter" not in plan(QUERIES["a21_threshold_sweep"](spark, SMALL))
