@@ -93,3 +93,13 @@ def test_delays_are_summed_once_for_all_orders(spark):
 
 def test_predictions_are_not_copied_to_thresholds(spark):
     assert "explode(filter" not in plan(QUERIES["a21_threshold_sweep"](spark, SMALL))
+
+
+def test_followers_meet_by_blocks(spark):
+    rows = sorted({("a", c, f) for c in range(3) for f in range(70) if (c * 5 + f * f) % 9 < 3})
+    act = spark.createDataFrame(rows, "session_id string, cell int, frame int")
+    d = Q._followers(act, 2, 5)
+    want = sorted((x, y, f, g) for _, x, f in rows for _, y, g in rows if 2 <= g - f <= 6)
+    assert sorted((r.src, r.dst, r.frame, r.frame2) for r in d.collect()) == want
+    # a row for each frame of each window was joined
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [session_id") == 2
