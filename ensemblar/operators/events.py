@@ -244,8 +244,9 @@ def random_membership(event_sizes: DataFrame, cells: DataFrame, n: int, seed: in
     return d.withColumn("_r", F.row_number().over(over(["session_id", "event_id", "k"], draw, "cell"))).filter("_r <= size").select("session_id", "event_id", "k", "cell")
 
 
-def surrogate_dither(spikes: DataFrame, sessions: DataFrame, width: int, k: int | Column = 0, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """Each spike moved inside +-width by a hash; clipped to the session, equal frames once.  k: the copy's number, as a column beside the keys ``by`` for several copies at once."""
+def surrogate_dither(spikes: DataFrame, sessions: DataFrame, width: int, k: int | Column = 0, seed: int = 0, by: Sequence[str] = (), once: bool = True) -> DataFrame:
+    """Each spike moved inside +-width by a hash; clipped to the session, equal frames once unless that is left out.  k: the copy's number, as a column beside the keys ``by`` for several copies at once."""
     move = F.pmod(F.col("cell").cast("long") * 7919 + F.col("frame").cast("long") * 104729 + F.lit(k).cast("long") * 15485863 + seed, F.lit(2 * width + 1)) - width
     d = spikes.join(sessions.select("session_id", "n_frames"), "session_id")
-    return d.select("session_id", *by, "cell", F.greatest(F.lit(0), F.least(F.col("n_frames") - 1, (F.col("frame") + move).cast("int"))).alias("frame")).distinct()
+    moved = d.select("session_id", *by, "cell", F.greatest(F.lit(0), F.least(F.col("n_frames") - 1, (F.col("frame") + move).cast("int"))).alias("frame"))
+    return moved.distinct() if once else moved

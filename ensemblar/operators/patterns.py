@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CELL, dealt, grown, names, over, ratio
 from ..functions.shared import checkpointed
+from .bitmaps import OCCURRENCES, TRANSACTIONS, by_size, gathered, mined
 from .events import surrogate_dither
 from .stats import top_k_by
 
@@ -184,13 +186,31 @@ def order_cells(onsets: DataFrame, candidates: DataFrame, reach: int = 3, window
 # -- repeated patterns ------------------------------------------------------------------------------------
 
 
+#: Bins whose windows are made in one place.
+BINS = 64
+
+
 def spike_windows(onsets: DataFrame, bin_frames: int, length: int, by: Sequence[str] = ("session_id",)) -> DataFrame:
-    """Transactions (session_id, window, items): every window of bins with a spike in its first bin; item = cell x length + bin."""
+    """Transactions (session_id, window, items): every window of bins with a spike in its first bin; item = cell x length + bin.
+
+    Bins are dealt by blocks of windows, the first ones of a block to the block before as well; the cells of a bin are a
+    row, and a window is put together from the rows of its bins.
+    """
     by = names(by)
-    b = onsets.select(*by, "cell", F.floor(F.col("frame") / bin_frames).cast("int").alias("bin")).distinct()
-    wide = b.select(*by, "cell", "bin", F.explode(F.sequence(F.greatest(F.lit(0), F.col("bin") - length + 1), F.col("bin"))).alias("window"))
-    heads = b.select(*by, F.col("bin").alias("window")).distinct()
-    return wide.join(heads, [*by, "window"]).groupBy(*by, "window").agg(F.array_sort(F.collect_set(F.col("cell") * length + F.col("bin") - F.col("window"))).alias("items"))
+    b = onsets.dropna(subset=by).select(*by, "cell", F.floor(F.col("frame") / bin_frames).cast("int").alias("bin"))
+    blocks = F.sequence(_block(F.col("bin") - length + 1, BINS), _block(F.col("bin"), BINS))
+    rows = dealt(b.select("*", F.explode(blocks).alias("_k")), *by, "_k").groupBy(*by, "_k", "bin").agg(F.collect_set("cell").alias("cells"))
+    near = F.collect_list(F.struct("bin", "cells")).over(over([*by, "_k"], "bin").rangeBetween(0, length - 1))
+    heads = rows.withColumn("_x", near).filter(_block(F.col("bin"), BINS) == F.col("_k"))
+    items = F.flatten(F.transform("_x", lambda r: F.transform(r["cells"], lambda c: c * length + r["bin"] - F.col("bin"))))
+    return heads.select(*by, F.col("bin").alias("window"), F.array_sort(items).alias("items"))
+
+
+def spike_sizes(onsets: DataFrame, bin_frames: int, length: int) -> DataFrame:
+    """(session_id, short): sessions whose windows are few enough for one task, from the spikes alone."""
+    bin_ = F.floor(F.col("frame") / bin_frames)
+    n = onsets.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), (F.max(bin_) - F.min(bin_) + 1).alias("w"))
+    return n.select("session_id", ((F.least("n", "w") <= TRANSACTIONS) & (F.col("n") * length <= OCCURRENCES)).alias("short"))
 
 
 #: Parts into which the transactions of one session are dealt before they are numbered.
@@ -214,18 +234,42 @@ def _frequent(level: DataFrame, by: Sequence[str], least: int) -> DataFrame:
     return level.groupBy(*by, "items").agg(F.sum(F.bit_count("bits")).cast("long").alias("cnt")).filter(F.col("cnt") >= least)
 
 
-def frequent_patterns(transactions: DataFrame, least: int, min_size: int = 2, max_size: int = 10, length: int | None = None, min_cells: int = 1, closed: bool = True, by: Sequence[str] = ("session_id",)) -> DataFrame:
+def frequent_patterns(transactions: DataFrame, least: int, min_size: int = 2, max_size: int = 10, length: int | None = None, min_cells: int = 1, closed: bool = True, by: Sequence[str] = ("session_id",), sizes: DataFrame | None = None) -> DataFrame:
     """(session_id, items, size, cnt) of item sets found at least ``least`` times in a session.
 
-    Vertical mining, one size after another: a set is the rows of the blocks of 64 transactions that hold it, as
-    bits.  Two sets that differ in their last item only meet by (session, common items, block), and their bits
-    together are those of the set of both; a set's count is the sum over its blocks.  So a step is an equi-join of
-    bounded rows, whatever a session's length, and sets of one beginning go on together.
+    Short sessions are mined in stacks, each whole in its task; the transactions of longer ones are dealt to blocks.
+    sizes: (keys of ``by``, short) where known without the transactions.
 
-    closed: without sets of which a superset of one more item has the same count; sizes go one beyond ``max_size``
-    for that.  length: bins of a window; then patterns must use the first bin and ``min_cells`` cells.
+    closed: without sets of which a superset of one more item has the same count.  length: bins of a window; then
+    patterns must use the first bin and ``min_cells`` cells.
+    """
+    out = _mined(transactions, least, min_size, max_size, closed, names(by), sizes)
+    if length:
+        first = F.exists("items", lambda i: i % length == 0)
+        cells = F.size(F.array_distinct(F.transform("items", lambda i: F.floor(i / length))))
+        out = out.filter(first & (cells >= min_cells))
+    return out
+
+
+def _mined(transactions: DataFrame, least: int, min_size: int, max_size: int, closed: bool, by: list[str], sizes: DataFrame | None = None, told: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Sets of short and long sessions; told: what is kept of them, for each session apart."""
+    short, long = by_size(transactions.dropna(subset=by), by, sizes)
+    out = []
+    if short is not None:
+        out.append(checkpointed(told(mined(gathered(short, by), by, least, min_size, max_size, closed))))
+    if long is not None or not out:
+        out.append(told(_mined_by_blocks(transactions.dropna(subset=by) if long is None else long, least, min_size, max_size, closed, by)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _mined_by_blocks(transactions: DataFrame, least: int, min_size: int, max_size: int, closed: bool, by: list[str]) -> DataFrame:
+    """Vertical mining, one size after another: a set is the rows of the blocks of 64 transactions that hold it, as bits.
+
+    Two sets that differ in their last item only meet by (session, common items, block), and their bits
+    together are those of the set of both; a set's count is the sum over its blocks.  So a step is an equi-join of
+    bounded rows, whatever a session's length, and sets of one beginning go on together.  For closed sets, sizes go
+    one beyond ``max_size``.
     """
-    by = names(by)
     level, found = vertical(transactions, by), []
     counts = checkpointed(_frequent(level, by, least))
     for size in range(1, max_size + 1 + closed):
@@ -253,10 +297,6 @@ def frequent_patterns(transactions: DataFrame, least: int, min_size: int = 2, ma
         out = c if out is None else out.unionByName(c)
     if out is None:
         out = counts.select(*by, "items", F.lit(0).alias("size"), "cnt").filter("false")
-    if length:
-        first = F.exists("items", lambda i: i % length == 0)
-        cells = F.size(F.array_distinct(F.transform("items", lambda i: F.floor(i / length))))
-        out = out.filter(first & (cells >= min_cells))
     return out
 
 
@@ -284,10 +324,11 @@ def surrogate_spectrum(onsets: DataFrame, sessions: DataFrame, patterns: DataFra
         return patterns.select("session_id", "size", "cnt", F.lit(0.0).alias("p")).filter("false")
     least, smallest, largest = asked
     copies = onsets.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dithered = surrogate_dither(copies, sessions, width, F.col("k"), seed, by=("k",))
-    key = ("session_id", "k")
-    mined = frequent_patterns(spike_windows(dithered, bin_frames, length, key), least, smallest, largest, closed=False, by=key)
-    return pvalue_spectrum(mined, patterns, n)
+    # frames may meet: windows hold each item once; a copy has no more spikes than its session, and no further ones
+    dithered = surrogate_dither(copies, sessions, width, F.col("k"), seed, by=("k",), once=False)
+    key = ["session_id", "k"]
+    tops = _mined(spike_windows(dithered, bin_frames, length, key), least, smallest, largest, False, key, spike_sizes(onsets, bin_frames, length), lambda d: d.groupBy(*key, "size").agg(F.max("cnt").alias("cnt")))
+    return pvalue_spectrum(tops, patterns, n)
 
 
 def correct_pvalues(df: DataFrame, alpha: float = 0.05, method: str = "fdr", by: Sequence[str] = ("session_id",)) -> DataFrame:
