@@ -98,9 +98,13 @@ def read_wide_events(df: DataFrame, cell: str, conditions: Sequence[str] | None
     return d.unpivot(["cell"], columns, "condition", "t").filter(F.col("t").isNotNull() & ~F.isnan("t"))
 
 
-def write_dataset(df: DataFrame, path: str, by: Sequence[str] = (), kind: str = "parquet", mode: str = "errorifexists") -> None:
-    """Parquet split by columns, or csv for summaries; rows of a split are gathered first, so that it is few files."""
-    out = df.repartition(*by) if by else df
+def write_dataset(df: DataFrame, path: str, by: Sequence[str] = (), kind: str = "parquet", mode: str = "errorifexists", within: Sequence[str] = ()) -> None:
+    """Parquet split by columns, or csv for summaries; rows of a split are gathered first, so that it is few files.
+
+    by: columns of folders, of few values.  within: columns of many values, as sessions: they share files, dealt by ranges
+    and in order, so that readers find one by the files' statistics and files grow in number with bytes only.
+    """
+    out = df.repartitionByRange(*by, *within).sortWithinPartitions(*by, *within) if within else df.repartition(*by) if by else df
     writer = out.write.mode(mode)
     writer = writer.partitionBy(*by) if by else writer
     writer.option("header", True).csv(path) if kind == "csv" else writer.format(kind).save(path)
