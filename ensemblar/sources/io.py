@@ -45,10 +45,16 @@ def read_interval_arrays(arrays: DataFrame, label: str) -> DataFrame:
     return arrays.groupBy("path", "frame").agg(F.coalesce(side(0), F.lit(0.0)).alias("t0"), side(1).alias("t1")).select("path", F.lit(label).alias("label"), "t0", "t1")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line) of text files.  n orders a file's lines; it is read whole, as such files are small."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("l"))
-    return whole.select("file", F.posexplode("l").alias("n", "line"))
+def read_lines(spark: SparkSession, path: str, kind: str = "text") -> DataFrame:
+    """(file, n, line) of texts.  n orders a file's lines; it is read whole, as such files are small.
+
+    kind: text for a file each, or a format of rows (file, value), where many texts share a file.
+    """
+    if kind == "text":
+        texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    else:
+        texts = spark.read.format(kind).load(path).select("file", "value")
+    return texts.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
 
 
 def parse_invalid_frames(lines: DataFrame, minus_one: bool = False) -> DataFrame:

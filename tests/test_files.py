@@ -25,3 +25,23 @@ def test_sessions_share_files(spark, tmp_path):
 def test_dataset_of_sessions(spark):
     d = QUERIES["s9_write_dataset"](spark, "/root/testdata/sf0.01")
     assert d.count() == 75 and len(d.inputFiles()) <= 8
+
+
+def test_texts_share_files(spark, tmp_path):
+    texts = {f"s{k}": f"#PARAM#\nn 3\n#CELL_ASSEMBLIES#\nSCA_cluster:{k} {k + 1}\r\nsingle_sce_in_ca:0:{k} {k + 7}\n#END#\nSCA_cluster:99" for k in range(20)}
+    for name, x in texts.items():
+        (tmp_path / "one").mkdir(exist_ok=True)
+        (tmp_path / "one" / f"{name}.txt").write_bytes(x.encode())
+    S.write_dataset(spark.createDataFrame([*texts.items()], "file string, value string").coalesce(1), f"{tmp_path}/rows")
+    of = lambda d: sorted((r.file.rsplit("/", 1)[-1].removesuffix(".txt"), *r[1:]) for r in d.collect())
+    one, rows = S.read_lines(spark, f"{tmp_path}/one"), S.read_lines(spark, f"{tmp_path}/rows", "parquet")
+    assert of(one) == of(rows) and one.count() == 140
+    for a, b in zip(S.parse_assemblies(one), S.parse_assemblies(rows), strict=True):
+        assert of(a) == of(b) and a.count() == 40
+
+
+def test_assemblies_come_from_few_files(spark):
+    for name in ("s6_read_assemblies", "s7_read_sequence_results", "s7b_parse_best_order"):
+        d = QUERIES[name](spark, "/root/testdata/sf0.01")
+        # one for each of the 375 sessions
+        assert d.select("file").distinct().count() == 375 and len(set(d.inputFiles())) <= 8
