@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,15 +63,30 @@ class Stack:
         self.values = items.flatten()
         self.codes, code = np.unique(self.values.to_numpy(zero_copy_only=False), return_inverse=True)
         key, row = np.unique(of[t] * max(1, len(self.codes)) + code, return_inverse=True)
+        self.key = key
         self.session, self.item = np.divmod(key, max(1, len(self.codes)))
         self.bits = np.zeros((len(key), (max(lengths, default=0) + 63) // 64), np.uint64)
         np.bitwise_or.at(self.bits, (row, number[t] >> 6), np.uint64(1) << (number[t] & 63).astype(np.uint64))
-        self.n = len(lengths)
+        self.start = np.cumsum(lengths) - lengths
 
     def frequent(self, least: int) -> None:
         """Leaves out items of fewer transactions."""
         kept = np.bitwise_count(self.bits).sum(axis=1) >= least
-        self.session, self.item, self.bits = self.session[kept], self.item[kept], self.bits[kept]
+        self.key, self.session, self.item, self.bits = self.key[kept], self.session[kept], self.item[kept], self.bits[kept]
+
+    def together(self, session: np.ndarray, sets: pa.ListArray) -> np.ndarray:
+        """The transactions of its session that hold all of each set, as bits."""
+        n = pc.list_value_length(sets).to_numpy()
+        of, _ = _spread(n)
+        items = sets.flatten().to_numpy(zero_copy_only=False)
+        code = np.searchsorted(self.codes, items)
+        # what is in no transaction has a row of no bits after the others
+        known = np.isin(items, self.codes)
+        key = session[of] * max(1, len(self.codes)) + np.where(known, code, 0)
+        row = np.searchsorted(self.key, key)
+        row = np.where(known & (self.key[np.minimum(row, len(self.key) - 1)] == key), row, len(self.key)) if len(self.key) else np.zeros(len(of), np.int64)
+        bits = np.concatenate([self.bits, np.zeros((1, self.bits.shape[1]), np.uint64)])
+        return np.bitwise_and.reduceat(bits[row], np.cumsum(n) - n, axis=0) if len(n) else bits[:0]
 
     def items_of(self, codes: np.ndarray, size: int) -> pa.ListArray:
         values = pa.array(self.codes[codes.ravel()], self.values.type)
@@ -144,3 +159,34 @@ def mined(sessions: DataFrame, by: Sequence[str], least: int, min_size: int, max
 
     bound_batches(sessions.sparkSession)
     return sessions.mapInArrow(run, schema)
+
+
+def stable(sessions: DataFrame, by: Sequence[str], n: int, draw: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(by, items, hits): of n random subsets of a pattern's windows, how many have just its items in common.
+
+    sessions: (by, x, p): gathered transactions (items, window), and patterns (items, h) of one item at least.
+    draw: of a pattern's h, a window and a subset's number, whether the window is in it.
+    """
+    by = list(by)
+    schema = StructType([*(sessions.schema[c] for c in by), StructField("items", sessions.schema["p"].dataType.elementType["items"].dataType), StructField("hits", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _stacks(batch):
+                s = Stack(part.column("x"))
+                window = part.column("x").flatten().field("window").to_numpy()
+                session, _ = _spread(pc.list_value_length(part.column("p")).to_numpy())
+                items, h = (part.column("p").flatten().field(c) for c in ("items", "h"))
+                bits, size, h = s.together(session, items), pc.list_value_length(items).to_numpy(), h.to_numpy()
+                hits = np.zeros(len(session), np.int64)
+                for a, b in _cuts((np.bitwise_count(bits).sum(axis=1, dtype=np.int64) + bits.shape[1]) * n, WORDS):
+                    pattern, t = np.nonzero(np.unpackbits(bits[a:b].view(np.uint8), axis=1, bitorder="little"))
+                    drawn, k = np.nonzero(draw(h[a:b][pattern, None], window[s.start[session[a:b][pattern]] + t][:, None], np.arange(n)[None]))
+                    subsets = np.zeros(((b - a) * n, bits.shape[1]), np.uint64)
+                    np.bitwise_or.at(subsets, (pattern[drawn] * n + k, t[drawn] >> 6), np.uint64(1) << (t[drawn] & 63).astype(np.uint64))
+                    just = (s.common(np.repeat(session[a:b], n), subsets) == np.repeat(size[a:b], n)) & subsets.any(axis=1)
+                    hits[a:b] = just.reshape(b - a, n).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(session)) for c in by), items, pa.array(hits)], names=[*by, "items", "hits"])
+
+    bound_batches(sessions.sparkSession)
+    return sessions.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import CELL, dealt, grown, names, over, ratio
 from ..functions.shared import checkpointed
-from .bitmaps import OCCURRENCES, TRANSACTIONS, by_size, gathered, mined
+from .bitmaps import OCCURRENCES, TRANSACTIONS, by_size, gathered, mined, stable
 from .events import surrogate_dither
 from .stats import top_k_by
 
@@ -364,22 +364,48 @@ def _occurrences(patterns: DataFrame, transactions: DataFrame) -> DataFrame:
     return met.filter(F.size(F.array_intersect("items", "t_items")) == F.col("size")).select("session_id", "items", "size", "window", "t_items")
 
 
-def _subset_draw(seed: int):
-    """A number for each pattern, window and subset that reruns agree on."""
-    items = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: F.pmod(a * 31 + i, F.lit(65521)))
-    x = F.pmod(items * 7919 + F.col("window") * 40503 + F.col("k") * 104729 + seed, F.lit(999983))
-    return F.pmod(x * 48271, F.lit(65521))
+def _items_hash() -> Column:
+    return F.aggregate("items", F.lit(0).cast("long"), lambda a, i: F.pmod(a * 31 + i, F.lit(65521)))
 
 
-def pattern_stability(patterns: DataFrame, transactions: DataFrame, n_subsets: int = 20, seed: int = 0) -> DataFrame:
-    """Share of random subsets of a pattern's windows whose common items are just the pattern."""
+def _subset_draw(h, window, k, seed: int):
+    """A number for each pattern, window and subset that reruns agree on; none is below 0."""
+    return (((h * 7919 + window * 40503 + k * 104729 + seed) % 999983 + 999983) % 999983 * 48271) % 65521
+
+
+#: Patterns of a short session that meet its transactions in one row.
+PATTERNS = 4096
+
+
+def pattern_stability(patterns: DataFrame, transactions: DataFrame, n_subsets: int = 20, seed: int = 0, sizes: DataFrame | None = None) -> DataFrame:
+    """Share of random subsets of a pattern's windows whose common items are just the pattern.
+
+    Subsets of short sessions are bitmaps in their task, windows of longer ones are met by joins.
+    sizes: (session_id, short) where known without the transactions.
+    """
+    by = ["session_id"]
+    short, long = by_size(transactions.dropna(subset=by), by, sizes)
+    hits = []
+    if short is not None:
+        found = patterns.select(*by, "items").filter(F.size("items") > 0)
+        n = found.groupBy(*by).agg(F.ceil(F.count("items") / PATTERNS).alias("n"))
+        parts = found.join(n, by).groupBy(*by, F.pmod(F.xxhash64("items"), F.col("n")).alias("_part")).agg(F.collect_list(F.struct("items", _items_hash().alias("h"))).alias("p"))
+        rows = gathered(short, by, F.col("window").cast("long").alias("window")).join(parts, by).select(*by, "x", "p")
+        hits.append(stable(rows, by, n_subsets, lambda h, window, k: _subset_draw(h, window, k, seed) % 2 == 0))
+    if long is not None or not hits:
+        hits.append(_stable_by_joins(patterns, transactions if long is None else long, n_subsets, seed))
+    hit = reduce(DataFrame.unionByName, hits).select(*by, "items", (F.col("hits") / n_subsets).alias("stability"))
+    return patterns.join(hit, ["session_id", "items"], "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
+
+
+def _stable_by_joins(patterns: DataFrame, transactions: DataFrame, n_subsets: int, seed: int) -> DataFrame:
+    """(session_id, items, hits) from a row for each pattern, window, subset and item."""
     occ = checkpointed(_occurrences(patterns, transactions)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))))
-    kept = occ.filter(F.pmod(_subset_draw(seed), F.lit(2)) == 0)
+    kept = occ.filter(_subset_draw(_items_hash(), F.col("window").cast("long"), F.col("k").cast("long"), seed) % 2 == 0)
     size = kept.groupBy("session_id", "items", "size", "k").agg(F.count("window").alias("_m"))
     item = kept.select("session_id", "items", "k", F.explode("t_items").alias("item")).groupBy("session_id", "items", "k", "item").agg(F.count(F.lit(1)).alias("_c"))
     common = item.join(size, ["session_id", "items", "k"]).filter("_c = _m").groupBy("session_id", "items", "size", "k").agg(F.count("item").alias("_common"))
-    hit = common.groupBy("session_id", "items").agg((F.sum(F.when(F.col("_common") == F.col("size"), 1).otherwise(0)) / n_subsets).alias("stability"))
-    return patterns.join(hit, ["session_id", "items"], "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
+    return common.groupBy("session_id", "items").agg(F.sum(F.when(F.col("_common") == F.col("size"), 1).otherwise(0)).alias("hits"))
 
 
 def reduce_patterns(patterns: DataFrame, not_significant: DataFrame, h: int = 0, k: int = 0, l: int = 2) -> DataFrame:

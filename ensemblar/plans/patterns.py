@@ -208,7 +208,7 @@ _DRAW = "((list_reduce(list_prepend(0::BIGINT, items::BIGINT[]), lambda a, i: (a
 @query("q15_pattern_stability", _closed(6, 4) + f", p AS (SELECT session_id, items, size, cnt FROM cl WHERE size >= 2), oc AS (SELECT p.session_id, p.items, size, tx.\"window\" AS w, tx.items AS ti FROM p JOIN tx ON tx.session_id = p.session_id AND list_has_all(tx.items, p.items)), kp AS MATERIALIZED (SELECT oc.*, k::INT AS k FROM oc, range(8) x(k) WHERE {_DRAW}), sz AS (SELECT session_id, items, k, count(*) AS m FROM kp GROUP BY ALL), it AS (SELECT session_id, items, size, k, i, count(*) AS c FROM (SELECT *, unnest(ti) AS i FROM kp) GROUP BY ALL), cm AS (SELECT it.session_id, it.items, size, it.k, count(*) AS common FROM it JOIN sz ON sz.session_id = it.session_id AND sz.items = it.items AND sz.k = it.k AND c = m GROUP BY ALL), h AS (SELECT session_id, items, count(*) FILTER (common = size) / 8.0 AS s FROM cm GROUP BY ALL) SELECT p.session_id, p.items, p.size, p.cnt, round(coalesce(s, 0), 6) AS stability FROM p LEFT JOIN h ON h.session_id = p.session_id AND h.items = p.items")
 def q15(t):
     p = _patterns(t, 6, 4)
-    return rounded(Q.pattern_stability(p, _tx(t), 8), "stability")
+    return rounded(Q.pattern_stability(p, _tx(t), 8, sizes=Q.spike_sizes(t.act, 2, 3)), "stability")
 
 
 @query("q16_reduce_patterns", _closed(5, 4) + ", p AS MATERIALIZED (SELECT session_id, items, size, cnt FROM cl WHERE size >= 2), ns AS (SELECT DISTINCT session_id, size, cnt FROM p WHERE cnt < 6), d AS (SELECT a.session_id, a.items AS a, a.size AS za, a.cnt AS ca, b.items AS b, b.size AS zb, b.cnt AS cb, EXISTS (SELECT 1 FROM ns WHERE ns.session_id = a.session_id AND ns.size = b.size AND ns.cnt = b.cnt - a.cnt) AS bo, EXISTS (SELECT 1 FROM ns WHERE ns.session_id = a.session_id AND ns.size = a.size - b.size AND ns.cnt = a.cnt) AS ao FROM p a JOIN p b ON b.session_id = a.session_id AND b.size < a.size AND list_has_all(a.items, b.items)), g AS (SELECT session_id, CASE WHEN ao AND bo THEN CASE WHEN (za - 2) * ca >= (zb - 2) * cb THEN b ELSE a END WHEN bo THEN b WHEN ao THEN a END AS items FROM d) SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.session_id = p.session_id AND g.items = p.items)")

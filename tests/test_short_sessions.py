@@ -62,3 +62,35 @@ def test_sizes_from_spikes_bound_windows(spark):
     assert {x.session_id: x.short for x in Q.spike_sizes(onsets, 2, 3).collect()} == {"a": True, "b": False, "c": True}
     n = Q.spike_windows(onsets, 2, 3).groupBy("session_id").agg(F.count("window").alias("n")).filter(F.col("n") > B.TRANSACTIONS)
     assert {x.session_id for x in n.collect()} == {"b"}
+
+
+def test_subsets_of_windows_are_bitmaps(spark, monkeypatch):
+    sessions = {"a": baskets_of(3, 70), "b": baskets_of(4, 140)}
+    # windows so late that a product with them leaves 32 bits
+    rows = [(s, 60000 + 7 * k, sorted(b)) for s, bs in sessions.items() for k, b in enumerate(bs) if b]
+    t = spark.createDataFrame(rows, "session_id string, window int, items array<int>")
+    p = Q.frequent_patterns(t, 14, 1, 3).unionByName(spark.createDataFrame([("a", [1, 99], 2, 0), ("c", [1], 1, 0)], "session_id string, items array<int>, size int, cnt long"))
+    want = {}
+    for x in p.collect():
+        h = 0
+        for i in x["items"]:
+            h = (h * 31 + i) % 65521
+        n = 0
+        for k in range(20):
+            kept = [set(b) for s, w, b in rows if s == x.session_id and set(x["items"]) <= set(b) and ((h * 7919 + w * 40503 + k * 104729 + 5) % 999983 * 48271 % 65521) % 2 == 0]
+            n += bool(kept) and set.intersection(*kept) == set(x["items"])
+        want[x.session_id, tuple(x["items"])] = n / 20
+    of = lambda: {(r.session_id, tuple(r["items"])): r.stability for r in Q.pattern_stability(p, t, 20, 5).collect()}
+    assert 0 < sum(want.values()) < len(want)
+    with monkeypatch.context() as m:
+        # a row for each pattern, window, subset and item was moved
+        m.setattr(Q, "_stable_by_joins", None)
+        assert of() == want
+        m.setattr(B, "WORDS", 50)
+        m.setattr(B, "STACK", 10)
+        m.setattr(Q, "PATTERNS", 7)
+        assert of() == want
+    monkeypatch.setattr(B, "TRANSACTIONS", 100)
+    assert of() == want
+    monkeypatch.setattr(B, "TRANSACTIONS", 0)
+    assert of() == want
