@@ -125,6 +125,12 @@ def _baskets(t):
     return t.baskets.groupBy("session_id", F.col("basket").alias("window")).agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def _basket_patterns(t, least):
+    # a session has no more baskets, nor items in them, than line items
+    n = t.table("lineitem").groupBy(F.col("l_returnflag").alias("session_id")).agg(F.count(F.lit(1)).alias("n"))
+    return Q.frequent_patterns(_baskets(t), least, 2, 2, closed=False, sizes=n.select("session_id", (F.col("n") <= Q.TRANSACTIONS).alias("short")))
+
+
 @query("q10_spike_windows", f'WITH {_TX} SELECT session_id, "window", items FROM tx')
 def q10(t):
     return _tx(t)
@@ -135,7 +141,7 @@ _PAIRS = "sz AS (SELECT session_id, a.item AS i, b.item AS j, count(*) AS cnt FR
 
 @query("q11_frequent_patterns", "WITH " + _PAIRS.format(n=20) + " SELECT * FROM k")
 def q11(t):
-    return Q.frequent_patterns(_baskets(t), 20, 2, 2, closed=False)
+    return _basket_patterns(t, 20)
 
 
 def _mined(p: str, tx: str, key: str, least: int, most: int) -> str:
@@ -161,7 +167,7 @@ def q11b(t):
 
 @query("q12_pattern_spectrum", "WITH " + _PAIRS.format(n=20) + " SELECT session_id, size, cnt, count(*) AS n FROM k GROUP BY ALL")
 def q12(t):
-    return Q.pattern_spectrum(Q.frequent_patterns(_baskets(t), 20, 2, 2, closed=False))
+    return Q.pattern_spectrum(_basket_patterns(t, 20))
 
 
 #: Signatures of a closed pattern and, for each dithered copy, the largest count of every size.
@@ -197,7 +203,7 @@ def q13(t):
 
 @query("q14_filter_patterns", "WITH " + _PAIRS.format(n=10) + " SELECT * FROM k WHERE cnt >= 14")
 def q14(t):
-    p = Q.frequent_patterns(_baskets(t), 10, 2, 2, closed=False)
+    p = _basket_patterns(t, 10)
     return Q.filter_patterns(p, Q.pattern_spectrum(p).withColumn("significant", F.col("cnt") >= 14))
 
 
@@ -219,5 +225,5 @@ def q16(t):
 
 @query("q17_pattern_occurrences", "WITH " + _PAIRS.format(n=24) + " SELECT k.session_id, k.items, [(i // 3)::INT, (j // 3)::INT] AS cells, [i % 3 - least(i % 3, j % 3), j % 3 - least(i % 3, j % 3)] AS lags, list(basket ORDER BY basket) AS times, 2 AS size, max(cnt) AS cnt FROM (SELECT *, items[1] AS i, items[2] AS j FROM k) k JOIN baskets a ON a.session_id = k.session_id AND a.item = i JOIN baskets b ON b.session_id = k.session_id AND b.item = j AND b.basket = a.basket USING_ GROUP BY k.session_id, k.items, i, j".replace("b.basket = a.basket USING_", "b.basket = a.basket").replace("a.basket GROUP", "a.basket GROUP").replace("list(basket ORDER BY basket)", "list(a.basket ORDER BY a.basket)"))
 def q17(t):
-    p = Q.frequent_patterns(_baskets(t), 24, 2, 2, closed=False)
+    p = _basket_patterns(t, 24)
     return Q.pattern_occurrences(p, _baskets(t), 3)
