@@ -14,8 +14,10 @@ ones, so that all words together have probability 1.
 Training is one pass over all training texts in a few rounds.  In each, tasks sum what the
 features expect under the weights so far and what is there; the difference is the gradient
 of the likelihood, and each weight moves along it on the logarithmic scale of its expected
-count.  Sums go through partial sums by block, and only tables of the sizes below reach the
-driver.  Scores are made in numpy batches; counts of rare words, however many, are joined.
+count.  All features follow from the contexts of the three tokens before, so the softmax is
+worked out once for each three that differ among the tokens held, and weighs as often as
+they occur.  Sums go through partial sums by block, and only tables of the sizes below reach
+the driver.  Scores are made in numpy batches; counts of rare words, however many, are joined.
 
 Defined cases: a null or empty text is its end alone; a null id trains; without training
 texts every word is unknown and no feature has a weight; repeated rows are rows of their
@@ -25,7 +27,7 @@ own; empty tables give no rows; further columns are not read.  Words are told ap
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +50,18 @@ ROWS, STEPS = 1 << 13, (0.4, 0.3, 0.25, 0.2)
 COMPANY, NEAR = 8, 16
 #: Added to what is there and to what is expected before they are compared.
 DAMPING = 4.0
-#: Words that are handled at once; numbers in a block of a sum; partial sums of each block.
-BATCH, BLOCK, SALTS = 1 << 12, 1 << 16, 4
+#: Contexts that are handled at once, and tokens that are held until then; numbers in a block of a sum; partial sums of each block.
+BATCH, HELD, BLOCK, SALTS = 1 << 13, 1 << 19, 1 << 16, 4
+#: Rows that are added one after another before sums are added.
+RUN = 16
 
 _CONTEXTS = CONTEXT_WORDS + CLASSES + 1
+#: Bits of a context in the number of three, and of the first bits of a hash that find a word.
+_BITS, _FIND = 11, 20
 _END = np.uint64(0)
-_FEATURES = 5
+#: Features of a pair before alone, and those of three.
+_OF_PAIRS, _OF_THREES = [0, 1, 3], [2, 4]
+_FEATURES = [*_OF_PAIRS, *_OF_THREES]
 
 _COUNTED = T.StructType([T.StructField("word", T.LongType()), T.StructField("ending", T.IntegerType()), T.StructField("n", T.LongType())])
 _PART = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("salt", T.IntegerType()), T.StructField("data", T.BinaryType())])
@@ -83,13 +91,22 @@ class Vocabulary:
         self.order = np.argsort(word)
         self.word, self.n, self.ends, self.rest, self.total, self.distinct = word[self.order], n[self.order], ends, rest, total, distinct
         self.rank = self.order
+        # the place of the first word from each beginning of a hash on, and the most words with the same
+        self.find = np.searchsorted(self.word, np.arange(1 << _FIND, dtype=np.uint64) << np.uint64(64 - _FIND)).astype(np.int32)
+        self.crowd = int(np.diff(self.find, append=len(self.word)).max())
 
     def place(self, h: np.ndarray) -> np.ndarray:
         """The number of each top word, -1 for others and for ends."""
         if not len(self.word):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        return np.where(self.word[at] == h, at, -1)
+        at = self.find.take((h >> np.uint64(64 - _FIND)).astype(np.int64))
+        top = np.where(self.word.take(at, mode="clip") == h, at, -1)
+        left = np.flatnonzero(top < 0)
+        for k in range(1, self.crowd):
+            hit = self.word.take(at[left] + k, mode="clip") == h[left]
+            top[left[hit]] = at[left[hit]] + k
+            left = left[~hit]
+        return top
 
     def classify(self, company: np.ndarray) -> None:
         """Classes from the sums of each top word's company; then everything that scores need."""
@@ -127,90 +144,166 @@ def _clusters(company: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Model:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.weight = vocabulary, np.zeros((ROWS, CLASSES), np.float32)
+        #: The class of each context.
+        self.kind = np.arange(_CONTEXTS) - CONTEXT_WORDS
+        alone = vocabulary.rank < CONTEXT_WORDS
+        self.kind[vocabulary.rank[alone]] = vocabulary.cls[alone]
 
-    def features(self, h: np.ndarray, ending: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number among the top words, class, and the rows of the features of each token."""
+    def contexts(self, h: np.ndarray, ending: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number among the top words, class, and the contexts of the three before as one number, of each token."""
         v = self.vocabulary
         top = v.place(h)
         cls = np.where(ending < 0, CLUSTERS, CLUSTERS + 1 + ending)
-        known = top >= 0
+        known = np.flatnonzero(top >= 0)
         cls[known] = v.cls[top[known]]
         context = CONTEXT_WORDS + cls
         context[known] = v.context[top[known]]
-        start = np.repeat(first[:-1], np.diff(first))
-        before, kinds = [], []
+        three = np.zeros(len(h), np.int64)
         for k in (1, 2, 3):
-            at = np.arange(len(h)) - k
-            inside = at >= start
-            at = np.maximum(at, 0)
-            before.append(np.where(inside, context[at], _CONTEXTS - 1))
-            kinds.append(np.where(inside, cls[at], CLASSES))
-        a, b, c = before
+            before = np.empty(len(h), np.int64)
+            before[k:] = context[:-k]
+            for j in range(k):
+                outside = first[:-1] + j
+                before[outside[outside < len(h)]] = _CONTEXTS - 1
+            three = three << _BITS | before
+        return top, cls, three
+
+    def rows(self, three: np.ndarray) -> np.ndarray:
+        """The rows of the features of some contexts of three."""
+        last = (1 << _BITS) - 1
+        a, b, c = three >> 2 * _BITS, three >> _BITS & last, three & last
+        x, y, z = (self.kind.take(k) for k in (a, b, c))
         hashed = 3 * _CONTEXTS
         pair = hashed + _spread(a * _CONTEXTS + b) % (ROWS - hashed)
-        three = hashed + _spread((1 << 40) + (kinds[0] * (CLASSES + 1) + kinds[1]) * (CLASSES + 1) + kinds[2]) % (ROWS - hashed)
-        return top, cls, np.stack([a, _CONTEXTS + b, 2 * _CONTEXTS + c, pair, three]).astype(np.int32)
+        kinds = hashed + _spread((1 << 40) + (x * (CLASSES + 1) + y) * (CLASSES + 1) + z) % (ROWS - hashed)
+        return np.stack([a, _CONTEXTS + b, 2 * _CONTEXTS + c, pair, kinds]).astype(np.int32)
+
+    def features(self, h: np.ndarray, ending: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number among the top words, class, and the rows of the features of each token."""
+        top, cls, three = self.contexts(h, ending, first)
+        return top, cls, self.rows(three)
 
     def classes(self, rows: np.ndarray) -> np.ndarray:
         """Logarithms of the probabilities of all classes for some columns of rows."""
-        x = self.weight[rows[0]]
-        for r in rows[1:]:
-            x += self.weight[r]
-        x += self.vocabulary.bias
+        x = sum((self.weight.take(r, axis=0) for r in rows), self.vocabulary.bias)
         x -= x.max(axis=1, keepdims=True)
         x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
         return x
 
+    def logits(self, three: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For contexts of three in ascending order, some at a time: where they start, their rows, the number of the pair of the first two, and the sums of weights."""
+        far = len(_FEATURES) * np.abs(self.weight).max() + np.abs(self.vocabulary.bias).max() > 60
+        for at in range(0, len(three), BATCH):
+            rows = self.rows(three[at : at + BATCH])
+            new = _changes(three[at : at + BATCH] >> _BITS)
+            pair = np.repeat(np.arange(len(new)), np.diff(new, append=rows.shape[1]))
+            x = sum((self.weight.take(r[new], axis=0) for r in rows[_OF_PAIRS]), self.vocabulary.bias).take(pair, axis=0)
+            for r in rows[_OF_THREES]:
+                x += self.weight.take(r, axis=0)
+            if far:  # beyond what exp can hold
+                x -= x.max(axis=1, keepdims=True)
+            yield at, rows, pair, x
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers starts."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def _sums(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key below 2**16 once, and the sum of its rows of x."""
+    while True:
+        order = np.argsort(key.astype(np.uint16), kind="stable")
+        key = key[order]
+        new = _changes(key)
+        size = np.diff(new, append=len(key))
+        # up to RUN rows of a key are added, then their sums
+        nth = np.arange(len(key)) - np.repeat(new, size)
+        head = np.flatnonzero(nth % RUN == 0)
+        size = np.diff(head, append=len(key))
+        head = head[np.argsort(-size, kind="stable")]
+        there = np.bincount(size, minlength=RUN + 1)[::-1].cumsum()[::-1]
+        total = x.take(order[head], axis=0)
+        for k in range(1, RUN):
+            total[: there[k + 1]] += x.take(order[head[: there[k + 1]] + k], axis=0)
+        key, x = key[head], total
+        if len(head) == len(new):
+            return key, x
+
 
 def _spread(x: np.ndarray) -> np.ndarray:
     return (mix(x.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
 
 
-def add_company(v: Vocabulary, t: Text, total: np.ndarray) -> None:
-    """Adds to each top word's row the signs of the words around it, and how often it was seen."""
-    h, _, first = tokens(t)
-    start, stop = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
-    at = np.arange(len(h))
-    top = v.place(h)
-    here = np.flatnonzero(top >= 0)
-    low, high = np.maximum(at - NEAR, start)[here], np.minimum(at + NEAR + 1, stop)[here]
-    signs = mix(h)
-    running = np.zeros(len(h) + 1, np.int64)
-    for d in range(COMPANY):
-        sign = ((signs >> np.uint64(d)) & np.uint64(1)).astype(np.int64) * 2 - 1
-        np.cumsum(sign, out=running[1:])
-        total[:, d] += np.bincount(top[here], running[high] - running[low] - sign[here], len(total))
-    total[:, COMPANY] += np.bincount(top[here], minlength=len(total))
+def add_company(v: Vocabulary, texts: Iterable[Text], total: np.ndarray) -> None:
+    """Adds to each top word's column the signs of the words around it, and how often it was seen."""
+    for t in texts:
+        h, _, first = tokens(t)
+        start, stop = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
+        at = np.arange(len(h))
+        top = v.place(h)
+        here = np.flatnonzero(top >= 0)
+        low, high = np.maximum(at - NEAR, start)[here], np.minimum(at + NEAR + 1, stop)[here]
+        signs, word = mix(h), top[here]
+        running = np.zeros(len(h) + 1, np.int64)
+        for d in range(COMPANY):
+            sign = ((signs >> np.uint64(d)) & np.uint64(1)).astype(np.int64) * 2 - 1
+            np.cumsum(sign, out=running[1:])
+            total[d] += np.bincount(word, running[high] - running[low] - sign[here], total.shape[1])
+        total[COMPANY] += np.bincount(word, minlength=total.shape[1])
 
 
 def add_gradient(model: Model, t: Text, total: np.ndarray) -> None:
     """Adds for each row and class what is there (total[0]), and the sum of the probabilities of the class (total[1])."""
-    h, ending, first = tokens(t)
-    _, cls, rows = model.features(h, ending, first)
-    at = rows.astype(np.int64) * CLASSES
-    total[0] += np.bincount((at + cls).ravel(), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
-    for a in range(0, len(cls), BATCH):
-        own = rows[:, a : a + BATCH]
-        p = np.exp(model.classes(own))
-        for r in own:
-            # tokens with the same row stand together and are summed at once
-            order = np.argsort(r, kind="stable")
-            new = np.flatnonzero(np.append(True, np.diff(r[order]) != 0))
-            total[1][r[order[new]]] += np.add.reduceat(p[order], new, axis=0)
+    add_gradients(model, [t], total)
+
+
+def add_gradients(model: Model, texts: Iterable[Text], total: np.ndarray) -> None:
+    """As add_gradient, for many texts: the tokens of up to HELD, or of one text, are taken together."""
+    held, n = [], 0
+    for t in texts:
+        _, cls, three = model.contexts(*tokens(t))
+        if n + len(cls) > HELD:
+            _add_tokens(model, held, total)
+            held, n = [], 0
+        held.append(three * CLASSES + cls)
+        n += len(cls)
+    _add_tokens(model, held, total)
+
+
+def _add_tokens(model: Model, held: list[np.ndarray], total: np.ndarray) -> None:
+    if not held:
+        return
+    token = np.concatenate(held)
+    token.sort()
+    new = _changes(token)
+    times, token = np.diff(new, append=len(token)).astype(np.float64), token[new]
+    three, there = token // CLASSES, total[0].reshape(-1)
+    for a in range(0, len(token), BLOCK):
+        own = slice(a, a + BLOCK)
+        for r in model.rows(three[own]):
+            np.add.at(there, r.astype(np.int64) * CLASSES + token[own] % CLASSES, times[own])
+    new = _changes(three)
+    three, times = three[new], np.add.reduceat(times, new).astype(np.float32)
+    for at, rows, pair, p in model.logits(three):
+        np.exp(p, out=p)
+        p *= (times[at : at + BATCH] / np.einsum("ij->i", p))[:, None]
+        sums = [_sums(r, p) for r in rows[_OF_THREES]]
+        which, p = _sums(pair, p)
+        own = rows[:, _changes(pair)[which]]
+        for r, x in sums + [_sums(r, p) for r in own[_OF_PAIRS]]:
+            total[1][r] += x
 
 
 def _summed(texts: DataFrame, told, shape: tuple[int, ...], add: Callable) -> np.ndarray:
-    """The sum over all texts of what add(told, text, total) adds to an array of a shape."""
+    """The sum over all texts of what add(told, texts, total) adds to an array of a shape."""
     value = texts.sparkSession.sparkContext.broadcast(told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros(shape), False
-        for batch in batches:
-            for _, _, t in texts_of(batch, "text"):
-                add(value.value, t, total)
-                some = True
+        total = np.zeros(shape)
+        add(value.value, (t for batch in batches for _, _, t in texts_of(batch, "text")), total)
         flat, salt = total.reshape(-1), TaskContext.get().partitionId() % SALTS
-        for k in range(0, len(flat), BLOCK) if some else ():
+        for k in range(0, len(flat), BLOCK):
             if flat[k : k + BLOCK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([flat[k : k + BLOCK].astype(np.float32).tobytes()])], _PART.names)
 
@@ -277,10 +370,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps
     rest = {b: (c - int(n[ending == b].sum()), m - int((ending == b).sum())) for b, (c, m) in sums.items() if b >= 0}
     v = Vocabulary(np.ascontiguousarray(word).view(np.uint64), n, sums.get(-1, (0, 0))[0], rest, sum(c for c, _ in sums.values()), sum(m for _, m in sums.values()))
     part = [texts.filter(F.col("round") == k).select("text") for k in range(len(steps))]
-    v.classify(_summed(texts.select("text"), v, (len(word), COMPANY + 1), add_company))
+    v.classify(_summed(texts.select("text"), v, (COMPANY + 1, len(word)), add_company).T.copy())
     model = Model(v)
     for step, own in zip(steps, part, strict=True):
-        there, expected = _summed(own, model, (2, ROWS, CLASSES), add_gradient)
+        there, expected = _summed(own, model, (2, ROWS, CLASSES), add_gradients)
         model.weight += step * np.clip(np.log((there + DAMPING) / (expected + DAMPING)), -2, 2).astype(np.float32)
     return Trained(model, counts)
 
@@ -289,11 +382,19 @@ def score_texts(model: Model, t: Text) -> tuple[np.ndarray, ...]:
     """Tokens, known top tokens, base and model log10 of each text without the counts of rare words; the rare words (text, hash, times)."""
     v = model.vocabulary
     h, ending, first = tokens(t)
-    top, cls, rows = model.features(h, ending, first)
+    top, cls, three = model.contexts(h, ending, first)
+    order = np.argsort(three)
+    three = three[order]
+    new = np.append(_changes(three), len(three))
+    own = np.empty(len(h), np.float32)
+    for a, _, _, x in model.logits(three[new[:-1]]):
+        places = new[a : a + BATCH + 1]
+        i, j = places[0], places[-1]
+        of = np.repeat(np.arange(len(x)), np.diff(places))
+        own[i:j] = x.ravel().take(of * CLASSES + cls[order[i:j]])
+        own[i:j] -= np.log(np.einsum("ij->i", np.exp(x, out=x))).take(of)
     p = np.empty(len(h))
-    for a in range(0, len(h), BATCH):
-        x = model.classes(rows[:, a : a + BATCH])
-        p[a : a + BATCH] = x[np.arange(len(x)), cls[a : a + BATCH]]
+    p[order] = own
     p /= np.log(10)
     known, end = top >= 0, ending < 0
     rare = ~known & ~end

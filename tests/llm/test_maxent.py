@@ -154,3 +154,70 @@ def test_expected_counts_are_sums_of_probabilities():
         for row in rows[:, k]:
             want[row] += p
     assert np.allclose(total[1], want, atol=1e-3) and total[0].sum() == 5 * len(h)
+
+
+def some_model(r, t, size):
+    """A model of a text's words with weights drawn at random, and its tokens."""
+    h, ending, first = maxent.tokens(t)
+    word, n = np.unique(h[ending >= 0], return_counts=True)
+    v = maxent.Vocabulary(word, n, 1, {}, len(h), len(word) + 1)
+    v.classify(r.random((len(word), maxent.COMPANY + 1)))
+    model = maxent.Model(v)
+    model.weight[:] = size * r.normal(size=model.weight.shape)
+    return model, (h, ending, first)
+
+
+def test_equal_contexts_are_worked_out_once(monkeypatch):
+    """The softmax has a row for each three contexts that differ among the tokens held, and weighs as often as they occur."""
+    r = np.random.default_rng(5)
+    t = text_of(*(" ".join(f"w{i}" for i in r.zipf(1.4, 300) % 40) for _ in range(4)), "", "w1")
+    model, _ = some_model(r, t, 1)
+    worked, plain = [], np.exp
+
+    def counted(x, *args, **named):
+        worked.append(np.size(x) // CLASSES)
+        return plain(x, *args, **named)
+
+    monkeypatch.setattr(np, "exp", counted)
+    one, many = (np.zeros((2, maxent.ROWS, maxent.CLASSES)) for _ in range(2))
+    maxent.add_gradient(model, t, one)
+    apart = len(np.unique(model.features(*tokens(t))[2][:3], axis=1).T)
+    assert sum(worked) == apart < len(tokens(t)[0])
+    worked.clear()
+    maxent.add_gradients(model, [t] * 30, many)
+    assert sum(worked) == apart
+    assert np.array_equal(30 * one[0], many[0]) and np.allclose(30 * one[1], many[1], rtol=1e-4, atol=1e-4)
+
+
+@pytest.mark.parametrize("size", [0.5, 40])
+def test_sums_over_held_tokens_and_scores_against_single_tokens(monkeypatch, size):
+    """Few tokens held, few contexts at once, few rows in a run, and weights beyond what exp can hold change no result."""
+    r = np.random.default_rng(6)
+    texts = [text_of(" ".join(f"w{i}" for i in r.zipf(1.4, k) % 60)) for k in (400, 1, 300, 2)] + [text_of("w1 " * 900, "", "zz w2")]
+    model, _ = some_model(r, texts[0], size)
+    monkeypatch.setattr(maxent, "HELD", 350)
+    monkeypatch.setattr(maxent, "BATCH", 64)
+    monkeypatch.setattr(maxent, "RUN", 3)
+    total, want = np.zeros((2, maxent.ROWS, maxent.CLASSES)), np.zeros((2, maxent.ROWS, maxent.CLASSES))
+    maxent.add_gradients(model, iter(texts), total)
+    for t in texts:
+        h, ending, first = tokens(t)
+        top, cls, rows = model.features(h, ending, first)
+        x = model.weight[rows].sum(axis=0, dtype=float) + model.vocabulary.bias
+        x -= x.max(axis=1, keepdims=True)
+        p = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+        for row in rows:
+            np.add.at(want[0], (row, cls), 1)
+            np.add.at(want[1], row, p)
+        own = x[np.arange(len(x)), cls] - np.log(np.exp(x).sum(axis=1))
+        within = np.where(top >= 0, np.append(model.vocabulary.within, 0)[top], np.where(ending < 0, 0, np.append(model.vocabulary.rare_within, 0)[ending]))
+        got = score_texts(model, t)[3]
+        assert got == pytest.approx(np.add.reduceat(own / np.log(10) + within, first[:-1]), rel=1e-4, abs=1e-3)
+    assert np.array_equal(total[0], want[0]) and np.allclose(total[1], want[1], rtol=1e-3, atol=2e-3)
+
+
+def test_words_whose_hashes_begin_alike_are_found():
+    h = np.array([0, 1, 5, 6, 1 << 50, (1 << 50) + 1, (1 << 64) - 2, (1 << 64) - 1], np.uint64)
+    v = maxent.Vocabulary(h[[6, 1, 3, 4, 2]], np.array([9, 7, 5, 3, 1]), 1, {}, 26, 6)
+    assert v.place(h).tolist() == [-1, 0, 1, 2, 3, -1, 4, -1]
+    assert maxent.Vocabulary(h[:0], np.zeros(0, np.int64), 0, {}, 0, 0).place(h).tolist() == [-1] * len(h)
