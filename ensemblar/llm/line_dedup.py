@@ -4,9 +4,10 @@ Lines are compared without white space at their ends.  Equal lines are one text,
 held by its first place.  A text is split into limit + 1 segments; if two texts
 are within the limit, one has a segment that the other holds at nearly the same
 place, so substrings at the places that can match (by length and the segment's
-number) probe an index of segments.  Texts that meet under a key are dropped at
-once if their lengths or the counts of their letters differ too much.  Of the
-rest, common ends are taken off, what is left between them must show a piece that
+number) probe an index of segments.  Keys that different texts hold are marked in
+a bitmap of one size; only lines that hold a marked key are kept with their text.
+Texts that meet under a key are dropped at once if their lengths or the counts of
+their letters differ too much; a crowded key is dealt to several tasks.  Of the rest, common ends are taken off, what is left between them must show a piece that
 no edit touches, and then the edit distance is computed in a band, the columns of
 which are bit vectors.
 
@@ -33,6 +34,18 @@ MIN_CHARS = 12
 #: Lengths that share a bucket of the index.
 LENGTHS = 16
 BLANKS = " \t\r\f\v"
+#: The bitmap of keys: blocks, of as many longs each (8 MB); a fuller one lets more lines pass, which meet nothing.
+BLOCKS = WORDS = 1024
+#: Lines of the index that one task compares with a key's probes.
+CROWD = 512
+
+
+def _trimmed(line: Column) -> Column:
+    """A line without white space at its ends; most have none, and are told by their first and last byte."""
+    blank = F.lit(False)
+    for x in BLANKS:
+        blank = blank | F.startswith(line, F.lit(x)) | F.endswith(line, F.lit(x))
+    return F.when(blank, F.btrim(line, F.lit(BLANKS))).otherwise(line)
 
 
 def _keys(max_edits: int, min_chars: int) -> Column:
@@ -42,7 +55,8 @@ def _keys(max_edits: int, min_chars: int) -> Column:
     first half of the segments is placed from the left end, the others from the right end.  If two
     lines are within the limit, some segment i has at most i edits on its left, max_edits - i on its
     right and none inside: its place differs by no more than the smaller of these from the nearer end.
-    No such place lies outside a line of at least max_edits + 1 segments.
+    No such place lies outside a line of at least max_edits + 1 segments.  Where each character
+    is a byte, the substrings are cut from the bytes, which have the same hash.
     """
     out = []
     size = f"cast(greatest({min_chars}, bucket * {LENGTHS}) div {max_edits + 1} as int)"
@@ -50,7 +64,8 @@ def _keys(max_edits: int, min_chars: int) -> Column:
         near = min(i, max_edits - i)
         for shift in range(-near, near + 1):
             at = f"({i} * {size} + {shift} + 1)" if i <= max_edits - i else f"(size - {max_edits + 1 - i} * {size} + {shift} + 1)"
-            out.append(f"named_struct('key', xxhash64({i}, bucket, substring(line, {at}, {size})), 'own', {str(shift == 0).lower()})")
+            hashed = [f"xxhash64({i}, bucket, substring({x}, {at}, {size}))" for x in ("bytes", "line")]
+            out.append(f"named_struct('key', if(octet_length(bytes) = size, {hashed[0]}, {hashed[1]}), 'own', {str(shift == 0).lower()})")
     return F.expr(f"array({', '.join(out)})")
 
 
@@ -61,11 +76,13 @@ COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
 def _counts(line: str) -> Column:
     """How often a line holds each letter, digit and blank; an edit changes two counts at most, each by one."""
     low = f"lower({line})"
-    return F.expr(f"array({', '.join(f"length({low}) - length(replace({low}, '{c}', ''))" for c in COUNTED)})")
+    return F.expr(f"array({', '.join(f"octet_length({low}) - octet_length(replace({low}, '{c}', ''))" for c in COUNTED)})")
 
 
-def _counts_apart(a: str, b: str) -> Column:
-    return F.expr(" + ".join(f"abs(get({a}, {k}) - get({b}, {k}))" for k in range(len(COUNTED))))
+def _codes(counts: str) -> list[Column]:
+    """The counts as four bits each in longs, coded so that one more turns one bit: codes differ in no more bits than counts in all."""
+    bits = [f"if({n} & 4 = 0, shiftleft(1L, {n} & 3) - 1, shiftleft(15L, {n} & 3) & 15)" for n in (f"get({counts}, {k})" for k in range(len(COUNTED)))]
+    return [F.expr(" | ".join(f"shiftleft({x}, {4 * k})" for k, x in enumerate(bits[start : start + 16]))) for start in range(0, len(bits), 16)]
 
 
 def _common_start(a: str, b: str, steps: int = 24) -> str:
@@ -138,37 +155,69 @@ def banded_distance(a: str, b: str, max_edits: int) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return cut.withColumn("line", F.btrim("line", F.lit(BLANKS))).filter("line <> ''")
-
+    return cut.withColumn("line", _trimmed(F.col("line"))).filter("line <> ''")
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h and line of the lines wanted (h, doc_id, line_no), by a join on documents."""
-    by_doc = wanted.groupBy(F.col("doc_id").alias("p_id")).agg(F.collect_list(F.struct("line_no", F.col("h").alias("p_h"))).alias("places"))
-    held = docs.join(by_doc, F.col("doc_id") == F.col("p_id")).select("places", F.split("text", "\n").alias("all"))
-    lines = held.select("all", F.explode("places").alias("x")).select(F.col("x.p_h").alias("h"), F.btrim(F.get("all", F.col("x.line_no")), F.lit(BLANKS)).alias("line"))
-    return lines.filter(F.xxhash64("line") == F.col("h")).dropDuplicates(["h"])
 
-
-def edit_links(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """Pairs (a_h, b_h) of hashes of different lines within the limit, a's first place before b's."""
+def _keyed(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """A row for each key of each line that has min_chars."""
     lines = _lines(docs).withColumn("size", F.length("line")).filter(F.col("size") >= min_chars)
     group = F.expr(f"size div {LENGTHS}")
     buckets = F.when((F.col("size") % LENGTHS < max_edits) & (group > 0), F.array(group - 1, group)).otherwise(F.array(group))
-    dealt = lines.select("doc_id", "line_no", "line", "size", F.xxhash64("line").alias("h"), F.explode(buckets).alias("bucket"))
-    keyed = dealt.select("doc_id", "line_no", "h", F.explode(_keys(max_edits, min_chars)).alias("x")).select("doc_id", "line_no", "h", "x.key", "x.own")
+    dealt = lines.select("doc_id", "line_no", "line", "size", F.xxhash64("line").alias("h"), F.col("line").cast("binary").alias("bytes"), F.explode(buckets).alias("bucket"))
+    return dealt.select("doc_id", "line_no", "line", "h", F.explode(_keys(max_edits, min_chars)).alias("x")).select("doc_id", "line_no", "line", "h", "x.key", "x.own")
+
+
+#: A key's block, and its two bits there.
+BLOCK = f"key & {BLOCKS - 1}L"
+SPOTS = [f"(shiftrightunsigned(key, {start}) & {64 * WORDS - 1}L)" for start in (20, 42)]
+
+
+def _marked(keys: DataFrame) -> DataFrame:
+    """A bitmap of keys: a row for each block, with its words."""
+    spots = keys.select(F.expr(BLOCK).alias("block"), F.explode(F.array(*map(F.expr, SPOTS))).alias("spot"))
+    bits = spots.select("block", F.expr("shiftright(spot, 6)").alias("word"), F.expr("shiftleft(1L, cast(spot & 63 as int))").alias("bits"))
+    none = keys.sparkSession.range(BLOCKS * WORDS).select(F.expr(f"id div {WORDS}"), F.expr(f"id % {WORDS}"), F.lit(0).cast("long"))
+    words = bits.union(none).groupBy("block", "word").agg(F.bit_or("bits").alias("bits"))
+    return words.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w")).select("block", F.col("w.bits").alias("words"))
+
+
+def _is_marked(words: str) -> Column:
+    return F.expr(" AND ".join(f"(shiftright(get({words}, cast(shiftright({x}, 6) as int)), cast({x} & 63 as int)) & 1L) = 1L" for x in SPOTS))
+
+
+def _candidates(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """Different lines that share a key with another one, once each: h, first place, line, size, counts, keys (key, own); and a few others."""
+    keyed = _keyed(docs, max_edits, min_chars)
     # keys that two different lines hold, one of them as a segment; equal lines, however many, are one sum
-    shared = keyed.groupBy(F.col("key").alias("s_key")).agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.max("own").alias("own")).filter("h0 < h1 AND own").select("s_key")
-    shared = as_table(shared, "keys")
-    # one plan at every size: the keys grow with the data
-    # the join is a table of its own, so that Spark can split a frequent key, and equal lines are one sum again
-    held = as_table(keyed.join(shared.hint("merge"), F.col("key") == F.col("s_key")).drop("s_key"), "met")
-    held = held.groupBy("key", "h").agg(F.max("own").alias("own"), F.min(F.struct("doc_id", "line_no")).alias("place"))
-    held = as_table(held.select("key", "h", "own", "place.*"), "held")
-    texts = as_table(_texts(docs, held.select("h", "doc_id", "line_no").distinct()).withColumn("size", F.length("line")).withColumn("counts", _counts("line")), "candidates")
-    told = as_table(held.join(texts.select(F.col("h").alias("t_h"), "size", "counts").hint("merge"), F.col("h") == F.col("t_h")).drop("t_h"), "probes")
-    index = told.filter("own").select(*[F.col(c).alias(f"i_{c}") for c in ("key", "h", "size", "counts", "doc_id", "line_no")])
-    like = (F.abs(F.col("size") - F.col("i_size")) <= max_edits) & (_counts_apart("counts", "i_counts") <= 2 * max_edits)
-    met = told.join(index.hint("merge"), (F.col("key") == F.col("i_key")) & (F.col("h") != F.col("i_h")) & like)
+    shared = keyed.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.max("own").alias("own")).filter("h0 < h1 AND own").select("key")
+    # one plan at every size: the keys grow with the data, their bitmap does not
+    blocks = as_table(_marked(shared), "keys")
+    found = keyed.join(F.broadcast(blocks), F.expr(BLOCK) == F.col("block")).filter(_is_marked("words"))
+    # equal lines are one sum again, in the task that finds them
+    lines = found.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.min("line").alias("line"), F.collect_set(F.struct("key", "own")).alias("keys"))
+    return as_table(lines.select("h", "place.*", "line", F.length("line").alias("size"), _counts("line").alias("counts"), "keys"), "candidates")
+
+
+def _dealt(told: DataFrame) -> DataFrame:
+    """The rows with parts, the number of tasks that the lines of their key in the index are dealt to."""
+    crowded = told.filter("own").groupBy(F.col("key").alias("c_key")).agg(F.count("h").alias("n")).filter(F.col("n") > CROWD)
+    return told.join(crowded, F.col("key") == F.col("c_key"), "left").withColumn("parts", F.expr(f"cast(coalesce((n - 1) div {CROWD} + 1, 1) as int)")).drop("c_key", "n")
+
+
+def edit_links(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """Pairs (a_h, b_h) of hashes of different lines within the limit, a's first place before b's."""
+    texts = _candidates(docs, max_edits, min_chars)
+    told = texts.select("h", "doc_id", "line_no", "size", F.array(*_codes("counts")).alias("c"), F.explode("keys").alias("x"))
+    codes = [f"c{k}" for k in range(len(_codes("counts")))]
+    told = told.select("h", "doc_id", "line_no", "size", *[F.get("c", k).alias(c) for k, c in enumerate(codes)], "x.key", "x.own")
+    told = as_table(_dealt(told), "probes")
+    index = told.filter("own").withColumn("part", F.expr("cast(pmod(h, parts) as int)"))
+    index = index.select(*[F.col(c).alias(f"i_{c}") for c in ("key", "part", "h", "size", *codes, "doc_id", "line_no")])
+    probes = told.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # numbers only: where copies of a long text differ, nearly all pairs of a key fail here
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"i_{c}"))) for c in codes), F.lit(0))
+    like = (F.abs(F.col("size") - F.col("i_size")) <= max_edits) & (apart <= 2 * max_edits)
+    met = probes.join(index.hint("merge"), (F.col("key") == F.col("i_key")) & (F.col("part") == F.col("i_part")) & (F.col("h") != F.col("i_h")) & like)
     earlier = F.struct("doc_id", "line_no", "h") < F.struct("i_doc_id", "i_line_no", "i_h")
     pairs = as_table(met.select(F.when(earlier, F.col("h")).otherwise(F.col("i_h")).alias("a_h"), F.when(earlier, F.col("i_h")).otherwise(F.col("h")).alias("b_h")).distinct(), "pairs")
     left, right = (texts.select(F.col("h").alias(f"{x}_t"), F.col("line").alias(x)) for x in "ab")
@@ -200,7 +249,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.count("line_no").alias("n_first"), F.sum(F.col("near").cast("long")).alias("n_near"), F.sum("n_links").alias("n_links"),
         F.sum(F.when(~F.col("near"), F.col("size")).otherwise(0)).alias("kept_chars"),
     )
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), _trimmed), lambda x: x != "")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("l")).select("doc_id", F.size("l").cast("long").alias("n_lines"), F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("chars"))
     lone, zero = F.col("doc_id").isNull(), F.lit(0).cast("long")
     joined = own.join(by_doc, F.col("doc_id") == F.col("f_id"), "left")
@@ -214,7 +263,6 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = line_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("NOT near").groupBy(F.col("doc_id").alias(k_id)).agg(F.collect_set(F.struct("line_no", "h")).alias(k_lines))
     joined = docs.join(kept, F.col(id_col).cast("long") == F.col(k_id), "left")
     none = F.array().cast("array<struct<line_no:int,h:bigint>>")
-    trimmed = lambda x: F.btrim(x, F.lit(BLANKS))
-    stay = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x, i: (trimmed(x) == "") | F.array_contains(F.coalesce(F.col(k_lines), none), F.struct(i.alias("line_no"), F.xxhash64(trimmed(x)).alias("h"))))
+    stay = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x, i: (_trimmed(x) == "") | F.array_contains(F.coalesce(F.col(k_lines), none), F.struct(i.alias("line_no"), F.xxhash64(_trimmed(x)).alias("h"))))
     text = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
     return joined.withColumn(text_col, text).select(docs.columns)
